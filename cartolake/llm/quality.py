@@ -145,8 +145,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 #: The same in DuckDB.
 SQL = r"""
 WITH words AS (
-  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 measured AS (
   SELECT doc_id, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
@@ -155,7 +155,7 @@ measured AS (
          len(string_split(t, chr(10))) AS n_lines,
          length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_shouts,
          length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper,
-         len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS n_stutters
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters
   FROM words),
 windows AS (
   SELECT doc_id, i, hash(w[i:i+7]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM measured WHERE len(w) >= 8)),
