@@ -29,9 +29,9 @@ ROWS_PER_RANKING = 50_000
 
 
 def word_encoder(path: str):
-    """Function from distinct white-space-separated words to their ids (unsigned 16-bit).
+    """Function from distinct words, cut at ASCII white space, to their ids (unsigned 16-bit).
 
-    The tokenizer drops white space before it splits and never joins across it, so a text's ids are its words' ids.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids, one after the other.
     """
     from tokenizers import Tokenizer
 
@@ -71,15 +71,10 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
 
         return prepare
 
-    answered = answer_words(to_blocks(docs, lambda: lambda text: encoded_words(text)), lambda: word_encoder(path))
+    answered = answer_words(to_blocks(docs, lambda: lambda text: encoded(text).split()), lambda: word_encoder(path))
     return texts_from_blocks(answered, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def encoded_words(text: str | None) -> list[str]:
-    """The words between characters that the tokenizer takes for white space (a subset of str.split()'s would do too)."""
-    return (text or "").split()
-
-
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a pack, how many such packs) by shortest-pack-first; every length is placed as often as it occurs."""
     open_packs: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by fill
