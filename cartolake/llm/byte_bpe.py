@@ -77,11 +77,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         tokens = token_bytes(path)
         out = (lambda x: hashlib.sha256(x).hexdigest()) if digest else bytes
 
-        def prepare(table: list[bytes]):
-            answers = Answers(table, "<u4")
+        def prepare(found: Answers):
+            gather = found.gatherer("<u4")
 
             def texts(doc_ids: list, lengths: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-                ids, per_word = answers.gather(words)
+                ids, per_word = gather(words)
                 counts = by_text(lengths, per_word)
                 ends = np.cumsum(counts)
                 spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))

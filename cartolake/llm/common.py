@@ -42,9 +42,12 @@ def ascii_lower(column: Column) -> Column:
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """(value of each column) row by row, holding one batch at a time."""
+    """(value of each column) row by row, with few rows as Python objects at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+        at = [batch.schema.get_field_index(c) for c in columns]
+        for first in range(0, batch.num_rows, 256):
+            some = batch.slice(first, 256)
+            yield from zip(*(some.column(k).to_pylist() for k in at), strict=True)
 
 
 def encoded(text: str | None) -> bytes:

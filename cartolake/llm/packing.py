@@ -8,9 +8,11 @@ how often each packing pattern occurs. The patterns are joined back to the piece
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,18 +35,28 @@ def word_encoder(path: str):
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids, one after the other.
     """
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own = tokenizer(path)
 
     def encode(words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return [np.array(e.ids, "<u2").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for first in range(0, len(words), 2000):
+            some = own.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words[first : first + 2000]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u2").tobytes() for e in some]
+        return out
 
     return encode
 
 
+@lru_cache(2)
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return own
+
+
 def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every document's ids and end_id, cut every `width` ids."""
     import public_tokenizers
@@ -52,13 +64,13 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def make():
-        def prepare(table: list[bytes]):
-            answers = Answers(table, "<u2")
+        def prepare(found: Answers):
+            gather = found.gatherer("<u2")
 
             def texts(doc_ids: list, lengths: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-                ids, per_word = answers.gather(words)
+                ids, per_word = gather(words)
                 counts = by_text(lengths, per_word)
-                wide = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+                wide = np.insert(ids.astype("<u4"), np.cumsum(counts), end_id)
                 rows, at = [], 0
                 for doc_id, n in zip(doc_ids, (counts + 1).tolist(), strict=True):
                     for start in range(0, n, width):
