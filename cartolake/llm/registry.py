@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, topk
 from .byte_bpe import encode_documents
 from .common import read
 from .packing import pack_documents
@@ -14,6 +14,8 @@ from .quality import quality_report
 from .secrets import secret_report
 from .sharding import shard_documents
 from .simhash import near_duplicate_report
+from .topk import top_k
+from .toxicity import score_documents
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +38,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op6_packing, op10_quality)}
-SQL = {"op10_quality": quality.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op6_packing, op7_top_k, op9_toxicity, op10_quality)}
+SQL = {"op7_top_k": topk.SQL, "op10_quality": quality.SQL}

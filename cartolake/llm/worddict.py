@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import encoded, texts_of
 
-BLOCK_WORDS = 2_500_000
+BLOCK_WORDS = 4_500_000
 PART_WORDS = 250_000
 #: Distinct words whose answers a bucket keeps at once. Beyond, it starts again; answers stay the same.
 KNOWN_WORDS = 1_500_000
