@@ -17,12 +17,13 @@ def dedupe_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def authenticity_score(reviews: DataFrame) -> DataFrame:
+    """Adds authenticity_score, 0 to 1 with four decimals; ties go up whatever their binary form."""
     size = F.length(F.coalesce(F.trim("text"), F.lit("")))
     share = lambda c, most: F.least(F.coalesce(F.col(c), F.lit(0)) / F.lit(float(most)), F.lit(1.0))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     trust = (share("total_reviews", 50) + share("total_photos", 100) + flag(F.coalesce("is_local_guide", F.lit(False)))) / 3.0
     score = 0.15 * flag(size > 0) + 0.25 * F.least(size / 200.0, F.lit(1.0)) + 0.25 * flag(F.coalesce("n_images", F.lit(0)) > 0) + 0.35 * trust
-    return reviews.withColumn("authenticity_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
+    return reviews.withColumn("authenticity_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) + 1e-9, 4))
 
 
 def recent_reviews_with_images(reviews: DataFrame, n: int) -> DataFrame:

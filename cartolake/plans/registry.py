@@ -171,10 +171,10 @@ def dedupe_reviews(spark, sf_dir):
     return reviews.dedupe_reviews(view(spark, sf_dir, "fx_review")).select("review_id", "seq")
 
 
-@query("""SELECT seq, round(round(0.15 * (CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END) + 0.25 * least(length(trim(text)) / 200e0, 1) + 0.25 * (CASE WHEN n_images > 0 THEN 1 ELSE 0 END)
- + 0.35 * (least(total_reviews / 50e0, 1) + least(total_photos / 100e0, 1) + CASE WHEN is_local_guide THEN 1 ELSE 0 END) / 3, 4), 3) AS authenticity_score FROM fx_review""")
+@query("""SELECT seq, round(0.15 * (CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END) + 0.25 * least(length(trim(text)) / 200e0, 1) + 0.25 * (CASE WHEN n_images > 0 THEN 1 ELSE 0 END)
+ + 0.35 * (least(total_reviews / 50e0, 1) + least(total_photos / 100e0, 1) + CASE WHEN is_local_guide THEN 1 ELSE 0 END) / 3 + 1e-9, 4) AS authenticity_score FROM fx_review""")
 def authenticity_score(spark, sf_dir):
-    return reviews.authenticity_score(view(spark, sf_dir, "fx_review")).select("seq", F.round("authenticity_score", 3).alias("authenticity_score"))
+    return reviews.authenticity_score(view(spark, sf_dir, "fx_review")).select("seq", "authenticity_score")
 
 
 @query("SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY place_id ORDER BY seq) AS n FROM fx_review WHERE n_images > 0) WHERE n <= 50")
