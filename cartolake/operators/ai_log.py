@@ -26,3 +26,11 @@ def ai_call_rows(df: DataFrame) -> DataFrame:
     """trace_id, provider, status, latency_ms and tokens of every call."""
     own = usage_tokens(df)
     return own.select("trace_id", F.lower("provider").alias("provider"), F.when(F.col("ok"), "SUCCESS").otherwise("FAILED").alias("status"), "latency_ms", "input_tokens", "cached_tokens", "output_tokens")
+
+
+def extraction_eval(calls: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Per url and model: calls, successes and the mentions by status (mentions: url, model, status)."""
+    runs = calls.groupBy("url", "model").agg(F.count("*").alias("n_calls"), F.count_if("ok").alias("n_ok"))
+    status = lambda s, to: F.count_if(F.col("status") == s).alias(to)
+    found = mentions.groupBy("url", "model").agg(F.count("*").alias("n_mentions"), status("EVIDENCE_VERIFIED", "n_verified"), status("UNRESOLVED", "n_unresolved"), status("DISCARDED", "n_discarded"))
+    return runs.join(found, ["url", "model"], "left").fillna(0, ["n_mentions", "n_verified", "n_unresolved", "n_discarded"])

@@ -50,3 +50,56 @@ def place_gate(df: DataFrame) -> DataFrame:
         F.when(F.rlike(F.coalesce("link", F.lit("")), F.lit(r"/maps/@")), "VIEWPORT_URL").when(title == "", "BLANK_TITLE")
         .when(F.lower(title).startswith("http"), "URL_TITLE"),
     )
+
+
+def collect_categories(df: DataFrame) -> DataFrame:
+    """Adds all_categories: category, categories, and those in the JSON raw_data, trimmed, without blanks, each once."""
+    inside = F.from_json(F.get_json_object("raw_data", "$.categories"), "array<string>")
+    none = F.array().cast("array<string>")
+    whole = F.concat(F.array("category"), F.coalesce("categories", none), F.coalesce(inside, none))
+    return df.withColumn("all_categories", F.array_distinct(F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
+
+
+def has_words(text: Column, words: str) -> Column:
+    """Whether one of the alternatives in words stands in text as whole words, ignoring case."""
+    return F.rlike(text, F.lit(rf"(?iuU)\b(?:{words})\b"))
+
+
+def place_group(categories: Column, food: str, not_food: str, stay: str) -> Column:
+    """The group of a list of categories, the primary one first; the word patterns are the user's.
+
+    The first category is tried for food, then stay; the others for stay, then food; what is left is an attraction.
+    """
+    texts = F.transform(categories, normalize_category)
+    eats = lambda x: has_words(F.regexp_replace(x, rf"(?iuU)\b(?:{not_food})\b", " "), food)
+    codes = lambda stay_first: lambda x: (
+        F.when(has_words(x, stay), "ACCOMMODATION").when(eats(x), "FOOD_AND_DRINK") if stay_first else F.when(eats(x), "FOOD_AND_DRINK").when(has_words(x, stay), "ACCOMMODATION")
+    )
+    others = F.filter(F.transform(F.slice(texts, 2, F.greatest(F.size(texts), F.lit(1))), codes(True)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(F.transform(F.slice(texts, 1, 1), codes(False)), F.lit(0)), F.get(others, F.lit(0)), F.lit("ATTRACTIONS"))
+
+
+def sub_types(df: DataFrame, categories: str, group: str, rules: list[tuple[str, str, str | None, str | None]], fallback: dict[str, str], generic: str) -> DataFrame:
+    """Adds sub_types: the codes of all rules (code, words, words to leave out, group that counts as a match) in order.
+
+    Without any: the group's fallback, or LANDMARK where a sight has only a generic category.
+    """
+    texts, code = F.transform(categories, normalize_category), F.upper(F.coalesce(F.col(group), F.lit("")))
+    own = lambda out: (lambda x: F.regexp_replace(x, rf"(?iuU)\b(?:{out})\b", " ")) if out else (lambda x: x)
+    hit = lambda words, out, hint: F.exists(texts, lambda x: has_words(own(out)(x), words)) | (code == hint if hint else F.lit(False))
+    found = F.array_compact(F.array(*(F.when(hit(words, out, hint), name) for name, words, out, hint in rules)))
+    sight = code.isin("ATTRACTIONS", *LEGACY_GROUPS) & F.exists(texts, lambda x: has_words(x, generic))
+    rest = F.coalesce(*(F.when(code == g, c) for g, c in fallback.items()), F.when(sight, "LANDMARK"))
+    return df.withColumn("sub_types", F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(rest))))
+
+
+def title_translations(df: DataFrame) -> DataFrame:
+    """Adds translations, {vi, en}, where the place is in the country and local_title differs from title beyond case."""
+    local, title = blank_to_null(F.col("local_title")), F.coalesce(F.trim("title"), F.lit(""))
+    return df.withColumn("translations", F.when(F.col("in_country") & (F.lower(local) != F.lower(title)), F.create_map(F.lit("vi"), local, F.lit("en"), title)))
+
+
+def detect_language(text: Column) -> Column:
+    """vi where a letter with a Vietnamese accent occurs, else en."""
+    marked = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
+    return F.when(F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{marked}]")), "vi").otherwise("en")

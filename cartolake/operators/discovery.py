@@ -93,3 +93,47 @@ def crawl_counters(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("discovered"), count(F.col("is_known"), "skipped"), count(~F.col("is_known") & F.col("reason").isNull(), "eligible"),
         count(reason("NON_FOOD"), "non_food"), count(reason("REVIEW_COUNT"), "low_reviews"), count(reason("GOOGLE_RATING"), "low_rating"),
     )
+
+
+def expand_location_queries(locations: DataFrame, templates: DataFrame, most: int) -> DataFrame:
+    """location, query_no, query: templates (pos, template) without placeholders, each with the location added; repeats dropped."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace("template", r"\{[a-z]+\}", " "), " +", " "))
+    filled = locations.crossJoin(F.broadcast(templates)).select("location", "pos", F.concat_ws(" ", F.nullif(bare, F.lit("")), "location").alias("query"))  # two dimensions
+    first = filled.groupBy("location", "query").agg(F.min("pos").alias("pos"))
+    return first.withColumn("query_no", F.row_number().over(Window.partitionBy("location").orderBy("pos"))).where(F.col("query_no") <= most).drop("pos")
+
+
+def parse_hit_text(df: DataFrame, text: str, most: int = 12) -> DataFrame:
+    """Adds lines (trimmed, each once, `most`), rating_line and reviews_line, the first ones with a rating and a count."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = df.withColumn("lines", F.slice(F.array_distinct(lines), 1, most))
+    first = lambda p: F.get(F.filter("lines", lambda x: F.rlike(x, F.lit(p))), F.lit(0))
+    return rows.withColumns({"rating_line": first(r"(?i)(^|[^0-9])[1-5][.,][0-9]([^0-9]|$)"), "reviews_line": first(r"(?i)\([0-9][0-9.,]*\)|[0-9] *(reviews?|đánh giá)")})
+
+
+def fill_identity(details: DataFrame, candidates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """details with the candidate's value in each of columns that is blank; one candidate a key."""
+    own = candidates.select(key, *(F.col(c).alias(f"{c}_found") for c in columns))
+    types = dict(details.dtypes)
+    kept = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")) if types[c] == "string" else F.col(c), F.col(f"{c}_found"))
+    return details.join(own, key, "left").withColumns({c: kept(c) for c in columns}).select(*details.columns)
+
+
+def inactive_projection(df: DataFrame) -> DataFrame:
+    """Rows with a reason keep one image and no reviews, and become INACTIVE."""
+    out = F.col("reason").isNotNull()
+    types = dict(df.dtypes)
+    return df.withColumns({
+        "images": F.when(out, F.slice("images", 1, 1)).otherwise(F.col("images")), "reviews": F.when(out, F.array().cast(types["reviews"])).otherwise(F.col("reviews")),
+        "visibility": F.when(out, "INACTIVE").otherwise(F.col("visibility")),
+    })
+
+
+def classify_import_outcome(df: DataFrame, wanted: int) -> DataFrame:
+    """Adds imported_, insufficient, skipped and rejected_score from imported, status and n_reviews."""
+    status = F.coalesce("status", F.lit(""))
+    saved = F.col("imported") & status.startswith("SAVED_INACTIVE")
+    return df.withColumns({
+        "insufficient": F.col("imported") & (status == "IMPORTED") & (F.col("n_reviews") < wanted), "skipped": saved | ~F.col("imported"),
+        "rejected_score": saved & F.contains(status, F.lit("ADJUSTED_RATING")),
+    })

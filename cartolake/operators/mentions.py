@@ -35,13 +35,13 @@ def map_query(df: DataFrame, hints: list[str]) -> DataFrame:
 
 
 def resolve_matches(pairs: DataFrame) -> DataFrame:
-    """The best hit of each mention: good enough, and clear of the best one of another identity."""
-    order = Window.partitionBy("mention_id").orderBy(F.desc("score"), "pos")
-    ranked = pairs.where(F.col("identity").isNotNull()).withColumn("n_", F.row_number().over(order)).withColumn("top_", F.first("identity").over(order))
-    best = ranked.groupBy("mention_id").agg(
-        F.max_by("identity", -F.col("n_")).alias("identity"), F.max("score").alias("score"), F.max(F.when(F.col("identity") != F.col("top_"), F.col("score"))).alias("other")
-    )
-    return best.where((F.col("score") >= MIN_SCORE) & (F.col("other").isNull() | (F.col("score") - F.col("other") >= MIN_GAP))).select("mention_id", "identity", F.round("score", 4).alias("score"))
+    """The best hit of each mention: good enough, and clear of the runner-up if that has another identity."""
+    n = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "pos", "identity"))
+    two = pairs.where(F.col("identity").isNotNull()).withColumn("n_", n).where("n_ <= 2")
+    of = lambda k, c: F.max(F.when(F.col("n_") == k, F.col(c)))
+    best = two.groupBy("mention_id").agg(of(1, "identity").alias("identity"), of(1, "score").alias("score"), of(2, "identity").alias("other"), of(2, "score").alias("next"))
+    clear = F.col("other").isNull() | (F.col("other") == F.col("identity")) | (F.col("score") - F.col("next") >= MIN_GAP)
+    return best.where((F.col("score") >= MIN_SCORE) & clear).select("mention_id", "identity", F.round("score", 4).alias("score"))
 
 
 def frame_grid(videos: DataFrame, interval: int, most: int) -> DataFrame:

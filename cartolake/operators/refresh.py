@@ -61,3 +61,16 @@ def idempotent_requests(jobs: DataFrame) -> DataFrame:
     """jobs with is_first: whether it is the first of its request key; a null key never matches another."""
     n = F.row_number().over(Window.partitionBy("request_key").orderBy("created_at", "job_id"))
     return jobs.where("request_key IS NOT NULL").withColumn("is_first", n == 1).unionByName(jobs.where("request_key IS NULL").withColumn("is_first", F.lit(True)))
+
+
+def rerun_selection(run_log: DataFrame, planned: DataFrame, mode: str) -> DataFrame:
+    """place_id, group_no, pos of planned (place_id, pos) to run again: ALL, FAILED, NOT_EXECUTED or FAILED_AND_NOT_EXECUTED.
+
+    Each place once; by group_no and pos, failed ones go before those without a run.
+    """
+    last = run_log.groupBy("place_id").agg(F.max_by("success", "seq").alias("success"))
+    first = planned.groupBy("place_id").agg(F.min("pos").alias("pos")).join(last, "place_id", "left")
+    failed, absent = F.coalesce(~F.col("success"), F.lit(False)), F.col("success").isNull()
+    wanted = {"ALL": F.lit(True), "FAILED": failed, "NOT_EXECUTED": absent, "FAILED_AND_NOT_EXECUTED": failed | absent}[mode]
+    group = F.lit(0) if mode == "ALL" else F.when(failed, 0).otherwise(1)
+    return first.where(wanted).select("place_id", group.alias("group_no"), "pos")

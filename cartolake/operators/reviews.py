@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolake.operators.classify import first_float, first_int
+from cartolake.operators.urls import upscale_image
+
 
 def dedupe_reviews(reviews: DataFrame) -> DataFrame:
     """Per place the first row of each review id; rows without an id all stay."""
@@ -50,3 +53,27 @@ def refresh_reviews(reviews: DataFrame, scraped_at: str) -> DataFrame:
 def review_quality_report(reviews: DataFrame) -> DataFrame:
     lacks = lambda c: F.count_if(F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
     return reviews.groupBy("place_id").agg(F.count("*").alias("n_reviews"), lacks("review_id").alias("no_id"), lacks("author").alias("no_author"), lacks("text").alias("no_text"))
+
+
+def parse_review_snapshot(captures: DataFrame) -> DataFrame:
+    """author, rating, likes, photos, is_local_guide, total_reviews and total_photos from the texts of captured reviews."""
+    author, info = F.trim(F.coalesce("author", F.lit(""))), F.trim(F.coalesce("reviewer_info", F.lit("")))
+    total = lambda word: F.coalesce(first_int(F.regexp_extract(info, rf"(?i)([0-9][0-9\s,.]*)\s+{word}s?", 1)), F.lit(0).cast("bigint"))
+    photos = F.transform(F.coalesce("photos", F.array().cast("array<string>")), lambda x: upscale_image(F.trim(x)))
+    return captures.withColumns({
+        "author": F.when(author != "", author).otherwise(F.regexp_replace(F.trim(F.coalesce("profile_label", F.lit(""))), r"(?i)^photo of\s+", "")),
+        "rating": first_float(F.col("rating_label")), "likes": F.coalesce(first_int(F.col("likes_text")), F.lit(0).cast("bigint")),
+        "photos": F.array_distinct(F.filter(photos, lambda x: x.isNotNull() & (x != ""))), "is_local_guide": F.contains(F.lower(info), F.lit("local guide")),
+        "total_reviews": total("review"), "total_photos": total("photo"),
+    })
+
+
+def format_reviews(reviews: DataFrame) -> DataFrame:
+    """The export's columns in camel case; when is the date, or the raw one, and the score is filled in."""
+    blank = lambda c, to: F.coalesce(c, F.lit("")).alias(to)
+    number = lambda c, to: F.coalesce(c, F.lit(0)).cast("bigint").alias(to)
+    return authenticity_score(reviews).select(
+        blank("review_id", "reviewId"), blank("place_id", "googlePlaceId"), blank("author", "name"), F.coalesce("is_local_guide", F.lit(False)).alias("isLocalGuide"),
+        number("total_reviews", "totalReviews"), number("total_photos", "totalPhotos"), number("rating", "rating"), blank("text", "description"),
+        F.coalesce(F.nullif("review_date", F.lit("")), "raw_date", F.lit("")).alias("when"), F.col("authenticity_score").alias("authenticityScore"),
+    )

@@ -85,3 +85,24 @@ def dedupe_photos(photos: DataFrame) -> DataFrame:
     own = photos.where(F.rlike("url", F.lit(r"^https://lh[0-9]+\.googleusercontent\.com/")) & ~F.rlike("url", F.lit(r"/a-?/|=m[0-9]+")))
     base = F.split_part(F.col("url"), F.lit("="), F.lit(1))
     return own.withColumn("n_", F.row_number().over(Window.partitionBy("place_id", base).orderBy("pos"))).where("n_ = 1").drop("n_")
+
+
+def canonical_social_url(df: DataFrame, url: str) -> DataFrame:
+    """Adds platform, is_social, canonical (without parameters) and is_carousel for post URLs of two platforms."""
+    c = F.coalesce(F.trim(url), F.lit(""))
+    social = F.rlike(c, F.lit(r"(?i)https?://(?:www\.|m\.|vt\.|vm\.)?(?:tiktok\.com|instagram\.com|instagr\.am)/"))
+    post = r"(?i)tiktok\.com/(@[^/?#]+/(?:photo|video)/[0-9]+)"
+    platform = F.when(~social, None).when(F.rlike(c, F.lit(r"(?i)tiktok\.com/")), "TIKTOK").otherwise("INSTAGRAM")
+    return df.withColumns({
+        "is_social": social, "platform": platform, "is_carousel": F.rlike(c, F.lit(r"(?i)tiktok\.com/@[^/?#]+/photo/")),
+        "canonical": F.coalesce(F.concat(F.lit("https://www.tiktok.com/"), extract(c, post)), F.regexp_replace(c, r"[?#].*$", "")),
+    })
+
+
+def resolve_source_url(title: Column, link: Column) -> Column:
+    """The first of title and link that is a URL and not blocked; else what a blocked one was to continue to; else what there is."""
+    title, link = (F.trim(F.coalesce(c, F.lit(""))) for c in (title, link))
+    path = lambda c: F.regexp_extract(c, r"^https?://[^/?#]*([^?#]*)", 1)
+    open_url = [F.when(c.startswith("http") & ~F.contains(path(c), F.lit("/sorry/")), c) for c in (title, link)]
+    target = [F.try_url_decode(F.when(F.contains(c, F.lit("/sorry/")), extract(c, r"[?&]continue=([^&#]*)"))) for c in (link, title)]
+    return F.coalesce(*open_url, *(F.when(t.startswith("http"), t) for t in target), F.nullif(title, F.lit("")), link)

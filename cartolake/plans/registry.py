@@ -239,9 +239,9 @@ def mention_confidence(spark, sf_dir):
     return rows.select("conv_id", "turn", mentions.confidence((F.length("text") / 5.0).cast("string")).alias("confidence"))
 
 
-@query("""SELECT mention_id, identity, round(score, 4) AS score FROM (SELECT mention_id, arg_min(identity, n) AS identity, max(score) AS score, max(score) FILTER (identity <> top) AS other FROM
- (SELECT *, row_number() OVER w AS n, first_value(identity) OVER w AS top FROM (SELECT l_orderkey AS mention_id, l_partkey % 50 AS identity, l_quantity / 50 AS score, l_partkey * 100000 + l_suppkey AS pos FROM lineitem)
- WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, pos, identity)) GROUP BY mention_id) WHERE score >= 0.68 AND (other IS NULL OR score - other >= 0.08)""")
+@query("""SELECT mention_id, identity, round(score, 4) AS score FROM (SELECT *, row_number() OVER w AS n, lead(identity) OVER w AS other, lead(score) OVER w AS next_score
+ FROM (SELECT l_orderkey AS mention_id, l_partkey % 50 AS identity, l_quantity / 50 AS score, l_partkey * 100000 + l_suppkey AS pos FROM lineitem)
+ WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, pos, identity)) WHERE n = 1 AND score >= 0.68 AND (other IS NULL OR other = identity OR score - next_score >= 0.08)""")
 def resolve_matches(spark, sf_dir):
     pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS mention_id", "l_partkey % 50 AS identity", "l_quantity / 50 AS score", "l_partkey * 100000 + l_suppkey AS pos")
     return mentions.resolve_matches(pairs)

@@ -32,3 +32,24 @@ def import_outbox(payloads: DataFrame, responses: DataFrame) -> DataFrame:
 def title_corrections(places: DataFrame) -> DataFrame:
     """Two corrections a place (id, old, new): its title, and its legacy translation."""
     return places.where("new IS NOT NULL AND old <> new").select("id", "old", "new", F.explode(F.array(F.lit("places"), F.lit("translations"))).alias("scope"))
+
+
+def unwrap_place_list(raw: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(places, rejects) of JSON texts: a list, {data: [...]}, or {data: {items | content | places: [...]}}."""
+    paths = ("$", "$.data", "$.data.items", "$.data.content", "$.data.places")
+    lists = [F.get_json_object(column, p) for p in paths]
+    rows = raw.withColumn("list_", F.coalesce(*(F.when(F.trim(x).startswith("["), x) for x in lists)))
+    items = rows.where("list_ IS NOT NULL").select(F.explode(F.from_json("list_", "array<string>")).alias("item")).where(F.trim("item").startswith("{"))
+    return items.select(F.from_json("item", schema).alias("p")).select("p.*"), rows.where("list_ IS NULL").drop("list_")
+
+
+def read_search_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(templates: pos, template; foods: region, food) of a JSON file {templates: [...], foods: {region: [...]}}."""
+    whole = spark.read.schema("templates array<string>, foods map<string,array<string>>").json(path, multiLine=True)
+    foods = whole.select(F.explode("foods").alias("region", "list")).select("region", F.explode("list").alias("food"))
+    return whole.select(F.posexplode("templates").alias("pos", "template")), foods
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """code, name, priority, tourist_areas of a JSON file, a list of regions."""
+    return spark.read.schema("code string, name string, priority int, tourist_areas array<string>").json(path, multiLine=True)

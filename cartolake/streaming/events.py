@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from cartolake.operators.captures import normalize_info
+from cartolake.operators.classify import place_gate
 
 
 def dedupe_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -19,3 +27,37 @@ def live_counters(stream: DataFrame) -> DataFrame:
 def live_job_state(stream: DataFrame) -> DataFrame:
     """Per job the status of its last event, for update or complete mode."""
     return stream.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at"))
+
+
+def ingest_places(stream: DataFrame, places: str, rejects: str, checkpoint: str) -> StreamingQuery:
+    """Captures to normalised places, and those that the gate rejects to a table of their own; both are Parquet folders.
+
+    A batch that is run again writes the same batch_no folder once more, so nothing is doubled.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        judged = place_gate(normalize_info(batch)).persist()
+        judged.where("reject_reason IS NULL").drop("reject_reason").write.mode("overwrite").parquet(f"{places}/batch_no={number}")
+        judged.where("reject_reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejects}/batch_no={number}")
+        judged.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_block_guard(stream: DataFrame, waits: tuple[int, ...] = (60, 300, 900), free: int = 1) -> DataFrame:
+    """block_streaks as a stateful operator: worker, seq, streak, wait_s, stop for a stream (worker long, seq long, blocked, raised).
+
+    The state of a worker is its streak. Within a batch rows go by seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak = state.get[0] if state.exists else 0
+        rows, out = pd.concat(list(batches)).sort_values("seq"), []
+        for row in rows.itertuples():
+            streak = streak + 1 if row.blocked else streak if row.raised else 0
+            at = streak - free - 1
+            out.append((key[0], row.seq, streak, waits[at] if row.blocked and 0 <= at < len(waits) else None, bool(row.blocked and at >= len(waits))))
+        state.update((streak,))
+        yield pd.DataFrame(out, columns=["worker", "seq", "streak", "wait_s", "stop"]).astype({"wait_s": "Int64"})
+
+    return stream.groupBy("worker").applyInPandasWithState(step, "worker long, seq long, streak long, wait_s long, stop boolean", "streak long", "append", GroupStateTimeout.NoTimeout)
