@@ -130,23 +130,37 @@ def name_similarity(df: DataFrame, left: str, right: str, to: str = "similarity"
     return rows.withColumn(to, similarity(F.col("a_"), F.col("b_"), F.col("wa_"), F.col("wb_"), F.col("r_"))).drop("a_", "b_", "wa_", "wb_", "r_")
 
 
+def word_blocks(names: DataFrame) -> DataFrame:
+    """side, normal, words, prefix, word: the words of distinct names (side, normal), rarest first, without those that can't decide.
+
+    A score that counts needs one shared word, and two where a name has four or more: F1 is at least 7/15, or one name
+    holds the other and that has two words. So of four or more words the most frequent one is left out: names that share
+    it share another. Words as common as "restaurant" thus don't pair all the names that have them.
+    """
+    rows = names.select("side", "normal").distinct().withColumn("words", F.array_distinct(words_of(F.col("normal"))))
+    each = rows.select("side", "normal", "words", F.explode("words").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("often"))
+    ordered = each.join(often, "word").groupBy("side", "normal").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "word")))["word"].alias("prefix"))
+    kept = ordered.withColumn("prefix", F.when(F.size("prefix") >= 4, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix")))
+    return kept.withColumn("word", F.explode("prefix"))
+
+
 def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
     """mention_id, identity, score: mentions (mention_id, name) matched to places (identity, title) by name alone.
 
-    A score that counts needs a shared word, so distinct names meet distinct titles in an equi-join on words; each pair is
-    kept at its first shared word. Pairs whose words alone rule the score out never reach the ratio. Copies of names and
-    titles are expanded at the end only.
+    Distinct names meet distinct titles in an equi-join on word_blocks; each pair is kept at its first shared word. Pairs
+    whose words and lengths rule the score out never reach the ratio. Copies of names and titles are expanded at the end.
     """
     normal = lambda df, c: df.withColumn("normal", match_text(F.col(c))).where("normal <> ''")
     named, titled = normal(mentions, "name"), normal(places, "title")
-    distinct = lambda df, c, w: df.select(F.col("normal").alias(c)).distinct().withColumn(w, F.array_distinct(words_of(F.col(c))))
-    left = distinct(named, "a", "wa").withColumn("word", F.explode("wa"))
-    right = distinct(titled, "b", "wb").withColumn("word", F.explode("wb"))
-    met = left.join(right, "word").where(F.col("word") == F.get(F.array_intersect("wa", "wb"), F.lit(0)))
-    least = F.least(F.size("wa"), F.size("wb"))
-    subset = (least >= 2) & (F.size(F.array_intersect("wa", "wb")) == least)
-    able = met.where(subset | (0.6 * token_f1(F.col("wa"), F.col("wb")) + 0.4 >= MIN_SCORE))
-    scored = able.withColumn("score", similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), ratio("a", "b"))).where(F.col("score") >= MIN_SCORE)
+    blocks = word_blocks(named.select(F.lit("a").alias("side"), "normal").unionByName(titled.select(F.lit("b").alias("side"), "normal")))
+    side = lambda s: blocks.where(F.col("side") == s).select("word", F.col("normal").alias(s), F.col("words").alias(f"w{s}"), F.col("prefix").alias(f"p{s}"))
+    met = side("a").join(side("b"), "word").where(F.col("word") == F.get(F.array_intersect("pa", "pb"), F.lit(0)))
+    # the ratio is at most what the lengths allow
+    most = 2.0 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
+    score = lambda alike: similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), alike)
+    able = met.where(score(most) >= MIN_SCORE)
+    scored = able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= MIN_SCORE)
     # of a title's places two decide: an equal score for another identity is ambiguous
     owners = titled.groupBy("normal").agg(F.min("identity").alias("first"), F.max("identity").alias("last")).select(F.col("normal").alias("b"), F.array_distinct(F.array("first", "last")).alias("owners"))
     best = scored.join(owners, "b").select("a", "score", F.explode("owners").alias("identity")).withColumn("pos", F.col("identity"))
