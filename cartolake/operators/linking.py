@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from cartolake.operators.mentions import MIN_SCORE, confidence, resolve_matches
 
 MIN_CONFIDENCE = 0.72
-NAME_WEIGHT = 0.86
 #: Accented Latin letters by their bare form.
 BARE = {
     "a": "àáạảãâầấậẩẫăằắặẳẵäåā", "e": "èéẹẻẽêềếệểễëē", "i": "ìíịỉĩîïī", "o": "òóọỏõôồốộổỗơờớợởỡöō",
