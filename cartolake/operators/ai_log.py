@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def redact_payload(df: DataFrame, column: str) -> DataFrame:
     """Values of 512 base64 characters or more, and inline data URLs, become notes of their length."""
     c = F.col(column)
-    whole = F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9+/=\s]{512,}$")), F.concat(F.lit("<base64 "), F.length(c).cast("string"), F.lit(" chars>")))
-    url = F.regexp_extract(c, r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]{64,}", 0)
-    return df.withColumn(column, F.coalesce(whole, F.when(url != "", F.replace(c, url, F.concat(F.lit("<data-url "), F.length(url).cast("string"), F.lit(" chars>")))).otherwise(c)))
+    whole = F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9+/=]{512,}$")), F.concat(F.lit("<base64 "), F.length(c).cast("string"), F.lit(" chars>")))
+    url = r"data:[\w.+/-]+;base64,[A-Za-z0-9+/=]{64,}"
+    notes = F.transform(F.regexp_extract_all(c, F.lit(url), F.lit(0)), lambda x: F.concat(F.lit("<data-url "), F.length(x).cast("string"), F.lit(" chars>")))
+    pieces = F.zip_with(F.split(c, url, -1), notes, lambda text, note: F.concat(text, F.coalesce(note, F.lit(""))))
+    return df.withColumn(column, F.coalesce(whole, F.array_join(pieces, "")))
 
 
 def usage_tokens(df: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.text import blank_to_null
 
-LEGACY_GROUPS = ("ENTERTAINMENT", "SHOPPING", "CULTURE", "NATURE")
+#: Fixed values.
+LEGACY_GROUPS = ("CULTURE_AND_HERITAGE", "NATURE_AND_OUTDOORS", "SHOPPING_AND_MARKET", "OTHER")
 
 
 def normalize_category(column: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolake.functions.text import first_truthy
+
 MIN_SCORE, MIN_GAP = 0.68, 0.08
 
 
@@ -29,9 +31,10 @@ def unique_refs(mentions: DataFrame) -> DataFrame:
 
 
 def map_query(df: DataFrame, hints: list[str]) -> DataFrame:
-    """Adds map_query: the query with each hint that it doesn't hold yet, ignoring case, in order."""
-    add = lambda acc, h: F.when((F.coalesce(F.trim(h), F.lit("")) == "") | F.contains(F.lower(acc), F.lower(F.trim(h))), acc).otherwise(F.concat_ws(", ", acc, F.trim(h)))
-    return df.withColumn("map_query", F.aggregate(F.array(*hints), F.trim("query"), add))
+    """Adds map_query: the query (or, if blank, the name) with each hint that it doesn't hold yet, ignoring case, in order. Without both it is empty."""
+    add = lambda acc, h: F.when((F.coalesce(F.trim(h), F.lit("")) == "") | F.contains(F.lower(acc), F.lower(F.trim(h))), acc).otherwise(F.concat_ws(" ", acc, F.trim(h)))
+    first = first_truthy(*(F.col(c) for c in ("query", "name") if c in df.columns))
+    return df.withColumn("map_query", F.when(first.isNull(), "").otherwise(F.aggregate(F.array(*hints), first, add)))
 
 
 def resolve_matches(pairs: DataFrame) -> DataFrame:
@@ -45,13 +48,20 @@ def resolve_matches(pairs: DataFrame) -> DataFrame:
 
 
 def frame_grid(videos: DataFrame, interval: int, most: int) -> DataFrame:
-    """video_id, frame_no, at_s: one frame a second in, then every interval, while they last."""
+    """video_id, frame_no, at_s: one frame a second in, then every interval, while they last; an unknown duration gives all.
+
+    A frame at the very end moves 0.05 s forward; a video of a second or less has one frame, in its middle.
+    """
     last = F.greatest(F.lit(0), F.least(F.lit(most - 1), F.floor((F.col("duration") - 1) / interval))).cast("int")
     rows = videos.select("video_id", "duration", F.explode(F.sequence(F.lit(0), F.when(F.col("duration") <= 1, 0).otherwise(last))).alias("frame_no"))
-    return rows.withColumn("at_s", F.when(F.col("duration") <= 1, F.col("duration") / 2).otherwise((1 + F.col("frame_no") * interval).cast("double")))
+    at = (1 + F.col("frame_no") * interval).cast("double")
+    at = F.when(at == F.col("duration"), F.greatest(F.lit(1.0), at - 0.05)).otherwise(at)
+    return rows.withColumn("at_s", F.when(F.col("duration") <= 1, F.greatest(F.lit(0.0), F.col("duration") / 2)).otherwise(at))
 
 
 def evidence_frame(evidence: DataFrame) -> DataFrame:
-    """Per mention the first frame that supports the identity, else the first one."""
+    """Per mention the first frame or slide that supports the identity, else the first one (source, frame_index, frame_count, supports, ev_no)."""
+    source = F.regexp_replace(F.lower(F.trim("source")), "^[^a-z0-9]+|[^a-z0-9]+$", "")
     order = Window.partitionBy("mention_id").orderBy(F.desc("supports"), "ev_no")
-    return evidence.where("frame_index >= 1 AND frame_index <= frame_count").withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("mention_id", "frame_index")
+    own = evidence.where(source.isin("frame", "slide")).where("frame_index >= 1 AND frame_index <= frame_count")
+    return own.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select("mention_id", "frame_index")

@@ -50,11 +50,15 @@ def job_latest_state(events: DataFrame) -> DataFrame:
 
 
 def job_retention(jobs: DataFrame, now: str, ttl_hours: int, most: int) -> DataFrame:
-    """jobs with kept: active ones, and the newest finished ones that are young enough."""
-    active = F.col("status").isin("QUEUED", "RUNNING")
-    young = F.coalesce("finished_at", F.lit(now).cast("timestamp")) >= F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(ttl_hours))
-    rank = F.row_number().over(Window.partitionBy("kind", active, young).orderBy(F.desc("finished_at"), "job_id"))
-    return jobs.withColumn("kept", active | (young & (rank <= most)))
+    """jobs with kept: active ones, and the `most` newest of the finished ones that are young enough.
+
+    A job's time is finished_at, else created_at, else now. The newest are found as a top-k, whose size is a parameter.
+    """
+    at = F.coalesce("finished_at", "created_at", F.lit(now).cast("timestamp"))
+    active = F.coalesce(F.lower("status").isin("pending", "running"), F.lit(False))
+    young = at >= F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(ttl_hours))
+    newest = jobs.where(~active & young).orderBy(at.desc(), F.desc("job_id")).limit(most).select("job_id", F.lit(True).alias("newest_"))
+    return jobs.join(newest, "job_id", "left").withColumn("kept", active | F.coalesce("newest_", F.lit(False))).drop("newest_")
 
 
 def idempotent_requests(jobs: DataFrame) -> DataFrame:

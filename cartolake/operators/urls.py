@@ -55,11 +55,12 @@ def parse_place_identity(original: Column, resolved: Column) -> Column:
 
 
 def force_language(df: DataFrame, url: str, language: str = "en") -> DataFrame:
-    """Google URLs with hl=language as their only hl parameter; others stay."""
+    """Google URLs with hl=language as their only hl parameter, before any fragment; others stay."""
     c = F.col(url)
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?i)([?&])hl=[^&#]*&?", "$1"), r"[?&]$", "")
-    added = F.concat(bare, F.when(F.contains(bare, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit(f"hl={language}"))
-    return df.withColumn(url, F.when(F.rlike(c, F.lit(r"(?i)^https?://([a-z0-9-]+\.)*(google\.[a-z.]+|goo\.gl)/")), added).otherwise(c))
+    fragment = F.regexp_extract(c, r"#.*$", 0)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"#.*$", ""), r"(?i)([?&])hl=[^&]*&?", "$1"), r"[?&]$", "")
+    added = F.concat(bare, F.when(F.contains(bare, F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit(f"hl={language}"), fragment)
+    return df.withColumn(url, F.when(F.rlike(c, F.lit(r"(?i)^https?://([a-z0-9-]+\.)*(google\.[a-z.]+|maps\.app\.goo\.gl)([/?#]|$)")), added).otherwise(c))
 
 
 def decode_title(url: Column) -> Column:
@@ -77,12 +78,12 @@ def find_broken_titles(places: DataFrame) -> DataFrame:
 def upscale_image(url: Column, scale: int = 10) -> Column:
     """Width, height and size parameters times a power of ten."""
     zeros = "0" * (len(str(scale)) - 1)
-    return F.regexp_replace(url, r"([=-][whs])([0-9]+)", f"$1$2{zeros}")
+    return F.regexp_replace(url, r"(=w|-h|=s)([0-9]+)", f"$1$2{zeros}")
 
 
 def dedupe_photos(photos: DataFrame) -> DataFrame:
-    """Per place the photos of the image host, without avatars, the first of each base (text before =)."""
-    own = photos.where(F.rlike("url", F.lit(r"^https://lh[0-9]+\.googleusercontent\.com/")) & ~F.rlike("url", F.lit(r"/a-?/|=m[0-9]+")))
+    """Per place the photos of the image host, without avatars and variants of a video, the first of each base (text before =)."""
+    own = photos.where(F.rlike("url", F.lit(r"^https://lh[0-9]+\.googleusercontent\.com/")) & ~F.rlike("url", F.lit(r"/a-?/|=(m[0-9]+|mm,[^=]*|[0-9]+)$")))
     base = F.split_part(F.col("url"), F.lit("="), F.lit(1))
     return own.withColumn("n_", F.row_number().over(Window.partitionBy("place_id", base).orderBy("pos"))).where("n_ = 1").drop("n_")
 

@@ -57,7 +57,7 @@ def test_a_raised_row_leaves_the_streak(spark):
 
 def test_query_text_takes_new_hints_only(spark):
     row = spark.createDataFrame([("Pho Hoa Hanoi", "hanoi", "Vietnam", None)], "query string, a string, b string, c string")
-    assert mentions.map_query(row, ["a", "b", "c"]).first().map_query == "Pho Hoa Hanoi, Vietnam"
+    assert mentions.map_query(row, ["a", "b", "c"]).first().map_query == "Pho Hoa Hanoi Vietnam"
 
 
 def test_stream_equals_batch(spark, tmp_path):
