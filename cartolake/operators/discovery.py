@@ -15,13 +15,36 @@ def select_regions(regions: DataFrame, codes: list[str] | None = None) -> DataFr
     return own.withColumn("sequence_no", F.row_number().over(Window.orderBy(F.desc("priority"), "name")))
 
 
-def expand_region_queries(regions: DataFrame, templates: DataFrame, most: int) -> DataFrame:
-    """region code, query_no, query: every template (pos, template) filled for every region, repeats dropped, `most` kept."""
-    named = F.replace("template", F.lit("{region}"), F.col("name"))
-    query = F.when(F.contains("template", F.lit("{region}")), named).otherwise(F.concat_ws(", ", named, "name"))
-    filled = regions.crossJoin(F.broadcast(templates)).select("code", "pos", query.alias("query"))  # two dimensions
-    first = filled.groupBy("code", "query").agg(F.min("pos").alias("pos"))
-    return first.withColumn("query_no", F.row_number().over(Window.partitionBy("code").orderBy("pos"))).where(F.col("query_no") <= most).drop("pos")
+def expand_region_queries(
+    regions: DataFrame, templates: DataFrame, most: int, foods: DataFrame | None = None, mode: str = "APPEND", tourist_areas: bool = True, specialties: bool = True
+) -> DataFrame:
+    """region code, query_no, query: every template filled for every region, repeats dropped, the first `most` kept.
+
+    regions: code, name and perhaps tourist_areas. templates: pos, template and perhaps kind (custom, tourist, province or
+    specialty, in this order; province if there is none). foods: code, pos, food. A template with {area} or {food} is filled
+    with each of the region's; one that names neither region nor area gets the region's name at its end. REPLACE keeps
+    the custom ones only. These are dimensions of a few rows.
+    """
+    kinds = ["custom"] if mode.upper() == "REPLACE" else ["custom", *["tourist"] * tourist_areas, "province", *["specialty"] * specialties]
+    none = F.array().cast("array<string>")
+    own = regions.select("code", "name", (F.coalesce("tourist_areas", none) if "tourist_areas" in regions.columns else none).alias("areas"))
+    if foods is not None:
+        dishes = foods.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("pos", "food")))["food"].alias("dishes"))
+        own = own.join(dishes, "code", "left")
+    own = own.withColumn("dishes", F.coalesce("dishes", none) if foods is not None else none)
+    text = F.trim(F.regexp_replace("template", r"\s+", " "))
+    kind = F.col("kind") if "kind" in templates.columns else F.lit("province")
+    given = templates.select(kind.alias("kind"), "pos", text.alias("template")).where(F.col("template") != "")
+    each = own.select("*", F.posexplode(F.array(*map(F.lit, kinds))).alias("kind_no", "kind")).join(given, "kind")
+    values = lambda mark, column: F.when(F.contains("template", F.lit(mark)), F.col(column)).otherwise(F.array(F.lit("")))
+    each = each.select("*", F.posexplode(values("{area}", "areas")).alias("area_no", "area")).select("*", F.posexplode(values("{food}", "dishes")).alias("food_no", "food"))
+    filled = F.col("template")
+    for mark, value in (("{region}", "name"), ("{area}", "area"), ("{food}", "food")):
+        filled = F.replace(filled, F.lit(mark), F.col(value))
+    filled = F.btrim(filled, F.lit(" ,"))
+    query = F.when(F.rlike("template", F.lit(r"\{(region|area)\}")), filled).otherwise(F.concat_ws(", ", filled, "name"))
+    first = each.select("code", query.alias("query"), F.struct("kind_no", "pos", "area_no", "food_no").alias("at")).where("query <> ''").groupBy("code", "query").agg(F.min("at").alias("at"))
+    return first.withColumn("query_no", F.row_number().over(Window.partitionBy("code").orderBy("at"))).where(F.col("query_no") <= most).drop("at")
 
 
 def rank_hits(hits: DataFrame, limit: int) -> DataFrame:

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 from pyspark.sql.window import Window
 
 from cartolake.operators.mentions import MIN_SCORE, confidence, resolve_matches
@@ -129,6 +129,32 @@ def name_similarity(df: DataFrame, left: str, right: str, to: str = "similarity"
     return rows.withColumn(to, similarity(F.col("a_"), F.col("b_"), F.col("wa_"), F.col("wb_"), F.col("r_"))).drop("a_", "b_", "wa_", "wb_", "r_")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def ratios(texts: pd.Series, other: pd.Series) -> pd.Series:
+    return pd.Series([[SequenceMatcher(None, x, y).ratio() for x in xs] for xs, y in zip(texts, other, strict=True)], dtype=object)
+
+
+def best_similarity(texts: Column, other: Column) -> Column:
+    """Largest similarity of an array of normal forms to another normal form; 0 for an empty array."""
+    words = lambda x: F.array_distinct(words_of(x))
+    each = F.zip_with(texts, ratios(texts, other), lambda x, alike: similarity(x, other, words(x), words(other), alike))
+    return F.coalesce(F.array_max(each), F.lit(0.0))
+
+
+def match_score(pairs: DataFrame) -> DataFrame:
+    """pairs (name, aliases, hints; title, address, category) with score: of the best name against the title, and with any
+    hint also, at 0.14, of the best hint against address, category and title. Null and blank names and hints don't count."""
+    forms = lambda c: F.transform(F.filter(c, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), match_text)
+    none = F.array().cast("array<string>")
+    rows = pairs.withColumns({
+        "names_": forms(F.concat(F.array("name"), F.coalesce("aliases", none))), "hints_": forms(F.coalesce("hints", none)),
+        "title_": match_text(F.col("title")), "place_": match_text(F.concat_ws(" ", "address", "category", "title")),
+    })
+    rows = rows.withColumns({"by_name_": best_similarity(F.col("names_"), F.col("title_")), "by_hint_": best_similarity(F.col("hints_"), F.col("place_"))})
+    whole = F.least(F.lit(1.0), 0.86 * F.col("by_name_") + 0.14 * F.col("by_hint_"))
+    return rows.withColumn("score", F.when(F.size("hints_") > 0, whole).otherwise(F.col("by_name_"))).drop("names_", "hints_", "title_", "place_", "by_name_", "by_hint_")
+
+
 def word_blocks(names: DataFrame) -> DataFrame:
     """side, normal, words, prefix, word: the words of distinct names (side, normal), rarest first, without those that can't decide.
 
