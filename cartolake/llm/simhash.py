@@ -25,6 +25,8 @@ from .common import encoded, materialize, texts_of
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
+#: Links of one node that a task meets at once, and the most nodes with more links than that.
+SLICE_LINKS, HOT_NODES = 256, 50_000
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -99,32 +101,52 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node reachable, for every node of edges (a, b). Nodes without edges have no row.
+    """node, root: the smallest node reachable, for every node of edges (a, b). Roots and nodes without edges have no row.
 
     Large-star and small-star rounds: every node links its larger neighbours to its smallest one, then its smaller
-    neighbours to the smallest, until the edges are stars. The rounds grow with the logarithm of a component's size.
+    neighbours to the smallest, until the edges are stars. The rounds grow with the logarithm of a component's size;
+    more than max_rounds raise an error. A node with many links is met in slices (see least_neighbour).
     """
     edges = materialize(edges.select("a", "b").where("a <> b"), "links")
-    if edges.isEmpty():
+    count = edges.count()
+    if not count:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+    def star(pairs: DataFrame, larger: bool, most: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        hung = both.join(least, "a").where(F.col("b") > F.col("a") if larger else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least, met = least_neighbour(both, most)
+        hung = met.where(F.col("b") > F.col("a") if larger else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not larger:
             hung = hung.unionByName(least.select("a", F.col("m").alias("b")))
         return hung.where("a <> b").distinct()
 
     seen = None
     for _ in range(max_rounds):
-        edges = materialize(star(star(edges, True), False), "stars")
+        # a star has no more links than the round's edges, so twice these are all that least_neighbour meets
+        most = max(SLICE_LINKS, 1 + 2 * count // HOT_NODES)
+        edges = materialize(star(star(edges, True, most), False, most), "stars")
         # stars in which every link goes to its root don't change any more
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
-        seen = now
-    return edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+            return edges.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+        seen, count = now, now["n"]
+    raise RuntimeError(f"links did not become stars in {max_rounds} rounds")
+
+
+def least_neighbour(both: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, m, ...: each node's smallest neighbour or itself; a, b, m: its links with it) for links (a, b).
+
+    A node with more than `most` links is cut into slices by its neighbour's hash, so that no task meets all links of one
+    node. The nodes that are cut are broadcast: of n links there are n / most at most, and components chooses most so
+    that these are HOT_NODES at most.
+    """
+    slices = F.ceil(F.col("links") / most).cast("int")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("m"), slices.alias("slices"))
+    hot = F.broadcast(least.where("slices > 1").select("a", "slices"))
+    one = F.coalesce("slices", F.lit(1))
+    cut = both.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("slice"))
+    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return least, cut.join(copies, ["a", "slice"]).select("a", "b", "m")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -109,6 +109,28 @@ def test_links_lose_nothing(spark):
     assert found == truth
 
 
+def test_components_with_hot_nodes(spark):
+    rng = random.Random(5)
+    pairs = [(700, k) for k in range(1000, 2500)] + [(k, k + 1) for k in range(5000, 5040)] + [(2000, 3), (4000, 4000), (9, 8), (8, 9), (9, 8)]
+    pairs += [(rng.randrange(6000, 6300), rng.randrange(6000, 6300)) for _ in range(250)]
+    root = {k: k for p in pairs for k in p}
+    for _ in range(400):
+        changed = False
+        for a, b in pairs:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+        if not changed:
+            break
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {k for a, b in pairs if a != b for k in (a, b)}
+    assert found == {k: root[k] for k in linked if root[k] != k}
+    both = spark.createDataFrame([(1, k) for k in range(2, 3000)] + [(5000, 4)], "a long, b long")
+    least, met = simhash.least_neighbour(both, 100)
+    assert sorted(tuple(r) for r in met.collect()) == [(1, k, 1) for k in range(2, 3000)] + [(5000, 4, 4)]
+    assert {r.a: r.slices for r in least.collect()} == {1: 30, 5000: 1}
+
+
 def test_lm_score(docs, empty, texts):
     toks = [(t or "").encode().lower().split() for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
