@@ -49,15 +49,17 @@ def fingerprint(text: bytes) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row. Texts of null or without words have fingerprint 0."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, fp (the fingerprint as a signed long) for every row. Texts of null or without words have fingerprint 0."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, "text")
+    schema = own.drop("text").schema.add("fp", "long")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(encoded(t)) for (t,) in texts_of([batch], "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carried)), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", *carried, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, fp long")
+    return own.mapInArrow(of, schema)
 
 
 def syndrome(half: Column) -> Column:
@@ -149,6 +151,20 @@ def least_neighbour(both: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return least, cut.join(copies, ["a", "slice"]).select("a", "b", "m")
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, distinct, and others) with root, the smallest fingerprint of its component."""
+    roots = components(links(nodes))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, number: str) -> DataFrame:
+    """number, a column that differs in every row of docs, of one row of each component: the one with the smallest
+    (doc_id, number), null doc_ids last. doc_ids may repeat, in one component or in several."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", number)
+    nodes = materialize(fingerprints(docs, number).groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    return rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select(f"least.{number}")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text); other columns are dropped.
 
@@ -157,8 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = rooted(nodes)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = member.join(named, "root").select("fp", "component_id")
     return rows.join(labels, "fp")

@@ -191,17 +191,18 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * x.mean() / scale)
 
 
-def statistics(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (text, others) with the column statistic in place of text."""
+def statistics(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+    """rows (text, others) with the column statistic in place of text, or beside it."""
     others = [c for c in rows.columns if c not in ("text", "statistic")]
-    schema = rows.select(*others).schema.add("statistic", "double")
+    kept = [*others, "text"] if with_text else others
+    schema = rows.select(*kept).schema.add("statistic", "double")
     shared = rows.sparkSession.sparkContext.broadcast(model)  # TOKENS tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             found = [own.statistic(tokens(t)) for (t,) in texts_of([batch], "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(found, pa.float64())], [*others, "statistic"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(found, pa.float64())], [*kept, "statistic"])
 
     return rows.select(*others, "text").mapInArrow(run, schema)
 

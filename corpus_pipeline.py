@@ -17,20 +17,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows among docs; documents predicted toxic go."""
+    """Learns from the labelled rows among docs; rows predicted toxic go, each by its own text, whatever its doc_id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, ~toxicity.held_out())
     if model is None:
         return docs
-    scored = toxicity.statistics(docs, model)
-    keep = scored.where(1 / (1 + F.exp(-(model.slope * F.col("statistic") + model.offset))) < toxicity.THRESHOLD)
-    return docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    scored = toxicity.statistics(docs, model, with_text=True)
+    keep = 1 / (1 + F.exp(-(model.slope * F.col("statistic") + model.offset))) < toxicity.THRESHOLD
+    return scored.where(keep).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each group stays: the one with the smallest doc_id, then row number; null doc_ids come last.
+
+    The row numbers are written with the rows, so that the choice and the rows kept have the same ones.
+    """
+    numbered = materialize(docs.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+    return numbered.join(simhash.representatives(numbered, "row_number"), "row_number", "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,54 @@
+"""The pipeline's row-wise stages with null, repeated and mixed doc_ids."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, n_chars long"
+LABELS = "doc_id long, toxic int"
+
+
+def texts(n, seed):
+    rng = random.Random(seed)
+    return [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(n)]
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """(folder with labels, rows that train both classes, a toxic text)."""
+    folder = tmp_path_factory.mktemp("labels")
+    insults = "you utter idiot moron stupid fool "
+    rows = [(1000 + i, insults * 4 + t if i % 2 else t) for i, t in enumerate(texts(400, 3))]
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], LABELS).write.parquet(f"{folder}/labels.parquet")
+    return str(folder), rows, insults * 8 + texts(1, 4)[0]
+
+
+def test_toxicity_stage_judges_each_row(spark, labelled):
+    folder, training, toxic = labelled
+    a, b, c, d = texts(4, 5)
+    rows = [*training, (None, a), (None, b), (None, toxic), (7, c), (7, toxic + " x"), (8, d), (8, d), (9, None)]
+    out = corpus_pipeline.toxic_documents(spark, docs_of(spark, rows), folder)
+    kept = sorted(((r.doc_id, r.text) for r in out.collect() if r.doc_id is None or r.doc_id < 1000), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, c), (8, d), (8, d), (9, None)], key=str)
+    assert out.columns == ["doc_id", "text", "n_chars"]
+
+
+def test_near_duplicates_stage_keeps_one_of_each_group(spark):
+    a, b, c, d, e, f = texts(6, 6)
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, d), (2, d), (3, c), (None, c), (1, e), (1, e), (5, f), (None, f)]
+    out = corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), "")
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (1, c), (1, d), (1, e), (5, f)], key=str)
+
+
+def test_near_duplicates_stage_under_one_doc_id(spark):
+    own = texts(30, 7)
+    for doc_id in (None, 4):
+        out = corpus_pipeline.near_duplicates(spark, docs_of(spark, [(doc_id, t) for t in own + own[:10]]), "")
+        assert sorted(r.text for r in out.collect()) == sorted(own)
