@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 from pyspark.sql.window import Window
 
-from cartolake.operators.mentions import MIN_SCORE, confidence, resolve_matches
+from cartolake.operators.mentions import MIN_GAP, MIN_SCORE, confidence, resolve_matches
 
 MIN_CONFIDENCE = 0.72
+#: Least score of a runner-up that can make a match ambiguous, and a little for the rounding of differences.
+LEAST_SCORE = MIN_SCORE - MIN_GAP - 1e-9
 #: Accented Latin letters by their bare form.
 BARE = {
     "a": "àáạảãâầấậẩẫăằắặẳẵäåā", "e": "èéẹẻẽêềếệểễëē", "i": "ìíịỉĩîïī", "o": "òóọỏõôồốộổỗơờớợởỡöō",
@@ -156,17 +158,22 @@ def match_score(pairs: DataFrame) -> DataFrame:
 
 
 def word_blocks(names: DataFrame) -> DataFrame:
-    """side, normal, words, prefix, word: the words of distinct names (side, normal), rarest first, without those that can't decide.
+    """side, normal, words, prefix, word: the words of distinct names (side: a or b, normal), rarest first, without those that can't decide.
 
-    A score that counts needs one shared word, and two where a name has four or more: F1 is at least 7/15, or one name
-    holds the other and that has two words. So of four or more words the most frequent one is left out: names that share
-    it share another. Words as common as "restaurant" thus don't pair all the names that have them.
+    A score that counts is LEAST_SCORE (0.60) or more: a runner-up's. Without a shared word it is 0.55 at most. With one
+    shared word of n + m words it is 1.2 / (n + m) + 0.4 of the ratio, so below 0.60 from n + m = 6 on (names that aren't
+    equal have a ratio below 1). So of four or more words the most frequent one is left out: names that share it share
+    another, or are a name of four words and one of that word alone. These two meet by a key of their own (word with the
+    side of the longer one). Words as common as "restaurant" thus don't pair all the names that have them.
     """
     rows = names.select("side", "normal").distinct().withColumn("words", F.array_distinct(words_of(F.col("normal"))))
     each = rows.select("side", "normal", "words", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("often"))
     ordered = each.join(often, "word").groupBy("side", "normal").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "word")))["word"].alias("prefix"))
-    kept = ordered.withColumn("prefix", F.when(F.size("prefix") >= 4, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix")))
+    alone = lambda side: F.array(F.concat(side, F.lit("="), F.get("prefix", F.size("prefix") - 1)))
+    rare = F.when(F.size("prefix") >= 4, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix"))
+    own = F.when(F.size("prefix") == 4, alone(F.col("side"))).when(F.size("prefix") == 1, alone(F.translate("side", "ab", "ba"))).otherwise(F.array().cast("array<string>"))
+    kept = ordered.withColumn("prefix", F.concat(rare, own))
     return kept.withColumn("word", F.explode("prefix"))
 
 
@@ -174,7 +181,7 @@ def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
     """mention_id, identity, score: mentions (mention_id, name) matched to places (identity, title) by name alone.
 
     Distinct names meet distinct titles in an equi-join on word_blocks; each pair is kept at its first shared word. Pairs
-    whose words and lengths rule the score out never reach the ratio. Copies of names and titles are expanded at the end.
+    whose words and lengths rule the score out, as a match and as its runner-up, never reach the ratio. Copies of names and titles are expanded at the end.
     """
     normal = lambda df, c: df.withColumn("normal", match_text(F.col(c))).where("normal <> ''")
     named, titled = normal(mentions, "name"), normal(places, "title")
@@ -184,8 +191,8 @@ def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
     # the ratio is at most what the lengths allow
     most = 2.0 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
     score = lambda alike: similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), alike)
-    able = met.where(score(most) >= MIN_SCORE)
-    scored = able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= MIN_SCORE)
+    able = met.where(score(most) >= LEAST_SCORE)
+    scored = able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= LEAST_SCORE)
     # of a title's places two decide: an equal score for another identity is ambiguous
     owners = titled.groupBy("normal").agg(F.min("identity").alias("first"), F.max("identity").alias("last")).select(F.col("normal").alias("b"), F.array_distinct(F.array("first", "last")).alias("owners"))
     best = scored.join(owners, "b").select("a", "score", F.explode("owners").alias("identity")).withColumn("pos", F.col("identity"))
