@@ -141,7 +141,7 @@ def test_lm_score(docs, empty, texts):
     assert len(rows) == len(texts)
     for r in rows:
         t = toks[r.doc_id]
-        base = sum(math.log10((seen[w] + 1) / (n + v)) for w in t) + math.log10((ends + 1) / (n + v))
+        base = sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in t) + math.log10((ends + 1) / (n + v + 1))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.held_out == held[r.doc_id] and r.train_tokens == n
         assert r.n_tokens == len(t) + 1 and r.n_known == sum(seen[w] > 0 for w in t) + 1 and r.score < 0
     assert lm_score.score_documents(empty).collect() == []
