@@ -52,3 +52,10 @@ def texts_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple
 
 def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
+
+
+def hash_share(h: Column, wanted: int, rows: int) -> Column:
+    """Whether a signed 64-bit hash falls into the share wanted / rows of all hashes: about that many rows, at any size."""
+    if wanted >= rows:
+        return F.lit(True)
+    return h < F.lit((1 << 64) * wanted // rows - (1 << 63))

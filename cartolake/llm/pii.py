@@ -1,18 +1,22 @@
 """Personal data by a semi-Markov conditional random field.
 
-Candidate segments of a line are scored by features of the whole span: shape, digits, checksum, separators, what stands
-before and after. A dynamic program over positions chooses boundaries and types jointly; entities are bounded in length,
-everything else is a run of outside characters. Weights maximise the conditional likelihood of segmentations that the
-base patterns give on a sample, with variants of them that the patterns miss (a number without its plus sign, an address
-that spells out its at and dot), so that the field finds those too. Base spans stay; the field adds what it finds apart
-from them. Spans are code points [start, end).
+Candidate segments are scored by features of the whole span: shape, digits, checksum, separators, what stands before and
+after; two entities close to each other also score their kinds as a pair. A dynamic program over candidates chooses
+boundaries and types jointly; everything else is a run of outside characters. Numbers are candidates from every start of a
+digit group to every end of one, up to MAX_DIGITS digits in MAX_GROUPS groups; addresses of any length, with every number
+of labels in the host up to MAX_LABELS. Weights maximise the conditional likelihood of segmentations that the base
+patterns give on a sample, with variants of them that the patterns miss (a number without its plus sign or next to other
+numbers, an address that spells out its at and dot), so that the field finds those too. Base spans stay; the field adds
+what it finds apart from them. Spans are code points [start, end). All work is linear in the text, or nearly so.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import hash_share, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: The base patterns, written so that a failing start is not tried again inside the same run of characters.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-NEEDS = {"email": "@", "phone": "+"}
-#: Sample of rows with candidates that the field is fitted on: a bound of the fit alone.
-TRAIN_ROWS = 1000
-MAX_ENTITY = 64
-WINDOW = 48
+NEEDS = {"ip": ".", "phone": "+"}
+#: Windows that the field is fitted on at most, by hash, and the longest of them: a bound of the fit alone.
+TRAIN_WINDOWS, WINDOW_CHARS = 2000, 400
+#: Code points around a window of the fit, and up to which two entities are a pair.
+WINDOW, NEAR = 48, 16
+MAX_DIGITS, MAX_GROUPS, MAX_LABELS = 19, 6, 8
 
 
 def luhn(digits: str) -> bool:
@@ -50,69 +57,112 @@ def digits_of(span: str) -> str:
 
 def counts(kind: str, span: str) -> bool:
     if kind == "ip":
-        return all(int(x) <= 255 for x in span.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in span.split("."))
     digits = digits_of(span)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 8 <= len(digits) <= 15
+    return 8 <= len(digits) <= 15
+
+
+def local_start(text: str, at: int, least: int) -> int:
+    """Where the run of characters of a local part that ends at `at` begins, not before least."""
+    first = at
+    while first > least:  # in steps, so that a long run costs its own length
+        step = max(least, first - 64)
+        run = LOCAL.fullmatch(text, step, first)
+        if run:
+            first = step
+            continue
+        while LOCAL.fullmatch(text, first - 1, first) and first > step:
+            first -= 1
+        break
+    return first
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, from one @ to the next."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        start = local_start(text, at, done)
+        host = HOST.match(text, at + 1) if start < at else None
+        if host:
+            done = host.end()
+            yield start, done
+        at = text.find("@", max(at + 1, done))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(index of the kind, start, end), by kind, then start."""
-    return [
-        (k, m.start(), m.end()) for k, kind in enumerate(KINDS) if kind not in NEEDS or NEEDS[kind] in text for m in BASE[kind].finditer(text) if counts(kind, m.group())
-    ]
-
-
-#: Where an entity may begin, by kind; each is wider than the base pattern.
-SEEDS = {
-    0: re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?(?:\[at\]|\(at\))\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?|\x20dot\x20)[A-Za-z0-9-]+)+", re.I),
-    1: BASE["ip"],
-    2: re.compile(r"[0-9](?:[\x20.-]?[0-9]){12,18}"),
-    3: re.compile(r"[+(]?[0-9][\x20().0-9/-]{5,22}[0-9]"),
-}
-TRIGGER = re.compile(r"@|[0-9][\x20().0-9/-]{5,}[0-9]|[\[(](?:at|AT)[\])]|\x20at\x20[A-Za-z0-9-]+\x20dot\x20")
+    found = [(0, a, b) for a, b in emails(text)]
+    for k, kind in enumerate(KINDS):
+        if k and (kind not in NEEDS or NEEDS[kind] in text):
+            found += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if counts(kind, m.group())]
+    return found
+
+
+AT = re.compile(r"@|\x20?(?:\[at\]|\(at\))\x20?|\x20at\x20", re.I)
+DOT = re.compile(r"\.|\x20?(?:\[dot\]|\(dot\))\x20?|\x20dot\x20", re.I)
+LABEL = re.compile(r"[A-Za-z0-9-]++")
+GROUP = re.compile(r"[0-9]++")
+BETWEEN = re.compile(r"[\x20().\-/]{1,3}")
 CUES = {0: ("mail", "contact", "write"), 1: ("ip", "address", "host"), 2: ("card", "visa", "payment"), 3: ("phone", "tel", "call", "fax", "mobile")}
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text around triggers; outside them nothing can be an entity."""
-    found: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - WINDOW), min(len(text), m.end() + WINDOW)
-        if found and a <= found[-1][1]:
-            found[-1][1] = b
-        else:
-            found.append([a, b])
-    return [(a, b) for a, b in found]
-
-
-def candidates(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    """(start, end, kind): spans within a..b that could be entities, in the order of their ends."""
-    out = set()
-    for kind, seed in SEEDS.items():
-        for m in seed.finditer(text, a, b):
-            out.add((m.start(), min(m.end(), m.start() + 4 * MAX_ENTITY), kind))
-            if kind >= 2:  # a run of numbers may hold several: its groups bound them
-                for cut in re.finditer(r"[\x20/]+", m.group()):
-                    left, right = m.group()[: cut.start()], m.group()[cut.end() :]
-                    out |= {(m.start() + x.start(), m.start() + x.end(), kind) for x in [seed.fullmatch(left)] if x}
-                    out |= {(m.start() + cut.end() + x.start(), m.start() + cut.end() + x.end(), kind) for x in [seed.fullmatch(right)] if x}
-    return sorted(out, key=lambda x: (x[1], x[0], x[2]))
+def addresses(text: str) -> Iterator[tuple[int, int, int]]:
+    if "@" not in text and not re.search(r"[\[(]at[\])]|dot", text, re.I):
+        return
+    done = 0
+    for at in AT.finditer(text):
+        start, spot, labels = local_start(text, at.start(), done), at.end(), 0
+        if start == at.start():
+            continue
+        done = at.end()
+        while labels < MAX_LABELS and (label := LABEL.match(text, spot)):
+            labels += 1
+            if labels > 1:
+                yield start, label.end(), 0
+            dot = DOT.match(text, label.end())
+            if not dot:
+                break
+            spot = dot.end()
+
+
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    groups = [m.span() for m in GROUP.finditer(text)]
+    for i, (first, _) in enumerate(groups):
+        digits = 0
+        while first and text[first - 1] in "+(" and groups[i][0] - first < 2:
+            first -= 1
+        for j in range(i, min(i + MAX_GROUPS, len(groups))):
+            a, b = groups[j]
+            digits += b - a
+            if digits > MAX_DIGITS or j > i and not BETWEEN.fullmatch(text, groups[j - 1][1], a):
+                break
+            if digits >= 13:
+                yield groups[i][0], b, 2
+            if 7 <= digits <= 15:
+                yield first, b, 3
+            if j == i + 3 and b - groups[i][0] == digits + 3 and text[groups[i][0] : b].count(".") == 3:
+                yield groups[i][0], b, 1
+
+
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind): spans that could be entities, in the order of their ends."""
+    return sorted({*addresses(text), *numbers(text)}, key=lambda x: (x[1], x[0], x[2]))
 
 
 def features(text: str, start: int, end: int, kind: int) -> list[tuple]:
     """Names of the features that hold for the whole span."""
     span = text[start:end]
-    digits = digits_of(span)
+    digits = digits_of(span) if kind else ""
     before, after = text[start - 1 : start], text[end : end + 1]
     cue = text[max(0, start - 24) : start].lower()
-    names: list[tuple] = [(kind,), (kind, "digits", min(len(digits), 20) if kind >= 2 else len(digits) > 0), (kind, "left", before.isalnum() or before in "._-+@" and before != ""), (kind, "right", after.isalnum() or after == "@")]
+    names: list[tuple] = [(kind,), (kind, "digits", len(digits) if kind >= 2 else 0), (kind, "left", before.isalnum() or before in "._-+@" and before != ""), (kind, "right", after.isalnum() or after == "@")]
     if any(c in cue for c in CUES[kind]):
         names.append((kind, "cue"))
     if kind == 0:
         low = span.lower()
-        names += [(0, "sign", "@" in span), (0, "dot", "." in span.partition("@")[2]), (0, "spelled", "(at)" in low or "[at]" in low, " at " in low and " dot " in low), (0, "end", span[-1:].isalpha())]
+        names += [(0, "sign", "@" in span), (0, "dot", "." in span.partition("@")[2]), (0, "spelled", "(at)" in low or "[at]" in low, " at " in low and " dot " in low), (0, "end", span[-1:].isalpha()), (0, "more", bool(DOT.match(text, end)) and bool(LABEL.match(text, DOT.match(text, end).end())))]
     elif kind == 1:
         names += [(1, "octets", counts("ip", span)), (1, "zero", any(len(x) > 1 and x[0] == "0" for x in span.split("."))), (1, "dots", before == "." or after == "." and text[end + 1 : end + 2].isdigit())]
     elif kind == 2:
@@ -124,58 +174,69 @@ def features(text: str, start: int, end: int, kind: int) -> list[tuple]:
 
 
 class Field:
-    """A semi-Markov field over the positions of a window: entities score their features, outside costs nothing."""
+    """A semi-Markov field: entities score their features, close ones their pair of kinds too, outside costs nothing."""
 
     def __init__(self, weights: dict[tuple, float]) -> None:
         self.weights = weights
+        self.pairs = [[weights.get(("pair", a, b), 0.0) for b in range(len(KINDS))] for a in range(len(KINDS))]
 
     def score(self, text: str, start: int, end: int, kind: int) -> float:
         return sum(self.weights.get(n, 0.0) for n in features(text, start, end, kind))
 
     def best(self, scored: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
-        """Highest-scoring set of non-overlapping segments: Viterbi over the ends of candidates."""
-        ends = sorted({0, *(e for _, e, _, _ in scored)})
-        best, back, total = {0: 0.0}, {}, 0.0
-        by_end: dict[int, list] = {}
-        for c in scored:
-            by_end.setdefault(c[1], []).append(c)
-        done = [0]
-        for end in ends[1:]:
-            value, choice = total, None
-            for start, _, kind, s in by_end[end]:
-                at = max(x for x in done if x <= start)
-                if best[at] + s > value:
-                    value, choice = best[at] + s, (start, end, kind, at)
-            back[end] = choice or (None, None, None, done[-1])
-            best[end] = total = value
-            done.append(end)
-        out, at = [], ends[-1]
-        while at:
-            start, end, kind, before = back[at]
-            if start is not None:
-                out.append((start, end, kind))
-            at = before
+        """Highest-scoring set of non-overlapping segments; scored is sorted by end.
+
+        The best that ends with a candidate follows the best of all that ended further back, or one close before it.
+        """
+        ends, value, back = [c[1] for c in scored], [], []
+        upto = [(0.0, -1)]  # the best of the first n candidates as the last one, with its number
+        for n, (start, _, kind, s) in enumerate(scored):
+            far = bisect.bisect_left(ends, start - NEAR, 0, n)
+            most = upto[far]
+            for p in range(far, bisect.bisect_right(ends, start, far, n)):
+                most = max(most, (value[p] + self.pairs[scored[p][2]][kind], p))
+            value.append(most[0] + s)
+            back.append(most[1])
+            upto.append(max(upto[-1], (value[n], n)))
+        out, at = [], upto[-1][1]
+        while at >= 0:
+            out.append(scored[at][:3])
+            at = back[at]
         return out[::-1]
 
 
-def log_sums(scored: list[tuple[int, int, int, float]]) -> np.ndarray:
-    """Posterior probability of each candidate: forward and backward sums over all segmentations."""
-    n = len(scored)
-    forward, backward = np.zeros(n), np.zeros(n)
-    by_end = sorted(range(n), key=lambda i: scored[i][1])
-    total_at: list[tuple[int, float]] = [(0, 0.0)]  # (end, log of the sum over everything that ends by there)
-    for i in by_end:
-        start, end, _, s = scored[i]
-        before = next(v for e, v in reversed(total_at) if e <= start)
-        forward[i] = before + s
-        total_at.append((end, float(np.logaddexp(total_at[-1][1], forward[i]))))
-    after: list[tuple[int, float]] = [(1 << 60, 0.0)]
-    for i in sorted(range(n), key=lambda i: -scored[i][0]):
-        start, end, _, s = scored[i]
-        rest = next(v for b, v in reversed(after) if b >= end)
-        backward[i] = rest
-        after.append((start, float(np.logaddexp(after[-1][1], s + rest))))
-    return np.exp(np.minimum(forward + backward - total_at[-1][1], 0))
+def log_sum(values: list[float]) -> float:
+    most = max(values)
+    return most + math.log(sum(math.exp(v - most) for v in values))
+
+
+def log_sums(scored: list[tuple[int, int, int, float]], pairs: list[list[float]]) -> tuple[np.ndarray, dict[tuple[int, int], float]]:
+    """Posterior probability of each candidate and of each pair of kinds: forward and backward sums over all segmentations.
+    scored is sorted by end."""
+    n, ends = len(scored), [c[1] for c in scored]
+    forward, upto, close = [], [0.0], []
+    for i, (start, _, kind, s) in enumerate(scored):
+        far = bisect.bisect_left(ends, start - NEAR, 0, i)
+        near = range(far, bisect.bisect_right(ends, start, far, i))
+        close += [(p, i) for p in near]
+        forward.append(s + log_sum([upto[far], *(forward[p] + pairs[scored[p][2]][kind] for p in near)]))
+        upto.append(log_sum([upto[-1], forward[i]]))
+    by_start = sorted(range(n), key=lambda i: scored[i][0])
+    starts = [scored[i][0] for i in by_start]
+    backward, behind = [0.0] * n, [0.0] * (n + 1)  # behind[k]: everything that begins with by_start[k] or later, or nothing
+    after: dict[int, list[int]] = {}
+    for p, q in close:
+        after.setdefault(p, []).append(q)
+    for k in range(n - 1, -1, -1):
+        i = by_start[k]
+        far = bisect.bisect_right(starts, scored[i][1] + NEAR)
+        backward[i] = log_sum([behind[far], *(pairs[scored[i][2]][scored[q][2]] + scored[q][3] + backward[q] for q in after.get(i, ()))])
+        behind[k] = log_sum([behind[k + 1], scored[i][3] + backward[i]])
+    whole, both = upto[-1], {}
+    for p, q in close:
+        key = scored[p][2], scored[q][2]
+        both[key] = both.get(key, 0.0) + math.exp(min(0.0, forward[p] + pairs[key[0]][key[1]] + scored[q][3] + backward[q] - whole))
+    return np.exp(np.minimum(np.array(forward) + np.array(backward) - whole, 0)), both
 
 
 def variants(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -185,59 +246,91 @@ def variants(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, li
         span, left, right = text[a:b], text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
         changed = []
         if k == 3:
-            changed.append(span[1:])
+            changed = [("", span[1:], ""), ("", span, " 12"), ("24 ", span, ""), ("", span[1:], " 3")]
+        if k == 2:
+            digits = digits_of(span)
+            changed = [("2024 ", digits, ""), ("", digits, " 12"), ("12 ", ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), ""), ("7 ", span, " 34")]
         if k == 0:
             user, _, host = span.partition("@")
-            changed += [f"{user} [at] {host}", f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user} at {host.replace('.', ' dot ')}"]
-        out += [(left + c + right, [(len(left), len(left) + len(c), k)]) for c in changed]
+            changed = [("", f"{user} [at] {host}", ""), ("", f"{user} (at) {host.replace('.', ' (dot) ')}", ""), ("", f"{user} at {host.replace('.', ' dot ')}", "")]
+        out += [(left + x + c + y + right, [(len(left + x), len(left + x + c), k)]) for x, c, y in changed]
     return out
 
 
-def fit(texts: list[str], rounds: int = 40, rate: float = 0.5, ridge: float = 0.01) -> Field:
-    """Gradient steps on the conditional likelihood of the labelled windows."""
+def fit(texts: list[str], rounds: int = 40, rate: float = 1.0, ridge: float = 0.01) -> Field:
+    """Gradient steps on the conditional likelihood of the labelled texts."""
     data, known = [], {}  # known: number of each feature
+    for a in range(len(KINDS)):
+        for b in range(len(KINDS)):
+            known["pair", a, b] = len(known)
     for text in texts:
         for t, spans in variants(text, base_spans(text)):
-            truth = set(spans)
-            for a, b in windows(t):
-                found = candidates(t, a, b)
-                if found:
-                    data.append([(s, e, k, [known.setdefault(n, len(known)) for n in features(t, s, e, k)], (s, e, k) in truth) for s, e, k in found])
-    w = np.zeros(len(known) + 1)
+            truth, found = set(spans), candidates(t)
+            if found:
+                chosen = sorted(x for x in found if x in truth)
+                close = [(p[2], q[2]) for p, q in zip(chosen, chosen[1:]) if q[0] - p[1] <= NEAR]
+                data.append(([(s, e, k, np.array([known.setdefault(n, len(known)) for n in features(t, s, e, k)]), (s, e, k) in truth) for s, e, k in found], close))
+    w, met = np.zeros(len(known)), np.full(len(known), 1e-6)  # met: squares of the gradients so far, which shorten the steps
     for _ in range(rounds):
         gradient, n = -ridge * w, max(len(data), 1)
-        for rows in data:
-            scored = [(s, e, k, float(w[f].sum())) for s, e, k, f, _ in rows]
-            for p, (_, _, _, f, true) in zip(log_sums(scored), rows, strict=True):
+        pairs = w[: len(KINDS) ** 2].reshape(len(KINDS), -1).tolist()
+        for rows, close in data:
+            likely, both = log_sums([(s, e, k, float(w[f].sum())) for s, e, k, f, _ in rows], pairs)
+            for p, (_, _, _, f, true) in zip(likely, rows, strict=True):
                 gradient[f] += (true - p) / math.sqrt(n)
-        w += rate * np.clip(gradient, -2, 2)
+            for a, b in close:
+                gradient[known["pair", a, b]] += 1 / math.sqrt(n)
+            for (a, b), p in both.items():
+                gradient[known["pair", a, b]] -= p / math.sqrt(n)
+        met += gradient**2
+        w += rate * gradient / np.sqrt(met)
     return Field({n: float(w[i]) for n, i in known.items()})
 
 
-#: A text whose best added segments score less than this is left as it is.
+#: A segment that scores less than this is not added.
 MARGIN = 1.0
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities that don't touch a base span."""
-    out = []
-    for a, b in windows(text):
-        own = [(x, y) for _, x, y in base if x < b and y > a]
-        found = [c for c in candidates(text, a, b) if all(c[1] <= x or c[0] >= y for x, y in own)]
-        scored = [(s, e, k, field.score(text, s, e, k) - MARGIN) for s, e, k in found]
-        out += [(k, s, e) for s, e, k in field.best([c for c in scored if c[3] > 0])] if scored else []
-    return out
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], []
+    for _, b in taken:
+        reach.append(max(b, reach[-1] if reach else 0))
+    scored = []
+    for s, e, k in candidates(text):
+        n = bisect.bisect_left(starts, e)  # base spans that begin before its end
+        if not n or reach[n - 1] <= s:
+            value = field.score(text, s, e, k) - MARGIN
+            if value > 0:
+                scored.append((s, e, k, value))
+    return [(k, s, e) for s, e, k in field.best(scored)]
+
+
+def windows(text: str) -> list[str]:
+    """The text around its candidates, for the fit."""
+    found: list[list[int]] = []
+    for s, e, _ in sorted(candidates(text)):
+        a, b = max(0, s - WINDOW), min(len(text), e + WINDOW)
+        if found and a <= found[-1][1]:
+            found[-1][1] = max(b, found[-1][1])
+        else:
+            found.append([a, b])
+    return [text[a:b] for a, b in found if b - a <= WINDOW_CHARS]
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Field:
-    """The field from a hashed sample of rows that hold a candidate, train_rows at most."""
-    hit = docs.where(F.rlike("text", F.lit(r"@|[0-9][ ().0-9/-]{5,}[0-9]"))).select(F.xxhash64("text").alias("h"), "text")
-    share = min(1.0, 4 * train_rows / max(docs.count(), 1))
-    rows = hit.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["h"]).orderBy("h").select("text").limit(train_rows).collect()
-    texts = []
-    for (text,) in rows:
-        texts += [text[max(0, a - WINDOW) : b + WINDOW] for a, b in windows(text)[:8]]
-    return fit(texts)
+def train(docs: DataFrame, train_windows: int = TRAIN_WINDOWS) -> Field:
+    """The field from a hashed sample of the windows of a hashed sample of rows, train_windows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [w for (text,) in texts_of([batch], "text") for w in windows(text or "")]
+            hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.string())], ["h", "w"])
+
+    hit = docs.where(F.rlike("text", F.lit(r"@|[0-9]"))).select(F.xxhash64("text").alias("row_hash"), "text")
+    rows = hit.where(hash_share(F.col("row_hash"), 16 * train_windows, docs.count())).select("text").mapInArrow(run, "h long, w string")
+    return fit([r["w"] for r in rows.distinct().orderBy("h", "w").limit(train_windows).collect()])
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -248,7 +341,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs (doc_id, text).
 
     The counts and the digest are of base spans; spans lists all. A null text counts as empty and has none. Equal texts
-    get equal spans; an empty table gives no rows; other columns are dropped.
+    get equal spans; an empty table gives no rows; other columns are dropped, whatever their names. A text may be of any
+    length and is met whole, in time that grows as its length does. Of overlapping candidates with equal scores the later
+    one in the order of (end, start, kind) is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs).weights)  # a few hundred numbers
 
