@@ -3,17 +3,21 @@
 Each rule is a predicate over measures of a text. On a sample the operator estimates what each rule costs and what it
 rejects, orders the rules by rejection per cost, and evaluates them as one CASE: a row that an early rule rejects never
 reaches the dearer measures behind later rules. The order changes the work, never the verdict.
+
+The order is greedy: each next rule is the one that rejects most per cost among the rows that the rules before it kept. A
+cost is the work on the sample's texts, their characters, words and lines times the unit costs of the measures that a rule
+needs and no rule before it has paid for. So the same rows give the same order, whatever the machine is busy with.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, materialize
+from .common import WORD_GAP, hash_share
 
 SYMBOLS = "#*$%&|<>"
 WINDOW_WORDS = 8
@@ -62,84 +66,121 @@ def dup_lines(text: Column) -> Column:
     return bind(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with the column m: the measures of the whole text (null: none)."""
-    own = docs.withColumn("t_", F.coalesce(F.col("text"), F.lit(""))).withColumn("w_", words_of(F.col("t_")))
-    text, words = F.col("t_"), F.col("w_")
-    long = lambda c: c.cast("long")
-    return own.withColumn(
-        "m",
-        F.struct(
-            long(F.size(words)).alias("n_words"),
-            long(F.length(F.array_join(words, ""))).alias("word_chars"),
-            long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
-            dup_lines(text).alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
-            long(F.size(F.split(text, "\n"))).alias("n_lines"),
-            long(F.length(text) - F.length(F.translate(text, "!?", ""))).alias("n_shouts"),
-            long(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))).alias("n_upper"),
-            stutters(words).alias("n_stutters"),
-        ),
-    ).drop("t_", "w_")
+LINES = "\n"
+#: Each measure: whether it needs the words, its unit costs (nanoseconds a character and a word), its Column from text and words.
+MEASURES: dict[str, tuple[bool, float, float, Callable[[Column, Column], Column]]] = {
+    "n_words": (True, 0, 0, lambda t, w: F.size(w)),
+    "word_chars": (True, 1, 10, lambda t, w: F.length(F.array_join(w, ""))),
+    "n_symbols": (False, 12, 0, lambda t, w: F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
+    "n_dup_lines": (False, 10, 0, lambda t, w: dup_lines(t)),
+    "n_repeat_words": (True, 0, 1500, lambda t, w: repeated_words(w)),
+    "n_lines": (False, 2, 0, lambda t, w: F.size(F.split(t, LINES))),
+    "n_shouts": (False, 12, 0, lambda t, w: F.length(t) - F.length(F.translate(t, "!?", ""))),
+    "n_upper": (False, 30, 0, lambda t, w: F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))),
+    "n_stutters": (True, 0, 250, lambda t, w: stutters(w)),
+}
+#: Of the split into words, a character.
+SPLIT_COST = 15
+CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def text_of() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def measure(name: str, words: Column | None) -> Column:
+    return MEASURES[name][3](text_of(), words).cast("long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: a Column that is true where the text fails. It names the measures that it needs and so its cost."""
+    """rejects, over Columns of the measures in needs (in this order), is true where the text fails."""
 
     name: str
-    rejects: Column
+    needs: tuple[str, ...]
+    rejects: Callable[..., Column]
+
+    @property
+    def on_words(self) -> bool:
+        return any(MEASURES[m][0] for m in self.needs)
 
 
 def default_rules() -> list[Rule]:
-    n, m = F.col("m.n_words"), F.col("m")
     return [
-        Rule("few_words", n < 20),
-        Rule("repeated_words", 100 * m["n_repeat_words"] > 30 * n),
-        Rule("symbols", 10 * m["n_symbols"] > 3 * n),
-        Rule("duplicate_lines", 2 * m["n_dup_lines"] > m["n_lines"]),
-        Rule("stutters", 2 * m["n_stutters"] > n),
-        Rule("shouting", (2 * m["n_upper"] > m["word_chars"]) & (4 * m["n_shouts"] > n)),
-        Rule("word_length", (m["word_chars"] > 15 * n) | (m["word_chars"] < 2 * n)),
+        Rule("few_words", ("n_words",), lambda n: n < 20),
+        Rule("repeated_words", ("n_repeat_words", "n_words"), lambda r, n: 100 * r > 30 * n),
+        Rule("symbols", ("n_symbols", "n_words"), lambda s, n: 10 * s > 3 * n),
+        Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda d, n: 2 * d > n),
+        Rule("stutters", ("n_stutters", "n_words"), lambda s, n: 2 * s > n),
+        Rule("shouting", ("n_shouts", "n_words", "n_upper", "word_chars"), lambda s, n, u, c: (4 * s > n) & (2 * u > c)),
+        Rule("word_length", ("word_chars", "n_words"), lambda c, n: (c > 15 * n) | (c < 2 * n)),
     ]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """rules by rejection per cost, both estimated on a hashed sample of about sample_rows rows.
+    """rules by rejection per cost among the rows still there, estimated on a hashed sample of about sample_rows rows.
+
+    Rules that reject nothing more come last, the cheaper ones first. One job, whose result has a row for each set of
+    rules that reject together.
+    """
+    picked = docs.where(hash_share(F.xxhash64("text", "doc_id"), sample_rows, docs.count())).select("text")
+    hits = bind(words_of(text_of()), lambda w: F.struct(F.array(*(r.rejects(*(measure(m, w) for m in r.needs)) for r in rules)).alias("hits"), F.size(w).alias("words")))
+    found = picked.select(F.length(text_of()).alias("chars"), hits.alias("h")).groupBy("h.hits").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("h.words").alias("words")).collect()
+    chars, words = sum(r["chars"] for r in found), sum(r["words"] for r in found)
+    left, out, paid, alive = list(range(len(rules))), [], set(), [(r["hits"], r["n"]) for r in found]
+
+    def cost(k: int) -> float:
+        own = sum(MEASURES[m][1] * chars + MEASURES[m][2] * words for m in rules[k].needs if m not in paid)
+        return own + (SPLIT_COST * chars if rules[k].on_words and "words" not in paid else 0) + 1
+
+    while left:
+        best = min(left, key=lambda k: (-sum(n for hits, n in alive if hits[k]) / cost(k), cost(k), rules[k].name))
+        out.append(rules[best])
+        left.remove(best)
+        paid.update(["words"] if rules[best].on_words else [])
+        alive = [(hits, n) for hits, n in alive if not hits[best]]
+    return out
+
 
-    The cost of a rule is the time that its predicate takes over the sample, where only its own measures are computed.
+def cascade(ordered: list[Rule], known: dict[str, Column] | None = None) -> Column:
+    """The name of the first rule that rejects, or null. known: measures that are there already.
+
+    Rules before the first one that needs the words are met before the text is split.
     """
-    share = min(1.0, sample_rows / max(docs.count(), 1))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    picked, scored = materialize(picked, "rule-sample"), []
-    for rule in rules:
-        began = time.monotonic()
-        hits, rows = measures(picked).agg(F.count_if(rule.rejects), F.count("*")).first()
-        cost = max(time.monotonic() - began, 1e-3)
-        scored.append((-(hits / max(rows, 1)) / cost, rule.name, rule))
-    return [rule for _, _, rule in sorted(scored, key=lambda x: x[:2])]
+    known = known or {}
+    needs_words = lambda r: any(MEASURES[m][0] and m not in known for m in r.needs)
+    first = next((k for k, r in enumerate(ordered) if needs_words(r)), len(ordered))
+
+    def chain(rules: list[Rule], words: Column | None, rest: Column) -> Column:
+        for r in reversed(rules):
+            rest = F.when(r.rejects(*(known[m] if m in known else measure(m, words) for m in r.needs)), F.lit(r.name)).otherwise(rest)
+        return rest
+
+    none = F.lit(None).cast("string")
+    later = bind(words_of(text_of()), lambda w: chain(ordered[first:], w, none)) if first < len(ordered) else none
+    return chain(ordered[:first], None, later)
 
 
 def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs (doc_id, text, any others) with m (measures), rejected_by (first rule that rejects, or null) and kept.
+    """docs (doc_id, text, any others) with rejected_by (first rule of the cascade that rejects, or null) and kept.
 
-    rejected_by depends on the order that the sample gave, kept does not. A null text has no words and fails `few_words`; equal rows get equal verdicts; an empty table gives no rows. The
-    columns m, rejected_by and kept replace columns of these names in docs; every other column stays.
+    rejected_by depends on the order that the sample gave, kept does not. A null text has no words and fails `few_words`;
+    a text of any length is met whole; equal rows get equal verdicts; an empty table gives no rows. The columns rejected_by
+    and kept replace columns of these names in docs; every other column stays.
     """
     ordered = order_rules(docs, rules or default_rules(), sample_rows)
-    found = measures(docs.drop("m"))
-    cascade = F.lit(None).cast("string")
-    for rule in reversed(ordered):
-        cascade = F.when(rule.rejects, F.lit(rule.name)).otherwise(cascade)
-    return found.withColumn("rejected_by", cascade).withColumn("kept", F.col("rejected_by").isNull())
+    return docs.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the contract's measures, base_failed and kept for every row."""
-    m = F.col("m")
-    failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judge(docs).select("doc_id", *(m[c].alias(c) for c in names), failed.alias("base_failed"), "kept")
+    """doc_id, the contract's measures, base_failed and kept for every row; the cascade takes from the contract's measures
+    what it needs and computes the others only where it comes to them."""
+    ordered = order_rules(docs, default_rules())
+    m = bind(words_of(text_of()), lambda w: F.struct(*(measure(c, w).alias(c) for c in CONTRACT)))
+    found = docs.select("doc_id", "text", m.alias("m"))
+    known = {c: F.col("m")[c] for c in CONTRACT}
+    failed = (known["n_words"] < 20) | (100 * known["n_repeat_words"] > 30 * known["n_words"])
+    return found.select("doc_id", *(known[c].alias(c) for c in CONTRACT), failed.alias("base_failed"), cascade(ordered, known).isNull().alias("kept"))
 
 
 #: The same in DuckDB.
