@@ -2,12 +2,14 @@
 
 Documents are tokenized through the distinct-word shuffle (see worddict) and cut into pieces of at most `width` tokens.
 Only the histogram of the pieces' lengths, at most `width` numbers, comes to the driver. There lengths are placed longest
-first, each on the packs with the shortest fill so far that have room, and whole groups of equal packs move at once: what is kept is
-how often each packing pattern occurs. The patterns are joined back to the pieces by rank within a length.
+first, each piece on the shortest pack, or on a new one where even that has no room. Equal packs move as a group, so what
+is kept is how often each packing pattern occurs: each length splits one group at most, so the groups' number follows
+`width`, not the input. The patterns are joined back to the pieces by rank within a length.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import zlib
 from collections import defaultdict
@@ -33,7 +35,8 @@ ROWS_PER_RANKING = 50_000
 def word_encoder(path: str):
     """Function from distinct words, cut at ASCII white space, to their ids (unsigned 16-bit).
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids, one after the other.
+    The tokenizer drops white space and never joins across it, and its special tokens, which texts may hold, have none
+    inside, so a text's ids are its words' ids, one after the other.
     """
     own = tokenizer(path)
 
@@ -52,9 +55,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id: int = END_ID) -> DataFrame:
@@ -88,35 +89,39 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
 
 
 def patterns(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a pack, how many such packs) by shortest-pack-first; every length is placed as often as it occurs."""
-    open_packs: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by fill
+    """(lengths in a pack, how many such packs) by shortest-pack-first; every length is placed as often as it occurs.
+
+    Of packs with the same fill those go first whose pattern got there first.
+    """
+    open_packs: dict[int, dict[tuple[int, ...], int]] = {}  # by fill
+    fills: list[int] = []  # a heap of the fills in open_packs
+
+    def put(pattern: tuple[int, ...], fill: int, packs: int) -> None:
+        if fill not in open_packs:
+            open_packs[fill] = {}
+            heapq.heappush(fills, fill)
+        open_packs[fill][pattern] = open_packs[fill].get(pattern, 0) + packs
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        # the shortest packs have the most room: they come first, and only those that existed before are met
-        for fill in sorted(f for f in open_packs if f + length <= width):
-            for pattern in list(open_packs[fill]):
-                if not left:
-                    break
-                have = open_packs[fill].pop(pattern)
-                # a pack takes this length as often as it has room for, unless there are more packs than pieces left
-                times = min((width - fill) // length, max(1, left // have))
-                used = min(have, left // times)
-                if have > used:
-                    open_packs[fill][pattern] = have - used
-                if used:
-                    longer = tuple(sorted((*pattern, *[length] * times), reverse=True))
-                    into = open_packs[fill + times * length]
-                    into[longer] = into.get(longer, 0) + used
-                    left -= used * times
-            if not left:
-                break
-        if left:
-            times = width // length
-            for n, packs in ((times, left // times), (left % times, 1)):
-                if n and packs:
-                    into, fresh = open_packs[n * length], (length,) * n
-                    into[fresh] = into.get(fresh, 0) + packs
-    return sorted((p, n) for by in open_packs.values() for p, n in by.items() if n)
+        while left and fills and fills[0] + length <= width:
+            fill = fills[0]
+            pattern, have = next(iter(open_packs[fill].items()))
+            used = min(have, left)
+            left -= used
+            if used < have:
+                open_packs[fill][pattern] = have - used
+            else:
+                del open_packs[fill][pattern]
+                if not open_packs[fill]:
+                    del open_packs[heapq.heappop(fills)]
+            put((*pattern, length), fill + length, used)
+        # a new pack is the only one with room, so it takes all that fit before the next one opens
+        times = width // length
+        for n, packs in ((times, left // times), (left % times, 1)):
+            if n and packs:
+                put((length,) * n, n * length, packs)
+    return sorted((p, n) for by in open_packs.values() for p, n in by.items())
 
 
 def pattern_table(found: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
@@ -162,6 +167,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, width: int = WIDTH)
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every row of docs.
 
     A null or empty text is one piece that holds the end id alone. Equal rows are packed each for itself; a null doc_id
-    stays null; an empty table gives no rows; other columns are dropped. Within a sequence offsets have no gaps.
+    stays null; an empty table gives no rows; other columns are dropped, whatever their names. A text of any length is met
+    whole, in pieces. Pieces of one length take the places of that length by an arbitrary rank; the packing is the same.
+    Within a sequence offsets have no gaps.
     """
     return pack(pieces(docs, path, width), width)
