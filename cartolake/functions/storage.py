@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, in a folder of our own."""
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset in local mode, as in tests, in a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root}/{tag}-{uuid.uuid4().hex}"

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.text import blank_to_null
+from cartolake.operators.urls import VIEWPORT, is_missing_name
 
+#: Phrases of a dictionary at most.
+DICTIONARY_ROWS = 5000
 #: Fixed values.
+GENERIC_TITLES = ("this place", "dropped pin", "this location")
 LEGACY_GROUPS = ("CULTURE_AND_HERITAGE", "NATURE_AND_OUTDOORS", "SHOPPING_AND_MARKET", "OTHER")
 
 
@@ -27,11 +31,16 @@ def infer_locale(df: DataFrame) -> DataFrame:
 
 
 def tag_destinations(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Adds destinations: the sorted codes of all phrases (dimension: code, phrase) that the lower-cased address contains."""
-    rows = df.withColumn("row_no", F.monotonically_increasing_id())
-    met = rows.select("row_no", F.lower("address").alias("low")).join(F.broadcast(dictionary), F.contains("low", "phrase"))
-    tags = met.groupBy("row_no").agg(F.array_sort(F.collect_set("code")).alias("destinations"))
-    return rows.join(tags, "row_no", "left").withColumn("destinations", F.coalesce("destinations", F.array().cast("array<string>"))).drop("row_no")
+    """Adds destinations: the sorted codes of all phrases (dimension: code, phrase) that the lower-cased address contains.
+
+    The dictionary becomes a literal of the plan; one of more than DICTIONARY_ROWS phrases is an error.
+    """
+    known = dictionary.select("code", "phrase").where("phrase IS NOT NULL").limit(DICTIONARY_ROWS + 1).collect()
+    if len(known) > DICTIONARY_ROWS:
+        raise ValueError(f"a dictionary of more than {DICTIONARY_ROWS} phrases is no dimension")
+    pairs = F.array(*(F.struct(F.lit(r["code"]).alias("code"), F.lit(r["phrase"]).alias("phrase")) for r in known)).cast("array<struct<code:string,phrase:string>>")
+    low = F.lower(F.coalesce("address", F.lit("")))
+    return df.withColumn("destinations", F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda x: F.contains(low, x["phrase"])), lambda x: x["code"]))))
 
 
 def first_float(text: Column) -> Column:
@@ -44,12 +53,14 @@ def first_int(text: Column) -> Column:
 
 
 def place_gate(df: DataFrame) -> DataFrame:
-    """Adds reject_reason, null where the place passes."""
-    title = F.coalesce(F.trim("title"), F.lit(""))
+    """Adds reject_reason of places (link, title, perhaps scrape_status), null where the place passes."""
+    title = F.lower(F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\s+", " ")))
+    link = F.coalesce("link", F.lit(""))
+    failed = F.lower(F.coalesce("scrape_status", F.lit(""))) == "failed" if "scrape_status" in df.columns else F.lit(False)
     return df.withColumn(
         "reject_reason",
-        F.when(F.rlike(F.coalesce("link", F.lit("")), F.lit(r"/maps/@")), "VIEWPORT_URL").when(title == "", "BLANK_TITLE")
-        .when(F.lower(title).startswith("http"), "URL_TITLE"),
+        F.when(F.rlike(link, F.lit(VIEWPORT)), "VIEWPORT_URL").when(is_missing_name(link), "MISSING_NAME").when(failed, "SCRAPE_FAILED").when(title == "", "BLANK_TITLE")
+        .when(title.isin(*GENERIC_TITLES), "GENERIC_TITLE").when(title.startswith("http://") | title.startswith("https://"), "URL_TITLE"),
     )
 
 
@@ -102,5 +113,6 @@ def title_translations(df: DataFrame) -> DataFrame:
 
 def detect_language(text: Column) -> Column:
     """vi where a letter with a Vietnamese accent occurs, else en."""
+    # fixed values: the letters
     marked = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
     return F.when(F.rlike(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{marked}]")), "vi").otherwise("en")

@@ -60,7 +60,9 @@ def candidate_key() -> Column:
 def dedupe_candidates(hits: DataFrame, order: list[str]) -> DataFrame:
     """One hit for each key: the first in order, which is total. Blank keys go."""
     keyed = hits.withColumn("key", candidate_key()).where(F.col("key").isNotNull())
-    return keyed.withColumn("n_", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("n_ = 1").drop("n_")
+    # the least row of each key is found map-side first, so a key with very many hits is no hot group
+    first = keyed.groupBy("key").agg(F.min_by(F.struct(*hits.columns), F.struct(*order)).alias("first_"))
+    return first.select(*(F.col("first_")[c].alias(c) for c in hits.columns), "key")
 
 
 def within_radius(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:
@@ -100,30 +102,50 @@ def filter_reason(food: Column, min_reviews: int, min_rating: float) -> Column:
     )
 
 
-def food_gate(category: Column, markers: list[str]) -> Column:
+def food_gate(category: Column, markers: list[str], group: Column | None = None) -> Column:
+    """Whether a place's group is FOOD_AND_DRINK or its category holds a marker anywhere."""
     low = F.lower(F.coalesce(category, F.lit("")))
-    gate = F.lit(False)
+    gate = F.lit(False) if group is None else F.upper(F.coalesce(group, F.lit(""))) == "FOOD_AND_DRINK"
     for marker in markers:
         gate = gate | F.contains(low, F.lit(marker))
     return gate
 
 
 def crawl_counters(outcomes: DataFrame) -> DataFrame:
-    """Per region, and in total where region is null: discovered, known, eligible and the rejected by reason."""
+    """Per region, and in total where region is null: discovered, skipped, eligible, the rejected by reason, and what became
+    of the imports (imported, insufficient, rejected_score, skipped as classify_import_outcome gives them; failed).
+
+    An imported place that was saved as inactive counts as imported and as skipped. Columns that aren't there count 0.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in outcomes.columns else F.lit(False)
     count = lambda c, name: F.count_if(c).alias(name)
     reason = lambda r: ~F.col("is_known") & F.col("reason").eqNullSafe(r)
     return outcomes.rollup("region").agg(
-        F.count("*").alias("discovered"), count(F.col("is_known"), "skipped"), count(~F.col("is_known") & F.col("reason").isNull(), "eligible"),
+        F.count("*").alias("discovered"), count(F.col("is_known") | flag("skipped"), "skipped"), count(~F.col("is_known") & F.col("reason").isNull(), "eligible"),
         count(reason("NON_FOOD"), "non_food"), count(reason("REVIEW_COUNT"), "low_reviews"), count(reason("GOOGLE_RATING"), "low_rating"),
+        *(count(flag(c), c) for c in ("imported", "failed", "rejected_score")), count(flag("insufficient"), "insufficient_photo"),
     )
 
 
-def expand_location_queries(locations: DataFrame, templates: DataFrame, most: int) -> DataFrame:
-    """location, query_no, query: templates (pos, template) without placeholders, each with the location added; repeats dropped."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace("template", r"\{[a-z]+\}", " "), " +", " "))
-    filled = locations.crossJoin(F.broadcast(templates)).select("location", "pos", F.concat_ws(" ", F.nullif(bare, F.lit("")), "location").alias("query"))  # two dimensions
-    first = filled.groupBy("location", "query").agg(F.min("pos").alias("pos"))
-    return first.withColumn("query_no", F.row_number().over(Window.partitionBy("location").orderBy("pos"))).where(F.col("query_no") <= most).drop("pos")
+#: The queries of a location where the user gives none.
+LOCATION_QUERIES = ("quán ăn", "nhà hàng", "restaurant", "food", "cafe")
+
+
+def expand_location_queries(locations: DataFrame, custom: DataFrame, most: int, mode: str = "APPEND", defaults: tuple[str, ...] = LOCATION_QUERIES) -> DataFrame:
+    """location, query_no, query: the custom templates (pos, template) without their placeholders, then, unless the mode is
+    REPLACE, the defaults; blank ones and repeats go, `most` stay. The search is bound to the location's own coordinates,
+    so its name isn't added. Templates are a dimension of a few rows.
+    """
+    bare = F.btrim(F.regexp_replace("template", r"\{(?:region|area|food)\}", ""), F.lit(" ,"))
+    given = custom.select(F.lit(0).alias("kind"), "pos", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("query")).where("query <> ''")
+    if mode.upper() != "REPLACE":
+        own = locations.sparkSession.createDataFrame([(1, k, q) for k, q in enumerate(defaults)], "kind int, pos int, query string")
+        given = given.unionByName(own)
+    first = given.groupBy("query").agg(F.min(F.struct("kind", "pos")).alias("at")).orderBy("at").limit(most)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "query")))
+    listed = first.agg(F.transform(ordered, lambda x, k: F.struct((k + 1).alias("query_no"), x["query"].alias("query"))).alias("queries"))
+    # one row meets every location
+    return locations.crossJoin(F.broadcast(listed)).select("location", F.inline("queries"))
 
 
 def parse_hit_text(df: DataFrame, text: str, most: int = 12) -> DataFrame:

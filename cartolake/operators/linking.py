@@ -127,7 +127,8 @@ def similarity(a: Column, b: Column, wa: Column, wb: Column, alike: Column) -> C
 def name_similarity(df: DataFrame, left: str, right: str, to: str = "similarity") -> DataFrame:
     a, b = match_text(F.col(left)), match_text(F.col(right))
     rows = df.withColumns({"a_": a, "b_": b}).withColumns({"wa_": F.array_distinct(words_of(F.col("a_"))), "wb_": F.array_distinct(words_of(F.col("b_")))})
-    rows = rows.withColumn("r_", ratio("a_", "b_"))
+    asked = (F.col("a_") != "") & (F.col("b_") != "") & (F.col("a_") != F.col("b_"))  # else the ratio doesn't count
+    rows = rows.withColumn("r_", ratio(F.when(asked, F.col("a_")), F.when(asked, F.col("b_"))))
     return rows.withColumn(to, similarity(F.col("a_"), F.col("b_"), F.col("wa_"), F.col("wb_"), F.col("r_"))).drop("a_", "b_", "wa_", "wb_", "r_")
 
 
@@ -219,10 +220,11 @@ def reject_posts(posts: DataFrame, most_seconds: float) -> DataFrame:
     )
 
 
-def drop_near_identical(frames: DataFrame, most: float) -> DataFrame:
-    """video, pos of the frames (video, pos, vector) kept: each is compared with the last kept one; `most` is the largest
-    difference of a component that still counts as the same. Videos of two frames or fewer stay whole. The fold needs a
-    video's frames in order; a frame's own size and number bound them."""
+def drop_near_identical(frames: DataFrame, most: float, tile: int = 1) -> DataFrame:
+    """video, pos of the frames (video, pos, vector) kept: each is compared with the last kept one, tile by tile of `tile`
+    components (a rest that fills none doesn't count); `most` is the largest mean difference of a tile that still counts as
+    the same. Frames of unequal sizes differ; one without a vector stays, and so does the next. Videos of two frames or
+    fewer stay whole. The fold needs a video's frames in order; a frame's own size and number bound them."""
 
     def fold(batch: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -230,10 +232,13 @@ def drop_near_identical(frames: DataFrame, most: float) -> DataFrame:
         batch = batch.sort_values("pos")
         kept, last = [], None
         for pos, vector in zip(batch["pos"], batch["vector"], strict=True):
-            here = np.asarray(vector, float)
-            if len(batch) <= 2 or last is None or np.abs(here - last).max() > most:
-                kept.append(pos)
-                last = here
+            here = None if vector is None else np.asarray(vector, float)
+            if len(batch) > 2 and here is not None and last is not None and here.size == last.size:
+                apart = np.abs(here - last)[: here.size // tile * tile].reshape(-1, tile).mean(axis=1)
+                if apart.max(initial=0.0) <= most:
+                    continue
+            kept.append(pos)
+            last = here
         return pd.DataFrame({"video": batch["video"].iloc[0], "pos": kept})
 
     types = dict(frames.dtypes)

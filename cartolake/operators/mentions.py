@@ -23,11 +23,34 @@ def validation_summary(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("post_id").agg(F.count("*").alias("n_input"), status("EVIDENCE_VERIFIED").alias("n_verified"), status("UNRESOLVED").alias("n_unresolved"), F.count_if(F.col("reason").isNotNull()).alias("n_reasons"))
 
 
+#: Longest ref.
+REF_CHARS = 128
+
+
 def unique_refs(mentions: DataFrame) -> DataFrame:
-    """Adds ref: candidate_ref, cut to 128, or a number of the place in the post; repeats get a suffix."""
-    base = F.coalesce(F.nullif(F.substring(F.trim("candidate_ref"), 1, 128), F.lit("")), F.concat(F.lit("social-"), F.lpad((F.col("pos") + 1).cast("string"), 4, "0")))
-    n = F.row_number().over(Window.partitionBy("post_id", "base").orderBy("pos"))
-    return mentions.withColumn("base", base).withColumn("ref", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.lpad((F.col("pos") + 1).cast("string"), 4, "0")))).drop("base")
+    """Adds ref: candidate_ref, cut to REF_CHARS, or a number of the place in the post (pos); what a mention before it has
+    already gets the place as a suffix, and a counter where that is taken too.
+
+    Posts without such a clash need a window only; the others, where a new ref meets another one, go through their
+    mentions in order.
+    """
+    place = F.lpad((F.col("pos") + 1).cast("string"), 4, "0")
+    base = F.coalesce(F.nullif(F.substring(F.trim("candidate_ref"), 1, REF_CHARS), F.lit("")), F.concat(F.lit("social-"), place))
+    suffixed = lambda base, suffix: F.concat(F.left(base, F.lit(REF_CHARS) - F.length(suffix)), suffix)
+    n = F.row_number().over(Window.partitionBy("post_id", "base_").orderBy("pos"))
+    rows = mentions.withColumn("base_", base).withColumn("ref", F.when(n == 1, F.col("base_")).otherwise(suffixed(F.col("base_"), F.concat(F.lit("-"), place))))
+    clash = rows.groupBy("post_id", "ref").agg(F.count("*").alias("n_")).where("n_ > 1").select("post_id").distinct()
+
+    def step(done: Column, x: Column) -> Column:
+        tail = F.concat(F.lit("-"), F.lpad((x["pos"] + 1).cast("string"), 4, "0"))
+        tails = F.concat(F.array(F.lit("")), F.array(tail), F.transform(F.sequence(F.lit(2), F.size(done) + 2), lambda k: F.concat(tail, F.lit("-"), k.cast("string"))))
+        free = F.filter(F.transform(tails, lambda t: suffixed(x["base_"], t)), lambda r: ~F.array_contains(done, r))
+        return F.concat(done, F.array(F.get(free, F.lit(0))))
+
+    ordered = rows.join(clash, "post_id", "left_semi").groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("pos", "base_"))).alias("all_"))
+    refs = ordered.select("post_id", "all_", F.aggregate("all_", F.array().cast("array<string>"), step).alias("refs_"))
+    mended = refs.select("post_id", F.explode(F.arrays_zip(F.col("all_")["pos"].alias("pos"), F.col("refs_").alias("ref_"))).alias("x")).select("post_id", "x.pos", "x.ref_")
+    return rows.join(mended, ["post_id", "pos"], "left").withColumn("ref", F.coalesce("ref_", "ref")).select(*mentions.columns, "ref")
 
 
 def map_query(df: DataFrame, hints: list[str]) -> DataFrame:

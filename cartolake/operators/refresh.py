@@ -9,18 +9,24 @@ from pyspark.sql.window import Window
 from cartolake.operators.urls import classify_map_url
 
 
-def detail_refresh_candidates(catalogue: DataFrame, include_inactive: bool = False) -> DataFrame:
-    """Places with a valid map URL that is no viewport, the first of each URL."""
+def detail_refresh_candidates(catalogue: DataFrame, include_inactive: bool = False, most: int | None = None) -> DataFrame:
+    """Places with a valid map URL that is no viewport, the first of each URL by id; with most, so many by id."""
     own = classify_map_url(catalogue, "link").where("is_maps_url AND NOT is_viewport_url")
     own = own if include_inactive else own.where("visibility = 'ACTIVE'")
-    return own.withColumn("n_", F.row_number().over(Window.partitionBy("link").orderBy("id"))).where("n_ = 1").drop("n_", "is_maps_url", "is_viewport_url", "is_missing_name")
+    first = own.groupBy(F.trim("link").alias("url_")).agg(F.min_by(F.struct(*catalogue.columns), "id").alias("first_")).select("first_.*")
+    return first.orderBy("id").limit(most) if most and most > 0 else first
 
 
-def review_refresh_candidates(catalogue: DataFrame, now: str, max_age_hours: int, most: int) -> DataFrame:
-    """Active places that were never scraped or not since the cutoff, the oldest first."""
+def review_refresh_candidates(catalogue: DataFrame, now: str, max_age_hours: int, most: int, ids: list | None = None, include_recent: bool = False) -> DataFrame:
+    """Active places that were never scraped or not since the cutoff, the oldest first.
+
+    With ids only those places, whatever their age; with include_recent all, whatever their age.
+    """
     cutoff = F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(max(1, max_age_hours)))
     own = classify_map_url(catalogue, "link").where("is_maps_url AND NOT is_viewport_url AND visibility = 'ACTIVE'")
-    due = own.where(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") <= cutoff))
+    if ids:
+        own = own.where(F.col("id").cast("string").isin([str(i) for i in ids]))
+    due = own if ids or include_recent else own.where(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") <= cutoff))
     return due.select(*catalogue.columns).orderBy(F.asc_nulls_first("last_scraped_at"), "id").limit(most)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolake.functions.text import blank_to_null
 from cartolake.operators.classify import first_float, first_int
 from cartolake.operators.urls import upscale_image
 
@@ -22,9 +23,10 @@ def dedupe_reviews(reviews: DataFrame) -> DataFrame:
 def authenticity_score(reviews: DataFrame) -> DataFrame:
     """Adds authenticity_score, 0 to 1 with four decimals; ties go up whatever their binary form."""
     size = F.length(F.coalesce(F.trim("text"), F.lit("")))
-    share = lambda c, most: F.least(F.coalesce(F.col(c), F.lit(0)) / F.lit(float(most)), F.lit(1.0))
+    share = lambda c, most: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) / F.lit(float(most)), F.lit(1.0))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     trust = (share("total_reviews", 50) + share("total_photos", 100) + flag(F.coalesce("is_local_guide", F.lit(False)))) / 3.0
+    # fixed values: the weights, and the lengths and totals that count in full
     score = 0.15 * flag(size > 0) + 0.25 * F.least(size / 200.0, F.lit(1.0)) + 0.25 * flag(F.coalesce("n_images", F.lit(0)) > 0) + 0.35 * trust
     return reviews.withColumn("authenticity_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) + 1e-9, 4))
 
@@ -38,15 +40,17 @@ def recent_reviews_with_images(reviews: DataFrame, n: int) -> DataFrame:
 def scoring_reviews(reviews: DataFrame, n: int) -> DataFrame:
     """Valid rows (id, author, rating 1 to 5) with their content hash, the first n of each place."""
     fine = (F.trim("review_id") != "") & (F.trim("author") != "") & F.col("rating").between(1, 5)
-    text, date = F.coalesce(F.trim("text"), F.lit("")), F.coalesce("review_date", F.lit("1970-01-01"))
+    text, date = F.coalesce(F.trim("text"), F.lit("")), F.coalesce(blank_to_null(F.col("review_date")), F.lit("1970-01-01"))
     kept = reviews.where(fine).withColumn("content_hash", F.sha2(F.concat_ws("|", "author", F.col("rating").cast("string"), text, date), 256))
     return kept.withColumn("n_", F.row_number().over(Window.partitionBy("place_id").orderBy("seq"))).where(F.col("n_") <= n).drop("n_")
 
 
 def refresh_reviews(reviews: DataFrame, scraped_at: str) -> DataFrame:
-    """The refresh contract: as scoring_reviews, but with an image, the date of the scrape for none, and another hash."""
+    """The refresh contract: as scoring_reviews, but with an image, the date of the scrape for a blank or unreadable one, and another hash."""
     fine = (F.trim("review_id") != "") & (F.trim("author") != "") & F.col("rating").between(1, 5) & (F.col("n_images") > 0)
-    text, date = F.coalesce(F.trim("text"), F.lit("")), F.coalesce("review_date", F.lit(scraped_at))
+    given = blank_to_null(F.col("review_date"))
+    readable = F.rlike(given, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")) & given.try_cast("timestamp").isNotNull()
+    text, date = F.coalesce(F.trim("text"), F.lit("")), F.when(readable, given).otherwise(scraped_at)
     return reviews.where(fine).withColumn("content_hash", F.sha2(F.concat_ws("|", "review_id", F.col("rating").cast("string"), text, date), 256))
 
 

@@ -108,7 +108,10 @@ def place_info_from_pages(spark, sf_dir):
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'TIKTOK' WHEN 1 THEN 'INSTAGRAM' END AS platform, page_id % 3 < 2 AS is_social, page_id % 3 = 0 AS is_carousel, CASE page_id % 3 WHEN 0 THEN concat('https://www.tiktok.com/@u/photo/', page_id) WHEN 1 THEN concat('https://www.instagram.com/p/', page_id) ELSE regexp_replace(url, '[?#].*$', '') END AS canonical FROM pages")
 def canonical_social_url(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").selectExpr("page_id", "CASE page_id % 3 WHEN 0 THEN concat('https://m.tiktok.com/@u/photo/', page_id, '?x=1') WHEN 1 THEN concat('https://www.instagram.com/p/', page_id, '?igsh=2') ELSE url END AS url")
-    return urls.canonical_social_url(rows, "url").select("page_id", "platform", "is_social", "is_carousel", "canonical")
+    # every other carousel is known by a short link only, which leads to it
+    short = F.expr("CASE WHEN page_id % 6 = 0 THEN concat('https://vt.tiktok.com/', page_id, '/') ELSE url END")
+    redirects = rows.where("page_id % 6 = 0").select(short.alias("short_url"), F.col("url").alias("target"))
+    return urls.canonical_social_url(rows.withColumn("url", short), "url", redirects).select("page_id", "platform", "is_social", "is_carousel", "canonical")
 
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN concat('https://maps.example/place/', page_id) ELSE concat('t', page_id) END AS source_url FROM pages")
@@ -118,10 +121,10 @@ def resolve_source_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").selectExpr("page_id", "url", title, link).select("page_id", urls.resolve_source_url(F.col("title"), F.col("link")).alias("source_url"))
 
 
-@query("SELECT n_name AS location, CAST(n AS INTEGER) AS query_no, concat(q, ' ', n_name) AS query FROM nation, (VALUES (1, 'food'), (2, 'night market')) t(n, q)")
+@query("SELECT n_name AS location, CAST(n AS INTEGER) AS query_no, q AS query FROM nation, (VALUES (1, 'food'), (2, 'night market'), (3, 'coffee'), (4, 'pho'), (5, 'cafe')) t(n, q)")
 def expand_location_queries(spark, sf_dir):
-    templates = spark.createDataFrame([(0, "{food} food {region}"), (1, "food"), (2, "night {area} market"), (3, "coffee")], "pos int, template string")
-    return discovery.expand_location_queries(table(spark, sf_dir, "nation").selectExpr("n_name AS location"), templates, 2)
+    templates = spark.createDataFrame([(0, "{food} food {region}"), (1, "food"), (2, " night {area} market, "), (3, "coffee"), (4, " {area} ")], "pos int, template string")
+    return discovery.expand_location_queries(table(spark, sf_dir, "nation").selectExpr("n_name AS location"), templates, 5, defaults=("food", "pho", "cafe", "rice"))
 
 
 @query("SELECT p_partkey AS id, CAST(3 AS INTEGER) AS n_lines, concat(1 + p_partkey % 5, ',5 (', p_partkey, ')') AS rating_line, concat(1 + p_partkey % 5, ',5 (', p_partkey, ')') AS reviews_line FROM part")
@@ -217,11 +220,11 @@ def match_text(spark, sf_dir):
 
 @query()
 def quote_support(spark, sf_dir):
-    """Each turn's first 60 characters against the turn before it, and its own text: the ratio has no SQL form."""
+    """Each turn, whole, against the turn before it, and against its own text with every fourth word left out: the ratio has no SQL form."""
     rows = table(spark, sf_dir, "conversations")
-    own = rows.selectExpr("conv_id", "turn", "'own' AS against", "substr(text, 1, 60) AS quote", "text")
+    own = rows.selectExpr("conv_id", "turn", "'own' AS against", "text AS quote", "array_join(filter(split(text, ' '), (x, i) -> i % 4 < 3), ' ') AS text")
     prior = rows.selectExpr("conv_id", "turn + 1 AS turn", "text AS before")
-    other = rows.join(prior, ["conv_id", "turn"]).selectExpr("conv_id", "turn", "'before' AS against", "substr(text, 1, 60) AS quote", "before AS text")
+    other = rows.join(prior, ["conv_id", "turn"]).selectExpr("conv_id", "turn", "'before' AS against", "text AS quote", "before AS text")
     return linking.quote_support(own.unionByName(other), "quote", "text").select("conv_id", "turn", "against", "supported")
 
 
@@ -287,7 +290,7 @@ def reject_posts(spark, sf_dir):
 def drop_near_identical(spark, sf_dir):
     """A fold over the frames in order, which SQL has not."""
     rows = table(spark, sf_dir, "embeddings").selectExpr("floor(vec_id / 50) AS video", "vec_id AS pos", "embedding AS vector")
-    return linking.drop_near_identical(rows, 0.45)
+    return linking.drop_near_identical(rows, 0.2, 4)
 
 
 @query("SELECT conv_id AS post_id, turn AS pos, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 'DONE' ELSE 'PENDING' END AS stage FROM conversations")

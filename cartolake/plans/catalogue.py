@@ -28,6 +28,25 @@ def write_place_export(spark, sf_dir):
     return spark.read.schema("id long, title string, images array<string>").json(path).select("id", "title", F.size("images").alias("n_images"))
 
 
+@query("SELECT p_partkey AS id, p_name AS title FROM part")
+def read_place_export(spark, sf_dir):
+    """Exports of up to 100 places each, a file for each one, read again."""
+    path = scratch(spark, "exports")
+    group = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("g")).agg(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))).alias("places"))
+    whole = F.to_json(F.struct(F.lit("2024-05-06").alias("generated_at"), F.size("places").alias("count"), "places"))
+    group.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_place_export(spark, path, "id long, title string")
+
+
+@query("SELECT lower(n_name) AS code, n_name AS name, CAST(n_nationkey AS INTEGER) AS priority, CAST(n_nationkey % 3 AS INTEGER) AS n_areas FROM nation")
+def read_regions(spark, sf_dir):
+    """The nations as a file of regions, a dimension, read again."""
+    path = scratch(spark, "regions")
+    one = F.struct(F.lower("n_name").alias("code"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("priority"), F.expr("slice(array('north', 'south'), 1, CAST(n_nationkey % 3 AS INT))").alias("tourist_areas"))
+    table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(one)).alias("value")).write.text(path)
+    return files.read_regions(spark, path).select("code", "name", "priority", F.size("tourist_areas").alias("n_areas"))
+
+
 @query("SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey % 5 < 4")
 def unwrap_place_list(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("list", F.to_json(F.array(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))))
@@ -37,22 +56,24 @@ def unwrap_place_list(spark, sf_dir):
     return files.unwrap_place_list(raw, "reply", "id long, title string")[0]
 
 
-@query("SELECT id, CAST(1 AS INTEGER) AS pos, link AS url FROM fx_place WHERE contains(link, 'google.com/maps')")
+@query("SELECT id, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 1 THEN link ELSE concat('https://maps.app.goo.gl/a', id) END AS url FROM fx_place, (VALUES (1), (2)) t(pos) WHERE contains(link, 'google.com/maps') OR pos = 2 AND link <> ''")
 def extract_map_urls(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_place").where("link <> ''").selectExpr("id", "concat('See https://example.org/x and ', link, ' soon') AS text")
+    """A link in words, and one in JSON, in brackets or before a sign that no URL holds."""
+    after = "concat('{\"u\":\"https://maps.app.goo.gl/a', id, CASE id % 4 WHEN 0 THEN '\"},' WHEN 1 THEN ']x' WHEN 2 THEN '|y' ELSE '`' END)"
+    rows = view(spark, sf_dir, "fx_place").where("link <> ''").selectExpr("id", f"concat('See https://example.org/x and ', link, ' soon ', {after}) AS text")
     return urls.extract_map_urls(rows, "text").select("id", "pos", "url")
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN concat('https://maps.app.goo.gl/', id, '?hl=en#top') WHEN id % 3 = 1 THEN concat('https://www.google.com/maps?q=', id, '&z=1&hl=en') ELSE concat('https://example.com/?hl=vi&q=', id) END AS link FROM fx_place""")
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN concat('https://maps.app.goo.gl/', id, '?hl=en#top') WHEN id % 3 = 1 THEN concat('https://www.google.com/maps?q=a+b%2C', id, '&e=&z=1~%2A&hl=en') ELSE concat('https://example.com/?hl=vi&q=', id) END AS link FROM fx_place""")
 def force_language(spark, sf_dir):
-    link = "CASE id % 3 WHEN 0 THEN concat('https://maps.app.goo.gl/', id, '#top') WHEN 1 THEN concat('https://www.google.com/maps?HL=vi&q=', id, '&hl=fr&z=1') ELSE concat('https://example.com/?hl=vi&q=', id) END AS link"
+    link = "CASE id % 3 WHEN 0 THEN concat('https://maps.app.goo.gl/', id, '#top') WHEN 1 THEN concat('https://www.google.com/maps?HL=vi&q=a%20b,', id, '&e&hl=fr&z=1~*') ELSE concat('https://example.com/?hl=vi&q=', id) END AS link"
     return urls.force_language(view(spark, sf_dir, "fx_place").selectExpr("id", link), "link")
 
 
-@query("SELECT id, concat('https://h/p', id, CASE WHEN id % 2 = 0 THEN concat('=w', id, '0-h', id, '0-k') ELSE concat('=s', id, '0-w5') END) AS url FROM fx_place")
+@query("SELECT id, concat('https://h/p', id, CASE WHEN id % 2 = 0 THEN concat('=w', id * 3, '-h', id * 3, '-k') ELSE concat('=s', id * 3, '-w5=w21') END) AS url FROM fx_place")
 def upscale_image(spark, sf_dir):
-    url = "concat('https://h/p', id, CASE WHEN id % 2 = 0 THEN concat('=w', id, '-h', id, '-k') ELSE concat('=s', id, '-w5') END) AS url"
-    return view(spark, sf_dir, "fx_place").selectExpr("id", url).select("id", urls.upscale_image(F.col("url")).alias("url"))
+    url = "concat('https://h/p', id, CASE WHEN id % 2 = 0 THEN concat('=w', id, '-h', id, '-k') ELSE concat('=s', id, '-w5=w007') END) AS url"
+    return view(spark, sf_dir, "fx_place").selectExpr("id", url).select("id", urls.upscale_image(F.col("url"), 3).alias("url"))
 
 
 @query("SELECT place_id, pos FROM (SELECT user_id AS place_id, event_id AS pos, row_number() OVER (PARTITION BY user_id, event_id % 9 ORDER BY event_id) AS n FROM events WHERE event_id % 5 > 1) WHERE n = 1")

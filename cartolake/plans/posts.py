@@ -107,6 +107,27 @@ def drained(spark: SparkSession, stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def totalled(spark: SparkSession, stream: DataFrame, tag: str) -> DataFrame:
+    """What a stream in complete mode says after the data there are, as a table; every batch writes it anew."""
+    path = scratch(spark, tag)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("SELECT user_id AS job_id, count(*) AS n_events, sum(event_id % 3) AS imported FROM events GROUP BY user_id")
+def live_counters(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_id % 3 AS imported")
+    return totalled(spark, stream_events.live_counters(replay(spark, rows, "counted")), "counters")
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (event_type = 'purchase', ts, event_id)) AS status FROM events GROUP BY user_id")
+def live_job_state(spark, sf_dir):
+    """An event of one type ends its job."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_type AS status", "ts", "event_id")
+    return totalled(spark, stream_events.live_job_state(replay(spark, rows, "states"), ("purchase",)), "job-states").select("job_id", "status")
+
+
 @query("SELECT event_id, count(*) AS n FROM events GROUP BY event_id")
 def dedupe_events_stream(spark, sf_dir):
     """Every event sent twice comes once."""
@@ -121,11 +142,11 @@ def block_guard_stream(spark, sf_dir):
     return drained(spark, stream_events.live_block_guard(replay(spark, rows, "runs")), "guard")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN concat(p_name, ' street') END AS address, CASE WHEN p_partkey % 5 = 0 THEN 'BLANK_TITLE' END AS reject_reason FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 1 THEN concat(p_name, ' street') END AS address, CASE p_partkey % 5 WHEN 0 THEN 'BLANK_TITLE' WHEN 1 THEN 'GENERIC_TITLE' END AS reject_reason FROM part")
 def ingest_places_stream(spark, sf_dir):
     """Captures through the stream; the places and the rejects that come out of it."""
     part = table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS id", "CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE ' ' END AS title", "'' AS link", "concat('Address: ', p_name, ' street') AS address",
+        "p_partkey AS id", "CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'Dropped pin' ELSE p_name END AS title", "'' AS link", "concat('Address: ', p_name, ' street') AS address",
         *(f"'' AS {c}" for c in ("phone", "plus_code", "price_range", "current_open_status", "status")),
     )
     stream, out = replay(spark, part, "captures"), scratch(spark, "ingested")

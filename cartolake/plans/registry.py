@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cartolake.operators import ai_log, classify, discovery, mentions, refresh, reviews, urls
 from cartolake.sources import files
-from cartolake.streaming import events as stream_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,12 +26,23 @@ PLACE = """SELECT concat('ChIJ', p_partkey) AS place_id, p_partkey AS id, CASE p
 HIT = """SELECT concat('ChIJ', l_partkey) AS place_id, '' AS cid, '' AS link, '' AS resolved_url, n_name AS region, n_nationkey AS region_no, l_orderkey % 20 AS query_no,
   l_linenumber AS hit_rank, l_orderkey, l_suppkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""
 REVIEW = """SELECT CASE WHEN event_id % 50 = 0 THEN '' ELSE concat('r', event_id % 4000) END AS review_id, event_id AS seq, concat('ChIJ', user_id) AS place_id, event_type AS author,
-  event_id % 7 AS rating, event_id % 3 AS n_images, event_id % 60 AS total_reviews, event_id % 130 AS total_photos, event_id % 2 = 0 AS is_local_guide,
-  CASE WHEN event_id % 11 = 0 THEN NULL ELSE '2024-05-06' END AS review_date, props AS text FROM events"""
+  event_id % 7 AS rating, event_id % 3 AS n_images, event_id % 60 - 5 AS total_reviews, event_id % 130 AS total_photos, event_id % 2 = 0 AS is_local_guide,
+  CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN '4 days ago' ELSE '2024-05-06' END AS review_date, props AS text FROM events"""
 RUNS = """SELECT user_id AS worker, event_id AS seq, event_type = 'error' OR event_type = 'view' AS blocked, event_type = 'signup' AS raised FROM events"""
 MENTION = """SELECT conv_id AS post_id, turn AS pos, concat(conv_id, '/', turn) AS mention_id, CASE WHEN turn % 2 = 0 THEN '' ELSE concat('c', conv_id % 5) END AS candidate_ref, role, text,
   CASE WHEN (conv_id + turn) % 3 = 0 THEN 'EVIDENCE_VERIFIED' ELSE 'UNRESOLVED' END AS status, CASE WHEN turn % 4 = 1 THEN 'generic' END AS reason FROM conversations"""
-VIEWS = {"fx_place": PLACE, "fx_hit": HIT, "fx_review": REVIEW, "fx_runs": RUNS, "fx_mention": MENTION}
+#: A pair of URLs of each shape; the id that the pair holds is in place_key.
+PAIR = """SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN concat('https://maps.app.goo.gl/s', p_partkey) WHEN 1 THEN concat('https://maps.google.com/?q=x&cid=', p_partkey, '#f')
+  WHEN 2 THEN concat('https://maps.google.com/?ftid=ChIJaaaaaaaaaaaa', 10000000 + p_partkey) WHEN 6 THEN concat('https://goo.gl/maps/q', p_partkey, '/?a=b') WHEN 8 THEN 'https://goo.gl/maps/lost'
+  ELSE concat('https://example.com/', p_partkey) END AS original, CASE p_partkey % 9
+  WHEN 0 THEN concat('https://www.google.com/maps/place/X/@10,106,15z/data=!1sChIJabcdefghijklmnop', 1000000 + p_partkey, '!8m2')
+  WHEN 2 THEN concat('https://www.google.com/maps/place/X/@-10.5,106/data=!1s0x31:0x', p_partkey, 'a!3d1.5!4d2.5') WHEN 3 THEN concat('https://www.google.com/maps/place/X/ChAJ0123456789abcdef', 10000000 + p_partkey, '?x=1')
+  WHEN 4 THEN concat('https://www.google.com/maps/place/X/data=!4m2!16s%2Fg%2F11b', p_partkey, '_x') WHEN 5 THEN concat('https://www.google.com/maps/place/X/data=!1s0x31752:0x', p_partkey, 'b!3d10.25!4d106')
+  WHEN 7 THEN concat('https://www.google.com/maps/place/X/data=!1sChIJshort', p_partkey, '!3d1.2.3!4d5') WHEN 8 THEN concat('https://www.google.com/maps?ftid=0x5:0x6&CID=1&cid=%20', p_partkey) END AS resolved,
+  CASE p_partkey % 9 WHEN 0 THEN concat('ChIJabcdefghijklmnop', 1000000 + p_partkey) WHEN 1 THEN concat('cid:', p_partkey) WHEN 2 THEN concat('ChIJaaaaaaaaaaaa', 10000000 + p_partkey)
+  WHEN 3 THEN concat('ChAJ0123456789abcdef', 10000000 + p_partkey) WHEN 4 THEN concat('g:11b', p_partkey, '_x') WHEN 5 THEN concat('0x31752:0x', p_partkey, 'b') WHEN 6 THEN concat('short:q', p_partkey)
+  WHEN 7 THEN 'url' WHEN 8 THEN concat('cid:', p_partkey) END AS place_key FROM part"""
+VIEWS = {"fx_pair": PAIR, "fx_place": PLACE, "fx_hit": HIT, "fx_review": REVIEW, "fx_runs": RUNS, "fx_mention": MENTION}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,14 +76,22 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = view(spark, sf_dir, "fx_place")
     known = discovery.exclude_existing(first.select("key", "region"), places.where("id % 7 = 0").select(F.col("place_id").alias("key")))
     met = known.join(places.withColumnRenamed("place_id", "key"), "key")
-    return met.withColumn("reason", discovery.filter_reason(discovery.food_gate(F.col("category"), FOOD), 101, 4.0))
-
-
-FUNNEL = f"""SELECT region, count(*) AS discovered, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND reason IS NULL) AS eligible,
+    judged = met.withColumn("reason", discovery.filter_reason(discovery.food_gate(F.col("category"), FOOD, F.expr("CASE WHEN id % 9 = 1 THEN 'food_and_drink' ELSE 'OTHER' END")), 101, 4.0))
+    # what the import answered for the eligible ones
+    eligible = ~F.col("is_known") & F.col("reason").isNull()
+    answered = judged.withColumns({
+        "imported": eligible & F.expr("id % 3 > 0"), "status": F.expr("CASE id % 5 WHEN 0 THEN 'SAVED_INACTIVE_ADJUSTED_RATING' WHEN 1 THEN 'SAVED_INACTIVE' ELSE 'IMPORTED' END"),
+        "n_reviews": F.expr("id % 4"), "failed": eligible & F.expr("id % 31 = 0"),
+    })
+    return discovery.classify_import_outcome(answered, 2).withColumn("skipped", eligible & F.col("skipped"))
+
+
+FUNNEL = f"""SELECT region, count(*) AS discovered, count(*) FILTER (known OR fits AND (id % 3 = 0 OR id % 5 <= 1)) AS skipped, count(*) FILTER (fits AND id % 3 > 0) AS imported,
+ count(*) FILTER (fits AND id % 31 = 0) AS failed, count(*) FILTER (fits AND id % 3 > 0 AND id % 5 = 0) AS rejected_score, count(*) FILTER (fits AND id % 3 > 0 AND id % 5 > 1 AND id % 4 < 2) AS insufficient_photo, count(*) FILTER (NOT known AND reason IS NULL) AS eligible,
  count(*) FILTER (NOT known AND reason = 'NON_FOOD') AS non_food, count(*) FILTER (NOT known AND reason = 'REVIEW_COUNT') AS low_reviews,
  count(*) FILTER (NOT known AND reason = 'GOOGLE_RATING') AS low_rating
- FROM (SELECT h.region, p.id % 7 = 0 AS known, CASE WHEN NOT {FOOD_SQL} THEN 'NON_FOOD' WHEN review_count < 101 THEN 'REVIEW_COUNT' WHEN rating <= 4.0 THEN 'GOOGLE_RATING' END AS reason
-  FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY region_no, query_no, hit_rank, l_orderkey, l_suppkey, l_partkey) AS n FROM fx_hit) h
+ FROM (SELECT h.region, p.id, p.id % 7 = 0 AS known, CASE WHEN NOT ({FOOD_SQL} OR p.id % 9 = 1) THEN 'NON_FOOD' WHEN review_count < 101 THEN 'REVIEW_COUNT' WHEN rating <= 4.0 THEN 'GOOGLE_RATING' END AS reason,
+  p.id % 7 > 0 AND ({FOOD_SQL} OR p.id % 9 = 1) AND review_count >= 101 AND rating > 4.0 AS fits FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY region_no, query_no, hit_rank, l_orderkey, l_suppkey, l_partkey) AS n FROM fx_hit) h
   JOIN fx_place p USING (place_id) WHERE n = 1) GROUP BY ROLLUP (region)"""
 
 
@@ -123,19 +141,23 @@ def rank_hits(spark, sf_dir):
     return discovery.rank_hits(hits, 40).selectExpr("query", "link", "rank AS hit_rank")
 
 
-MAPS_RE = r"'(?i)^https?://(www\.)?(google\.[a-z.]+/maps|maps\.google\.[a-z.]+|maps\.app\.goo\.gl|goo\.gl/maps)'"
+MAPS_RE = r"'(?i)https?://((www\.)?google\.com/maps|maps\.google\.com|maps\.app\.goo\.gl|goo\.gl/maps)'"
+#: Links with and without a name, views with and without a zoom, other hosts, a URL inside a text.
+LINK = """CASE id % 8 WHEN 0 THEN concat('https://www.google.com/maps/place//@1,', id) WHEN 1 THEN concat('HTTP://google.com/maps/place/?q=', id) WHEN 2 THEN 'https://www.google.com/maps/@10,106.5,15z' WHEN 3 THEN 'https://www.google.com/maps/@10,106.5'
+ WHEN 4 THEN concat('https://www.google.com/maps/place/X', id, '/place') WHEN 5 THEN concat('https://www.google.de/maps/', id) WHEN 6 THEN concat('see https://goo.gl/maps/', id) ELSE link END"""
 
 
-@query(rf"SELECT id, regexp_matches(link, {MAPS_RE}) AS is_maps_url, regexp_matches(link, '(?i)/maps/@-?[0-9.]+,-?[0-9.]+,[0-9.]+z') AS is_viewport_url, regexp_matches(link, '(?i)/place//|/place/?$') AS is_missing_name FROM fx_place")
+@query(f"SELECT id, id % 8 <= 4 OR id % 8 = 6 OR regexp_matches(link, {MAPS_RE}) AND id % 8 = 7 AS is_maps_url, id % 8 = 2 OR id % 8 = 7 AND contains(link, '/maps/@') AS is_viewport_url, id % 8 <= 1 AS is_missing_name FROM fx_place")
 def classify_map_url(spark, sf_dir):
-    return urls.classify_map_url(view(spark, sf_dir, "fx_place"), "link").select("id", "is_maps_url", "is_viewport_url", "is_missing_name")
+    return urls.classify_map_url(view(spark, sf_dir, "fx_place").withColumn("link", F.expr(LINK)), "link").select("id", "is_maps_url", "is_viewport_url", "is_missing_name")
 
 
-@query(r"""SELECT id, nullif(regexp_extract(link, '(0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)', 1), '') AS data_id, TRY_CAST(nullif(regexp_extract(link, '@(-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+)', 1), '') AS DOUBLE) AS lat,
- TRY_CAST(nullif(regexp_extract(link, '@(-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+)', 2), '') AS DOUBLE) AS lng, CAST(TRY_CAST(concat('0x', nullif(regexp_extract(link, '0x[0-9a-fA-F]+:0x([0-9a-fA-F]+)', 1), '')) AS UBIGINT) AS VARCHAR) AS cid FROM fx_place""")
+@query("""SELECT id, CASE id % 9 WHEN 2 THEN concat('0x31:0x', id, 'a') WHEN 5 THEN concat('0x31752:0x', id, 'b') END AS data_id,
+ CASE id % 9 WHEN 0 THEN 10e0 WHEN 2 THEN -10.5e0 WHEN 5 THEN 10.25e0 END AS lat, CASE id % 9 WHEN 0 THEN 106e0 WHEN 2 THEN 106e0 WHEN 5 THEN 106e0 WHEN 7 THEN 5e0 END AS lng,
+ CASE id % 9 WHEN 2 THEN CAST(CAST(concat('0x', id, 'a') AS UBIGINT) AS VARCHAR) WHEN 5 THEN CAST(CAST(concat('0x', id, 'b') AS UBIGINT) AS VARCHAR) WHEN 8 THEN CAST(id AS VARCHAR) END AS cid FROM fx_pair""")
 def parse_url_parts(spark, sf_dir):
-    lat, lng = urls.parse_coords(F.col("link"))
-    return view(spark, sf_dir, "fx_place").select("id", urls.parse_data_id(F.col("link")).alias("data_id"), lat.alias("lat"), lng.alias("lng"), urls.parse_cid(F.col("link")).alias("cid"))
+    lat, lng = urls.parse_coords(F.col("resolved"))
+    return view(spark, sf_dir, "fx_pair").select("id", urls.parse_data_id(F.col("resolved")).alias("data_id"), lat.alias("lat"), lng.alias("lng"), urls.parse_cid(F.col("resolved")).alias("cid"))
 
 
 @query("""SELECT id, CASE WHEN id % 4 = 0 THEN concat('A B ', id) END AS title FROM fx_place""")
@@ -143,10 +165,11 @@ def decode_title_from_url(spark, sf_dir):
     return view(spark, sf_dir, "fx_place").select("id", urls.decode_title(F.col("link")).alias("title"))
 
 
-@query("SELECT page_id, concat('ChIJ', page_id) AS place_key FROM pages")
+@query("SELECT id, place_key FROM fx_pair")
 def parse_place_identity(spark, sf_dir):
-    url = F.concat(F.lit("https://www.google.com/maps/place/x/data=!1sChIJ"), F.col("page_id").cast("string"), F.lit("!8m2"))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.parse_place_identity(url, F.col("url")).alias("place_key"))
+    """Every shape of a pair of URLs; a hash is shown without its digits."""
+    key = urls.parse_place_identity(F.col("original"), F.col("resolved"))
+    return view(spark, sf_dir, "fx_pair").select("id", F.regexp_replace(key, "^url:.*$", "url").alias("place_key"))
 
 
 @query("SELECT place_id, trim(replace(replace(category, '_', ' '), '&', 'and')) AS category, CASE WHEN latitude > 8 AND latitude < 24 AND longitude > 102 AND longitude < 110 THEN 'Asia/Saigon' ELSE 'UTC' END AS timezone FROM fx_place")
@@ -154,9 +177,15 @@ def normalize_places(spark, sf_dir):
     return classify.infer_locale(view(spark, sf_dir, "fx_place")).select("place_id", classify.normalize_category(F.col("category")).alias("category"), "timezone")
 
 
-@query("SELECT id, CASE WHEN contains(link, '/maps/@') THEN 'VIEWPORT_URL' WHEN trim(title) = '' THEN 'BLANK_TITLE' WHEN starts_with(lower(title), 'http') THEN 'URL_TITLE' END AS reject_reason FROM fx_place")
+@query("""SELECT id, CASE WHEN id % 13 = 2 THEN 'VIEWPORT_URL' WHEN id % 13 = 3 THEN 'MISSING_NAME' WHEN id % 7 = 6 THEN 'SCRAPE_FAILED' WHEN id % 8 = 1 THEN 'BLANK_TITLE' WHEN id % 8 IN (0, 4) THEN 'GENERIC_TITLE'
+ WHEN id % 8 = 3 THEN 'URL_TITLE' END AS reject_reason FROM fx_place WHERE id % 13 BETWEEN 2 AND 4 OR NOT contains(link, '/maps/@')""")
 def place_gate(spark, sf_dir):
-    return classify.place_gate(view(spark, sf_dir, "fx_place")).select("id", "reject_reason")
+    rows = view(spark, sf_dir, "fx_place").withColumns({
+        "title": F.expr("CASE id % 8 WHEN 0 THEN ' Dropped   Pin' WHEN 1 THEN ' ' WHEN 2 THEN 'Httpster' WHEN 3 THEN 'HTTPS://x' WHEN 4 THEN 'this location' ELSE title END"),
+        "link": F.expr("CASE id % 13 WHEN 2 THEN 'https://google.com/maps/@10,106.5,15.5z' WHEN 3 THEN 'https://www.google.com/maps/place//@1,2' WHEN 4 THEN 'https://www.google.com/maps/@10,106' ELSE link END"),
+        "scrape_status": F.expr("CASE WHEN id % 7 = 6 THEN 'Failed' END"),
+    }).where("id % 13 BETWEEN 2 AND 4 OR link NOT LIKE '%/maps/@%'")
+    return classify.place_gate(rows).select("id", "reject_reason")
 
 
 @query("SELECT id, rating AS x, review_count AS n FROM fx_place")
@@ -172,7 +201,7 @@ def dedupe_reviews(spark, sf_dir):
 
 
 @query("""SELECT seq, round(0.15 * (CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END) + 0.25 * least(length(trim(text)) / 200e0, 1) + 0.25 * (CASE WHEN n_images > 0 THEN 1 ELSE 0 END)
- + 0.35 * (least(total_reviews / 50e0, 1) + least(total_photos / 100e0, 1) + CASE WHEN is_local_guide THEN 1 ELSE 0 END) / 3 + 1e-9, 4) AS authenticity_score FROM fx_review""")
+ + 0.35 * (greatest(least(total_reviews / 50e0, 1), 0) + least(total_photos / 100e0, 1) + CASE WHEN is_local_guide THEN 1 ELSE 0 END) / 3 + 1e-9, 4) AS authenticity_score FROM fx_review""")
 def authenticity_score(spark, sf_dir):
     return reviews.authenticity_score(view(spark, sf_dir, "fx_review")).select("seq", "authenticity_score")
 
@@ -182,12 +211,12 @@ def recent_reviews_with_images(spark, sf_dir):
     return reviews.recent_reviews_with_images(view(spark, sf_dir, "fx_review"), 0).select("seq")
 
 
-@query("SELECT seq, content_hash FROM (SELECT seq, sha256(concat(author, '|', rating, '|', coalesce(trim(text), ''), '|', coalesce(review_date, '1970-01-01'))) AS content_hash, row_number() OVER (PARTITION BY place_id ORDER BY seq) AS n FROM fx_review WHERE review_id <> '' AND author <> '' AND rating BETWEEN 1 AND 5) WHERE n <= 20")
+@query("SELECT seq, content_hash FROM (SELECT seq, sha256(concat(author, '|', rating, '|', coalesce(trim(text), ''), '|', coalesce(nullif(trim(review_date), ''), '1970-01-01'))) AS content_hash, row_number() OVER (PARTITION BY place_id ORDER BY seq) AS n FROM fx_review WHERE review_id <> '' AND author <> '' AND rating BETWEEN 1 AND 5) WHERE n <= 20")
 def scoring_reviews(spark, sf_dir):
     return reviews.scoring_reviews(view(spark, sf_dir, "fx_review"), 20).select("seq", "content_hash")
 
 
-@query("SELECT seq, sha256(concat(review_id, '|', rating, '|', coalesce(trim(text), ''), '|', coalesce(review_date, '2024-06-01'))) AS content_hash FROM fx_review WHERE review_id <> '' AND author <> '' AND rating BETWEEN 1 AND 5 AND n_images > 0")
+@query("SELECT seq, sha256(concat(review_id, '|', rating, '|', coalesce(trim(text), ''), '|', CASE WHEN starts_with(review_date, '2024') THEN review_date ELSE '2024-06-01' END)) AS content_hash FROM fx_review WHERE review_id <> '' AND author <> '' AND rating BETWEEN 1 AND 5 AND n_images > 0")
 def refresh_reviews(spark, sf_dir):
     return reviews.refresh_reviews(view(spark, sf_dir, "fx_review"), "2024-06-01").select("seq", "content_hash")
 
@@ -255,12 +284,6 @@ def ai_call_rows(spark, sf_dir):
     return ai_log.ai_call_rows(calls).select("trace_id.conv_id", "trace_id.turn", "provider", "status", "input_tokens", "cached_tokens", "output_tokens")
 
 
-@query("SELECT user_id AS job_id, count(*) AS n_events, sum(event_id % 3) AS imported FROM events GROUP BY user_id")
-def live_counters(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS job_id", "event_id % 3 AS imported")
-    return stream_events.live_counters(rows)
-
-
 @query("SELECT id, scope FROM (SELECT id FROM fx_place WHERE id % 4 = 0) CROSS JOIN (VALUES ('places'), ('translations')) t(scope)")
 def title_corrections(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_place").select("id", F.col("link").alias("old"), urls.decode_title(F.col("link")).alias("new"))

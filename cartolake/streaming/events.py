@@ -24,9 +24,15 @@ def live_counters(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id").agg(F.count("*").alias("n_events"), F.sum("imported").alias("imported"))
 
 
-def live_job_state(stream: DataFrame) -> DataFrame:
-    """Per job the status of its last event, for update or complete mode."""
-    return stream.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("updated_at"))
+#: Statuses after which a job's progress doesn't count any more.
+TERMINAL = ("completed", "failed", "cancelled")
+
+
+def live_job_state(stream: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Per job the status of its last event, for update or complete mode; once a terminal one has come, of the last such."""
+    over = F.coalesce(F.lower("status").isin(*terminal), F.lit(False))
+    last = F.max_by(F.struct("status", "ts"), F.struct(over, "ts", "event_id"))
+    return stream.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.status", F.col("last.ts").alias("updated_at"))
 
 
 def ingest_places(stream: DataFrame, places: str, rejects: str, checkpoint: str) -> StreamingQuery:

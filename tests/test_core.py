@@ -30,9 +30,28 @@ def test_query_equals_sql(spark, name):
 
 
 def test_identity_prefers_the_resolved_url(spark):
-    rows = spark.createDataFrame([("https://maps.app.goo.gl/abc", "https://www.google.com/maps/place/x/data=!1sChIJxyz"), ("https://goo.gl/maps/q1", None)], "a string, b string")
+    long = "ChIJ" + "x" * 23
+    pairs = [
+        ("https://maps.app.goo.gl/abc", f"https://www.google.com/maps/place/x/data=!1s{long}"), ("https://goo.gl/maps/q1", None), (f"https://x/?ftid={long}", "https://x/data=!16s%2Fg%2F11b"),
+        (f"https://x/?ftid={long}", "https://x/data=!1s0x31:0x5a"), ("https://x/?cid=123", "https://x/maps?ftid=0x1:0x2"), ("https://x/?cid=", "https://x/data=!1s0x31:0x5a"), ("https://x/a!1sChIJshort", ""),
+    ]
+    rows = spark.createDataFrame(pairs, "a string, b string")
     found = [r[0] for r in rows.select(urls.parse_place_identity(F.col("a"), F.col("b"))).collect()]
-    assert found == ["ChIJxyz", "short:q1"]
+    assert found[:-1] == [long, "short:q1", "g:11b", long, "cid:123", "0x31:0x5a"] and found[-1].startswith("url:")
+
+
+def test_refs_that_meet_new_ones(spark):
+    refs = ["a", "a", "a-0002", "a-0002", "", "social-0005", "x" * 200, "x" * 130, None]
+    rows = spark.createDataFrame([("p", k, r) for k, r in enumerate(refs)] + [("q", 0, "a"), ("q", 1, "a")], "post_id string, pos int, candidate_ref string")
+    found = {(r.post_id, r.pos): r.ref for r in mentions.unique_refs(rows).collect()}
+    want, used = [], set()
+    for k, r in enumerate(refs, 1):
+        base = ((r or "").strip() or f"social-{k:04d}")[:128]
+        tails = ["", f"-{k:04d}", *(f"-{k:04d}-{n}" for n in range(2, 20))]
+        ref = next(x for x in (base[: 128 - len(t)] + t for t in tails) if x not in used)
+        used.add(ref)
+        want.append(ref)
+    assert [found["p", k] for k in range(len(refs))] == want and [found["q", k] for k in range(2)] == ["a", "a-0002"]
 
 
 def test_language_is_forced_once(spark):
@@ -66,6 +85,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("ts", "event_id", "user_id AS job_id", "event_type AS status", "1 AS imported")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = events.live_job_state(stream).writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start()
+    stop = ("purchase",)
+    q = events.live_job_state(stream, stop).writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(spark.table("state").collect()) == sorted(events.live_job_state(rows).collect())
+    assert sorted(spark.table("state").collect()) == sorted(events.live_job_state(rows, stop).collect())

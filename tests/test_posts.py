@@ -31,10 +31,11 @@ def test_match_score_without_names(spark):
 
 
 def test_model_output(spark):
-    rows = spark.createDataFrame([('```\n{"a": {"b": 1}}\n```',), ('{"a": true\n "b": 1}',), ('{"l": [{"a": 1}\n{"a": 2}]}',), ("no object",), ("",), (None,), ('{"a": }',)], "o string")
+    rows = spark.createDataFrame([('```\n{"a": {"b": 1}}\n```',), ('{"a": true\n "b": 1}',), ('{"l": [{"a": 1}\n{"a": 2}]}',), ("no object",), ("",), (None,), ('{"a": }',), ('{"s": "x\\" }\\n\\"k\\": 1" "n": -1.5e3 "l": [1 2 "b" {} [],], "t": null "u": {"v": 1,},}',)], "o string")
     found = extraction.parse_ai_output(rows, "o").collect()
-    assert [r.json is not None for r in found] == [True, True, True, False, False, False, False]
-    assert [r.repaired for r in found] == [False, True, True, False, False, False, False]
+    assert [r.json is not None for r in found] == [True, True, True, False, False, False, False, True]
+    assert json.loads(found[7].json) == {"s": 'x" }\n"k": 1', "n": -1500.0, "l": [1, 2, "b", {}, []], "t": None, "u": {"v": 1}}
+    assert [r.repaired for r in found] == [False, True, True, False, False, False, False, True]
     assert json.loads(found[2].json) == {"l": [{"a": 1}, {"a": 2}]}
 
 
