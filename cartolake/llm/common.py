@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset in local mode, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -59,3 +61,11 @@ def hash_share(h: Column, wanted: int, rows: int) -> Column:
     if wanted >= rows:
         return F.lit(True)
     return h < F.lit((1 << 64) * wanted // rows - (1 << 63))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -4,6 +4,7 @@ Tokens score their log-odds of toxic against clean text under an informative Dir
 frequencies; tokens whose log-odds are not significant share the log-odds of the rest. A linear-time scan finds every
 maximal-scoring segment of a text. Karlin-Altschul statistics turn a segment's score into an extreme-value statistic,
 lambda S - ln(K m) for m tokens; a text's significant segments add up, and a logistic curve over that sum gives the score.
+K and the curve are fitted on a share of the labelled rows that the log-odds haven't seen.
 """
 
 from __future__ import annotations
@@ -15,19 +16,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, materialize, texts_of
+from .common import encoded, hash_share, materialize, texts_of
 
-#: Labelled rows that the model is fitted on at most; beyond, a hashed share of them. So the broadcast labels are bounded.
+#: Labelled rows that the model is fitted on at most; beyond, a hashed share of them. So the broadcast labels are bounded, and
+#: so are the tokens that can be significant there, each of which has a score of its own.
 TRAIN_ROWS = 200_000
-#: Tokens with a score of their own at most, by significance.
-TOKENS = 20_000
-MIN_Z = 3.5
+MIN_Z = 2.5
+#: One labelled row in so many calibrates; the others give the log-odds.
+CALIBRATION = 3
+#: Segments of a text that calibration looks at: the statistic's smaller parts don't move the curve.
+SEGMENTS = 64
+EULER = 0.5772156649015329
 #: Weight of the prior, as a share of all counts.
-PRIOR = 0.02
+PRIOR = 0.2
 EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_"
 COUNTED = 500_000
 THRESHOLD = 0.7
@@ -37,6 +43,11 @@ def tokens(text: str | None) -> list[bytes]:
     return [w.strip(EDGE) for w in encoded(text).lower().split()]
 
 
+def total(each: list[float], none: float) -> float:
+    good = sum(g for g in each if g > 0)
+    return good if good > 0 else max(each, default=none)
+
+
 @dataclass(frozen=True)
 class Model:
     scores: dict[bytes, float]
@@ -49,9 +60,11 @@ class Model:
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(first word, end word, score) of every maximal-scoring segment, by position: Ruzzo and Tompa's scan.
 
-        Only words with a score of their own can begin or end one; the words between cost `rest` each.
+        Only words with a score of their own can begin or end one; the words between cost `rest` each. Each candidate
+        knows the last one before it whose sum before is smaller, so the search back skips what can't be an answer.
         """
-        own, found, total, at = self.scores, [], 0.0, 0  # found: first, end, sum before, sum with it
+        own, total, at = self.scores, 0.0, 0
+        found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum with it, last one with a smaller sum before
         for i, w in enumerate(words):
             s = own.get(w)
             if s is None:
@@ -61,25 +74,26 @@ class Model:
             if s <= 0:
                 total += s
                 continue
-            first, before, total = i, total, total + s
+            first, before, total, j = i, total, total + s, len(found) - 1
             while True:
-                j = len(found) - 1
                 while j >= 0 and found[j][2] >= before:
-                    j -= 1
+                    j = found[j][4]
                 if j < 0 or found[j][3] >= total:
                     break
-                first, before = found[j][0], found[j][2]
+                first, _, before, _, smaller = found[j]
                 del found[j:]
-            found.append((first, i + 1, before, total))
-        return [(a, b, y - x) for a, b, x, y in found]
+                j = smaller
+            found.append((first, i + 1, before, total, j))
+        return [(a, b, y - x) for a, b, x, y, _ in found]
+
+    def significances(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, end word, extreme-value statistic) of every maximal segment."""
+        base = self.ln_k + math.log(len(words) + 1)
+        return [(a, b, self.lam * s - base) for a, b, s in self.segments(words)]
 
     def statistic(self, words: list[bytes]) -> float:
         """The sum of the significant segments' extreme-value statistics; without any, the best one's."""
-        found = self.segments(words)
-        base = self.ln_k + math.log(len(words) + 1)
-        each = [self.lam * s - base for _, _, s in found]
-        good = sum(g for g in each if g > 0)
-        return good if good > 0 else max(each, default=-base)
+        return total([g for _, _, g in self.significances(words)], -self.ln_k - math.log(len(words) + 1))
 
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * statistic + self.offset))))
@@ -88,8 +102,7 @@ class Model:
 def trained_on(labels: DataFrame, keep, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, toxic of the labelled rows that keep (a Column over doc_id) admits, train_rows at most, about."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, train_rows / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    return rows.where(hash_share(F.xxhash64("doc_id"), train_rows, rows.count()))
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
@@ -141,7 +154,26 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> Model | None:
     picked = trained_on(labels.select("doc_id", "toxic"), keep)  # TRAIN_ROWS rows of two numbers, about: a bounded broadcast
     picked = without_copies(texts.join(F.broadcast(picked), "doc_id"))
     rows = texts.join(F.broadcast(picked), "doc_id")
-    counts = token_counts(rows).where(F.length("word") > 0)
+    other = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+    model = odds_of(rows.where(~other))
+    sample = best_segments(rows.where(other), model) if model else None
+    if sample is None or sample["toxic"].nunique() < 2:  # too few labels to keep some apart
+        model = odds_of(rows)
+        sample = best_segments(rows, model) if model else None
+    if sample is None or sample["toxic"].nunique() < 2:
+        return None
+    # the mean of an extreme-value distribution is its location and Euler's constant: lambda S - ln m is ln K + that, on average
+    calm = sample.loc[sample["toxic"] == 0]
+    ln_k = float((calm["best"] - calm["ln_m"]).mean()) - EULER
+    ready = Model(model.scores, model.rest, model.lam, max(-8.0, min(8.0, ln_k)), 1.0, 0.0)
+    x = np.array([total([lam_s - ready.ln_k - ln_m for lam_s in each], -ready.ln_k - ln_m) for each, ln_m in zip(sample["each"], sample["ln_m"], strict=True)])
+    slope, offset = logistic(x, sample["toxic"].to_numpy(float))
+    return Model(model.scores, model.rest, model.lam, ready.ln_k, slope, offset)
+
+
+def odds_of(rows: DataFrame) -> Model | None:
+    """The scores of significant tokens, of the rest, and lambda, from rows (text, toxic); without calibration."""
+    counts = materialize(token_counts(rows).where(F.length("word") > 0), "token-counts")
     sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not sums[0] or not sums[1]:
         return None
@@ -150,31 +182,37 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> Model | None:
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.ln(t / (t_all + whole - t)) - F.ln(c / (c_all + whole - c))
     scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
-    top = scored.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(TOKENS).collect()
+    top = scored.where(F.col("z") >= MIN_Z).collect()  # bounded by TRAIN_ROWS, as said there
     if not top:
         return None
-    scores = {bytes(r["word"]): float(r["odds"]) for r in top}
+    scores = {bytes(r["word"]): float(r["odds"]) for r in sorted(top, key=lambda r: bytes(r["word"]))}
     t_rest, c_rest = t_all - sum(r["toxic"] for r in top), c_all - sum(r["clean"] for r in top)
     rest = min(-0.005, math.log((t_rest + 1) / t_all) - math.log((c_rest + 1) / c_all))
     # lambda: the clean distribution's exponential score moment is 1
-    p = np.array([r["clean"] / c_all for r in top])
-    s = np.array([scores[bytes(r["word"])] for r in top])
+    clean = {bytes(r["word"]): r["clean"] / c_all for r in top}
+    p, s = np.array([clean[w] for w in scores]), np.array(list(scores.values()))
     moment = lambda x: float(np.sum(p * np.exp(np.minimum(x * s, 50))) + (1 - p.sum()) * math.exp(x * rest))
     low, high = 1e-3, 4.0
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if moment(middle) < 1 else (low, middle)
-    plain = Model(scores, rest, low, 0.0, 1.0, 0.0)
-    sample = statistics(rows, plain).select("statistic", "toxic").toPandas()  # TRAIN_ROWS rows of two numbers at most
-    x, y = sample["statistic"].to_numpy(), (sample["toxic"].to_numpy() > 0).astype(float)
-    # K: Gumbel's location over clean texts, by its mean and Euler's constant
-    calm = x[y == 0]
-    ln_k = float(np.median(calm)) if len(calm) else 0.0
-    ready = Model(scores, rest, low, max(-8.0, min(8.0, ln_k)), 1.0, 0.0)
-    sample = statistics(rows, ready).select("statistic", "toxic").toPandas()
-    x, y = sample["statistic"].to_numpy(), (sample["toxic"].to_numpy() > 0).astype(float)
-    slope, offset = logistic(x, y)
-    return Model(scores, rest, low, ready.ln_k, slope, offset)
+    return Model(scores, rest, low, 0.0, 1.0, 0.0)
+
+
+def best_segments(rows: DataFrame, model: Model) -> pd.DataFrame:
+    """toxic (0 or 1), ln_m, each (lambda S of the maximal segments, the best SEGMENTS of a text) and best (the largest, 0
+    without any) of rows (text, toxic): TRAIN_ROWS rows of a few numbers at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [(int(toxic > 0), math.log(len(words) + 1), sorted((own.lam * s for _, _, s in own.segments(words)), reverse=True)[:SEGMENTS]) for text, toxic in texts_of([batch], "text", "toxic") for words in [tokens(text)]]
+            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 3, kinds, strict=True)], ["toxic", "ln_m", "each"])
+
+    sample = rows.select("text", "toxic").mapInArrow(run, "toxic int, ln_m double, each array<double>").toPandas()
+    return sample.assign(best=[max(each, default=0.0) for each in sample["each"]])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -196,7 +234,7 @@ def statistics(rows: DataFrame, model: Model, with_text: bool = False) -> DataFr
     others = [c for c in rows.columns if c not in ("text", "statistic")]
     kept = [*others, "text"] if with_text else others
     schema = rows.select(*kept).schema.add("statistic", "double")
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # TOKENS tokens at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -213,37 +251,44 @@ def held_out():
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
+    """doc_id, held_out, score, predicted, passages for every row of docs (doc_id, text).
 
-    A null or empty text has no segment and scores as such. Equal texts score alike. Without labels of both classes every
-    score is 0. An empty table gives no rows; other columns of docs are dropped.
+    passages: first:end of every significant segment, in words, comma-joined. A null or empty text has no segment and
+    scores as such. Equal texts score alike; a text of any length is met whole. Without labels of both classes every score
+    is 0 and there are no passages. An empty table gives no rows; other columns of docs are dropped, whatever their names.
     """
     model = fit(docs, labels, ~held_out())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
-        scored = rows.select("doc_id", F.lit(0.0).alias("score"))
+        scored = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit("").alias("passages"))
     else:
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * F.col("statistic") + model.offset))))
-        scored = statistics(rows, model).select("doc_id", p.alias("score"))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                scores, passages = [], []
+                for (text,) in texts_of([batch], "text"):
+                    words = tokens(text)
+                    found = own.significances(words)
+                    scores.append(own.probability(total([g for _, _, g in found], -own.ln_k - math.log(len(words) + 1))))
+                    passages.append(",".join(f"{a}:{b}" for a, b, g in found if g > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, pa.string())], ["doc_id", "score", "passages"])
+
+        scored = rows.mapInArrow(run, "doc_id long, score double, passages string")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, first_word, end_word, score, p_value for every significant segment (extreme-value statistic above 0)."""
+    """doc_id, first_word, end_word, statistic, p_value for every significant segment (extreme-value statistic above 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, first_word long, end_word long, score double, p_value double"
+    schema = "doc_id long, first_word long, end_word long, statistic double, p_value double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            rows = []
-            for doc_id, text in texts_of([batch], "doc_id", "text"):
-                words = tokens(text)
-                for a, b, s in own.segments(words):
-                    g = own.lam * s - own.ln_k - math.log(len(words) + 1)
-                    if g > 0:
-                        rows.append((doc_id, a, b, s, -math.expm1(-math.exp(-g))))
+            rows = [(doc_id, a, b, g, -math.expm1(-math.exp(-g))) for doc_id, text in texts_of([batch], "doc_id", "text") for a, b, g in own.significances(tokens(text)) if g > 0]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "first_word", "end_word", "score", "p_value"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["doc_id", "first_word", "end_word", "statistic", "p_value"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
