@@ -22,14 +22,18 @@ from .common import materialize
 SCALE = 1024
 TOP = 10
 QUERY_EVERY = 100
-ROWS_PER_SHARD = 2048
+#: Vectors of a shard at most, and at least where there are more shards than cores: fewer, larger shards send each query to
+#: fewer places and bound it better.
+MOST_ROWS, LEAST_ROWS = 65_536, 2048
 QUERIES_PER_GROUP = 20_000
-LEAF = 48
+LEAF = 128
+#: Sums of products below this are exact as floating-point numbers.
+EXACT = 1 << 53
 
 
 class BallTree:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        """vectors: int64, a row each."""
+        """vectors: int64, a row each. Inner products are taken in floating point where it is exact, else in whole numbers."""
         order, nodes = np.arange(len(vectors)), []  # a node: first, end, left, right
         points = vectors.astype(np.float64)
         centers, radii = [], []
@@ -54,6 +58,8 @@ class BallTree:
         build(0, len(vectors))
         self.nodes, self.centers, self.radii = nodes, np.array(centers), np.array(radii)
         self.vectors, self.ids = vectors[order], ids[order]
+        self.most = float(np.abs(points).sum(axis=1).max())
+        self.points = points[order]
 
     def search(self, query_id: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
         """(score, vec_id) of the k best, ties to the smaller id, without query_id itself; below `least` none matter."""
@@ -61,6 +67,8 @@ class BallTree:
         norm = float(np.linalg.norm(wide))
         bounds = self.centers @ wide + norm * self.radii
         slack = 1e-9 * (norm * float(np.abs(self.centers).sum(axis=1).max() + self.radii.max()) + 1)  # of floating point
+        exact = self.most * float(np.abs(wide).max(initial=0.0)) < EXACT
+        rows, asked = (self.points, wide) if exact else (self.vectors, q)
         best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
         floor = -math.inf if least is None else least
         heap = [(-float(bounds[0]), 0)]
@@ -74,7 +82,9 @@ class BallTree:
                     if float(bounds[child]) + slack >= floor:
                         heapq.heappush(heap, (-float(bounds[child]), child))
                 continue
-            for score, vec_id in zip((self.vectors[first:end] @ q).tolist(), self.ids[first:end].tolist(), strict=True):
+            scores = rows[first:end] @ asked
+            able = np.flatnonzero(scores >= floor)
+            for score, vec_id in zip(map(int, scores[able].tolist()), self.ids[first:end][able].tolist(), strict=True):
                 if score >= floor and vec_id != query_id:
                     if len(best) < k:
                         heapq.heappush(best, (score, -vec_id))
@@ -115,13 +125,16 @@ def top_k(embeddings: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY) -
 
     A vector that is null, empty, or holds a null or non-finite component takes no part, nor does a null vec_id. Rows that share
     the query's vec_id are its own; other repeated rows are candidates each; a repeated query is answered once. Vectors
-    of different lengths don't meet. Fewer than k candidates give fewer ranks; an empty table gives no rows.
+    of different lengths don't meet. Fewer than k candidates give fewer ranks; an empty table gives no rows. Equal scores
+    go by the smaller vec_id; columns other than vec_id and embedding are ignored, whatever their names.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     fine = F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False)))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
     rows = materialize(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * SCALE).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row_no")), "vectors")
-    shards = max(1, math.ceil(rows.count() / ROWS_PER_SHARD))
+    n = rows.count()
+    cores = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, math.ceil(n / MOST_ROWS), min(cores, math.ceil(n / LEAST_ROWS)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_no"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
     asked = F.pmod("vec_id", F.lit(query_every)) == 0
     part = lambda *c: F.concat_ws("/", *c).alias("part")
