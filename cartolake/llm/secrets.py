@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Base kinds in the order in which they are listed. For access and hex the least length is part of the pattern: a run
 #: is matched whole or not at all. A short value of an assignment still consumes its text, so it is filtered afterwards.
@@ -59,11 +59,12 @@ def pieces(text: Column, kind: str) -> Column:
     return F.when(reduce(or_, [F.contains(text, F.lit(h)) for h in HINTS[kind]]), paired) if kind in HINTS else paired
 
 
-def base_and_weak_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: row_no and the columns of docs but text; spans: row_no, kind, start, end). One scan of the texts."""
+def base_and_weak_spans(docs: DataFrame, number: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows: row_no, doc_id; spans: row_no, kind, start, end). One scan of the texts. number: a column that differs in every
+    row, else rows are numbered here."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col("doc_id"),
+        (F.col(number) if number else F.monotonically_increasing_id()).alias("row_no"), F.col("doc_id"),
         F.flatten(F.array_compact(F.array(*(pieces(text, k) for k in KINDS)))).alias("pieces"),
     )
     rows = materialize(found, "secrets")
@@ -99,13 +100,13 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row_no, doc_id and found, an array of (start, order, kind, end) by start and kind, for every row of docs.
+def scan(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """row_no (of the column number, if given), doc_id and found, an array of (start, order, kind, end) by start and kind, for every row of docs.
 
     A null text counts as empty and has no spans; equal rows each get a row; an empty table gives none. Columns of docs
-    other than doc_id and text are ignored, whatever their names.
+    other than doc_id and text are ignored, whatever their names. A text of any length is met whole.
     """
-    rows, spans = base_and_weak_spans(docs)
+    rows, spans = base_and_weak_spans(docs, number)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     by_row = link_parts(spans).groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "kind", "end"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,order:bigint,kind:string,end:bigint>>")
@@ -120,12 +121,17 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span of the text replaced by mark; rows, order of columns and a null text stay."""
-    found = scan(docs).where(F.size("found") > 0).select(F.col("row_no").alias("r_"), F.col("found").alias("f_"))
-    rows = docs.withColumn("r_", F.monotonically_increasing_id()).join(found, "r_", "left")
+    """docs with every found span of the text replaced by mark; rows, order of columns and a null text stay.
+
+    Row numbers are written with the rows once, so that spans and texts meet by the same ones whatever is run again.
+    """
+    number, found = unused(docs, "row_number"), unused(docs, "found")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "redacted")
+    spans = scan(numbered.select(number, "doc_id", "text"), number).where(F.size("found") > 0).select(F.col("row_no").alias(number), F.col("found").alias(found))
+    text = F.col("text")
     # spans by start; overlapping ones keep only what reaches beyond the ones before
+    between = lambda a, x: F.concat(F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))
     step = lambda a, x: F.when(x["end"] > a["at"], F.struct(
-        F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
-        x["end"].alias("at"))).otherwise(a)
-    clean = F.aggregate("f_", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))))
-    return rows.withColumn("text", F.when(F.col("f_").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+        F.concat(a["out"], F.when(x["start"] >= a["at"], between(a, x)).otherwise(F.lit(""))).alias("out"), x["end"].alias("at"))).otherwise(a)
+    clean = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    return numbered.join(spans, number, "left").withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean)).select(*docs.columns)
