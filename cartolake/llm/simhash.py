@@ -90,7 +90,8 @@ def halves(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a < b: the pairs of different fingerprints (nodes.fp, distinct) that differ by max_bits or fewer (3 at most)."""
-    sides = halves(nodes)
+    # dealt out before the 34-fold explode, which else runs in as few tasks as the nodes have files
+    sides = halves(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     homes = sides.select("side", home(F.col("half")).alias("anchor"), F.col("fp").alias("a"))
     # anchors that are the home of some half within 1 bit: each of the 32 flips, decoded
     reach = F.array_distinct(F.concat(F.array(home(F.col("half"))), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda p: home(flip(F.col("half"), p)))))
@@ -169,7 +170,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text); other columns are dropped.
 
     Null, empty and blank texts share fingerprint 0 and are linked like any other; equal rows each have a row; a null
-    doc_id takes part but is never a component's id unless no other is there; an empty table gives no rows.
+    doc_id takes part but is never a component's id unless no other is there; an empty table gives no rows. A text of any
+    length is met whole; of equal doc_ids with different texts each row has the fingerprint of its own text.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
