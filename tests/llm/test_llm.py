@@ -153,7 +153,6 @@ def test_packing(docs, empty, texts):
     import public_tokenizers as P
 
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     rows = packing.pack_documents(docs).collect()
     for i, t in enumerate(texts):
         ids, at = [*own.encode(t or "", add_special_tokens=False).ids, 1], 0
