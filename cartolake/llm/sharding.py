@@ -7,7 +7,7 @@ while most rows stay on the shard that the plain ring would give them.
 
 Only the row counts of the arcs come to the driver: shards x virtual_nodes numbers, whatever the input. The walk
 around the ring turns them into runs (arc, ranks from..to -> shard, first slot), and the rows find theirs by arc and rank.
-The rank within an arc is made from sub-buckets, so that a hot key is split over many tasks.
+The rank within an arc is made in ranges and, for rows that are alike, in slices, so that a hot key is split over many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-#: Rows that one task ranks at most, about: the sub-buckets of an arc follow from it.
+#: Rows that one task ranks at most, about: the ranges of an arc and the slices of equal rows follow from it.
 ROWS_PER_RANKING = 20_000
 
 
@@ -76,12 +76,44 @@ def runs(counts: list[int], owners: list[int], room: list[int]) -> list[tuple[in
     return out
 
 
+def ranked_in(rows: DataFrame, group: str, key: str, number: str, rows_per_task: int = ROWS_PER_RANKING) -> DataFrame:
+    """rows (number differs in each) with rank: the place within its group by key, a hash; gapless from 0.
+
+    No task ranks much more than rows_per_task rows. A group is cut into ranges of its key by the largest group's size; a
+    key's copies, which no range can part, are counted first, and only they are told apart by number, in slices.
+    """
+    counts = rows.groupBy(group, key).agg(F.count("*").alias("copies"))
+    largest = counts.groupBy(group).agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).agg(F.max("n"), F.max("most")).first()
+    parts, slices = (max(1, min(1 << 24, (n or 0) // rows_per_task + 1)) for n in largest)
+    counts = counts.withColumn("part", F.shiftright(F.shiftrightunsigned(key, 33) * parts, 31).cast("int"))
+    # the key as an unsigned number: its order must be that of the parts
+    order = [F.shiftrightunsigned(key, 33), F.col(key)]
+    within = Window.partitionBy(group, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    sizes = counts.groupBy(group, "part").agg(F.sum("copies").alias("n"))
+    offsets = sizes.select(group, "part", F.coalesce(F.sum("n").over(before), none).alias("offset"))
+    placed = counts.withColumn("start", F.coalesce(F.sum("copies").over(within), none)).join(offsets, [group, "part"]).select(group, key, "copies", (F.col("start") + F.col("offset")).alias("start"))
+    met = rows.join(placed, [group, key])
+    single = met.where("copies = 1").withColumn("rank", F.col("start"))
+    several = met.where("copies > 1").withColumn("slice", F.pmod(F.xxhash64(number), F.lit(slices)).cast("int"))
+    each = several.groupBy(group, key, "slice").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(group, key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = each.select(group, key, "slice", F.coalesce(ahead, none).alias("shift"))
+    own = F.row_number().over(Window.partitionBy(group, key, "slice").orderBy(number)) - 1
+    copies = several.withColumn("own", own).join(shifts, [group, key, "slice"]).withColumn("rank", F.col("start") + F.col("shift") + F.col("own"))
+    return single.select(*rows.columns, "rank").unionByName(copies.select(*rows.columns, "rank"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, virtual_nodes: int = 100) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text counts as empty (size 16, crc32 0); a null doc_id has a place on the ring like any other key; equal
-    rows each get their own slot. An empty table gives no rows. Other columns of docs are dropped. The law is `rows`:
-    shard sizes differ by one row at most. The bound depends on all rows, so grown_shard is null.
+    rows each get their own slot. An empty table gives no rows. Other columns of docs are dropped, whatever their names; a
+    text of any length is met whole. Within an arc rows stand by a hash of doc_id, size and text_crc32, so what overflows
+    follows the rows and not how they lie in files; only rows alike in these change places. The law is `rows`: shard sizes
+    differ by one row at most. The bound depends on all rows, so grown_shard is null, and with one more shard some rows
+    also move between old ones.
     """
     spark = docs.sparkSession
     positions, owners = ring(shards, virtual_nodes)
@@ -96,20 +128,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, virtual_nodes: int = 100)
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("row_no"),
     )
-    rows = materialize(rows.withColumn("arc", arc_of(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))))), "ring")
-    total = rows.count()
-    parts = max(4, total // (len(positions) * ROWS_PER_RANKING) + 1)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("row_no"), F.lit(parts)).cast("int"))
-    sizes = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))
-    per_arc = {r["arc"]: r["n"] for r in sizes.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
-    table = runs([per_arc.get(a, 0) for a in range(len(positions))], owners.tolist(), capacities(total, shards))
+    rows = rows.withColumns({"arc": arc_of(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)))), "order_hash": F.xxhash64("doc_id", "size", "text_crc32")})
+    rows = materialize(rows, "ring")
+    per_arc = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # a row for each arc
+    table = runs([per_arc.get(a, 0) for a in range(len(positions))], owners.tolist(), capacities(sum(per_arc.values()), shards))
     runs_df = spark.createDataFrame(
         pd.DataFrame(table, columns=["arc", "first", "end", "shard", "slot_at"]), "arc int, first long, end long, shard int, slot_at long"
     )
-    before = F.sum("n").over(Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("arc", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "part").orderBy("row_no")) - 1)
-    ranked = ranked.join(starts, ["arc", "part"]).withColumn("rank", F.col("rank") + F.col("start"))
+    ranked = ranked_in(rows, "arc", "order_hash", "row_no")
     hit = [ranked["arc"] == runs_df["arc"], ranked["rank"] >= runs_df["first"], ranked["rank"] < runs_df["end"]]
     # at most shards x virtual_nodes + shards runs a hand-over: a bounded table
     return ranked.join(F.broadcast(runs_df), hit).select(

@@ -51,6 +51,48 @@ def test_sharding(docs, empty, texts):
     assert sharding.shard_documents(empty).collect() == []
 
 
+def test_rows_lie_where_the_ring_walk_puts_them(spark):
+    """Brute force over the ring; a third of the rows share a null doc_id, and some of these are alike."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, "same" if i % 6 == 0 else f"text {i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards, nodes = 5, 4
+    out = sharding.shard_documents(df, shards, nodes).collect()
+    assert len(out) == len(rows)
+    key = df.select("doc_id", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("at"), F.xxhash64("doc_id", (F.octet_length("text") + 16).cast("long"), F.crc32(F.col("text").cast("binary"))).alias("h"), F.crc32(F.col("text").cast("binary")).alias("crc"))
+    positions, owners = (x.tolist() for x in sharding.ring(shards, nodes))
+    room, arcs = sharding.capacities(len(rows), shards), {}
+    for r in key.collect():
+        arc = next((k for k, p in enumerate(positions) if p >= r["at"]), 0)
+        arcs.setdefault(arc, []).append((r.h % (1 << 64) >> 33, r.h, r.doc_id, r.crc))
+    want, rest = [], []
+    for arc in sorted(arcs):
+        for _, _, doc_id, crc in sorted(arcs[arc], key=lambda x: x[:2]):
+            if room[owners[arc]]:
+                room[owners[arc]] -= 1
+                want.append((doc_id, crc, owners[arc]))
+            else:
+                rest.append((arc, doc_id, crc))
+    for arc, doc_id, crc in rest:
+        at = arc
+        while not room[owners[at]]:
+            at = (at + 1) % len(owners)
+        room[owners[at]] -= 1
+        want.append((doc_id, crc, owners[at]))
+    assert rest and sorted(((r.doc_id, r.text_crc32, r.shard) for r in out), key=str) == sorted(want, key=str)
+    rng.shuffle(rows)
+    again = sharding.shard_documents(spark.createDataFrame(rows, df.schema).repartition(7), shards, nodes).collect()
+    assert sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in again), key=str) == sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out), key=str)
+
+
+def test_ranks_of_hot_groups(spark):
+    rows = spark.createDataFrame([(g, k, n) for n, (g, k) in enumerate([(1, 7)] * 50 + [(1, k) for k in range(-40, 40)] + [(2, -(2**63)), (2, 2**63 - 1), (2, 2**40)])], "g int, k long, n long")
+    found = sharding.ranked_in(rows, "g", "k", "n", 8).collect()
+    for g in (1, 2):
+        own = sorted((r.rank, (r.k % (1 << 64)) >> 33, r.k) for r in found if r.g == g)
+        assert [r for r, *_ in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+
+
 def test_secrets(docs, empty, texts):
     assign = re.compile(secrets.BASE["assign"])
     for r in secrets.secret_report(docs).collect():
