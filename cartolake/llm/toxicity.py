@@ -229,20 +229,16 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1] - w[0] * x.mean() / scale)
 
 
-def statistics(rows: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
-    """rows (text, others) with the column statistic in place of text, or beside it."""
-    others = [c for c in rows.columns if c not in ("text", "statistic")]
-    kept = [*others, "text"] if with_text else others
-    schema = rows.select(*kept).schema.add("statistic", "double")
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs (text, any others) that aren't predicted toxic, with all their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.statistic(tokens(t)) for (t,) in texts_of([batch], "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(found, pa.float64())], [*kept, "statistic"])
+            yield batch.filter(pa.array([own.probability(own.statistic(tokens(t))) < THRESHOLD for (t,) in texts_of([batch], "text")], pa.bool_()))
 
-    return rows.select(*others, "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out():
