@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.llm import packing, quality, secrets, simhash, toxicity
-from cartolake.llm.common import materialize
+from cartolake.llm.common import materialize, unused
 
-#: Packing and toxicity scores have no SQL form; tests/llm compares the stages with brute force.
+#: Packing and toxicity scores have no SQL form; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Rows that no rule rejects; a null or empty text has too few words and goes."""
+    return docs.where(quality.cascade(quality.order_rules(docs, quality.default_rules())).isNull())
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows among docs; rows predicted toxic go, each by its own text, whatever its doc_id."""
+    """Learns from the labelled rows among docs; rows predicted toxic go, each by its own text, whatever its doc_id.
+
+    Without labels of both classes nothing can be learned, and all rows stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, ~toxicity.held_out())
-    if model is None:
-        return docs
-    scored = toxicity.statistics(docs, model, with_text=True)
-    keep = 1 / (1 + F.exp(-(model.slope * F.col("statistic") + model.offset))) < toxicity.THRESHOLD
-    return scored.where(keep).select(*docs.columns)
+    return docs if model is None else toxicity.without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +32,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The row numbers are written with the rows, so that the choice and the rows kept have the same ones.
     """
-    numbered = materialize(docs.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
-    return numbered.join(simhash.representatives(numbered, "row_number"), "row_number", "left_semi").select(*docs.columns)
+    number = unused(docs, "row_number")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    return numbered.join(simhash.representatives(numbered, number), number, "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with a mark in place of each secret and n_chars, where there is one, of the text that is left."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, with their places."""
     return packing.pack_documents(docs)
 
 
