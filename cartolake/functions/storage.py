@@ -8,12 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset in local mode, as in tests, in a folder of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; where it is unset in local mode, as in tests, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
+    return root
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder. What is written there goes when the driver ends, as results may be read until then."""
+    jvm, folder = spark.sparkContext._jvm, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"

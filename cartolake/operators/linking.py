@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 from cartolake.operators.mentions import MIN_GAP, MIN_SCORE, confidence, resolve_matches
 
 MIN_CONFIDENCE = 0.72
+#: Share of the context in a score.
+CONTEXT = 0.14
 #: Least score of a runner-up that can make a match ambiguous, and a little for the rounding of differences.
 LEAST_SCORE = MIN_SCORE - MIN_GAP - 1e-9
 #: Accented Latin letters by their bare form.
@@ -154,46 +157,83 @@ def match_score(pairs: DataFrame) -> DataFrame:
         "title_": match_text(F.col("title")), "place_": match_text(F.concat_ws(" ", "address", "category", "title")),
     })
     rows = rows.withColumns({"by_name_": best_similarity(F.col("names_"), F.col("title_")), "by_hint_": best_similarity(F.col("hints_"), F.col("place_"))})
-    whole = F.least(F.lit(1.0), 0.86 * F.col("by_name_") + 0.14 * F.col("by_hint_"))
+    whole = F.least(F.lit(1.0), (1 - CONTEXT) * F.col("by_name_") + CONTEXT * F.col("by_hint_"))
     return rows.withColumn("score", F.when(F.size("hints_") > 0, whole).otherwise(F.col("by_name_"))).drop("names_", "hints_", "title_", "place_", "by_name_", "by_hint_")
 
 
-def word_blocks(names: DataFrame) -> DataFrame:
+def word_blocks(names: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """side, normal, words, prefix, word: the words of distinct names (side: a or b, normal), rarest first, without those that can't decide.
 
-    A score that counts is LEAST_SCORE (0.60) or more: a runner-up's. Without a shared word it is 0.55 at most. With one
-    shared word of n + m words it is 1.2 / (n + m) + 0.4 of the ratio, so below 0.60 from n + m = 6 on (names that aren't
-    equal have a ratio below 1). So of four or more words the most frequent one is left out: names that share it share
-    another, or are a name of four words and one of that word alone. These two meet by a key of their own (word with the
-    side of the longer one). Words as common as "restaurant" thus don't pair all the names that have them.
+    A name's score counts from `least` on. Without a shared word it is 0.55 at most. With one shared word of n + m words
+    it is 1.2 / (n + m) + 0.4 of the ratio, which is below 1. For LEAST_SCORE (0.60, names alone) that is too little from
+    n + m = 6 on: of four or more words the most frequent one is left out, as names that share it share another, or are a
+    name of four words and one of that word alone. These two meet by a key of their own (word with the side of the longer
+    one). For a smaller least it is left out where 1.2 / (n + 1) + 0.4 is too little already. So words as common as
+    "restaurant" don't pair all the longer names that have them.
     """
     rows = names.select("side", "normal").distinct().withColumn("words", F.array_distinct(words_of(F.col("normal"))))
     each = rows.select("side", "normal", "words", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("often"))
     ordered = each.join(often, "word").groupBy("side", "normal").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "word")))["word"].alias("prefix"))
     alone = lambda side: F.array(F.concat(side, F.lit("="), F.get("prefix", F.size("prefix") - 1)))
-    rare = F.when(F.size("prefix") >= 4, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix"))
-    own = F.when(F.size("prefix") == 4, alone(F.col("side"))).when(F.size("prefix") == 1, alone(F.translate("side", "ab", "ba"))).otherwise(F.array().cast("array<string>"))
+    long = 4 if least >= LEAST_SCORE else math.ceil(1.2 / (least - 0.4))
+    rare = F.when(F.size("prefix") >= long, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.size("prefix") == 4, alone(F.col("side"))).when(F.size("prefix") == 1, alone(F.translate("side", "ab", "ba"))).otherwise(none) if long == 4 else none
     kept = ordered.withColumn("prefix", F.concat(rare, own))
     return kept.withColumn("word", F.explode("prefix"))
 
 
-def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
-    """mention_id, identity, score: mentions (mention_id, name) matched to places (identity, title) by name alone.
+def scored_names(names: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    """a, b, score: distinct names (normal) and titles (normal) whose similarity is `least` or more and that share a word.
 
-    Distinct names meet distinct titles in an equi-join on word_blocks; each pair is kept at its first shared word. Pairs
-    whose words and lengths rule the score out, as a match and as its runner-up, never reach the ratio. Copies of names and titles are expanded at the end.
+    They meet in an equi-join on word_blocks; each pair is kept at its first shared word. Pairs whose words and lengths
+    rule the score out never reach the ratio.
     """
-    normal = lambda df, c: df.withColumn("normal", match_text(F.col(c))).where("normal <> ''")
-    named, titled = normal(mentions, "name"), normal(places, "title")
-    blocks = word_blocks(named.select(F.lit("a").alias("side"), "normal").unionByName(titled.select(F.lit("b").alias("side"), "normal")))
+    blocks = word_blocks(names.select(F.lit("a").alias("side"), "normal").unionByName(titles.select(F.lit("b").alias("side"), "normal")), least)
     side = lambda s: blocks.where(F.col("side") == s).select("word", F.col("normal").alias(s), F.col("words").alias(f"w{s}"), F.col("prefix").alias(f"p{s}"))
     met = side("a").join(side("b"), "word").where(F.col("word") == F.get(F.array_intersect("pa", "pb"), F.lit(0)))
     # the ratio is at most what the lengths allow
     most = 2.0 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
     score = lambda alike: similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), alike)
-    able = met.where(score(most) >= LEAST_SCORE)
-    scored = able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= LEAST_SCORE)
+    able = met.where(score(most) >= least)
+    return able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
+    """mention_id, identity, score: mentions (mention_id, name, perhaps aliases and hints) matched to places (identity, title,
+    perhaps address and category), by the rules of match_score and resolve_matches.
+
+    Pairs of which no name shares a word with the title are not met; their score is 0.613 at most. Without aliases and
+    hints names alone decide: distinct names meet distinct titles, and copies are expanded at the end. With them distinct
+    (names, hints) meet distinct (title, context), and the context joins in only where the name's score leaves it a say.
+    """
+    if not {"aliases", "hints"} & set(mentions.columns):
+        return link_by_name(mentions, places)
+    forms = lambda c: F.array_distinct(F.filter(F.transform(F.filter(c, lambda x: x.isNotNull()), match_text), lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    has = lambda df, c, other: F.coalesce(F.col(c), other) if c in df.columns else other
+    asked = mentions.select("mention_id", forms(F.concat(F.array("name"), has(mentions, "aliases", none))).alias("names"), forms(has(mentions, "hints", none)).alias("hints"))
+    blank = F.lit("").cast("string")
+    known = places.select("identity", match_text(F.col("title")).alias("b"), match_text(F.concat_ws(" ", has(places, "address", blank), has(places, "category", blank), F.col("title"))).alias("place"))
+    kinds = asked.select("names", "hints").where(F.size("names") > 0).distinct()
+    # of the places with one title and context two decide: an equal score for another identity is ambiguous
+    sights = known.where("b <> ''").groupBy("b", "place").agg(F.min("identity").alias("first"), F.max("identity").alias("last"))
+    named = kinds.select("names", "hints", F.explode("names").alias("normal"))
+    scored = scored_names(named, sights.withColumnRenamed("b", "normal"), (LEAST_SCORE - CONTEXT) / (1 - CONTEXT))
+    best = named.join(scored, named["normal"] == scored["a"]).groupBy("names", "hints", "b").agg(F.max("score").alias("by_name"))
+    met = best.join(sights, "b")
+    alone = met.where((F.size("hints") == 0) & (F.col("by_name") >= LEAST_SCORE)).withColumn("score", F.col("by_name"))
+    hinted = met.where(F.size("hints") > 0).withColumn("score", F.least(F.lit(1.0), (1 - CONTEXT) * F.col("by_name") + CONTEXT * best_similarity(F.col("hints"), F.col("place")))).where(F.col("score") >= LEAST_SCORE)
+    each = alone.unionByName(hinted).select("names", "hints", "score", F.explode(F.array_distinct(F.array("first", "last"))).alias("identity")).withColumn("pos", F.col("identity"))
+    decided = resolve_matches(each.withColumn("mention_id", F.struct("names", "hints")))
+    return asked.withColumn("asked", F.struct("names", "hints")).join(decided.withColumnRenamed("mention_id", "asked"), "asked").select("mention_id", "identity", "score")
+
+
+def link_by_name(mentions: DataFrame, places: DataFrame) -> DataFrame:
+    normal = lambda df, c: df.withColumn("normal", match_text(F.col(c))).where("normal <> ''")
+    named, titled = normal(mentions, "name"), normal(places, "title")
+    scored = scored_names(named, titled, LEAST_SCORE)
     # of a title's places two decide: an equal score for another identity is ambiguous
     owners = titled.groupBy("normal").agg(F.min("identity").alias("first"), F.max("identity").alias("last")).select(F.col("normal").alias("b"), F.array_distinct(F.array("first", "last")).alias("owners"))
     best = scored.join(owners, "b").select("a", "score", F.explode("owners").alias("identity")).withColumn("pos", F.col("identity"))

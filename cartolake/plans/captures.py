@@ -273,6 +273,14 @@ def link_to_catalogue(spark, sf_dir):
     return linking.link_to_catalogue(mentions, part.selectExpr("p_partkey AS identity", "concat(p_name, ' ', p_brand) AS title"))
 
 
+@query()
+def link_with_hints(spark, sf_dir):
+    """As link_to_catalogue, with the brand as a hint of the place's address, and for a third of the mentions the name as an alias."""
+    part = table(spark, sf_dir, "part")
+    mentions = part.selectExpr("p_partkey AS mention_id", "CASE p_partkey % 3 WHEN 0 THEN 'some place' ELSE p_name END AS name", "CASE p_partkey % 3 WHEN 0 THEN array(p_name) END AS aliases", "array(p_brand) AS hints")
+    return linking.link_to_catalogue(mentions, part.selectExpr("p_partkey AS identity", "p_name AS title", "concat(p_brand, ' street') AS address", "p_type AS category"))
+
+
 @query("""SELECT concat(conv_id, '/', turn) AS mention_id, CASE WHEN turn % 4 = 0 THEN 'missing_map_query' WHEN turn % 4 = 1 THEN 'map_search_failed' WHEN conv_id % 2 = 1 THEN 'weak_or_ambiguous_map_match' END AS reason,
  CASE WHEN turn % 4 > 1 AND conv_id % 2 = 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS status FROM conversations""")
 def enrich_mentions(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Links to a catalogue: a runner-up below the least score of a match still makes it ambiguous."""
 
+import random
+
 from test_captures import SF, alike
 
 from cartolake.operators import linking
@@ -42,3 +44,25 @@ def test_whole_part_table_equals_brute_force(spark):
         if s >= 0.68 and s - s2 >= 0.08:
             expected.add((r.p_partkey, -i, round(s, 4)))
     assert {tuple(r) for r in registry.QUERIES["link_to_catalogue"](spark, SF).collect()} == expected and expected
+
+
+def test_links_with_aliases_and_hints_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [x + y for x in ("pho", "hoa", "bun", "cha", "ngon") for y in ("", "ta", "mi", "so", "ke", "lu")] + ["market", "restaurant"]
+    some = lambda least, most: " ".join(rng.choices(words, k=rng.randrange(least, most)))
+    mentions = [(k, some(1, 9), [some(1, 4) for _ in range(rng.randrange(3))] or None, [some(1, 3) for _ in range(rng.randrange(3))]) for k in range(60)]
+    mentions += [(300 + k, title, ["zz"], ["restaurant"]) for k, title in enumerate(["phota hoami", "bun lu"])]
+    mentions += [(100, None, None, ["pho"]), (101, mentions[0][1], mentions[0][2], mentions[0][3]), (102, " ", ["pho hoa", None], None)]
+    places = [(k, some(1, 9), rng.choice(["hoa street", None, "market"]), rng.choice(["restaurant", ""])) for k in range(60)] + [(250, "phota hoami", "x", "restaurant"), (251, "bun lu so", None, None)] + [(200, "pho hoa", "a", "b"), (201, "pho hoa", "c", "d")]
+    a = spark.createDataFrame(mentions, "mention_id long, name string, aliases array<string>, hints array<string>")
+    b = spark.createDataFrame(places, "identity long, title string, address string, category string")
+    pairs = linking.match_score(a.crossJoin(b)).select("mention_id", "identity", "score").toPandas()
+    shares = lambda m, t: any(set(n.split()) & set(t.split()) for n in [m[1] or "", *(x or "" for x in m[2] or [])])
+    title, mention = {p[0]: p[1] for p in places}, {m[0]: m for m in mentions}
+    want = {}
+    for m, own in pairs.groupby("mention_id"):
+        ranked = sorted((-s, i) for i, s in zip(own["identity"], own["score"], strict=True) if s >= linking.LEAST_SCORE and shares(mention[m], title[i]))
+        if ranked and -ranked[0][0] >= 0.68 and (len(ranked) == 1 or ranked[1][0] - ranked[0][0] >= 0.08):
+            want[m] = (ranked[0][1], round(-ranked[0][0], 4))
+    found = {r.mention_id: (r.identity, round(r.score, 4)) for r in linking.link_to_catalogue(a, b).collect()}
+    assert found == want and len(want) > 3
