@@ -8,7 +8,8 @@ once and every block gets the answers; these go back to the block, where the tex
 
 A block is bounded by BLOCK_WORDS; only a single text longer than that makes a longer one. No word is hot: a block holds
 it once. There are as many buckets as shuffle partitions, so a bucket's words shrink as a cluster grows. Block numbers
-come from the partition and a counter, so a task that runs again makes the same rows.
+come from the partition and a counter, so a task that runs again makes the same rows, provided that its input comes in the
+same order again: docs must be a scan of files, or of a table written before, not the result of a shuffle.
 """
 
 from __future__ import annotations
