@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The least characters of a base64 value and of an inline data URL that are redacted, and their forms.
+BASE64_CHARS, DATA_URL_CHARS = 512, 64
+BASE64_VALUE = rf"^[A-Za-z0-9+/=]{{{BASE64_CHARS},}}$"
+DATA_URL = rf"data:[\w.+/-]+;base64,[A-Za-z0-9+/=]{{{DATA_URL_CHARS},}}"
+
+
 def redact_payload(df: DataFrame, column: str) -> DataFrame:
     """Values of 512 base64 characters or more, and inline data URLs, become notes of their length."""
     c = F.col(column)
-    whole = F.when(F.rlike(c, F.lit(r"^[A-Za-z0-9+/=]{512,}$")), F.concat(F.lit("<base64 "), F.length(c).cast("string"), F.lit(" chars>")))
-    url = r"data:[\w.+/-]+;base64,[A-Za-z0-9+/=]{64,}"
-    notes = F.transform(F.regexp_extract_all(c, F.lit(url), F.lit(0)), lambda x: F.concat(F.lit("<data-url "), F.length(x).cast("string"), F.lit(" chars>")))
-    pieces = F.zip_with(F.split(c, url, -1), notes, lambda text, note: F.concat(text, F.coalesce(note, F.lit(""))))
+    whole = F.when(F.rlike(c, F.lit(BASE64_VALUE)), F.concat(F.lit("<base64 "), F.length(c).cast("string"), F.lit(" chars>")))
+    notes = F.transform(F.regexp_extract_all(c, F.lit(DATA_URL), F.lit(0)), lambda x: F.concat(F.lit("<data-url "), F.length(x).cast("string"), F.lit(" chars>")))
+    pieces = F.zip_with(F.split(c, DATA_URL, -1), notes, lambda text, note: F.concat(text, F.coalesce(note, F.lit(""))))
     return df.withColumn(column, F.coalesce(whole, F.array_join(pieces, "")))
 
 

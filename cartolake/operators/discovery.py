@@ -9,8 +9,17 @@ from pyspark.sql.window import Window
 from cartolake.functions.text import EARTH_KM, first_truthy, haversine_km
 
 
+#: Regions at most.
+REGION_ROWS = 10_000
+
+
 def select_regions(regions: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    """The regions of the codes (all, if none), numbered by falling priority, then name. A dimension of a few rows."""
+    """The regions of the codes (all, if none), numbered by falling priority, then name.
+
+    The numbering sorts in one task: a dimension, of which more than REGION_ROWS rows are an error.
+    """
+    if regions.limit(REGION_ROWS + 1).count() > REGION_ROWS:
+        raise ValueError(f"more than {REGION_ROWS} regions are no dimension")
     own = regions.where(F.lower("code").isin([c.lower() for c in codes])) if codes else regions
     return own.withColumn("sequence_no", F.row_number().over(Window.orderBy(F.desc("priority"), "name")))
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from cartolake.operators.mentions import MIN_GAP, MIN_SCORE, confidence, resolve_matches
 
+#: The least confidence, and below the thresholds of quotes and similarities.
 MIN_CONFIDENCE = 0.72
 #: Share of the context in a score.
 CONTEXT = 0.14

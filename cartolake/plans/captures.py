@@ -304,3 +304,32 @@ def drop_near_identical(spark, sf_dir):
 @query("SELECT conv_id AS post_id, turn AS pos, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 'DONE' ELSE 'PENDING' END AS stage FROM conversations")
 def progress_view(spark, sf_dir):
     return linking.progress_view(table(spark, sf_dir, "conversations").selectExpr("conv_id AS post_id", "turn AS pos"), 2)
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0.9e0 WHEN 3 THEN 0e0 WHEN 4 THEN 0.6e0 * 2 / 3 + 0.4e0 * 0.5 WHEN 5 THEN 1e0 END AS similarity FROM part""")
+def name_similarity_rules(spark, sf_dir):
+    """Pairs whose ratio is plain to see: equal beyond case and accents, blank, a subset, without a common letter, half."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "CASE p_partkey % 6 WHEN 0 THEN concat('PHỞ ', p_partkey) WHEN 1 THEN ' ' WHEN 2 THEN 'pho hoa' WHEN 3 THEN 'abc' WHEN 4 THEN 'ab' ELSE concat('x-', p_partkey) END AS a",
+        "CASE p_partkey % 6 WHEN 0 THEN concat(' pho  ', p_partkey) WHEN 1 THEN p_name WHEN 2 THEN concat('pho hoa quan so ', 100000 + p_partkey) WHEN 3 THEN 'xyz' WHEN 4 THEN 'ab xyz' ELSE concat('X ', p_partkey) END AS b",
+    )
+    return linking.name_similarity(rows, "a", "b").select("id", F.round("similarity", 9).alias("similarity"))
+
+
+@query("""SELECT conv_id, turn, turn % 5 IN (0, 2, 4) AS supported FROM conversations""")
+def quote_support_rules(spark, sf_dir):
+    """Quotes that the words alone decide: contained, too few words of it, four words of five, one word, in other order."""
+    quote = "CASE turn % 5 WHEN 0 THEN 'One, TWO three' WHEN 1 THEN 'one x y z' WHEN 2 THEN 'five one x two three' WHEN 3 THEN 'fiv' ELSE 'five four three two one' END AS quote"
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", quote, "'zero one two three four five' AS text")
+    return linking.quote_support(rows, "quote", "text").select("conv_id", "turn", "supported")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.86e0 WHEN 2 THEN 1e0 ELSE 0.14e0 END AS score FROM part")
+def match_score_rules(spark, sf_dir):
+    """Pairs with plain scores: an alias and the whole context, a name with a context that has no letter of the hint, no hints, a hint alone."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "CASE p_partkey % 4 WHEN 0 THEN 'qqq' WHEN 3 THEN 'qqq' ELSE concat('abc ', p_partkey) END AS name", "CASE p_partkey % 4 WHEN 0 THEN array('', concat('abc ', p_partkey)) END AS aliases",
+        "CASE p_partkey % 4 WHEN 0 THEN array('zzz', concat('street food abc ', p_partkey)) WHEN 1 THEN array('zzz') WHEN 3 THEN array(concat('street food abc ', p_partkey)) END AS hints",
+        "concat('ABC ', p_partkey) AS title", "'street' AS address", "'food' AS category",
+    )
+    return linking.match_score(rows).select("id", F.round("score", 9).alias("score"))

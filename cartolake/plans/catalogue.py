@@ -47,6 +47,16 @@ def read_regions(spark, sf_dir):
     return files.read_regions(spark, path).select("code", "name", "priority", F.size("tourist_areas").alias("n_areas"))
 
 
+@query("SELECT lower(n_name) AS region, food FROM nation, (VALUES ('pho'), ('bun')) t(food) UNION ALL SELECT 'template', concat(pos, ' ', template) FROM (VALUES (0, 'food in {region}'), (1, '{food}')) t(pos, template)")
+def read_search_config(spark, sf_dir):
+    """The nations' foods and two templates as a configuration file, a dimension, read again."""
+    path = scratch(spark, "config")
+    foods = F.map_from_entries(F.collect_list(F.struct(F.lower("n_name"), F.array(F.lit("pho"), F.lit("bun")))))
+    table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.array(F.lit("food in {region}"), F.lit("{food}")).alias("templates"), foods.alias("foods"))).alias("value")).write.text(path)
+    templates, found = files.read_search_config(spark, path)
+    return found.select("region", "food").unionByName(templates.select(F.lit("template").alias("region"), F.concat_ws(" ", "pos", "template").alias("food")))
+
+
 @query("SELECT p_partkey AS id, p_name AS title FROM part WHERE p_partkey % 5 < 4")
 def unwrap_place_list(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("list", F.to_json(F.array(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))))
