@@ -376,6 +376,22 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_clashing_columns_of_vectors_and_labels(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=4).tolist(), 1, "a", 2, "s") for k in range(120)]
+    named = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int, part string, rank int, shard string")
+    plain = {tuple(r) for r in topk.top_k(named.select("vec_id", "embedding")).collect()}
+    assert {tuple(r) for r in topk.top_k(named.repartition(3)).collect()} == plain and len(plain) == 20
+    texts = [(i, " ".join(f"w{(i * k) % 50}" for k in range(25)) + (" idiot moron" * 2 if i % 2 else ""), i, 0.5, "p") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, toxic long, score double, passages string")
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(200)], "doc_id long, toxic int, quality int, text string")
+    found = toxicity.score_documents(docs, labels)
+    assert found.columns == ["doc_id", "held_out", "score", "predicted", "passages"] and all(r.predicted == r.doc_id % 2 for r in found.collect())
+    for report in (lm_score.score_documents, byte_bpe.encode_documents, packing.pack_documents, pii.find_personal_data, simhash.near_duplicate_report, sharding.shard_documents, secrets.secret_report, quality.quality_report):
+        clash = docs.limit(5).withColumns({c: F.lit("c") for c in ("block", "n", "payload", "row_no", "fp", "bucket", "length", "arc", "kind", "m")})
+        assert {r.doc_id for r in report(clash).collect()} == {r.doc_id for r in docs.limit(5).collect()}
+
+
 def test_pii(docs, empty, texts):
     rows = pii.find_personal_data(docs).collect()
     assert len(rows) == len(texts)
