@@ -306,7 +306,7 @@ def progress_view(spark, sf_dir):
     return linking.progress_view(table(spark, sf_dir, "conversations").selectExpr("conv_id AS post_id", "turn AS pos"), 2)
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0.9e0 WHEN 3 THEN 0e0 WHEN 4 THEN 0.6e0 * 2 / 3 + 0.4e0 * 0.5 WHEN 5 THEN 1e0 END AS similarity FROM part""")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0.9e0 WHEN 3 THEN 0e0 WHEN 4 THEN round(0.6e0 * 2 / 3 + 0.4e0 * 0.5, 9) WHEN 5 THEN 1e0 END AS similarity FROM part""")
 def name_similarity_rules(spark, sf_dir):
     """Pairs whose ratio is plain to see: equal beyond case and accents, blank, a subset, without a common letter, half."""
     rows = table(spark, sf_dir, "part").selectExpr(
