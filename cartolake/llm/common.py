@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name`, which differs in every row and is the same whenever the rows are read again.
+
+    For a plain scan of Parquet files that is a row's file and place there; other rows are written once with a number.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):
+            return docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, unused
+from .common import materialize, numbered, unused
 
 #: Base kinds in the order in which they are listed. For access and hex the least length is part of the pattern: a run
 #: is matched whole or not at all. A short value of an assignment still consumes its text, so it is filtered afterwards.
@@ -123,15 +123,15 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by mark; rows, order of columns and a null text stay.
 
-    Row numbers are written with the rows once, so that spans and texts meet by the same ones whatever is run again.
+    Rows have names that stay (see numbered), so that spans and texts meet by the same ones whatever is run again.
     """
     number, found = unused(docs, "row_number"), unused(docs, "found")
-    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "redacted")
-    spans = scan(numbered.select(number, "doc_id", "text"), number).where(F.size("found") > 0).select(F.col("row_no").alias(number), F.col("found").alias(found))
+    rows = numbered(docs, number)
+    spans = scan(rows.select(number, "doc_id", "text"), number).where(F.size("found") > 0).select(F.col("row_no").alias(number), F.col("found").alias(found))
     text = F.col("text")
     # spans by start; overlapping ones keep only what reaches beyond the ones before
     between = lambda a, x: F.concat(F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))
     step = lambda a, x: F.when(x["end"] > a["at"], F.struct(
         F.concat(a["out"], F.when(x["start"] >= a["at"], between(a, x)).otherwise(F.lit(""))).alias("out"), x["end"].alias("at"))).otherwise(a)
     clean = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
-    return numbered.join(spans, number, "left").withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean)).select(*docs.columns)
+    return rows.join(spans, number, "left").withColumn("text", F.when(F.col(found).isNull(), text).otherwise(clean)).select(*docs.columns)

@@ -137,3 +137,13 @@ def test_the_whole_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_on_files_equal_stages_on_rows(spark, labelled, tmp_path):
+    """Rows of Parquet files are told apart by file and place, others by a number written with them."""
+    _, docs = odd_rows(spark, labelled)
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    texts_of = lambda df: Counter(r.text for r in df.collect())
+    assert texts_of(corpus_pipeline.near_duplicates(spark, files, "")) == texts_of(corpus_pipeline.near_duplicates(spark, docs, ""))
+    assert Counter(map(tuple, corpus_pipeline.secret_scans(spark, files, "").collect())) == Counter(map(tuple, corpus_pipeline.secret_scans(spark, docs, "").collect()))
