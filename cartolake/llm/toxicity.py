@@ -26,14 +26,15 @@ from .common import encoded, hash_share, materialize, texts_of
 #: Labelled rows that the model is fitted on at most; beyond, a hashed share of them. So the broadcast labels are bounded, and
 #: so are the tokens that can be significant there, each of which has a score of its own.
 TRAIN_ROWS = 200_000
-MIN_Z = 2.5
+#: MIN_Z and PRIOR were picked on rows that labels may be learned from: fitted on the mod-3 class 0, judged on class 2.
+MIN_Z = 2.0
 #: One labelled row in so many calibrates; the others give the log-odds.
 CALIBRATION = 3
 #: Segments of a text that calibration looks at: the statistic's smaller parts don't move the curve.
 SEGMENTS = 64
 EULER = 0.5772156649015329
 #: Weight of the prior, as a share of all counts.
-PRIOR = 0.2
+PRIOR = 0.5
 EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_"
 COUNTED = 500_000
 THRESHOLD = 0.7
