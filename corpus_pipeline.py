@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.llm import packing, quality, secrets, simhash, toxicity
-from cartolake.llm.common import materialize, unused
+from cartolake.llm.common import materialize, numbered, unused
 
 #: Packing and toxicity scores have no SQL form; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
@@ -28,13 +28,13 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays: the one with the smallest doc_id, then row number; null doc_ids come last.
+    """One row of each group stays: the one with the smallest doc_id, then name of the row; null doc_ids come last.
 
-    The row numbers are written with the rows, so that the choice and the rows kept have the same ones.
+    The names of rows stay the same whenever they are read, so that the choice and the rows kept have the same ones.
     """
     number = unused(docs, "row_number")
-    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    return numbered.join(simhash.representatives(numbered, number), number, "left_semi").select(*docs.columns)
+    rows = numbered(docs, number)
+    return rows.join(simhash.representatives(rows, number), number, "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
