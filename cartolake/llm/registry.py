@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, quality, topk
+from . import filter_audit, lm_score, quality, topk
 from .byte_bpe import encode_documents
 from .common import read
+from .filter_audit import audit_filters
 from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import quality_report
@@ -59,5 +60,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op5_lm_score, op6_packing, op7_top_k, op8_pii, op9_toxicity, op10_quality)}
-SQL = {"op7_top_k": topk.SQL, "op10_quality": quality.SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op5_lm_score, op6_packing, op7_top_k, op8_pii, op9_toxicity, op10_quality, op11_filter_audit)}
+SQL = {"op7_top_k": topk.SQL, "op10_quality": quality.SQL, "op11_filter_audit": filter_audit.SQL}
