@@ -9,8 +9,9 @@ prefixes of k filters facing each further filter, and with the failing ids of th
 * left-anti: survivors that don't fail outlive it; those of level k + 1 are taken from them;
 * left-anti the other way round: failing ids that aren't among the survivors are redundant.
 
-All three join on (prefix, filter, row), a key that no two rows of a side share, so nothing is hot, and they read the same two
-shuffles. Rows that fail nothing survive every prefix and are only counted.
+All three join on (row, prefix, filter), a key that no two rows of a side share, so nothing is hot. Rows that fail nothing
+survive every prefix and are only counted. The ids have no size bound, so they are merged, never broadcast: a file of
+numbers in order is far smaller than its rows. What outlives a level is written once, which keeps each plan small.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .quality import bind, text_of, words_of
 
-KEY = ["prefix", "filter", "row"]
+KEY = ["row", "prefix", "filter"]
+COUNTS = ["kept", "removed", "redundant", "good_lost", "toxic_lost"]
 
 
 def default_filters() -> dict[str, Column]:
@@ -51,7 +53,7 @@ def later_copies(rows: DataFrame) -> DataFrame:
     """
     known = rows.where(F.col("doc_id").isNotNull())
     firsts = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    return known.join(firsts, ["digest", "doc_id"], "left_anti")
+    return merged(known, firsts, ["digest", "doc_id"], "left_anti")
 
 
 def failing_ids(rows: DataFrame, names: list[str], copies: str | None) -> dict[str, DataFrame]:
@@ -72,6 +74,10 @@ def each_of(column: Column, pairs: dict[str, list[str]]) -> Column:
     return F.explode(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[column])
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def interactions(facts: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
     """part, prefix, filter, kept, removed, redundant, good_lost, toxic_lost of each prefix (letters in order) and filter.
 
@@ -84,13 +90,15 @@ def interactions(facts: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
         prefixes = ["".join(c) for c in combinations(names, size)]
         facing = survivors.withColumn("filter", each_of(F.col("prefix"), {p: [n for n in names if n not in p] for p in prefixes}))
         wanted = ids.withColumn("prefix", each_of(F.col("filter"), {n: [p for p in prefixes if n not in p] for n in names}))
-        removed, kept, redundant = facing.join(wanted, KEY, "left_semi"), facing.join(wanted, KEY, "left_anti"), wanted.join(facing, KEY, "left_anti")
+        removed, redundant = merged(facing, wanted, KEY, "left_semi"), merged(wanted, facing, KEY, "left_anti")
+        kept = materialize(merged(facing, wanted, KEY, "left_anti"), f"kept-{size}")
         one = F.count("*")
-        for rows, counts in ((kept, {"kept": one}), (removed, {"removed": one, "good_lost": F.sum("good"), "toxic_lost": F.sum("toxic")}), (redundant, {"redundant": one})):
-            found.append(rows.groupBy("part", "prefix", "filter").agg(*(counts.get(c, none).alias(c) for c in ("kept", "removed", "redundant", "good_lost", "toxic_lost"))))
+        counts = [(kept, {"kept": one}), (removed, {"removed": one, "good_lost": F.sum("good"), "toxic_lost": F.sum("toxic")}), (redundant, {"redundant": one})]
+        level = [rows.groupBy("part", "prefix", "filter").agg(*(own.get(c, none).alias(c) for c in COUNTS)) for rows, own in counts]
+        found.append(materialize(reduce(DataFrame.unionByName, level), f"level-{size}"))
         # each set of letters once: from the prefix without its last letter
         survivors = kept.where(F.col("filter") > F.substring("prefix", -1, 1)).select(F.concat("prefix", "filter").alias("prefix"), "row", "part", "good", "toxic")
-    return reduce(DataFrame.unionByName, found).groupBy("part", "prefix", "filter").agg(*(F.sum(c).alias(c) for c in ("kept", "removed", "redundant", "good_lost", "toxic_lost")))
+    return reduce(DataFrame.unionByName, found).groupBy("part", "prefix", "filter").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column] | None = None, copies: str | None = "E") -> DataFrame:
@@ -107,12 +115,13 @@ def audit_filters(docs: DataFrame, labels: DataFrame, filters: dict[str, Column]
     failing = failing_ids(rows, list(filters), copies)
     facts = materialize(with_labels(rows, labels), "audit-facts")
     some = reduce(DataFrame.unionByName, (d.select("row") for d in failing.values()))
-    clean = facts.join(some, "row", "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
-    counts = interactions(facts.join(some, "row", "left_semi"), failing)
+    touched = materialize(merged(facts, some, ["row"], "left_semi"), "touched")
+    clean = merged(facts, some, ["row"], "left_anti").groupBy("part").agg(F.count("*").alias("clean"))
+    counts = interactions(touched, failing)
     orders = F.array(*(F.lit("".join(p)) for p in permutations(failing)))
     steps = facts.groupBy("part").agg(F.count("*").alias("rows")).join(clean, "part", "left").select("part", "clean", F.explode(orders).alias("filter_order")).select("*", F.explode(F.sequence(F.lit(1), F.lit(len(failing)))).alias("step"))
     placed = steps.withColumn("filter", F.expr("substring(filter_order, step, 1)")).withColumn("prefix", F.array_join(F.array_sort(F.split(F.expr("substring(filter_order, 1, step - 1)"), "")), ""))
-    found = placed.join(counts, ["part", "prefix", "filter"], "left").select(*placed.columns, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("kept", "removed", "redundant", "good_lost", "toxic_lost")))
+    found = placed.join(counts, ["part", "prefix", "filter"], "left").select(*placed.columns, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTS))
     all_orders = Window.partitionBy("part", "filter")
     alone = F.max(F.when(F.col("step") == len(failing), F.col("removed"))).over(all_orders)
     return found.select(
