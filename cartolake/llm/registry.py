@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, lm_score, quality, topk
+from . import filter_audit, lm_score, quality, spelling, topk
 from .byte_bpe import encode_documents
 from .common import read
 from .filter_audit import audit_filters
+from .language_id import identify_languages
 from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import quality_report
 from .secrets import secret_report
 from .sharding import shard_documents
 from .simhash import near_duplicate_report
+from .spelling import spelling_variants
 from .topk import top_k
 from .toxicity import score_documents
 
@@ -64,5 +66,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op5_lm_score, op6_packing, op7_top_k, op8_pii, op9_toxicity, op10_quality, op11_filter_audit)}
-SQL = {"op7_top_k": topk.SQL, "op10_quality": quality.SQL, "op11_filter_audit": filter_audit.SQL}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_byte_bpe, op4_simhash, op5_lm_score, op6_packing, op7_top_k, op8_pii, op9_toxicity, op10_quality, op11_filter_audit, op12_spelling_variants, op13_language_id)}
+SQL = {"op7_top_k": topk.SQL, "op10_quality": quality.SQL, "op11_filter_audit": filter_audit.SQL, "op12_spelling_variants": spelling.SQL}
