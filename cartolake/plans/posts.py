@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from cartolake.operators import ai_log, extraction, linking, mentions
 from cartolake.plans.captures import table
 from cartolake.plans.registry import STREAK, query, view
 from cartolake.streaming import events as stream_events
+from cartolake.streaming import ingest, jobs
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(trim(text)) > 5 THEN sha256(trim(text)) ELSE sha256('short') END AS caption, CASE WHEN doc_id % 3 = 0 THEN concat('p', doc_id) END AS tag,
@@ -121,11 +124,68 @@ def live_counters(spark, sf_dir):
     return totalled(spark, stream_events.live_counters(replay(spark, rows, "counted")), "counters")
 
 
-@query("SELECT user_id AS job_id, arg_max(event_type, (event_type = 'purchase', ts, event_id)) AS status FROM events GROUP BY user_id")
+#: Files that a part of a replay has.
+FILES = 2
+
+
+def replay_in_parts(spark: SparkSession, rows: DataFrame, order: str, tag: str, parts: int = 4) -> DataFrame:
+    """rows as a stream of `parts` batches by falling age: each has its share of the range of order, a Column's text."""
+    path, key = scratch(spark, tag), F.expr(order)
+    edges = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)]).alias("at")).first()["at"] or []
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        above = F.lit(True) if low is None else key > low
+        rows.where(above if high is None else above & (key <= high)).repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+def changes(spark: SparkSession, stream: DataFrame, tag: str, mode: str = "update") -> DataFrame:
+    """What every batch of a stream gave, with batch_no; a batch that runs again writes its folder anew."""
+    path = scratch(spark, tag)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch_no={number}")
+    with jobs.state_store(spark):
+        out = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(stream.schema.add("batch_no", "integer")).parquet(f"{path}/out")
+
+
+#: Events of jobs (users) and their regions; one type ends a job or region.
+JOB_EVENT = ["user_id AS job_id", "CASE event_id % 3 WHEN 1 THEN 'north' WHEN 2 THEN 'south' END AS region", "event_type AS status", "CAST(ts AS TIMESTAMP) AS ts", "event_id", "event_id % 7 AS progress"]
+
+
+@query("""SELECT user_id AS job_id, CASE event_id % 3 WHEN 1 THEN 'north' WHEN 2 THEN 'south' ELSE '' END AS region, arg_max(event_type, (event_type = 'purchase', ts, event_id)) AS status,
+ arg_max(event_id % 7, (event_type = 'purchase', ts, event_id)) AS progress FROM events GROUP BY 1, 2""")
 def live_job_state(spark, sf_dir):
-    """An event of one type ends its job."""
-    rows = table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_type AS status", "ts", "event_id")
-    return totalled(spark, stream_events.live_job_state(replay(spark, rows, "states"), ("purchase",)), "job-states").select("job_id", "status")
+    """The last state that the stream told of each job and region; an event of one type ends it. Four batches."""
+    rows = table(spark, sf_dir, "events").selectExpr(*JOB_EVENT)
+    told = changes(spark, jobs.live_job_state(replay_in_parts(spark, rows, "unix_micros(ts)", "states"), ("purchase",), keep_hours=24 * 60), "job-states")
+    last = told.groupBy("job_id", "region").agg(F.max_by(F.struct("status", "progress"), "batch_no").alias("last"))
+    return last.select("job_id", "region", "last.status", "last.progress")
+
+
+@query("""WITH own AS (SELECT user_id AS job_id, CASE event_id % 3 WHEN 1 THEN 'north' WHEN 2 THEN 'south' ELSE '' END AS region, date_trunc('hour', ts) AS h, event_id % 7 AS progress FROM events),
+ over AS (SELECT * FROM own WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))
+ SELECT job_id, region, CAST(epoch_ms(h) / 1000 AS BIGINT) AS started, count(*) AS n_events, CAST(sum(progress) AS BIGINT) AS progress FROM over GROUP BY GROUPING SETS ((job_id, region, h), (job_id, h))""")
+def live_region_counters(spark, sf_dir):
+    """Windows that are over, of regions and of jobs, from four batches in which every event comes twice."""
+    rows = table(spark, sf_dir, "events").selectExpr(*JOB_EVENT)
+    stream = replay_in_parts(spark, rows.unionByName(rows), "unix_micros(ts)", "windows")
+    told = changes(spark, jobs.window_counters(stream, ["progress"]), "window-counters", "append")
+    return told.select("job_id", "region", F.unix_seconds("window_start").alias("started"), "n_events", "progress")
+
+
+@query("""WITH done AS (SELECT conv_id, CAST(arg_max(turn / 2, turn) AS INTEGER) AS n FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id),
+ listed AS (SELECT DISTINCT conv_id, turn FROM conversations), numbered AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM listed)
+ SELECT l.conv_id AS post_id, CAST(l.turn AS INTEGER) AS sequence, concat(l.conv_id, '/', l.turn) AS name, CASE WHEN l.n <= coalesce(d.n, 0) THEN 'DONE' ELSE 'PENDING' END AS status,
+ CAST(least(coalesce(d.n, 0), total) AS INTEGER) AS n_done, CAST(total - least(coalesce(d.n, 0), total) AS INTEGER) AS n_pending FROM numbered l LEFT JOIN done d ON d.conv_id = l.conv_id""")
+def live_progress_stream(spark, sf_dir):
+    """The last list that the stream told of each post, from four batches of mentions and reports."""
+    turns = table(spark, sf_dir, "conversations")
+    mentioned = turns.selectExpr("conv_id AS post_id", "turn AS seq", "turn AS sequence", "concat(conv_id, '/', turn) AS name", "CAST(NULL AS STRING) AS stage", "CAST(NULL AS INT) AS done")
+    reports = turns.where("turn % 2 = 0").selectExpr("conv_id AS post_id", "1000 + turn AS seq", "CAST(NULL AS INT) AS sequence", "CAST(NULL AS STRING) AS name", "role AS stage", "CAST(turn / 2 AS INT) AS done")
+    stream = replay_in_parts(spark, mentioned.selectExpr("post_id", "CAST(seq AS BIGINT) AS seq", "CAST(sequence AS INT) AS sequence", "name", "stage", "done").unionByName(reports.withColumn("seq", F.col("seq").cast("long"))), "seq % 1000", "mentions")
+    told = changes(spark, jobs.live_progress(stream), "progress")
+    last = told.groupBy("post_id").agg(F.max("batch_no").alias("batch_no"))
+    return told.join(last, ["post_id", "batch_no"]).select("post_id", "sequence", "name", "status", "n_done", "n_pending")
 
 
 @query("SELECT event_id, count(*) AS n FROM events GROUP BY event_id")
@@ -150,7 +210,34 @@ def ingest_places_stream(spark, sf_dir):
         *(f"'' AS {c}" for c in ("phone", "plus_code", "price_range", "current_open_status", "status")),
     )
     stream, out = replay(spark, part, "captures"), scratch(spark, "ingested")
-    stream_events.ingest_places(stream, f"{out}/places", f"{out}/rejects", f"{out}/state").awaitTermination()
-    good = spark.read.schema("id long, address string").parquet(f"{out}/places").selectExpr("id", "address", "CAST(NULL AS STRING) AS reject_reason")
-    bad = spark.read.schema("id long, reject_reason string").parquet(f"{out}/rejects").selectExpr("id", "CAST(NULL AS STRING) AS address", "reject_reason")
+    ingest.ingest_places(stream, out, f"{out}/state").awaitTermination()
+    good = ingest.committed(spark, out, "places").selectExpr("id", "address", "CAST(NULL AS STRING) AS reject_reason")
+    bad = ingest.committed(spark, out, "rejects").selectExpr("id", "CAST(NULL AS STRING) AS address", "reject_reason")
     return good.unionByName(bad)
+
+
+@query("""WITH own AS (SELECT p_partkey AS id, concat('ChIJ', p_partkey) AS place_id, p_name, p_partkey % 20 + 1 AS h FROM part WHERE p_partkey % 7 > 0)
+ SELECT place_id, 'places' AS kind, concat(4.5 - id % 3, ' ', id % 500, ' ', upper(p_name)) AS value FROM own WHERE id % 11 > 0
+ UNION ALL SELECT place_id, 'places', concat(4.5 - id % 3, ' ', id % 500, ' curated') FROM own WHERE id % 11 = 0
+ UNION ALL SELECT place_id, 'hours', concat('Monday 0 ', h, ' AM - 10 PM') FROM own WHERE h <= 12
+ UNION ALL SELECT place_id, 'popular_times', concat('Tuesday 12 ', least(100, id % 150)) FROM own
+ UNION ALL SELECT place_id, 'about', concat('service 0 ', CASE WHEN id % 2 = 0 THEN 'delivery' ELSE 'Delivery' END, ' ', CASE WHEN id % 2 = 0 THEN 'false' ELSE 'true' END) FROM own
+ UNION ALL SELECT place_id, 'images', concat('0 p', id) FROM own UNION ALL SELECT place_id, 'images', concat('1 q', id) FROM own
+ UNION ALL SELECT concat('ChIJ', p_partkey), 'rejects', 'GENERIC_TITLE' FROM part WHERE p_partkey % 7 = 0""")
+def ingest_place_tables_stream(spark, sf_dir):
+    """Captures with nested labels through the stream in four batches; what the tables hold of whole batches, as text."""
+    part = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS capture_no", "concat('ChIJ', p_partkey) AS place_id", "CASE WHEN p_partkey % 7 = 0 THEN 'Dropped pin' ELSE upper(p_name) END AS title", "concat('https://example.com/', p_partkey) AS link",
+        "concat(4.5 - p_partkey % 3, ' stars') AS rating_text", "concat('(', p_partkey % 500, ' reviews)') AS reviews_text", "array(concat('p', p_partkey), concat('q', p_partkey)) AS preview",
+        "array(struct(concat('Monday, ', CASE WHEN p_partkey % 20 < 12 THEN concat(p_partkey % 20 + 1, ' AM to 10 PM, ') ELSE '' END, 'Copy open hours') AS label, CAST(NULL AS ARRAY<STRING>) AS cells)) AS hours",
+        "array(struct('Tuesdays' AS day, concat(p_partkey % 150, '% busy at 12 PM.') AS label)) AS popular",
+        "array(struct('Service' AS section, CASE WHEN p_partkey % 2 = 0 THEN 'No delivery' ELSE 'Delivery' END AS label, '' AS visible_text)) AS about",
+    )
+    out = scratch(spark, "ingested")
+    curated = part.where("capture_no % 11 = 0").selectExpr("place_id", "'curated' AS title")
+    ingest.ingest_places(replay_in_parts(spark, part, "capture_no", "nested-captures"), out, f"{out}/state", curated, ["title"]).awaitTermination()
+    values = {
+        "places": "concat(rating, ' ', review_count, ' ', title)", "hours": "concat(day, ' ', range_no, ' ', hours)", "popular_times": "concat(day, ' ', hour, ' ', percent)",
+        "about": "concat(section_id, ' ', pos, ' ', name, ' ', enabled)", "images": "concat(pos, ' ', url)", "rejects": "reject_reason",
+    }
+    return reduce(DataFrame.unionByName, (ingest.committed(spark, out, t).selectExpr("place_id", f"'{t}' AS kind", f"{v} AS value") for t, v in values.items()))

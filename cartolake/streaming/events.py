@@ -7,12 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cartolake.operators.captures import normalize_info
-from cartolake.operators.classify import place_gate
-
 
 def dedupe_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each event once: senders repeat what they couldn't confirm."""
@@ -24,32 +20,6 @@ def live_counters(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id").agg(F.count("*").alias("n_events"), F.sum("imported").alias("imported"))
 
 
-#: Statuses after which a job's progress doesn't count any more.
-TERMINAL = ("completed", "failed", "cancelled")
-
-
-def live_job_state(stream: DataFrame, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """Per job the status of its last event, for update or complete mode; once a terminal one has come, of the last such."""
-    over = F.coalesce(F.lower("status").isin(*terminal), F.lit(False))
-    last = F.max_by(F.struct("status", "ts"), F.struct(over, "ts", "event_id"))
-    return stream.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.status", F.col("last.ts").alias("updated_at"))
-
-
-def ingest_places(stream: DataFrame, places: str, rejects: str, checkpoint: str) -> StreamingQuery:
-    """Captures to normalised places, and those that the gate rejects to a table of their own; both are Parquet folders.
-
-    A batch that is run again writes the same batch_no folder once more, so nothing is doubled.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        judged = place_gate(normalize_info(batch)).persist()
-        judged.where("reject_reason IS NULL").drop("reject_reason").write.mode("overwrite").parquet(f"{places}/batch_no={number}")
-        judged.where("reject_reason IS NOT NULL").write.mode("overwrite").parquet(f"{rejects}/batch_no={number}")
-        judged.unpersist()
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def live_block_guard(stream: DataFrame, waits: tuple[int, ...] = (60, 300, 900), free: int = 1) -> DataFrame:
     """block_streaks as a stateful operator: worker, seq, streak, wait_s, stop for a stream (worker long, seq long, blocked, raised).
 

@@ -121,16 +121,6 @@ def test_dimension_files(spark, tmp_path):
     assert files.read_regions(spark, str(tmp_path / "r.json")).first().priority == 3
 
 
-def test_stream_of_captures(spark, tmp_path):
-    rows = spark.createDataFrame([("Pho", "Address: 5", ""), (" ", "x", "")], "title string, address string, link string")
-    rows = rows.withColumns({c: F.lit("") for c in ("phone", "plus_code", "price_range", "current_open_status", "status")})
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    events.ingest_places(stream, *(str(tmp_path / p) for p in ("places", "rejects", "state"))).awaitTermination()
-    assert [r.address for r in spark.read.parquet(str(tmp_path / "places")).collect()] == ["5"]
-    assert [r.reject_reason for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["BLANK_TITLE"]
-
-
 def test_block_guard_equals_batch(spark, tmp_path):
     from cartolake.operators import refresh
 

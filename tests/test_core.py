@@ -77,15 +77,3 @@ def test_a_raised_row_leaves_the_streak(spark):
 def test_query_text_takes_new_hints_only(spark):
     row = spark.createDataFrame([("Pho Hoa Hanoi", "hanoi", "Vietnam", None)], "query string, a string, b string, c string")
     assert mentions.map_query(row, ["a", "b", "c"]).first().map_query == "Pho Hoa Hanoi Vietnam"
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from cartolake.streaming import events
-
-    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("ts", "event_id", "user_id AS job_id", "event_type AS status", "1 AS imported")
-    rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stop = ("purchase",)
-    q = events.live_job_state(stream, stop).writeStream.outputMode("complete").format("memory").queryName("state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(spark.table("state").collect()) == sorted(events.live_job_state(rows, stop).collect())
