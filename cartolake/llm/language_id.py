@@ -26,7 +26,7 @@ from .common import encoded, hash_share, materialize, texts_of
 #: Bytes of context.
 ORDER = 5
 #: Rows of a language that its tree is fitted on at most, about: a hashed share of them beyond. This bounds the broadcast.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1000
 #: What stands before a text.
 START = b"\n" * ORDER
 #: Bytes that are costed together; a longer text is cut into slices with their context.
