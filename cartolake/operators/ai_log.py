@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.functions.text import first_truthy
+
 
 #: The least characters of a base64 value and of an inline data URL that are redacted, and their forms.
 BASE64_CHARS, DATA_URL_CHARS = 512, 64
@@ -30,14 +32,21 @@ def usage_tokens(df: DataFrame) -> DataFrame:
 
 
 def ai_call_rows(df: DataFrame) -> DataFrame:
-    """trace_id, provider, status, latency_ms and tokens of every call."""
+    """trace_id, operation, provider, model, status, latency_ms and tokens of every call; blank texts are null, as are columns that aren't there."""
     own = usage_tokens(df)
-    return own.select("trace_id", F.lower("provider").alias("provider"), F.when(F.col("ok"), "SUCCESS").otherwise("FAILED").alias("status"), "latency_ms", "input_tokens", "cached_tokens", "output_tokens")
+    text = lambda c: first_truthy(F.col(c)) if dict(own.dtypes).get(c) == "string" else F.col(c) if c in own.columns else F.lit(None).cast("string")
+    return own.select(text("trace_id").alias("trace_id"), text("operation").alias("operation"), F.lower(text("provider")).alias("provider"), text("model").alias("model"), F.when(F.col("ok"), "SUCCEEDED").otherwise("FAILED").alias("status"), "latency_ms", "input_tokens", "cached_tokens", "output_tokens")
 
 
 def extraction_eval(calls: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Per url and model: calls, successes and the mentions by status (mentions: url, model, status)."""
+    """Per url and model: calls, successes, and the mentions by status and, where they have a mention_type, by that, as a map
+    (mentions: url, model, status, perhaps mention_type)."""
     runs = calls.groupBy("url", "model").agg(F.count("*").alias("n_calls"), F.count_if("ok").alias("n_ok"))
     status = lambda s, to: F.count_if(F.col("status") == s).alias(to)
     found = mentions.groupBy("url", "model").agg(F.count("*").alias("n_mentions"), status("EVIDENCE_VERIFIED", "n_verified"), status("UNRESOLVED", "n_unresolved"), status("DISCARDED", "n_discarded"))
-    return runs.join(found, ["url", "model"], "left").fillna(0, ["n_mentions", "n_verified", "n_unresolved", "n_discarded"])
+    out = runs.join(found, ["url", "model"], "left").fillna(0, ["n_mentions", "n_verified", "n_unresolved", "n_discarded"])
+    if "mention_type" not in mentions.columns:
+        return out
+    kinds = mentions.where("mention_type IS NOT NULL").groupBy("url", "model", "mention_type").agg(F.count("*").alias("n"))
+    by_type = kinds.groupBy("url", "model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mention_type", "n")))).alias("by_type"))
+    return out.join(by_type, ["url", "model"], "left").withColumn("by_type", F.coalesce("by_type", F.create_map().cast("map<string,bigint>")))

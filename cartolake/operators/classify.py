@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions.text import blank_to_null
 from cartolake.operators.urls import VIEWPORT, is_missing_name
 
-#: Phrases of a dictionary at most.
-DICTIONARY_ROWS = 5000
+#: Phrases up to which a dictionary is a literal of the plan; characters of one automaton, and of a dictionary at most.
+LITERAL_PHRASES, PART_CHARS, DICTIONARY_CHARS = 500, 2_000_000, 20_000_000
+#: The lower-cased address on its way to the automata.
+FOLDED = "address_folded_"
 #: Fixed values.
+COUNTRY = "vietnam|việt nam"
 GENERIC_TITLES = ("this place", "dropped pin", "this location")
 LEGACY_GROUPS = ("CULTURE_AND_HERITAGE", "NATURE_AND_OUTDOORS", "SHOPPING_AND_MARKET", "OTHER")
 
@@ -25,22 +32,61 @@ def fold_legacy_group(group: Column) -> Column:
 
 
 def infer_locale(df: DataFrame) -> DataFrame:
-    """Adds timezone: the country's where the coordinates lie in its box, else UTC."""
-    inside = (F.col("latitude") > 8) & (F.col("latitude") < 24) & (F.col("longitude") > 102) & (F.col("longitude") < 110)
-    return df.withColumn("timezone", F.when(inside, "Asia/Saigon").otherwise("UTC"))
+    """Adds timezone, the country's where the coordinates lie in its box, else UTC, and in_country: whether they do, or the
+    address (if there is such a column) names the country."""
+    inside = F.coalesce((F.col("latitude") > 8) & (F.col("latitude") < 24) & (F.col("longitude") > 102) & (F.col("longitude") < 110), F.lit(False))
+    named = has_words(F.coalesce("address", F.lit("")), COUNTRY) if "address" in df.columns else F.lit(False)
+    return df.withColumns({"timezone": F.when(inside, "Asia/Saigon").otherwise("UTC"), "in_country": inside | named})
 
 
 def tag_destinations(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds destinations: the sorted codes of all phrases (dimension: code, phrase) that the lower-cased address contains.
 
-    The dictionary becomes a literal of the plan; one of more than DICTIONARY_ROWS phrases is an error.
+    A dictionary of few phrases is a literal of the plan. A larger one becomes automata over its phrases, which tasks run
+    along an address once, whatever their number; each holds PART_CHARS characters at most, and a further one takes over
+    where the last has ended, without a shuffle. A dictionary above DICTIONARY_CHARS characters is an error. An empty phrase
+    stands in every address; a null address holds nothing else.
     """
-    known = dictionary.select("code", "phrase").where("phrase IS NOT NULL").limit(DICTIONARY_ROWS + 1).collect()
-    if len(known) > DICTIONARY_ROWS:
-        raise ValueError(f"a dictionary of more than {DICTIONARY_ROWS} phrases is no dimension")
-    pairs = F.array(*(F.struct(F.lit(r["code"]).alias("code"), F.lit(r["phrase"]).alias("phrase")) for r in known)).cast("array<struct<code:string,phrase:string>>")
+    known = dictionary.select(F.col("code").cast("string").alias("code"), F.col("phrase").cast("string").alias("phrase")).where("phrase IS NOT NULL AND code IS NOT NULL").distinct()
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("phrase") + F.length("code")), F.lit(0)).alias("chars")).first()
+    if size["chars"] > DICTIONARY_CHARS:
+        raise ValueError(f"a dictionary of {size['chars']} characters is no dimension: {DICTIONARY_CHARS} at most")
+    phrases = sorted((r["phrase"], r["code"]) for r in known.collect())
     low = F.lower(F.coalesce("address", F.lit("")))
-    return df.withColumn("destinations", F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda x: F.contains(low, x["phrase"])), lambda x: x["code"]))))
+    if size["n"] <= LITERAL_PHRASES:
+        pairs = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(p).alias("phrase")) for p, c in phrases)).cast("array<struct<code:string,phrase:string>>")
+        found = F.transform(F.filter(pairs, lambda x: F.contains(low, x["phrase"])), lambda x: x["code"])
+        return df.withColumn("destinations", F.array_sort(F.array_distinct(found)))
+    always = sorted({c for p, c in phrases if not p})
+    rows = df.withColumn("destinations", F.array(*map(F.lit, always)).cast("array<string>")).withColumn(FOLDED, low)
+    part, chars = [], 0
+    for phrase, code in ((p, c) for p, c in phrases if p):
+        if part and chars + len(phrase) > PART_CHARS:
+            rows, part, chars = with_phrases(rows, part), [], 0
+        part.append((phrase, code))
+        chars += len(phrase)
+    return (with_phrases(rows, part) if part else rows).drop(FOLDED).withColumn("destinations", F.array_sort(F.array_distinct("destinations")))
+
+
+def with_phrases(rows: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+    """rows (destinations, FOLDED) with the codes of the phrases in FOLDED appended to destinations, by an automaton."""
+    shared = rows.sparkSession.sparkContext.broadcast(phrases)  # PART_CHARS at most
+    at, folded = rows.columns.index("destinations"), rows.columns.index(FOLDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, list[str]] = {}
+        for phrase, code in shared.value:
+            codes.setdefault(phrase, []).append(code)
+        words = ahocorasick.Automaton()
+        for phrase, own in codes.items():
+            words.add_word(phrase, own)
+        words.make_automaton()
+        for batch in batches:
+            found = [sorted({*before, *(c for _, own in words.iter(text) for c in own)}) for before, text in zip(batch.column(at).to_pylist(), batch.column(folded).to_pylist(), strict=True)]
+            columns = [pa.array(found, pa.list_(pa.string())) if k == at else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def first_float(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,27 +83,59 @@ def within_radius(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame
     return df.where(fine("latitude") & fine("longitude")).withColumn("d_", far).where(F.col("d_") <= km).withColumn("distance_km", F.round("d_", 3)).drop("d_")
 
 
-def radius_join(points: DataFrame, centers: DataFrame, km: float) -> DataFrame:
+#: Points of a cell from which on it is cut into parts.
+CROWDED = 200_000
+
+
+def radius_join(points: DataFrame, centers: DataFrame, km: float, crowded: int = CROWDED) -> DataFrame:
     """Pairs of points and centers (center_id, c_lat, c_lng) within km: an equi-join on cells, then the exact distance.
 
-    A cell is as high as the radius and, at the centre's latitude, at least as wide, so a centre meets its own cells and
-    those around. Wrapping at the date line isn't handled.
+    Cells are those of a cube's grid around the globe: points within km lie at most a chord apart, so with cells as wide as
+    that chord a centre meets its own cell and the 26 around it, at the poles and the date line as anywhere else. A cell
+    with more than `crowded` points is cut into parts by hash, and only its centres are repeated for them. Points and
+    centers without finite coordinates go; longitudes may be beyond 180.
     """
-    step = km / (EARTH_KM * 3.141592653589793 / 180)
-    row = lambda c: F.floor(F.col(c) / step)
-    reach = F.least(F.lit(180.0), step / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("c_lat")) + step))), F.lit(0.02)))
-    around = centers.withColumn("cy", F.explode(F.sequence(row("c_lat") - 1, row("c_lat") + 1))).withColumn(
-        "cx", F.explode(F.sequence(F.floor((F.col("c_lng") - reach) / step), F.floor((F.col("c_lng") + reach) / step)))
-    )
-    met = points.withColumns({"cy": row("latitude"), "cx": row("longitude")}).join(around, ["cy", "cx"])
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    # a little wider, for the rounding of both distances
+    width = max(2 * math.sin(min(km / EARTH_KM, math.pi) / 2) * (1 + 1e-9), 0.0) + 1e-7
+
+    def cell(lat: str, lng: str) -> list[Column]:
+        y, x = F.radians(lat), F.radians(lng)
+        return [F.floor(v / width) for v in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+    key = ["gx", "gy", "gz"]
+    own = points.where(finite("latitude") & finite("longitude")).withColumns(dict(zip(key, cell("latitude", "longitude"), strict=True)))
+    parts = own.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select(*key, F.ceil(F.col("n") / crowded).cast("int").alias("parts"))
+    dealt = own.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(*points.columns), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    around = centers.where(finite("c_lat") & finite("c_lng"))
+    for k, at in zip(key, cell("c_lat", "c_lng"), strict=True):
+        around = around.withColumn(k, F.explode(F.sequence(at - 1, at + 1)))
+    repeated = around.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = dealt.join(repeated, [*key, "part"])
     far = haversine_km(F.col("c_lat"), F.col("c_lng"), F.col("latitude"), F.col("longitude"))
-    return met.withColumn("distance_km", far).where(F.col("distance_km") <= km).drop("cy", "cx")
+    return met.withColumn("distance_km", far).where(F.col("distance_km") <= km).drop(*key, "part")
+
+
+#: By what a candidate can be known, besides its key.
+IDENTITIES = ("place_id", "cid")
+
+
+def exclude_existing(candidates: DataFrame, catalogue: DataFrame, identities: tuple[str, ...] = IDENTITIES) -> DataFrame:
+    """Candidates (key, each once) with is_known: whether the catalogue has their key, or one of their identities.
+
+    Those of `identities` count that both tables have; blank ones match nothing. The ids of a candidate become rows of their
+    own, each kind of id is met once a distinct value, and the verdicts come back by key: a candidate never doubles,
+    however many of its ids are known.
+    """
+    kinds = ["key", *(c for c in identities if c in candidates.columns and c in catalogue.columns)]
 
+    def ids(df: DataFrame, *more: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(k).alias("kind"), F.nullif(F.trim(F.col(k).cast("string")), F.lit("")).alias("value")) for k in kinds))
+        return df.select(*more, F.inline(each)).where("value IS NOT NULL")
 
-def exclude_existing(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Candidates with is_known: whether the catalogue has the key."""
-    known = catalogue.select("key").distinct().withColumn("is_known", F.lit(True))
-    return candidates.join(known, "key", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    asked = ids(candidates.select(*kinds, F.col("key").alias("own_")), "own_")
+    met = asked.join(ids(catalogue).distinct(), ["kind", "value"], "left_semi").select(F.col("own_").alias("key")).distinct()
+    return candidates.join(met.withColumn("is_known", F.lit(True)), "key", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
 def filter_reason(food: Column, min_reviews: int, min_rating: float) -> Column:
@@ -111,6 +145,11 @@ def filter_reason(food: Column, min_reviews: int, min_rating: float) -> Column:
     )
 
 
+def later_reason(reason: Column, scrape_failed: Column, n_scoring: Column) -> Column:
+    """The reason of a place that has come through filter_reason and had its reviews captured: that failed, or none of them scores."""
+    return F.coalesce(reason, F.when(F.coalesce(scrape_failed, F.lit(False)), "REVIEW_SCRAPE_FAILED").when(F.coalesce(n_scoring, F.lit(0)) == 0, "NO_SCORING_REVIEWS"))
+
+
 def food_gate(category: Column, markers: list[str], group: Column | None = None) -> Column:
     """Whether a place's group is FOOD_AND_DRINK or its category holds a marker anywhere."""
     low = F.lower(F.coalesce(category, F.lit("")))
@@ -120,11 +159,40 @@ def food_gate(category: Column, markers: list[str], group: Column | None = None)
     return gate
 
 
+def region_counters(outcomes: DataFrame, failed_regions: DataFrame) -> DataFrame:
+    """Per region, and in total where region is null, the counters that a crawl reports.
+
+    outcomes: region, is_known, has_url, scrape_failed, outside, reason (of filter_reason), final_reason (of later_reason),
+    has_id, imported, saved (inactive), rejected_score, insufficient. A known candidate is processed and skipped. One
+    without a URL has failed and isn't processed; nor do places count further that couldn't be captured (failed) or lie
+    outside the radius (skipped). One without an id fails after it was eligible. failed_regions: region, the number of
+    times that a whole region failed; each adds one failure there, though nothing was discovered.
+    """
+    whole = failed_regions.groupBy("region").agg(F.count("*").alias("lost"))
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    fresh = ~is_("is_known")
+    captured = fresh & is_("has_url") & ~is_("scrape_failed")
+    met = captured & ~is_("outside")
+    sent = met & is_("has_id")
+    count = lambda c, name: F.count_if(c).alias(name)
+    own = outcomes.groupBy("region").agg(
+        F.count("*").alias("discovered"), count(~fresh | fresh & is_("has_url"), "processed"), count(met & F.col("reason").isNull(), "eligible"), count(sent & is_("imported"), "imported"),
+        count(~fresh | captured & is_("outside") | sent & (is_("saved") | ~is_("imported")), "skipped"), count(fresh & ~is_("has_url") | fresh & is_("has_url") & is_("scrape_failed") | met & ~is_("has_id"), "failed"),
+        count(sent & is_("saved") & is_("rejected_score"), "rejected_score"), count(sent & is_("imported") & is_("insufficient"), "insufficient_photo"),
+        count(sent & F.col("final_reason").eqNullSafe("REVIEW_SCRAPE_FAILED"), "no_reviews_captured"), count(sent & F.col("final_reason").eqNullSafe("NO_SCORING_REVIEWS"), "no_scoring_reviews"),
+    )
+    names = own.columns[1:]
+    both = own.join(whole, "region", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in names}).withColumn("failed", F.col("failed") + F.coalesce("lost", F.lit(0)))
+    # the regions are few: their total is a second, small sum
+    return both.rollup("region").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def crawl_counters(outcomes: DataFrame) -> DataFrame:
     """Per region, and in total where region is null: discovered, skipped, eligible, the rejected by reason, and what became
     of the imports (imported, insufficient, rejected_score, skipped as classify_import_outcome gives them; failed).
 
     An imported place that was saved as inactive counts as imported and as skipped. Columns that aren't there count 0.
+    region_counters tells further steps apart.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in outcomes.columns else F.lit(False)
     count = lambda c, name: F.count_if(c).alias(name)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,16 +49,57 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(BooleanType())
-def window_near(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """Whether some run of the text's words, nearly as long as the quote, has a ratio of 0.58 or more."""
+#: Fixed value: the least ratio of a window.
+WINDOW_RATIO = 0.58
+
+
+def near_window(quote: str, text: str) -> bool:
+    """Whether some run of the text's words, nearly as long as the quote, has a ratio of WINDOW_RATIO or more.
+
+    A ratio counts characters in common blocks, which are a common subsequence; so twice the longest one's length over
+    both lengths is at least the ratio. From each first word one pass over the words of the longest window gives that
+    length for windows of all sizes, in whole-number operations on the quote's characters at once, and without it where the
+    characters that both hold in any order are too few. Only a window whose bound is enough is compared in full.
+    """
+    size, words = len(quote.split()), text.split()
+    sizes = range(max(2, size - 2), min(len(words), size + 3) + 1)
+    if not sizes:
+        return False
+    places: dict[str, int] = {}
+    for k, c in enumerate(quote):
+        places[c] = places.get(c, 0) | 1 << k
+    n, whole, wanted = len(quote), (1 << len(quote)) - 1, Counter(quote)
+    # characters of the longest window from each first word, each as often as the quote wants it
+    own = [Counter(c for c in w if c in places) for w in words]
+    window: Counter[str] = Counter()
+    for w in own[: sizes[-1] - 1]:
+        window.update(w)
+    for first in range(len(words) - sizes[0] + 1):
+        if first:
+            window.subtract(own[first - 1])
+        if first + sizes[-1] <= len(words):
+            window.update(own[first + sizes[-1] - 1])
+        # spaces apart: a window of k words has k - 1 of them
+        common = sum(min(m, window[c]) for c, m in wanted.items() if c != " ")
+        least = sum(map(len, words[first : first + sizes[0]])) + sizes[0] - 1
+        if 2 * (common + min(wanted[" "], sizes[-1] - 1)) < WINDOW_RATIO * (n + least):
+            continue
+        left, length = whole, 0
+        for k, w in enumerate(words[first : first + sizes[-1]], 1):
+            for c in w if k == 1 else " " + w:
+                met = left & places.get(c, 0)
+                left = ((left + met) | (left - met)) & whole
+            length += len(w) + (k > 1)
+            if k < sizes[0] or 2 * (n - left.bit_count()) < WINDOW_RATIO * (n + length):
+                continue
+            if SequenceMatcher(None, quote, " ".join(words[first : first + k])).ratio() >= WINDOW_RATIO:
+                return True
+    return False
 
-    def near(q: str, t: str) -> bool:
-        n, tokens = len(q.split()), t.split()
-        sizes = range(max(2, n - 2), min(len(tokens), n + 3) + 1)
-        return any(SequenceMatcher(None, q, " ".join(tokens[k : k + size])).ratio() >= 0.58 for size in sizes for k in range(len(tokens) - size + 1))
 
-    return pd.Series([near(q, t) if q and t else False for q, t in zip(quote, text, strict=True)], dtype=bool)
+@F.pandas_udf(BooleanType())
+def window_near(quote: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([near_window(q, t) if q and t else False for q, t in zip(quote, text, strict=True)], dtype=bool)
 
 
 def quote_support(df: DataFrame, quote: str, text: str) -> DataFrame:
@@ -253,11 +297,14 @@ def enrich_mentions(mentions: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def reject_posts(posts: DataFrame, most_seconds: float) -> DataFrame:
-    """posts (duration, on_topic) with verdict. An unknown topic proceeds."""
+    """posts (duration, on_topic) with verdict. An unknown topic proceeds, and so does a post without any text (caption, title,
+    tags, transcript, where there are such columns), whatever was said of its topic: there was nothing to judge by."""
+    texts = [F.coalesce(F.trim(c), F.lit("")) != "" for c in ("caption", "title", "transcript") if c in posts.columns] + [F.size(F.coalesce("tags", F.array())) > 0 for c in ("tags",) if c in posts.columns]
+    judged = reduce(or_, texts) if texts else F.lit(True)
     return posts.withColumn(
         "verdict",
         F.when(F.col("duration").isNull() | (F.col("duration") <= 0), "DURATION_UNAVAILABLE").when(F.col("duration") > most_seconds, "REJECTED_DURATION")
-        .when(~F.col("on_topic"), "REJECTED_TOPIC").otherwise("PROCEED"),
+        .when(~F.col("on_topic") & judged, "REJECTED_TOPIC").otherwise("PROCEED"),
     )
 
 
@@ -287,6 +334,8 @@ def drop_near_identical(frames: DataFrame, most: float, tile: int = 1) -> DataFr
 
 
 def progress_view(mentions: DataFrame, done: int) -> DataFrame:
-    """mentions (post_id, pos) with stage: the first `done` of each post are DONE."""
-    n = F.row_number().over(Window.partitionBy("post_id").orderBy("pos"))
-    return mentions.withColumn("stage", F.when(n <= done, "DONE").otherwise("PENDING"))
+    """mentions (post_id, pos) with stage, where the first `done` of each post are DONE, and how many of the post are so and aren't."""
+    own = Window.partitionBy("post_id")
+    n, total = F.row_number().over(own.orderBy("pos")), F.count("*").over(own)
+    first = F.least(F.lit(done).cast("long"), total)
+    return mentions.withColumns({"stage": F.when(n <= done, "DONE").otherwise("PENDING"), "n_done": first, "n_pending": total - first})

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from cartolake.functions.text import first_truthy
 
 MIN_SCORE, MIN_GAP = 0.68, 0.08
+#: The reasons for which a mention isn't retained.
+REJECTED_REASONS = ("invalid_candidate", "missing_name", "generic_or_unnamed_place")
 
 
 def confidence(value: Column) -> Column:
@@ -18,9 +20,19 @@ def confidence(value: Column) -> Column:
 
 
 def validation_summary(mentions: DataFrame) -> DataFrame:
-    """Per post: mentions, verified, unresolved, and rejected ones by whether they have a reason."""
+    """Per post: mentions, verified, unresolved, those with a reason, the rejected ones (REJECTED_REASONS) and how often each
+    of these reasons occurs, as a map by name."""
     status = lambda s: F.count_if(F.col("status") == s)
-    return mentions.groupBy("post_id").agg(F.count("*").alias("n_input"), status("EVIDENCE_VERIFIED").alias("n_verified"), status("UNRESOLVED").alias("n_unresolved"), F.count_if(F.col("reason").isNotNull()).alias("n_reasons"))
+    rejected = F.col("reason").isin(*REJECTED_REASONS)
+    counts = F.array(*(F.struct(F.lit(r).alias("reason"), F.count_if(F.col("reason") == r).alias("n")) for r in sorted(REJECTED_REASONS)))
+    reasons = F.map_from_entries(F.filter(counts, lambda x: x["n"] > 0))
+    return mentions.groupBy("post_id").agg(F.count("*").alias("n_input"), status("EVIDENCE_VERIFIED").alias("n_verified"), status("UNRESOLVED").alias("n_unresolved"), F.count_if(F.col("reason").isNotNull()).alias("n_reasons"), F.count_if(rejected).alias("n_rejected"), reasons.alias("reasons"))
+
+
+def map_summary(enriched: DataFrame) -> DataFrame:
+    """Per post, after the map search: the mentions that went into it, and those that it resolved, rejected (none: all are kept) and left open."""
+    resolved = F.col("status") == "RESOLVED"
+    return enriched.groupBy("post_id").agg(F.count("*").alias("map_input"), F.count_if(resolved).alias("map_verified"), F.lit(0).cast("long").alias("map_rejected"), F.count_if(~F.coalesce(resolved, F.lit(False))).alias("n_unresolved"))
 
 
 #: Longest ref.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolake.functions.text import first_truthy
 from cartolake.operators.urls import classify_map_url
 
 
@@ -17,13 +18,16 @@ def detail_refresh_candidates(catalogue: DataFrame, include_inactive: bool = Fal
     return first.orderBy("id").limit(most) if most and most > 0 else first
 
 
-def review_refresh_candidates(catalogue: DataFrame, now: str, max_age_hours: int, most: int, ids: list | None = None, include_recent: bool = False) -> DataFrame:
+def review_refresh_candidates(catalogue: DataFrame, now: str, max_age_hours: int, most: int, ids: list | None = None, include_recent: bool = False, ranked: str | None = None) -> DataFrame:
     """Active places that were never scraped or not since the cutoff, the oldest first.
 
-    With ids only those places, whatever their age; with include_recent all, whatever their age.
+    With ids only those places, whatever their age; with include_recent all, whatever their age. ranked names a column by
+    which their source has ordered them: then that order counts, and no age.
     """
     cutoff = F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(max(1, max_age_hours)))
     own = classify_map_url(catalogue, "link").where("is_maps_url AND NOT is_viewport_url AND visibility = 'ACTIVE'")
+    if ranked:
+        return own.select(*catalogue.columns).orderBy(F.asc_nulls_last(ranked), "id").limit(most)
     if ids:
         own = own.where(F.col("id").cast("string").isin([str(i) for i in ids]))
     due = own if ids or include_recent else own.where(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") <= cutoff))
@@ -44,9 +48,19 @@ def block_streaks(run_log: DataFrame, waits: tuple[int, ...] = (60, 300, 900), f
     return rows.withColumn("streak", streak).withColumn("wait_s", F.when(F.col("blocked"), wait)).withColumn("stop", F.col("blocked") & (F.col("streak") > free + len(waits))).drop("island")
 
 
-def refresh_report(run_log: DataFrame) -> DataFrame:
+def refresh_report(run_log: DataFrame, selection: DataFrame | None = None) -> DataFrame:
+    """Per worker: processed, succeeded, failed, all_succeeded.
+
+    With selection (worker, is_eligible: a row for each place of the catalogue) also in_database and eligible, and a row for a
+    worker that has processed nothing yet, for which all_succeeded is null.
+    """
     ok = ~F.col("blocked") & ~F.col("raised")
-    return run_log.groupBy("worker").agg(F.count("*").alias("processed"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.bool_and(ok).alias("all_succeeded"))
+    done = run_log.groupBy("worker").agg(F.count("*").alias("processed"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.bool_and(ok).alias("all_succeeded"))
+    if selection is None:
+        return done
+    sizes = selection.groupBy("worker").agg(F.count("*").alias("in_database"), F.count_if("is_eligible").alias("eligible"))
+    names = ["in_database", "eligible", "processed", "succeeded", "failed"]
+    return sizes.join(done, "worker", "full").select("worker", *(F.coalesce(c, F.lit(0)).alias(c) for c in names), "all_succeeded")
 
 
 def job_latest_state(events: DataFrame) -> DataFrame:
@@ -67,6 +81,45 @@ def job_retention(jobs: DataFrame, now: str, ttl_hours: int, most: int) -> DataF
     return jobs.join(newest, "job_id", "left").withColumn("kept", active | F.coalesce("newest_", F.lit(False))).drop("newest_")
 
 
+#: Types of jobs whose result is shown as it is; of the first only a failed one shows its error, of the others any that has one.
+SINGLE_RAW = ("social-location-extract",)
+BATCH_RAW = ("scrape-and-import-batch", "place-detail-refresh", "place-review-refresh", "nationwide-place-import")
+#: Fields of a result that are shown where they are there.
+OPTIONAL_FIELDS = ("reviewsPublished", "contributorsAdded")
+
+
+def job_poll_view(jobs: DataFrame, optional: tuple[str, ...] = OPTIONAL_FIELDS) -> DataFrame:
+    """job_id, status, created_at, started_at, completed_at, error_code, error_message, result: what a poll of a job shows.
+
+    jobs: job_id, job_type, status, created_at, started_at, finished_at, error (a text, or JSON with a code), result (JSON).
+    The code is the error's own, else SCRAPE_FAILED or IMPORT_FAILED by what the result says, else JOB_FAILED. The result
+    of a job of one place is a summary with importStatus, once the job is over; that of others is as it is.
+    """
+    at = lambda path: F.get_json_object("result", path)
+    none = F.lit(None).cast("string")
+    own = first_truthy(F.when(F.trim("error").startswith("{"), F.get_json_object("error", "$.code")))
+    scrape, upload, text = first_truthy(at("$.scrapeError")), first_truthy(at("$.upload.error")), F.when(~F.trim("error").startswith("{"), first_truthy(F.col("error")))
+    code = F.when(own.isNotNull(), own).when(scrape.isNotNull(), "SCRAPE_FAILED").when(upload.isNotNull(), "IMPORT_FAILED").otherwise("JOB_FAILED")
+    message = F.when(own.isNotNull(), F.get_json_object("error", "$.message")).otherwise(F.coalesce(scrape, upload, text, F.lit("Unknown error")))
+    failed = F.col("status") == "failed"
+    shows = F.when(F.col("job_type").isin(*BATCH_RAW), first_truthy(F.col("error")).isNotNull()).otherwise(failed)
+    flag = lambda path: F.coalesce(F.lower(at(path)) == "true", F.lit(False))
+    summary = F.to_json(F.struct(
+        F.coalesce(first_truthy(at("$.googlePlaceId"), at("$.place.placeId")), F.lit("")).alias("googlePlaceId"), F.coalesce(first_truthy(at("$.title"), at("$.place.title")), F.lit("")).alias("title"),
+        flag("$.placeAlreadyExists").alias("placeAlreadyExists"), F.when(flag("$.success"), "success").otherwise("failed").alias("importStatus"),
+        F.coalesce(at("$.importHttpStatus"), at("$.upload.statusCode")).try_cast("int").alias("importHttpStatus"), *(at(f"$.{f}").alias(f) for f in optional),
+    ))
+    over = F.when(failed, first_truthy(F.nullif(F.trim("result"), F.lit("{}"))).isNotNull()).otherwise((F.col("status") == "completed") & F.col("result").isNotNull())
+    result = F.when(F.col("job_type").isin(*SINGLE_RAW, *BATCH_RAW), F.col("result")).when(over, summary)
+    return jobs.select("job_id", "status", "created_at", "started_at", F.col("finished_at").alias("completed_at"), F.when(shows, code).otherwise(none).alias("error_code"), F.when(shows, message).otherwise(none).alias("error_message"), result.alias("result"))
+
+
+def first_active_jobs(jobs: DataFrame) -> DataFrame:
+    """The job of each type that is pending or running, the oldest where there are several: what a new request of its type gets."""
+    active = jobs.where(F.lower("status").isin("pending", "running"))
+    return active.groupBy("job_type").agg(F.min_by(F.struct(*jobs.columns), F.struct("created_at", "job_id")).alias("first_")).select("first_.*")
+
+
 def idempotent_requests(jobs: DataFrame) -> DataFrame:
     """jobs with is_first: whether it is the first of its request key; a null key never matches another."""
     n = F.row_number().over(Window.partitionBy("request_key").orderBy("created_at", "job_id"))

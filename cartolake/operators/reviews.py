@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartolake.functions.text import blank_to_null
-from cartolake.operators.classify import first_float, first_int
+from cartolake.operators.classify import detect_language, first_float, first_int
 from cartolake.operators.urls import upscale_image
 
 
@@ -37,26 +37,51 @@ def recent_reviews_with_images(reviews: DataFrame, n: int) -> DataFrame:
     return reviews.where(F.col("n_images") > 0).withColumn("n_", F.row_number().over(Window.partitionBy("place_id").orderBy("seq"))).where(F.col("n_") <= n).drop("n_")
 
 
+def texts_by_language(language: Column, text: Column) -> Column:
+    """A map with the text under its language; an empty one without a text."""
+    none = F.create_map().cast("map<string,string>")
+    return F.when(text != "", F.create_map(language, text)).otherwise(none)
+
+
+def images_of(reviews: DataFrame) -> Column:
+    return F.coalesce("images", F.array().cast("array<string>")) if "images" in reviews.columns else F.array().cast("array<string>")
+
+
 def scoring_reviews(reviews: DataFrame, n: int) -> DataFrame:
-    """Valid rows (id, author, rating 1 to 5) with their content hash, the first n of each place."""
+    """Valid rows (id, author, rating 1 to 5), the first n of each place, with content_hash, user_images (those of images that
+    are http URLs) and review_text, the text by its language (vi or en)."""
     fine = (F.trim("review_id") != "") & (F.trim("author") != "") & F.col("rating").between(1, 5)
     text, date = F.coalesce(F.trim("text"), F.lit("")), F.coalesce(blank_to_null(F.col("review_date")), F.lit("1970-01-01"))
-    kept = reviews.where(fine).withColumn("content_hash", F.sha2(F.concat_ws("|", "author", F.col("rating").cast("string"), text, date), 256))
+    kept = reviews.where(fine).withColumns({
+        "content_hash": F.sha2(F.concat_ws("|", "author", F.col("rating").cast("string"), text, date), 256),
+        "user_images": F.filter(images_of(reviews), lambda x: x.startswith("http")), "review_text": texts_by_language(detect_language(text), text),
+    })
     return kept.withColumn("n_", F.row_number().over(Window.partitionBy("place_id").orderBy("seq"))).where(F.col("n_") <= n).drop("n_")
 
 
 def refresh_reviews(reviews: DataFrame, scraped_at: str) -> DataFrame:
-    """The refresh contract: as scoring_reviews, but with an image, the date of the scrape for a blank or unreadable one, and another hash."""
-    fine = (F.trim("review_id") != "") & (F.trim("author") != "") & F.col("rating").between(1, 5) & (F.col("n_images") > 0)
+    """The refresh contract: as scoring_reviews, but with an image, the date of the scrape for a blank or unreadable one,
+    another hash, user_images that aren't blank, whatever they are, and the text under the language `other`.
+
+    Without a column images, n_images says whether there are any.
+    """
+    images = F.filter(F.transform(images_of(reviews), lambda x: F.trim(x)), lambda x: x != "")
+    some = F.size(images) > 0 if "images" in reviews.columns else F.col("n_images") > 0
+    fine = (F.trim("review_id") != "") & (F.trim("author") != "") & F.col("rating").between(1, 5) & some
     given = blank_to_null(F.col("review_date"))
     readable = F.rlike(given, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")) & given.try_cast("timestamp").isNotNull()
     text, date = F.coalesce(F.trim("text"), F.lit("")), F.when(readable, given).otherwise(scraped_at)
-    return reviews.where(fine).withColumn("content_hash", F.sha2(F.concat_ws("|", "review_id", F.col("rating").cast("string"), text, date), 256))
+    return reviews.where(fine).withColumns({
+        "content_hash": F.sha2(F.concat_ws("|", "review_id", F.col("rating").cast("string"), text, date), 256),
+        "user_images": images, "review_text": texts_by_language(F.lit("other"), text), "review_date": date,
+    })
 
 
 def review_quality_report(reviews: DataFrame) -> DataFrame:
+    """Per place how many reviews lack an id, an author, a text, and a profile URL where there is such a column."""
     lacks = lambda c: F.count_if(F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
-    return reviews.groupBy("place_id").agg(F.count("*").alias("n_reviews"), lacks("review_id").alias("no_id"), lacks("author").alias("no_author"), lacks("text").alias("no_text"))
+    profile = [lacks("profile_url").alias("no_profile_url")] if "profile_url" in reviews.columns else []
+    return reviews.groupBy("place_id").agg(F.count("*").alias("n_reviews"), lacks("review_id").alias("no_id"), lacks("author").alias("no_author"), lacks("text").alias("no_text"), *profile)
 
 
 def parse_review_snapshot(captures: DataFrame) -> DataFrame:

@@ -117,6 +117,19 @@ def dedupe_photos(photos: DataFrame) -> DataFrame:
     return own.withColumn("n_", F.row_number().over(Window.partitionBy("place_id", base).orderBy("pos"))).where("n_ = 1").drop("n_")
 
 
+#: What a photo's size begins with where it is an icon; photos of a page.
+ICON_SIZE, PAGE_PHOTOS = r"(?i)[=-][wsh](?:32|48|64|96)", 30
+
+
+def page_photos(photos: DataFrame, most: int = PAGE_PHOTOS) -> DataFrame:
+    """Per place the photos that a page shows (place_id, pos, url), without avatars: the first of each base, if that isn't an
+    icon by its size, and `most` of them. A larger variant after an icon doesn't stand in for it."""
+    own = photos.where(F.contains("url", F.lit("googleusercontent")) & ~F.contains("url", F.lit("/a-/")) & ~F.contains("url", F.lit("/a/")))
+    base = F.split_part(F.col("url"), F.lit("="), F.lit(1))
+    first = own.withColumn("n_", F.row_number().over(Window.partitionBy("place_id", base).orderBy("pos"))).where("n_ = 1").where(~F.rlike("url", F.lit(ICON_SIZE)))
+    return first.withColumn("n_", F.row_number().over(Window.partitionBy("place_id").orderBy("pos"))).where(F.col("n_") <= most).drop("n_")
+
+
 def canonical_social_url(df: DataFrame, url: str, redirects: DataFrame | None = None) -> DataFrame:
     """Adds platform, is_social, canonical (without parameters) and is_carousel for post URLs of two platforms.
 

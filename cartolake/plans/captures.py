@@ -102,7 +102,7 @@ def place_summary(spark, sf_dir):
 @query("""SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '(?i)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1)), '') AS canonical,
  len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) AS n_links, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z0-9]'))), ',') AS mails FROM pages""")
 def place_info_from_pages(spark, sf_dir):
-    return captures.place_info_from_pages(table(spark, sf_dir, "pages"))
+    return captures.place_info_from_pages(table(spark, sf_dir, "pages")).drop("links")
 
 
 @query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'TIKTOK' WHEN 1 THEN 'INSTAGRAM' END AS platform, page_id % 3 < 2 AS is_social, page_id % 3 = 0 AS is_carousel, CASE page_id % 3 WHEN 0 THEN concat('https://www.tiktok.com/@u/photo/', page_id) WHEN 1 THEN concat('https://www.instagram.com/p/', page_id) ELSE regexp_replace(url, '[?#].*$', '') END AS canonical FROM pages")
@@ -301,7 +301,7 @@ def drop_near_identical(spark, sf_dir):
     return linking.drop_near_identical(rows, 0.2, 4)
 
 
-@query("SELECT conv_id AS post_id, turn AS pos, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 'DONE' ELSE 'PENDING' END AS stage FROM conversations")
+@query("SELECT conv_id AS post_id, turn AS pos, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 'DONE' ELSE 'PENDING' END AS stage, least(2, count(*) OVER (PARTITION BY conv_id)) AS n_done, greatest(0, count(*) OVER (PARTITION BY conv_id) - 2) AS n_pending FROM conversations")
 def progress_view(spark, sf_dir):
     return linking.progress_view(table(spark, sf_dir, "conversations").selectExpr("conv_id AS post_id", "turn AS pos"), 2)
 

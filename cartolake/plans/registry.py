@@ -221,9 +221,9 @@ def refresh_reviews(spark, sf_dir):
     return reviews.refresh_reviews(view(spark, sf_dir, "fx_review"), "2024-06-01").select("seq", "content_hash")
 
 
-@query("SELECT place_id, count(*) AS n_reviews, count(*) FILTER (review_id = '') AS no_id, count(*) FILTER (author = '') AS no_author, count(*) FILTER (coalesce(trim(text), '') = '') AS no_text FROM fx_review GROUP BY place_id")
+@query("SELECT place_id, count(*) AS n_reviews, count(*) FILTER (review_id = '') AS no_id, count(*) FILTER (author = '') AS no_author, count(*) FILTER (coalesce(trim(text), '') = '') AS no_text, count(*) FILTER (seq % 3 = 0) AS no_profile_url FROM fx_review GROUP BY place_id")
 def review_quality_report(spark, sf_dir):
-    return reviews.review_quality_report(view(spark, sf_dir, "fx_review"))
+    return reviews.review_quality_report(view(spark, sf_dir, "fx_review").withColumn("profile_url", F.expr("CASE seq % 6 WHEN 0 THEN ' ' WHEN 3 THEN NULL ELSE 'https://u' END")))
 
 
 @query(rf"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY link ORDER BY id) AS n FROM fx_place WHERE visibility = 'ACTIVE' AND regexp_matches(link, {MAPS_RE}) AND NOT contains(link, '/maps/@')) WHERE n = 1")
@@ -253,7 +253,7 @@ def job_latest_state(spark, sf_dir):
 
 @query("SELECT post_id, count(*) AS n_input, count(*) FILTER (status = 'EVIDENCE_VERIFIED') AS n_verified, count(*) FILTER (status = 'UNRESOLVED') AS n_unresolved, count(reason) AS n_reasons FROM fx_mention GROUP BY post_id")
 def validation_summary(spark, sf_dir):
-    return mentions.validation_summary(view(spark, sf_dir, "fx_mention"))
+    return mentions.validation_summary(view(spark, sf_dir, "fx_mention")).drop("n_rejected", "reasons")
 
 
 @query("""SELECT post_id, pos, CASE WHEN n = 1 THEN base ELSE concat(base, '-', lpad(CAST(pos + 1 AS VARCHAR), 4, '0')) END AS ref FROM (SELECT *, row_number() OVER (PARTITION BY post_id, base ORDER BY pos) AS n FROM
@@ -276,7 +276,7 @@ def resolve_matches(spark, sf_dir):
     return mentions.resolve_matches(pairs)
 
 
-@query("SELECT conv_id, turn, lower(role) AS provider, CASE WHEN turn % 2 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, length(text) AS input_tokens, turn AS cached_tokens, 3 AS output_tokens FROM conversations")
+@query("SELECT conv_id, turn, lower(role) AS provider, CASE WHEN turn % 2 = 0 THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, length(text) AS input_tokens, turn AS cached_tokens, 3 AS output_tokens FROM conversations")
 def ai_call_rows(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     usage = F.to_json(F.struct(F.struct(F.length("text").alias("prompt_tokens"), F.struct(F.col("turn").alias("cached_tokens")).alias("prompt_tokens_details"), F.lit(3).alias("completion_tokens")).alias("usage")))
@@ -284,10 +284,10 @@ def ai_call_rows(spark, sf_dir):
     return ai_log.ai_call_rows(calls).select("trace_id.conv_id", "trace_id.turn", "provider", "status", "input_tokens", "cached_tokens", "output_tokens")
 
 
-@query("SELECT id, scope FROM (SELECT id FROM fx_place WHERE id % 4 = 0) CROSS JOIN (VALUES ('places'), ('translations')) t(scope)")
+@query("SELECT id, scope, only_source FROM (SELECT id FROM fx_place WHERE id % 4 = 0) CROSS JOIN (VALUES ('places', NULL), ('translations', 'LEGACY')) t(scope, only_source)")
 def title_corrections(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_place").select("id", F.col("link").alias("old"), urls.decode_title(F.col("link")).alias("new"))
-    return files.title_corrections(rows).select("id", "scope")
+    return files.title_corrections(rows).select("id", "scope", "only_source")
 
 
 @query("SELECT concat('ChIJ', p_partkey) AS key, CASE p_partkey % 4 WHEN 0 THEN 'DELIVERED' WHEN 1 THEN 'ALREADY_DELIVERED' WHEN 2 THEN 'FAILED' ELSE 'PENDING' END AS delivery FROM part")

@@ -24,14 +24,24 @@ def write_place_export(places: DataFrame, path: str) -> None:
 
 
 def import_outbox(payloads: DataFrame, responses: DataFrame) -> DataFrame:
-    """payloads with delivery: DELIVERED, ALREADY_DELIVERED, FAILED, or PENDING without a response (key, http_status, code)."""
+    """payloads (key, perhaps payload and known) with delivery: DELIVERED, ALREADY_DELIVERED, FAILED, or PENDING without a
+    response (key, http_status, code); where there is a payload also with method and request_key.
+
+    method is PUT where known says that the receiver has the place, else POST. request_key is the same for the same key and
+    payload, so that a receiver can tell a repeat from a change.
+    """
+    if "payload" in payloads.columns:
+        known = F.coalesce(F.col("known"), F.lit(False)) if "known" in payloads.columns else F.lit(False)
+        payloads = payloads.withColumns({"method": F.when(known, "PUT").otherwise("POST"), "request_key": F.sha2(F.concat_ws("|", F.col("key").cast("string"), F.col("payload").cast("string")), 256)})
     done = F.when(F.col("http_status").isin(200, 201), "DELIVERED").when((F.col("http_status") == 409) | (F.col("code") == "ALREADY_PROCESSED"), "ALREADY_DELIVERED")
     return payloads.join(responses, "key", "left").withColumn("delivery", F.coalesce(done, F.when(F.col("http_status").isNull(), "PENDING"), F.lit("FAILED"))).drop("http_status", "code")
 
 
 def title_corrections(places: DataFrame) -> DataFrame:
-    """Two corrections a place (id, old, new): its title, and its legacy translation."""
-    return places.where("new IS NOT NULL AND old <> new").select("id", "old", "new", F.explode(F.array(F.lit("places"), F.lit("translations"))).alias("scope"))
+    """Two corrections a place (id, old, new): its title, and its translation in the default locale, if that came from source
+    LEGACY (only_source): one that somebody has edited stays."""
+    scopes = F.array(F.struct(F.lit("places").alias("scope"), F.lit(None).cast("string").alias("only_source")), F.struct(F.lit("translations").alias("scope"), F.lit("LEGACY").alias("only_source")))
+    return places.where("new IS NOT NULL AND old <> new").select("id", "old", "new", F.inline(scopes))
 
 
 def unwrap_place_list(raw: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
