@@ -36,8 +36,10 @@ GROUPS = 5
 CHUNK, CHUNK_LETTERS = 2048, 1 << 18
 #: Distinct words that a task counts at once.
 COUNTED = 500_000
-#: Letter counts up to here have products that 32-bit floats hold exactly.
-EXACT_32 = 4096
+#: Words up to this length have squared distances that 32-bit floats hold exactly.
+EXACT_32 = 2048
+#: Rows of a product that are looked at together.
+TILE = 256
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -135,16 +137,28 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of near words in left and right, which hold words of one length each, right's the same or one longer."""
+    """Positions of near words in left and right, which hold words of one length each, right's the same or one longer.
+
+    With the squares as two further columns, one product gives the squared distances themselves; TILE rows of it at a time
+    stay in a core's cache.
+    """
     a, b = letter_codes(left), letter_codes(right)
     columns = np.union1d(a, b)
     x, y = letter_counts(a, columns), letter_counts(b, columns)
-    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-    i, j = np.nonzero(squares <= 2)
-    found = [(i[k : k + CHUNK_LETTERS], j[k : k + CHUNK_LETTERS]) for k in range(0, len(i), CHUNK_LETTERS)]
-    kept = [one_edit(a[p], b[q]) for p, q in found] or [np.empty(0, bool)]
-    keep = np.concatenate(kept)
-    return i[keep], j[keep]
+    ones = lambda m: np.ones((len(m), 1), m.dtype)
+    squares = lambda m: (m * m).sum(axis=1, keepdims=True)
+    x, y = np.hstack([x, squares(x), ones(x)]), np.hstack([-2 * y, ones(y), squares(y)]).T.astype(x.dtype, order="C")
+    found = []
+    for first in range(0, len(x), TILE):
+        at = np.flatnonzero(x[first : first + TILE] @ y <= 2)
+        i, j = first + at // len(b), at % len(b)
+        # letters of few pairs at a time
+        step = max(1, CHUNK_LETTERS // a.shape[1])
+        for k in range(0, len(i), step):
+            own = one_edit(a[i[k : k + step]], b[j[k : k + step]])
+            found.append((i[k : k + step][own], j[k : k + step][own]))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
 
 
 def best_near(own: list[str], others: list[str], ns: np.ndarray, at: np.ndarray, to: np.ndarray) -> Iterator[tuple[str, int, int, str]]:
