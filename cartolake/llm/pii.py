@@ -3,11 +3,12 @@
 Candidate segments are scored by features of the whole span: shape, digits, checksum, separators, what stands before and
 after; two entities close to each other also score their kinds as a pair. A dynamic program over candidates chooses
 boundaries and types jointly; everything else is a run of outside characters. Numbers are candidates from every start of a
-digit group to every end of one, up to MAX_DIGITS digits in MAX_GROUPS groups; addresses of any length, with every number
-of labels in the host up to MAX_LABELS. Weights maximise the conditional likelihood of segmentations that the base
+digit group to every end of one, up to MAX_DIGITS digits (no card has more) in MAX_GROUPS groups; addresses of
+any length, with the whole host and with what stands before its dots first change their kind. Weights maximise the conditional likelihood of segmentations that the base
 patterns give on a sample, with variants of them that the patterns miss (a number without its plus sign or next to other
-numbers, an address that spells out its at and dot), so that the field finds those too. Base spans stay; the field adds
-what it finds apart from them. Spans are code points [start, end). All work is linear in the text, or nearly so.
+numbers, an address that spells out its at and dot), so that the field finds those too. Base spans stay: they take part in the
+program as entities that are chosen already, whose kinds pair with those next to them; the field adds what it finds apart
+from them. Spans are code points [start, end). All work is linear in the text, or nearly so.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ NEEDS = {"ip": ".", "phone": "+"}
 TRAIN_WINDOWS, WINDOW_CHARS = 2000, 400
 #: Code points around a window of the fit, and up to which two entities are a pair.
 WINDOW, NEAR = 48, 16
-MAX_DIGITS, MAX_GROUPS, MAX_LABELS = 19, 6, 8
+#: The bounds of an entity: its digits, and the groups that they stand in.
+MAX_DIGITS, MAX_GROUPS = 19, 10
 
 
 def luhn(digits: str) -> bool:
@@ -113,18 +115,25 @@ def addresses(text: str) -> Iterator[tuple[int, int, int]]:
         return
     done = 0
     for at in AT.finditer(text):
-        start, spot, labels = local_start(text, at.start(), done), at.end(), 0
+        if at.start() < done:  # a sign within the last host
+            continue
+        start, spot, labels, end, kinds = local_start(text, at.start(), done), at.end(), 0, 0, []
         if start == at.start():
             continue
         done = at.end()
-        while labels < MAX_LABELS and (label := LABEL.match(text, spot)):
-            labels += 1
-            if labels > 1:
-                yield start, label.end(), 0
-            dot = DOT.match(text, label.end())
+        while label := LABEL.match(text, spot):
+            labels, end = labels + 1, label.end()
+            dot = DOT.match(text, end)
             if not dot:
                 break
+            spelled = dot.group() != "."
+            if spelled not in kinds:
+                if kinds:
+                    yield start, end, 0  # the host may have ended where a sentence does
+                kinds.append(spelled)
             spot = dot.end()
+        if labels > 1:
+            yield start, end, 0
 
 
 def numbers(text: str) -> Iterator[tuple[int, int, int]]:
@@ -287,24 +296,30 @@ def fit(texts: list[str], rounds: int = 40, rate: float = 1.0, ridge: float = 0.
     return Field({n: float(w[i]) for n, i in known.items()})
 
 
-#: A segment that scores less than this is not added.
-MARGIN = 1.0
+#: What an entity must score beyond the outside to be added, and what a base span scores: it is chosen already.
+MARGIN, CHOSEN = 1.0, 1e6
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the field's entities that don't touch a base span."""
+    """(kind, start, end) of the field's entities that don't touch a base span, chosen together with those.
+
+    A candidate that can't gain even with the best pairs on both sides is left out of the program.
+    """
     taken = sorted((a, b) for _, a, b in base)
     starts, reach = [a for a, _ in taken], []
     for _, b in taken:
         reach.append(max(b, reach[-1] if reach else 0))
-    scored = []
+    pairs = [x for row in field.pairs for x in row]
+    help_ = 2 * max(0.0, *pairs) - min(0.0, *pairs)
+    scored = [(s, e, k, CHOSEN) for k, s, e in base]
     for s, e, k in candidates(text):
         n = bisect.bisect_left(starts, e)  # base spans that begin before its end
         if not n or reach[n - 1] <= s:
             value = field.score(text, s, e, k) - MARGIN
-            if value > 0:
+            if value + help_ > 0:
                 scored.append((s, e, k, value))
-    return [(k, s, e) for s, e, k in field.best(scored)]
+    known = {(s, e, k) for k, s, e in base}
+    return [(k, s, e) for s, e, k in field.best(sorted(scored, key=lambda x: (x[1], x[0], x[2]))) if (s, e, k) not in known]
 
 
 def windows(text: str) -> list[str]:

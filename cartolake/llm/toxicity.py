@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segment search.
 
 Tokens score their log-odds of toxic against clean text under an informative Dirichlet prior, the corpus's own token
-frequencies; tokens whose log-odds are not significant share the log-odds of the rest. A linear-time scan finds every
+frequencies; tokens whose log-odds are not significant, either way, share the log-odds of the rest. A linear-time scan finds every
 maximal-scoring segment of a text. Karlin-Altschul statistics turn a segment's score into an extreme-value statistic,
 lambda S - ln(K m) for m tokens; a text's significant segments add up, and a logistic curve over that sum gives the score.
 K and the curve are fitted on a share of the labelled rows that the log-odds haven't seen.
@@ -30,8 +30,6 @@ TRAIN_ROWS = 200_000
 MIN_Z = 2.0
 #: One labelled row in so many calibrates; the others give the log-odds.
 CALIBRATION = 3
-#: Segments of a text that calibration looks at: the statistic's smaller parts don't move the curve.
-SEGMENTS = 64
 EULER = 0.5772156649015329
 #: Weight of the prior, as a share of all counts.
 PRIOR = 0.5
@@ -156,19 +154,20 @@ def fit(docs: DataFrame, labels: DataFrame, keep) -> Model | None:
     picked = without_copies(texts.join(F.broadcast(picked), "doc_id"))
     rows = texts.join(F.broadcast(picked), "doc_id")
     other = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION)) == 0
+    calibrated = rows.where(other)
     model = odds_of(rows.where(~other))
-    sample = best_segments(rows.where(other), model) if model else None
+    sample = best_segments(calibrated, model) if model else None
     if sample is None or sample["toxic"].nunique() < 2:  # too few labels to keep some apart
-        model = odds_of(rows)
-        sample = best_segments(rows, model) if model else None
+        calibrated, model = rows, odds_of(rows)
+        sample = best_segments(calibrated, model) if model else None
     if sample is None or sample["toxic"].nunique() < 2:
         return None
     # the mean of an extreme-value distribution is its location and Euler's constant: lambda S - ln m is ln K + that, on average
     calm = sample.loc[sample["toxic"] == 0]
     ln_k = float((calm["best"] - calm["ln_m"]).mean()) - EULER
-    ready = Model(model.scores, model.rest, model.lam, max(-8.0, min(8.0, ln_k)), 1.0, 0.0)
-    x = np.array([total([lam_s - ready.ln_k - ln_m for lam_s in each], -ready.ln_k - ln_m) for each, ln_m in zip(sample["each"], sample["ln_m"], strict=True)])
-    slope, offset = logistic(x, sample["toxic"].to_numpy(float))
+    ready = Model(model.scores, model.rest, model.lam, ln_k, 1.0, 0.0)
+    curve = statistics(calibrated, ready)
+    slope, offset = logistic(curve["x"].to_numpy(float), curve["toxic"].to_numpy(float))
     return Model(model.scores, model.rest, model.lam, ready.ln_k, slope, offset)
 
 
@@ -183,7 +182,7 @@ def odds_of(rows: DataFrame) -> Model | None:
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.ln(t / (t_all + whole - t)) - F.ln(c / (c_all + whole - c))
     scored = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
-    top = scored.where(F.col("z") >= MIN_Z).collect()  # bounded by TRAIN_ROWS, as said there
+    top = scored.where(F.abs("z") >= MIN_Z).collect()  # bounded by TRAIN_ROWS, as said there
     if not top:
         return None
     scores = {bytes(r["word"]): float(r["odds"]) for r in sorted(top, key=lambda r: bytes(r["word"]))}
@@ -201,19 +200,27 @@ def odds_of(rows: DataFrame) -> Model | None:
 
 
 def best_segments(rows: DataFrame, model: Model) -> pd.DataFrame:
-    """toxic (0 or 1), ln_m, each (lambda S of the maximal segments, the best SEGMENTS of a text) and best (the largest, 0
-    without any) of rows (text, toxic): TRAIN_ROWS rows of a few numbers at most."""
+    """toxic (0 or 1), ln_m and best (lambda S of the largest maximal segment, 0 without any) of rows (text, toxic):
+    TRAIN_ROWS rows of three numbers at most."""
+    own = lambda m, words: (math.log(len(words) + 1), max((m.lam * s for _, _, s in m.segments(words)), default=0.0))
+    return told_of(rows, model, own, ["ln_m", "best"])
+
+
+def statistics(rows: DataFrame, model: Model) -> pd.DataFrame:
+    """toxic (0 or 1) and x, the statistic that scoring takes, of rows (text, toxic): TRAIN_ROWS rows of two numbers at most."""
+    return told_of(rows, model, lambda m, words: (m.statistic(words),), ["x"])
+
+
+def told_of(rows: DataFrame, model: Model, own, names: list[str]) -> pd.DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            found = [(int(toxic > 0), math.log(len(words) + 1), sorted((own.lam * s for _, _, s in own.segments(words)), reverse=True)[:SEGMENTS]) for text, toxic in texts_of([batch], "text", "toxic") for words in [tokens(text)]]
-            kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 3, kinds, strict=True)], ["toxic", "ln_m", "each"])
+            found = [(int(toxic > 0), *own(shared.value, tokens(text))) for text, toxic in texts_of([batch], "text", "toxic")]
+            columns = list(zip(*found, strict=True)) if found else [[]] * (1 + len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.float64()) for c in columns[1:])], ["toxic", *names])
 
-    sample = rows.select("text", "toxic").mapInArrow(run, "toxic int, ln_m double, each array<double>").toPandas()
-    return sample.assign(best=[max(each, default=0.0) for each in sample["each"]])
+    return rows.select("text", "toxic").mapInArrow(run, "toxic int, " + ", ".join(f"{n} double" for n in names)).toPandas()
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
