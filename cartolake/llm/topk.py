@@ -1,8 +1,13 @@
 """Exact top-k inner-product search by ball-tree branch and bound per shard.
 
-Vectors are dealt to shards of bounded size; each shard builds a ball tree. Nodes are visited in the order of their upper
-bound q.c + |q| r and the walk ends when no node can reach the current kth score. The kth score is shared: every query
-first searches its home shard, and the score found there is where all other shards start from.
+Vectors go to the nearest of a bounded number of centres, which a hashed sample gives; a cluster above MOST_ROWS is cut into
+shards by hash. Each shard builds a ball tree, whose nodes are visited in the order of their upper bound q.c + |q| r; the
+walk ends when no node can reach the current kth score. Clusters have balls too: a small table of their centres and radii
+tells, before anything is shuffled, which of them a query can't gain from.
+
+The kth score is shared in waves. A query first searches its home shard, then the clusters of the largest bounds, and at
+last whatever its kth score so far doesn't rule out; each wave starts from the score of those before it, and only shards
+that somebody asks take part in it.
 """
 
 from __future__ import annotations
@@ -22,13 +27,16 @@ from .common import materialize
 SCALE = 1024
 TOP = 10
 QUERY_EVERY = 100
-#: Vectors of a shard at most, and at least where there are more shards than cores: fewer, larger shards send each query to
-#: fewer places and bound it better.
+#: Vectors of a shard at most, and of a cluster on average at least.
 MOST_ROWS, LEAST_ROWS = 65_536, 2048
+#: Centres at most; their table goes to every task.
+CENTERS = 2048
+#: Clusters of the second wave.
+NEAR = 4
 QUERIES_PER_GROUP = 20_000
 LEAF = 128
-#: Sums of products below this are exact as floating-point numbers.
-EXACT = 1 << 53
+#: Sums of products below this are exact as floating-point numbers, and below the next as whole ones.
+EXACT, WHOLE = 1 << 53, 1 << 62
 
 
 class BallTree:
@@ -95,29 +103,114 @@ class BallTree:
         return [(score, -vec_id) for score, vec_id in best]
 
 
+def lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a column of lists, where each list begins and the last ends)."""
+    own = batch.column(column)
+    offsets = own.offsets.to_numpy()
+    return own.values.to_numpy(zero_copy_only=False), offsets
+
+
 #: Rows of a group: its vectors (kind 0) before its queries (kind 1), whose `least` is the kth score so far.
-IN = "part string, kind int, vec_id long, v array<long>, least long"
+IN = ("part", "kind", "vec_id", "v", "least")
 OUT = "query_id long, v array<long>, vec_id long, score long"
 
 
 def search_groups(rows: DataFrame, k: int) -> DataFrame:
+    """The hits of all queries among rows in their own part; all vectors of a part are of one length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            found = []
-            for part, kind, vec_id, v, least in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            found, (flat, at) = [], lists(batch, 3)
+            vec_ids = batch.column(2).to_numpy()
+            for n, (part, kind, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)), strict=True)):
                 if part != now:
                     now, ids, vectors, tree = part, [], [], None
+                v = flat[at[n] : at[n + 1]]
                 if kind == 0:
-                    ids.append(vec_id)
+                    ids.append(vec_ids[n])
                     vectors.append(v)
                 elif vectors:
-                    tree = tree or BallTree(np.array(vectors, np.int64).reshape(len(ids), -1), np.array(ids, np.int64))
-                    found += [(vec_id, v, other, score) for score, other in tree.search(vec_id, np.array(v, np.int64), k, least)]
+                    tree = tree or BallTree(np.stack(vectors).astype(np.int64), np.array(ids, np.int64))
+                    found += [(int(vec_ids[n]), v.tolist(), other, score) for score, other in tree.search(int(vec_ids[n]), v.astype(np.int64), k, least)]
             columns = zip(*found, strict=True) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()), strict=True)], ["query_id", "v", "vec_id", "score"])
 
-    return rows.select("part", "kind", "vec_id", "v", "least").repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
+    return rows.select(*IN).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
+
+
+def pick_centers(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """By dimension, `count` vectors at most, the ones of the smallest hashes: a bounded sample, only used to group."""
+    dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(count).collect()]
+    each = max(1, count // max(1, len(dims)))
+    hashed = rows.where(F.col("dim").isin(dims)).select("dim", "v", F.xxhash64("vec_id", "v").alias("h")).dropDuplicates(["dim", "v"])
+    own = hashed.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("n") <= each).collect()
+    return {d: np.array([r["v"] for r in own if r["dim"] == d], float) for d in dims}
+
+
+def with_clusters(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """rows (vec_id, v, row_no, dim) with cluster, the nearest centre of their dimension (0 without any), and away, their distance from it."""
+    shared = rows.sparkSession.sparkContext.broadcast(centers)  # CENTERS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (flat, at), dims = lists(batch, 1), batch.column(3).to_numpy()
+            cluster, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for d in np.unique(dims).tolist():
+                c = shared.value.get(d)
+                picked = np.flatnonzero(dims == d)
+                x = flat[at[picked][:, None] + np.arange(d)].astype(float)
+                for k in range(0, len(picked), 1024):
+                    some = x[k : k + 1024]
+                    near = ((c * c).sum(axis=1) - 2 * (some @ c.T)).argmin(axis=1) if c is not None else np.zeros(len(some), int)
+                    cluster[picked[k : k + 1024]] = near
+                    away[picked[k : k + 1024]] = np.linalg.norm(some - (c[near] if c is not None else 0.0), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster), pa.array(away)], [*batch.schema.names, "cluster", "away"])
+
+    return rows.select("vec_id", "v", "row_no", "dim").mapInArrow(run, "vec_id long, v array<long>, row_no long, dim int, cluster int, away double")
+
+
+def within_reach(queries: DataFrame, centers: dict[int, np.ndarray], radii: dict[int, np.ndarray], near: int | None) -> DataFrame:
+    """vec_id, v, dim, least, cluster of queries (vec_id, v, dim, least, done): the clusters whose ball can reach `least`,
+    without those that are done; with near only so many, of the largest bounds. A cluster that is empty has radius -1."""
+    shared = queries.sparkSession.sparkContext.broadcast((centers, radii))  # CENTERS vectors and numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ball = shared.value
+        for batch in batches:
+            (flat, at), (done, done_at) = lists(batch, 1), lists(batch, 4)
+            n, found = [], []
+            for row, (d, least) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                q = flat[at[row] : at[row + 1]].astype(float)
+                c, r = known.get(d, np.zeros((1, d))), ball[d]
+                norm = float(np.linalg.norm(q))
+                bounds = c @ q + norm * r
+                slack = 1e-9 * (norm * float(np.abs(c).sum(axis=1).max() + r.max()) + 1)  # of floating point
+                able = (r >= 0) & (bounds + slack >= (-math.inf if least is None else least))
+                able[done[done_at[row] : done_at[row + 1]]] = False
+                picked = np.flatnonzero(able)
+                if near is not None:
+                    picked = picked[np.argsort(-bounds[picked], kind="stable")[:near]]
+                n += [row] * len(picked)
+                found += picked.tolist()
+            taken = batch.select(["vec_id", "v", "dim", "least"]).take(pa.array(n, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.int32())], ["vec_id", "v", "dim", "least", "cluster"])
+
+    return queries.select("vec_id", "v", "dim", "least", "done").mapInArrow(run, "vec_id long, v array<long>, dim int, least long, cluster int")
+
+
+def search_wave(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The hits of asked (vec_id, v, dim, least, cluster, shard) in vectors' shards; shards that nobody asks don't move.
+
+    A shard with more than QUERIES_PER_GROUP queries stands once for each group of them.
+    """
+    name = lambda *more: F.concat_ws("/", "dim", "cluster", "shard", *more).alias("part")
+    none = F.lit(None).cast("long").alias("least")
+    groups = asked.groupBy("dim", "cluster", "shard").agg(F.ceil(F.count("*") / QUERIES_PER_GROUP).cast("int").alias("groups"))
+    key = ["dim", "cluster", "shard"]
+    queries = asked.join(groups, key).select(name(F.pmod(F.xxhash64("vec_id"), F.col("groups"))), F.lit(1).alias("kind"), "vec_id", "v", "least")
+    own = vectors.join(groups, key).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - F.lit(1).cast("long")))).select(name("g"), F.lit(0).alias("kind"), "vec_id", "v", none)
+    return materialize(search_groups(own.unionByName(queries), k), "hits")
 
 
 def top_k(embeddings: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY) -> DataFrame:
@@ -126,34 +219,51 @@ def top_k(embeddings: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY) -
     A vector that is null, empty, or holds a null or non-finite component takes no part, nor does a null vec_id. Rows that share
     the query's vec_id are its own; other repeated rows are candidates each; a repeated query is answered once. Vectors
     of different lengths don't meet. Fewer than k candidates give fewer ranks; an empty table gives no rows. Equal scores
-    go by the smaller vec_id; columns other than vec_id and embedding are ignored, whatever their names.
+    go by the smaller vec_id; columns other than vec_id and embedding are ignored, whatever their names. Components so
+    large that a score could leave the whole numbers of 64 bits are an error.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     fine = F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False)))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine)
-    rows = materialize(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * SCALE).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row_no")), "vectors")
-    n = rows.count()
+    scaled = F.transform(x, lambda e: F.floor(e * SCALE).try_cast("long"))
+    rows = materialize(rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), F.monotonically_increasing_id().alias("row_no"), F.size(x).alias("dim")), "vectors")
+    # the largest number stands for one that is none any more
+    top = F.max(F.array_max(F.transform("v", lambda e: F.abs(F.coalesce(e.cast("double"), F.lit(float(WHOLE)))))))
+    size = rows.agg(F.count("*").alias("n"), top.alias("most"), F.max("dim").alias("dim")).first()
+    if size["n"] and size["most"] ** 2 * size["dim"] >= WHOLE:
+        raise ValueError(f"components up to {size['most'] / SCALE} are too large for whole scores of 64 bits")
     cores = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, math.ceil(n / MOST_ROWS), min(cores, math.ceil(n / LEAST_ROWS)))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row_no"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
-    asked = F.pmod("vec_id", F.lit(query_every)) == 0
-    part = lambda *c: F.concat_ws("/", *c).alias("part")
-    none = F.lit(None).cast("long").alias("least")
-    vectors = rows.select(part("dim", "shard"), F.lit(0).alias("kind"), "vec_id", "v", none)
-    queries = rows.where(asked).groupBy("vec_id", "v", "dim").agg(F.min("shard").alias("home"))
-    at_home = queries.select(part("dim", "home"), F.lit(1).alias("kind"), "vec_id", "v", none)
-    first = materialize(search_groups(vectors.unionByName(at_home), k), "home-hits")
-    kth = first.groupBy(F.col("query_id").alias("vec_id"), "v").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-    groups = max(1, math.ceil(queries.count() / QUERIES_PER_GROUP))
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups))
-    others = (
-        queries.join(kth, ["vec_id", "v"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-        .select(part("dim", "shard", group), F.lit(1).alias("kind"), "vec_id", "v", "least")
-    )
-    dealt = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(part("dim", "shard", "g"), F.lit(0).alias("kind"), "vec_id", "v", none)
-    hits = first.unionByName(search_groups(dealt.unionByName(others), k))
+    count = max(1, min(CENTERS, max(math.ceil(size["n"] / MOST_ROWS), min(cores, math.ceil(size["n"] / LEAST_ROWS)))))
+    centers = pick_centers(rows, count)
+    rows = materialize(with_clusters(rows, centers), "clusters")
+    balls = rows.groupBy("dim", "cluster").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+    radii: dict[int, np.ndarray] = {}
+    for r in balls.collect():  # CENTERS of them, and one for each further dimension
+        own = radii.setdefault(r["dim"], np.full(len(centers.get(r["dim"], [0])), -1.0))
+        own[r["cluster"]] = r["radius"] * (1 + 1e-9)
+    shards = balls.select("dim", "cluster", F.ceil(F.col("n") / MOST_ROWS).cast("int").alias("shards"))
+    key = ["dim", "cluster"]
+    vectors = rows.join(shards, key).withColumn("shard", F.pmod(F.xxhash64("row_no"), F.col("shards")).cast("int")).select("vec_id", "v", "dim", "cluster", "shard")
+    asked = materialize(vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v", "dim", "cluster").agg(F.min("shard").alias("shard")), "queries")
+    hits = search_wave(vectors, asked.withColumn("least", F.lit(None).cast("long")), k)
+    # what is left of the home cluster goes with the next wave
+    whole = asked.join(shards, key).withColumn("done", F.when(F.col("shards") == 1, F.array("cluster")).otherwise(F.array().cast("array<int>")))
+    home = asked.select("vec_id", "v", "cluster", F.col("shard").alias("home"))
+    todo = whole.select("vec_id", "v", "dim", "done")
+    for near in (NEAR, None):
+        kth = best_of(hits, k).groupBy(F.col("query_id").alias("vec_id"), "v").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+        reach = materialize(within_reach(todo.join(kth, ["vec_id", "v"], "left"), centers, radii, near), "reach")
+        wanted = reach.join(shards, key).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("vec_id", "v", "dim", "least", "cluster", "shard")
+        others = wanted.join(home, ["vec_id", "v", "cluster"], "left").where("home IS NULL OR home <> shard").drop("home")
+        hits = hits.unionByName(search_wave(vectors, others, k))
+        met = reach.groupBy("vec_id", "v").agg(F.collect_list("cluster").alias("met"))  # NEAR of them
+        todo = todo.join(met, ["vec_id", "v"], "left").withColumn("done", F.concat("done", F.coalesce("met", F.array().cast("array<int>")))).drop("met")
+    return best_of(hits, k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 #: The same in DuckDB, by brute force.
