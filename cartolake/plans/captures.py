@@ -333,3 +333,37 @@ def match_score_rules(spark, sf_dir):
         "concat('ABC ', p_partkey) AS title", "'street' AS address", "'food' AS category",
     )
     return linking.match_score(rows).select("id", F.round("score", 9).alias("score"))
+
+
+#: Evidence of each source, one or two a mention, with and without a quote, support, identity and a frame in range.
+SOURCES = """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'Frame' WHEN 2 THEN 'caption context' ELSE 'slide' END AS source FROM conversations
+ UNION ALL SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN ' frame' ELSE 'AUDIO' END FROM conversations WHERE conv_id % 3 = 0"""
+TYPES = "CASE turn % 5 WHEN 0 THEN 'explicit audio name' WHEN 1 THEN 'Exact-visible-sign' WHEN 2 THEN 'multimodal_confirmed' WHEN 3 THEN 'creator caption' ELSE 'guessed' END"
+
+
+@query(f"""WITH e AS (SELECT conv_id, turn, replace(lower(trim(source)), ' ', '_') AS source, (conv_id + turn) % 6 > 0 AS quoted, conv_id % 5 > 0 AS supported, conv_id % 6 > 0 AND (conv_id % 2 = 0 OR conv_id % 6 <= 3) AS framed FROM ({SOURCES}) WHERE (conv_id + turn) % 7 < 6),
+ f AS (SELECT conv_id, turn, bool_or(source = 'audio' AND quoted AND supported) AS audio, bool_or(source = 'caption_context' AND quoted AND supported) AS caption, bool_or(source IN ('frame', 'slide') AND quoted AND framed) AS visual FROM e GROUP BY conv_id, turn),
+ m AS (SELECT DISTINCT c.conv_id, c.turn, CASE WHEN c.turn % 5 = 0 AND audio THEN 'ai_confirmed_audio' WHEN c.turn % 5 = 1 AND visual THEN 'ai_confirmed_visual' WHEN c.turn % 5 = 2 AND audio AND visual THEN 'ai_confirmed_multimodal' WHEN c.turn % 5 = 3 AND caption THEN 'ai_confirmed_caption' END AS mode
+  FROM conversations c LEFT JOIN f ON c.conv_id = f.conv_id AND c.turn = f.turn),
+ r AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'ai_marked_inferred_or_generic' WHEN conv_id % 11 = 0 THEN 'ai_used_identity_inference' WHEN mode IS NULL THEN 'evidence_guardrail_failed' ELSE 'accepted' END AS reason FROM m)
+ SELECT conv_id, turn, reason, CASE WHEN reason = 'accepted' THEN mode END AS mode FROM r""")
+def evidence_rules(spark, sf_dir):
+    """Every type of mention with evidence of every source."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    mention = turns.selectExpr("*", "concat(conv_id, '/', turn) AS mention_id", "'Place' AS name", "FALSE AS is_generic", "'confirmed' AS identity_status", f"{TYPES} AS mention_type", "conv_id % 11 = 0 AS inference_used", "'90' AS confidence")
+    evidence = spark.sql(SOURCES.replace("FROM conversations", "FROM {turns}"), turns=turns).selectExpr(
+        "concat(conv_id, '/', turn) AS mention_id", "source", "CASE WHEN (conv_id + turn) % 6 > 0 THEN 'q' ELSE ' ' END AS quote", "CAST(conv_id % 6 AS INT) AS frame_index", "CASE WHEN conv_id % 2 > 0 THEN 3 END AS frame_count",
+        "(conv_id + turn) % 7 < 6 AS supports_identity", "conv_id % 5 > 0 AS supported",
+    )
+    return linking.evidence_decision(mention, evidence).select("conv_id", "turn", "reason", "mode")
+
+
+WORDS = {"spark": r"filter(split(regexp_replace(lower(text), '[^a-z0-9_]+', ' '), ' '), x -> x <> '')", "duckdb": r"list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')"}
+
+
+@query(f"SELECT doc_id, doc_id % 4 < 2 AS supported FROM (SELECT doc_id, {WORDS['duckdb']} AS w FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')) WHERE len(w) >= 8")
+def quote_support_in_documents(spark, sf_dir):
+    """Whole documents against quotes of their own words: a run of four, four of five in other order, one of five, a word that no document has."""
+    docs = table(spark, sf_dir, "documents").where(r"lang = 'en' AND text RLIKE '^[\\x00-\\x7F]*$'").selectExpr("doc_id", "text", f"{WORDS['spark']} AS w").where("size(w) >= 8")
+    quote = "CASE doc_id % 4 WHEN 0 THEN array_join(slice(w, 2, 4), ', ') WHEN 1 THEN concat_ws(' ', w[7], 'zzqx', w[5], w[3], w[1]) WHEN 2 THEN concat_ws(' ', w[1], 'zzqx', 'zzqy', 'zzqz', 'zzqv') ELSE 'zzqx' END AS quote"
+    return linking.quote_support(docs.selectExpr("doc_id", "text", quote), "quote", "text").select("doc_id", "supported")
