@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 from pyspark.sql.window import Window
 
@@ -312,25 +316,54 @@ def drop_near_identical(frames: DataFrame, most: float, tile: int = 1) -> DataFr
     """video, pos of the frames (video, pos, vector) kept: each is compared with the last kept one, tile by tile of `tile`
     components (a rest that fills none doesn't count); `most` is the largest mean difference of a tile that still counts as
     the same. Frames of unequal sizes differ; one without a vector stays, and so does the next. Videos of two frames or
-    fewer stay whole. The fold needs a video's frames in order; a frame's own size and number bound them."""
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        batch = batch.sort_values("pos")
-        kept, last = [], None
-        for pos, vector in zip(batch["pos"], batch["vector"], strict=True):
-            here = None if vector is None else np.asarray(vector, float)
-            if len(batch) > 2 and here is not None and last is not None and here.size == last.size:
-                apart = np.abs(here - last)[: here.size // tile * tile].reshape(-1, tile).mean(axis=1)
-                if apart.max(initial=0.0) <= most:
+    fewer stay whole, as do frames without a video or a place, which go around the comparison. A video's frames come to a
+    task in order and pass one by one, so that it holds two of them however long a video is.
+    """
+    own = frames.select("video", "pos", "vector")
+    lone = own.where("video IS NULL OR pos IS NULL").select("video", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, seen, last, waiting = None, 0, None, None
+
+        def same(here: np.ndarray | None) -> bool:
+            if here is None or last is None or here.size != last.size:
+                return False
+            apart = np.abs(here - last)[: here.size // tile * tile].reshape(-1, tile).mean(axis=1)
+            return bool(apart.max(initial=0.0) <= most)
+
+        for batch in batches:
+            kept: list[tuple] = []
+            for k, (v, pos) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                cell = batch.column(2)[k]
+                here = cell.values.to_numpy(zero_copy_only=False).astype(float) if cell.is_valid else None
+                if v != video:
+                    if waiting:
+                        kept.append(waiting[0])
+                    video, seen, last, waiting = v, 1, here, None
+                    kept.append((v, pos))
                     continue
-            kept.append(pos)
-            last = here
-        return pd.DataFrame({"video": batch["video"].iloc[0], "pos": kept})
-
-    types = dict(frames.dtypes)
-    return frames.select("video", "pos", "vector").groupBy("video").applyInPandas(fold, f"video {types['video']}, pos {types['pos']}")
+                seen += 1
+                if seen == 2:  # stays if it is the last one
+                    waiting = (v, pos), here
+                    continue
+                if waiting:
+                    if not same(waiting[1]):
+                        kept.append(waiting[0])
+                        last = waiting[1]
+                    waiting = None
+                if not same(here):
+                    kept.append((v, pos))
+                    last = here
+            yield out(kept)
+        yield out([waiting[0]] if waiting else [])
+
+    def out(kept: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], t) for k, t in enumerate(types)], ["video", "pos"])
+
+    schema = lone.schema
+    types = [to_arrow_type(f.dataType) for f in schema]
+    ordered = own.where("video IS NOT NULL AND pos IS NOT NULL").repartition("video").sortWithinPartitions("video", "pos")
+    return ordered.mapInArrow(run, schema).unionByName(lone)
 
 
 def progress_view(mentions: DataFrame, done: int) -> DataFrame:

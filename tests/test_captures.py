@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cartolake.operators import captures, linking
 from cartolake.plans import registry
 from cartolake.sources import files
-from cartolake.streaming import events
+from cartolake.streaming import events, jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,7 +128,8 @@ def test_block_guard_equals_batch(spark, tmp_path):
     for k in range(2):
         rows.where(f"(seq < 500) = ({k} = 0)").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in/*"))
-        q = events.live_block_guard(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        with jobs.state_store(spark):
+            q = events.live_block_guard(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
     columns = ["worker", "seq", "streak", "wait_s", "stop"]
     assert sorted(spark.read.parquet(str(tmp_path / "out")).select(columns).collect(), key=str) == sorted(refresh.block_streaks(rows).select(columns).collect(), key=str)

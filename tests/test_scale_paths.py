@@ -198,3 +198,32 @@ def test_country_by_words_of_the_address(spark):
 def test_links_of_pages(spark):
     html = """<link href="/css"><a href='/one'>1</a><A class=x href = "/two">2</A><abbr href="/no"><a data-href="/no">n</a><a href=/three>3</a>"""
     assert captures.place_info_from_pages(spark.createDataFrame([(1, html)], "page_id int, html string")).first().links == ["/one", "/two", "/three"]
+
+
+def kept_by_fold(frames, most):
+    """Videos as lists of (pos, vector): the plain fold over each."""
+    out = []
+    for video, rows in frames.items():
+        last, rows = None, sorted(rows, key=lambda r: r[0])
+        for pos, v in rows:
+            if len(rows) > 2 and last is not None and v is not None and len(v) == len(last) and max(abs(a - b) for a, b in zip(v, last, strict=True)) <= most:
+                continue
+            out.append((video, pos))
+            last = v
+    return sorted(out)
+
+
+def test_frames_pass_one_by_one(spark):
+    """Across Arrow batches, with videos of one and two frames, frames without a vector, a video or a place."""
+    rng = random.Random(4)
+    frames = {v: [(p, None if rng.random() < 0.05 else [float(rng.randrange(4)), float(rng.randrange(3))][: rng.choice([1, 2, 2, 2])]) for p in range(n)] for v, n in enumerate([1, 2, 3, 400, 2, 7, 1, 90])}
+    rows = [(v, p, x) for v, own in frames.items() for p, x in own] + [(None, 5, [1.0]), (3, None, [1.0]), (None, 5, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "video int, pos int, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = [tuple(r) for r in linking.drop_near_identical(df, 1.0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lone = [r for r in found if None in r]
+    assert sorted(set(found) - set(lone)) == kept_by_fold(frames, 1.0) and sorted(lone, key=str) == sorted([(None, 5), (None, 5), (3, None)], key=str)
