@@ -84,13 +84,17 @@ def review_quality_report(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("place_id").agg(F.count("*").alias("n_reviews"), lacks("review_id").alias("no_id"), lacks("author").alias("no_author"), lacks("text").alias("no_text"), *profile)
 
 
+#: Fixed value: what stands before the author's name in a picture's label.
+PHOTO_CAPTION = "photo of"
+
+
 def parse_review_snapshot(captures: DataFrame) -> DataFrame:
     """author, rating, likes, photos, is_local_guide, total_reviews and total_photos from the texts of captured reviews."""
     author, info = F.trim(F.coalesce("author", F.lit(""))), F.trim(F.coalesce("reviewer_info", F.lit("")))
     total = lambda word: F.coalesce(first_int(F.regexp_extract(info, rf"(?i)([0-9][0-9\s,.]*)\s+{word}s?", 1)), F.lit(0).cast("bigint"))
     photos = F.transform(F.coalesce("photos", F.array().cast("array<string>")), lambda x: upscale_image(F.trim(x)))
     return captures.withColumns({
-        "author": F.when(author != "", author).otherwise(F.regexp_replace(F.trim(F.coalesce("profile_label", F.lit(""))), r"(?i)^photo of\s+", "")),
+        "author": F.when(author != "", author).otherwise(F.regexp_replace(F.trim(F.coalesce("profile_label", F.lit(""))), rf"(?i)^{PHOTO_CAPTION}\s+", "")),
         "rating": first_float(F.col("rating_label")), "likes": F.coalesce(first_int(F.col("likes_text")), F.lit(0).cast("bigint")),
         "photos": F.array_distinct(F.filter(photos, lambda x: x.isNotNull() & (x != ""))), "is_local_guide": F.contains(F.lower(info), F.lit("local guide")),
         "total_reviews": total("review"), "total_photos": total("photo"),

@@ -37,6 +37,18 @@ def query_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def parameter(url: Column, name: str) -> Column:
+    """The first value of a query's parameter, as far as it is a plain id."""
+    own = F.filter(F.split(query_of(url), "&"), lambda x: x.startswith(f"{name}="))
+    return extract(F.get(own, F.lit(0)), "=([A-Za-z0-9_-]+)")
+
+
+def after_name(url: Column) -> Column:
+    """The segment that follows a place's name in the path, if it begins like an id: with 20 plain characters or more."""
+    segments = F.split(F.get(F.split(url, "/place/"), F.lit(1)), "/")
+    return F.when(F.get(segments, F.lit(0)) != "", extract(F.get(segments, F.lit(1)), "^([A-Za-z0-9_-]{20,})"))
+
+
 def cid_of(url: Column) -> Column:
     """The first filled cid parameter."""
     return blank_to_null(F.try_url_decode(extract(F.concat(F.lit("&"), query_of(url)), r"&cid=([^&]+)")))
@@ -65,8 +77,7 @@ def parse_place_identity(original: Column, resolved: Column) -> Column:
     named = lambda c: F.when(c.startswith("ChIJ") | c.startswith("ChAJ"), c)
     steps = []
     for u in (resolved, original):
-        path, ftid = extract(u, r"/place/[^/]+/([A-Za-z0-9_-]{20,})"), extract(u, r"[?&]ftid=([A-Za-z0-9_-]+)")
-        steps += [extract(u, PLACE_ID), named(path), named(ftid), F.concat(F.lit("g:"), extract(u, PLACE_REF))]
+        steps += [extract(u, PLACE_ID), named(after_name(u)), named(parameter(u, "ftid")), F.concat(F.lit("g:"), extract(u, PLACE_REF))]
     for u in (resolved, original):
         steps += [extract(u, DATA_ID), F.concat(F.lit("cid:"), cid_of(u))]
     host, path = F.regexp_extract(original, r"^[^:/?#]+://([^/?#]*)", 1), F.regexp_extract(original, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
@@ -130,6 +141,10 @@ def page_photos(photos: DataFrame, most: int = PAGE_PHOTOS) -> DataFrame:
     return first.withColumn("n_", F.row_number().over(Window.partitionBy("place_id").orderBy("pos"))).where(F.col("n_") <= most).drop("n_")
 
 
+#: The hosts of posts.
+SOCIAL_HOST = r"(?i)https?://(?:www\.|m\.|vt\.|vm\.)?(?:tiktok\.com|instagram\.com|instagr\.am)/"
+
+
 def canonical_social_url(df: DataFrame, url: str, redirects: DataFrame | None = None) -> DataFrame:
     """Adds platform, is_social, canonical (without parameters) and is_carousel for post URLs of two platforms.
 
@@ -140,7 +155,7 @@ def canonical_social_url(df: DataFrame, url: str, redirects: DataFrame | None =
         known = redirects.select(F.trim("short_url").alias("short_url_"), F.trim("target").alias("target_"))
         df = df.join(known, own == F.col("short_url_"), "left")
     c = F.coalesce(F.nullif(F.col("target_"), F.lit("")), own) if redirects is not None else own
-    social = F.rlike(c, F.lit(r"(?i)https?://(?:www\.|m\.|vt\.|vm\.)?(?:tiktok\.com|instagram\.com|instagr\.am)/"))
+    social = F.rlike(c, F.lit(SOCIAL_HOST))
     post = r"(?i)tiktok\.com/(@[^/?#]+/(?:photo|video)/[0-9]+)"
     platform = F.when(~social, None).when(F.rlike(c, F.lit(r"(?i)tiktok\.com/")), "TIKTOK").otherwise("INSTAGRAM")
     return df.withColumns({
