@@ -31,6 +31,8 @@ QUERY_EVERY = 100
 MOST_ROWS, LEAST_ROWS = 65_536, 2048
 #: Centres at most; their table goes to every task.
 CENTERS = 2048
+#: Vectors that each centre is picked from.
+SAMPLED = 4
 #: Clusters of the second wave.
 NEAR = 4
 QUERIES_PER_GROUP = 20_000
@@ -140,12 +142,21 @@ def search_groups(rows: DataFrame, k: int) -> DataFrame:
 
 
 def pick_centers(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By dimension, `count` vectors at most, the ones of the smallest hashes: a bounded sample, only used to group."""
+    """By dimension, `count` vectors at most, only used to group: of a hashed sample of SAMPLED times as many each next one is
+    the farthest from those before it, which keeps balls small."""
     dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(count).collect()]
     each = max(1, count // max(1, len(dims)))
     hashed = rows.where(F.col("dim").isin(dims)).select("dim", "v", F.xxhash64("vec_id", "v").alias("h")).dropDuplicates(["dim", "v"])
-    own = hashed.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("n") <= each).collect()
-    return {d: np.array([r["v"] for r in own if r["dim"] == d], float) for d in dims}
+    own = hashed.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("n") <= SAMPLED * each).orderBy("dim", "n").collect()
+    return {d: farthest(np.array([r["v"] for r in own if r["dim"] == d], float), each) for d in dims}
+
+
+def farthest(points: np.ndarray, count: int) -> np.ndarray:
+    picked, away = [0], np.full(len(points), math.inf)
+    while len(picked) < min(count, len(points)):
+        away = np.minimum(away, np.linalg.norm(points - points[picked[-1]], axis=1))
+        picked.append(int(away.argmax()))
+    return points[picked]
 
 
 def with_clusters(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
