@@ -83,7 +83,7 @@ def test_calibration_takes_every_segment(spark):
 
 
 @pytest.mark.parametrize("size", [200_000])
-def test_very_long_texts(spark, size):
+def test_very_long_texts(spark, tmp_path, size):
     """One text far longer than all others, through the operators that have no such test of their own."""
     import hashlib
     import zlib
@@ -92,8 +92,8 @@ def test_very_long_texts(spark, size):
 
     text = " ".join(f"w{k % 5000}" for k in range(size)) + " token = 'abcdef123'"
     docs = spark.createDataFrame([(1, text), (2, "short"), (None, text)], "doc_id long, text string")
-    docs.write.mode("overwrite").parquet(f"/tmp/spark-long-{size}")
-    docs = spark.read.parquet(f"/tmp/spark-long-{size}")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     one = lambda df: df.where("doc_id = 1").collect()
     assert one(sharding.shard_documents(docs))[0].text_crc32 == zlib.crc32(text.encode())
     assert one(secrets.secret_report(docs))[0].n_assign == 1
