@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def scratch(spark: SparkSession, tag: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return f"{folder}/data"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written once as Parquet in the shared folder, and read again."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

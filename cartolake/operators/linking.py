@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 from pyspark.sql.window import Window
 
+from cartolake.functions.storage import stored
 from cartolake.operators.mentions import MIN_GAP, MIN_SCORE, confidence, resolve_matches
 
 #: The least confidence, and below the thresholds of quotes and similarities.
@@ -210,8 +211,16 @@ def match_score(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(F.size("hints_") > 0, whole).otherwise(F.col("by_name_"))).drop("names_", "hints_", "title_", "place_", "by_name_", "by_hint_")
 
 
-def word_blocks(names: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """side, normal, words, prefix, word: the words of distinct names (side: a or b, normal), rarest first, without those that can't decide.
+#: A word of more distinct names than this is heavy: names that share it alone meet by length too, and only where that can matter.
+HEAVY_NAMES = 1_000
+#: Names of each side that meet in one sub-block at most, about.
+SUB_BLOCK = 2_000
+#: Width of the classes of length, as a logarithm.
+LENGTH_STEP = 0.1
+
+
+def word_blocks(names: DataFrame, least: float = LEAST_SCORE, heavy_names: int | None = None) -> DataFrame:
+    """side, normal, words, prefix, word, heavy, tail: the words of distinct names (side: a or b, normal), rarest first, without those that can't decide.
 
     A name's score counts from `least` on. Without a shared word it is 0.55 at most. With one shared word of n + m words
     it is 1.2 / (n + m) + 0.4 of the ratio, which is below 1. For LEAST_SCORE (0.60, names alone) that is too little from
@@ -219,34 +228,123 @@ def word_blocks(names: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     name of four words and one of that word alone. These two meet by a key of their own (word with the side of the longer
     one). For a smaller least it is left out where 1.2 / (n + 1) + 0.4 is too little already. So words as common as
     "restaurant" don't pair all the longer names that have them.
+
+    heavy: more than HEAVY_NAMES distinct names have the word; tail: it is heavy and the most frequent word of this name, so
+    what meets the name there shares no other word.
     """
     rows = names.select("side", "normal").distinct().withColumn("words", F.array_distinct(words_of(F.col("normal"))))
     each = rows.select("side", "normal", "words", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count("*").alias("often"))
-    ordered = each.join(often, "word").groupBy("side", "normal").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "word")))["word"].alias("prefix"))
-    alone = lambda side: F.array(F.concat(side, F.lit("="), F.get("prefix", F.size("prefix") - 1)))
+    ordered = each.join(often, "word").groupBy("side", "normal").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    ordered = ordered.withColumn("prefix", F.col("ranked")["word"])
+    last = F.get("prefix", F.size("prefix") - 1)
+    alone = lambda side: F.array(F.concat(side, F.lit("="), last))
     long = 4 if least >= LEAST_SCORE else math.ceil(1.2 / (least - 0.4))
     rare = F.when(F.size("prefix") >= long, F.slice("prefix", F.lit(1), F.size("prefix") - 1)).otherwise(F.col("prefix"))
     none = F.array().cast("array<string>")
     own = F.when(F.size("prefix") == 4, alone(F.col("side"))).when(F.size("prefix") == 1, alone(F.translate("side", "ab", "ba"))).otherwise(none) if long == 4 else none
-    kept = ordered.withColumn("prefix", F.concat(rare, own))
-    return kept.withColumn("word", F.explode("prefix"))
+    kept = ordered.withColumns({"last": last, "prefix": F.concat(rare, own)})
+    kept = kept.withColumn("word", F.explode("prefix"))
+    share = F.filter("ranked", lambda x: (x["word"] == F.col("word")) | F.endswith(F.col("word"), F.concat(F.lit("="), x["word"])))
+    kept = kept.withColumn("heavy", F.get(share, F.lit(0))["often"] > F.lit(HEAVY_NAMES if heavy_names is None else heavy_names))
+    tail = F.col("heavy") & ((F.col("word") == F.col("last")) | F.contains("word", F.lit("=")))
+    return kept.withColumn("tail", tail).select("side", "normal", "words", "prefix", "word", "heavy", "tail")
+
+
+def sub_blocks(a: DataFrame, b: DataFrame, keys: list[str], most: int = SUB_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """a and b (names in columns a and b) with cut_a and cut_b: a block of more than `most` rows on a side is cut there by the
+    names' hash, and each name is repeated for the other side's cuts. Blocks that one side lacks go."""
+    cuts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = cuts(a, "cuts_a").join(cuts(b, "cuts_b"), keys)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.join(sizes, keys).withColumn(f"cut_{own}", F.pmod(F.xxhash64(own), F.col(f"cuts_{own}")).cast("int"))
+        return rows.withColumn(f"cut_{other}", F.explode(F.sequence(F.lit(0), F.col(f"cuts_{other}") - 1))).drop("cuts_a", "cuts_b")
+
+    return dealt(a, "a", "b"), dealt(b, "b", "a")
+
+
+def met_in_blocks(a: DataFrame, b: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """a and b, joined by keys in sub-blocks of SUB_BLOCK names a side at most, about; each meets in a task of its own."""
+    left, right = sub_blocks(a, b, keys, most or SUB_BLOCK)
+    return left.join(right, [*keys, "cut_a", "cut_b"]).drop("cut_a", "cut_b")
+
+
+def scored(met: DataFrame, floor: Column) -> DataFrame:
+    """a, b, score: the pairs met whose score is floor or more. Pairs whose lengths or whose edits rule it out never reach the ratio."""
+    chars = F.length("a") + F.length("b")
+    score = lambda alike: similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), alike)
+    able = met.where(F.col("a") != F.col("b")).where(score(2.0 * F.least(F.length("a"), F.length("b")) / chars) >= floor)
+    # what matches keeps its order, so the rest is as many edits at least
+    able = able.where(score(1.0 - F.levenshtein("a", "b") / chars + 1e-9) >= floor)
+    return able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= floor).select("a", "b", "score")
+
+
+def block_side(blocks: DataFrame, side: str) -> DataFrame:
+    return blocks.where(F.col("side") == side).select("word", F.col("normal").alias(side), F.col("words").alias(f"w{side}"), F.col("prefix").alias(f"p{side}"), "heavy", F.col("tail").alias(f"t{side}"))
+
+
+def same_names(blocks: DataFrame) -> DataFrame:
+    of = lambda s: blocks.where(F.col("side") == s).select("normal").distinct()
+    return of("a").join(of("b"), "normal").select(F.col("normal").alias("a"), F.col("normal").alias("b"), F.lit(1.0).alias("score"))
+
+
+def rare_pairs(blocks: DataFrame, least: float, sub_block: int | None = None) -> DataFrame:
+    """a, b, score of different names that share more than a heavy word, or a word that isn't heavy; each at its first shared word."""
+    a, b = (block_side(blocks, s).where(~F.col(f"t{s}")).drop("heavy", f"t{s}") for s in "ab")
+    met = met_in_blocks(a, b, ["word"], sub_block)
+    return scored(met.where(F.col("word") == F.get(F.array_intersect("pa", "pb"), F.lit(0))), F.lit(least))
+
+
+def tail_pairs(blocks: DataFrame, floors: DataFrame | None, least: float, sub_block: int | None = None) -> DataFrame:
+    """a, b, score of different names that share one word, a heavy one, where the score is floor or more: that of floors (a, floor), or least.
+
+    One shared word of n + m leaves a floor to the ratio, and so to the lengths. Names meet by word, number of words and
+    class of length, each a at all those that its floor leaves.
+    """
+    a, b = (block_side(blocks, s).where("heavy").drop("heavy") for s in "ab")
+    a = a.join(floors, "a") if floors is not None else a.withColumn("floor", F.lit(least))
+    b = b.withColumns({"n_words": F.size("wb"), "class": F.floor(F.log(F.length("b")) / LENGTH_STEP).cast("int")})
+    most = int(1.2 / (least - 0.4)) + 1
+    a = a.withColumn("n_words", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    alike = (F.col("floor") - 1.2 / (F.size("wa") + F.col("n_words"))) / 0.4 - 1e-9
+    # two names of one word that share it are the same one
+    a = a.withColumn("alike", alike).where((F.col("alike") < 1.0) & (F.size("wa") + F.col("n_words") > 2))
+    wide = F.log((2.0 - F.greatest("alike", F.lit(0.01))) / F.greatest("alike", F.lit(0.01))) + 1e-9
+    at = lambda x: F.floor(x / LENGTH_STEP).cast("int")
+    a = a.withColumn("class", F.explode(F.sequence(at(F.log(F.length("a")) - wide), at(F.log(F.length("a")) + wide))))
+    a = a.withColumn("tb", F.explode(F.when(F.col("ta"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).drop("alike")
+    met = met_in_blocks(a, b, ["word", "n_words", "class", "tb"], sub_block)
+    return scored(met.where(F.col("word") == F.get(F.array_intersect("pa", "pb"), F.lit(0))), F.col("floor"))
+
+
+def blocks_of(names: DataFrame, titles: DataFrame, least: float, heavy_names: int | None = None) -> DataFrame:
+    rows = names.select(F.lit("a").alias("side"), "normal").unionByName(titles.select(F.lit("b").alias("side"), "normal"))
+    return stored(word_blocks(rows, least, heavy_names), "blocks")
 
 
 def scored_names(names: DataFrame, titles: DataFrame, least: float) -> DataFrame:
-    """a, b, score: distinct names (normal) and titles (normal) whose similarity is `least` or more and that share a word.
+    """a, b, score: distinct names (normal) and titles (normal) whose similarity is `least` or more and that share a word."""
+    blocks = blocks_of(names, titles, least)
+    return same_names(blocks).unionByName(rare_pairs(blocks, least)).unionByName(tail_pairs(blocks, None, least))
 
-    They meet in an equi-join on word_blocks; each pair is kept at its first shared word. Pairs whose words and lengths
-    rule the score out never reach the ratio.
+
+def deciding_names(names: DataFrame, titles: DataFrame, heavy_names: int | None = None, sub_block: int | None = None) -> DataFrame:
+    """a, b, score like scored_names for LEAST_SCORE, but of pairs that share a heavy word alone only those that can decide a match.
+
+    Such a pair of n + m words scores less than 1.2 / (n + m) + 0.4. A name whose best other pair has that and MIN_GAP more
+    needs none of them. One without a match so far needs those from MIN_SCORE on, where names are nearly alike; then one
+    with a match needs those that come within MIN_GAP of it.
     """
-    blocks = word_blocks(names.select(F.lit("a").alias("side"), "normal").unionByName(titles.select(F.lit("b").alias("side"), "normal")), least)
-    side = lambda s: blocks.where(F.col("side") == s).select("word", F.col("normal").alias(s), F.col("words").alias(f"w{s}"), F.col("prefix").alias(f"p{s}"))
-    met = side("a").join(side("b"), "word").where(F.col("word") == F.get(F.array_intersect("pa", "pb"), F.lit(0)))
-    # the ratio is at most what the lengths allow
-    most = 2.0 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
-    score = lambda alike: similarity(F.col("a"), F.col("b"), F.col("wa"), F.col("wb"), alike)
-    able = met.where(score(most) >= least)
-    return able.withColumn("score", score(ratio("a", "b"))).where(F.col("score") >= least).select("a", "b", "score")
+    blocks = blocks_of(names, titles, LEAST_SCORE, heavy_names)
+    found = stored(same_names(blocks).unionByName(rare_pairs(blocks, LEAST_SCORE, sub_block)), "pairs")
+    asked = blocks.where("side = 'a' AND heavy").select(F.col("normal").alias("a")).distinct()
+    best = lambda pairs: asked.join(pairs.groupBy("a").agg(F.max("score").alias("best")), "a", "left")
+    open_ = best(found).where(F.coalesce("best", F.lit(0.0)) < MIN_SCORE).select("a", F.lit(MIN_SCORE - 1e-9).alias("floor"))
+    found = stored(found.unionByName(tail_pairs(blocks, open_, LEAST_SCORE, sub_block)), "pairs")
+    # no pair of three words or more that share one scores 0.8
+    close = best(found).where((F.col("best") >= MIN_SCORE) & (F.col("best") < 0.8 + MIN_GAP)).select("a", (F.col("best") - MIN_GAP - 1e-9).alias("floor"))
+    return found.unionByName(tail_pairs(blocks, close, LEAST_SCORE, sub_block)).distinct()
 
 
 def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
@@ -269,8 +367,8 @@ def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
     # of the places with one title and context two decide: an equal score for another identity is ambiguous
     sights = known.where("b <> ''").groupBy("b", "place").agg(F.min("identity").alias("first"), F.max("identity").alias("last"))
     named = kinds.select("names", "hints", F.explode("names").alias("normal"))
-    scored = scored_names(named, sights.withColumnRenamed("b", "normal"), (LEAST_SCORE - CONTEXT) / (1 - CONTEXT))
-    best = named.join(scored, named["normal"] == scored["a"]).groupBy("names", "hints", "b").agg(F.max("score").alias("by_name"))
+    pairs = scored_names(named, sights.withColumnRenamed("b", "normal"), (LEAST_SCORE - CONTEXT) / (1 - CONTEXT))
+    best = named.join(pairs, named["normal"] == pairs["a"]).groupBy("names", "hints", "b").agg(F.max("score").alias("by_name"))
     met = best.join(sights, "b")
     alone = met.where((F.size("hints") == 0) & (F.col("by_name") >= LEAST_SCORE)).withColumn("score", F.col("by_name"))
     hinted = met.where(F.size("hints") > 0).withColumn("score", F.least(F.lit(1.0), (1 - CONTEXT) * F.col("by_name") + CONTEXT * best_similarity(F.col("hints"), F.col("place")))).where(F.col("score") >= LEAST_SCORE)
@@ -282,10 +380,10 @@ def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
 def link_by_name(mentions: DataFrame, places: DataFrame) -> DataFrame:
     normal = lambda df, c: df.withColumn("normal", match_text(F.col(c))).where("normal <> ''")
     named, titled = normal(mentions, "name"), normal(places, "title")
-    scored = scored_names(named, titled, LEAST_SCORE)
+    pairs = deciding_names(named, titled)
     # of a title's places two decide: an equal score for another identity is ambiguous
     owners = titled.groupBy("normal").agg(F.min("identity").alias("first"), F.max("identity").alias("last")).select(F.col("normal").alias("b"), F.array_distinct(F.array("first", "last")).alias("owners"))
-    best = scored.join(owners, "b").select("a", "score", F.explode("owners").alias("identity")).withColumn("pos", F.col("identity"))
+    best = pairs.join(owners, "b").select("a", "score", F.explode("owners").alias("identity")).withColumn("pos", F.col("identity"))
     decided = resolve_matches(best.withColumnRenamed("a", "mention_id")).withColumnRenamed("mention_id", "normal")
     return named.join(decided, "normal").select("mention_id", "identity", "score")
 

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_captures import SF, alike
 
 from cartolake.operators import linking
@@ -66,3 +67,46 @@ def test_links_with_aliases_and_hints_equal_brute_force(spark):
             want[m] = (ranked[0][1], round(-ranked[0][0], 4))
     found = {r.mention_id: (r.identity, round(r.score, 4)) for r in linking.link_to_catalogue(a, b).collect()}
     assert found == want and len(want) > 3
+
+
+def test_names_that_share_one_heavy_word(spark):
+    """Every word above two names is heavy and blocks are cut at three names: links as by brute force over all pairs."""
+    rng = random.Random(11)
+    stems = ["pho", "phos", "hoa", "hoas", "bun", "cha", "ngon", "lotus garden", "lotus gardens", "k" * 30, "golden", ""]
+    forms = [f"{x} {y} {w}".split() for x in stems for y in stems[:6] + [""] for w in ("restaurant", "restaurants", "market", "")]
+    texts = sorted({" ".join(f) for f in forms if f})
+    names, titles = rng.sample(texts, 130), rng.sample(texts, 130)
+    df = lambda rows: spark.createDataFrame([(x,) for x in rows], "normal string")
+    pairs = linking.deciding_names(df(names), df(titles), heavy_names=2, sub_block=3).collect()
+    found = {}
+    for r in pairs:
+        assert r.b not in found.setdefault(r.a, {})
+        found[r.a][r.b] = r.score
+    verdict = lambda own: own[0][0] >= 0.68 and (len(own) == 1 or own[0][0] - own[1][0] >= 0.08)
+    links = 0
+    for name in names:
+        whole = sorted(((s, t) for t in titles if set(name.split()) & set(t.split()) and (s := alike(name, t)) >= 0.6), reverse=True)
+        own = sorted(((s, t) for t, s in found.get(name, {}).items()), reverse=True)
+        assert all(abs(alike(name, t) - s) < 1e-9 for s, t in own)
+        if whole and verdict(whole):
+            links += 1
+            assert own and verdict(own) and own[0][1] == whole[0][1]
+        else:
+            assert not own or not verdict(own)
+    assert links > 10
+    every = {(r.a, r.b) for r in linking.scored_names(df(names), df(titles), 0.5).collect()}
+    assert every == {(n, t) for n in names for t in titles if set(n.split()) & set(t.split()) and alike(n, t) >= 0.5}
+
+
+def test_heavy_word_is_dealt_over_sub_blocks(spark):
+    """4,000 names share a word: most have their own title and never meet by it; of those that do no task meets more than its share."""
+    rows = [(i, f"{chr(97 + i % 26) * (i % 9 + 1)}{i:04d} restaurant") for i in range(4000)]
+    a = spark.createDataFrame(rows + [(9000, "zzz restaurant")], "mention_id long, name string")
+    b = spark.createDataFrame(rows, "identity long, title string")
+    assert sorted(r.mention_id for r in linking.link_to_catalogue(a, b).collect()) == list(range(4000))
+    key = a.select("name", F.lit("restaurant").alias("word"))
+    left, right = key.withColumnRenamed("name", "a"), key.withColumnRenamed("name", "b").limit(900)
+    for side in linking.sub_blocks(left, right, ["word"], 100):
+        sizes = [r["count"] for r in side.groupBy("word", "cut_a", "cut_b").count().collect()]
+        assert len(sizes) == 41 * 9 and max(sizes) < 150
+    assert linking.met_in_blocks(left, right, ["word"], 100).count() == 4001 * 900
