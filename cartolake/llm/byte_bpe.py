@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import steady
 from .worddict import Answers, answer_words, by_text, texts_from_blocks, to_blocks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -93,5 +94,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
         return prepare
 
-    answered = answer_words(to_blocks(docs, lambda: splitter(pattern)), lambda: encoder(path, pattern))
+    answered = answer_words(to_blocks(steady(docs, "doc_id", "text"), lambda: splitter(pattern)), lambda: encoder(path, pattern))
     return texts_from_blocks(answered, make, f"doc_id long, n_tokens long, {names[0]} {'string' if digest else 'binary'}, {names[1]} {'string' if digest else 'binary'}")

@@ -27,17 +27,49 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a plain scan of files, whose rows come in the same tasks and order whenever they are read."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def steady(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs, whose rows lie in the same order whenever they are read: other inputs than a scan of files are written first."""
+    own = docs.select(*columns)
+    return own if is_scan(docs) else materialize(own, "steady")
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with the column `name`, which differs in every row and is the same whenever the rows are read again.
 
     For a plain scan of Parquet files that is a row's file and place there; other rows are written once with a number.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+    if is_scan(docs):
         with contextlib.suppress(AnalysisException):
             return docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+#: The most keys that are cut into slices, and so broadcast.
+HOT_KEYS = 50_000
+
+
+def slice_rows(total: int, rows_per_task: int) -> int:
+    """Rows of a key from which on it is cut: of `total` rows at most HOT_KEYS keys have more."""
+    return max(rows_per_task, 1 + total // HOT_KEYS)
+
+
+def join_sliced(rows: DataFrame, table: DataFrame, sizes: DataFrame, keys: list[str], spread: Column, most: int) -> DataFrame:
+    """rows joined with table, which has one row for each of keys; with slice, the part of its key's rows that a row is in.
+
+    sizes (keys, copies) and table.copies tell how many rows have the keys. Those with more than `most`, of slice_rows and so
+    HOT_KEYS at most, are cut by spread, a hash of what differs in their rows; so no task meets all rows of one key.
+    """
+    slices = F.ceil(F.col("copies") / most).cast("int")
+    hot = F.broadcast(sizes.where(F.col("copies") > most).select(*keys, slices.alias("slices")))
+    cut = rows.join(hot, keys, "left").withColumn("slice", F.pmod(spread, F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    return cut.join(table.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))), [*keys, "slice"])
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

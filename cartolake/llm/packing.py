@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import encoded, materialize
+from .common import encoded, materialize, steady
 from .worddict import Answers, answer_words, by_text, texts_from_blocks, to_blocks
 
 WIDTH = 2048
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str | None = None, width: int = WIDTH, end_id:
 
         return prepare
 
-    answered = answer_words(to_blocks(docs, lambda: lambda text: encoded(text).split()), lambda: word_encoder(path))
+    answered = answer_words(to_blocks(steady(docs, "doc_id", "text"), lambda: lambda text: encoded(text).split()), lambda: word_encoder(path))
     return texts_from_blocks(answered, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

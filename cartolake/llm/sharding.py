@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import join_sliced, materialize, slice_rows
 
 #: Rows that one task ranks at most, about: the ranges of an arc and the slices of equal rows follow from it.
 ROWS_PER_RANKING = 20_000
@@ -80,23 +80,24 @@ def ranked_in(rows: DataFrame, group: str, key: str, number: str, rows_per_task:
     """rows (number differs in each) with rank: the place within its group by key, a hash; gapless from 0.
 
     No task ranks much more than rows_per_task rows. A group is cut into ranges of its key by the largest group's size; a
-    key's copies, which no range can part, are counted first, and only they are told apart by number, in slices.
+    key's copies, which no range can part, are counted first, and only they are told apart by number. A key with many copies
+    is cut into slices (join_sliced) before its rows meet their place, and these are ranked one by one.
     """
     counts = rows.groupBy(group, key).agg(F.count("*").alias("copies"))
-    largest = counts.groupBy(group).agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).agg(F.max("n"), F.max("most")).first()
-    parts, slices = (max(1, min(1 << 24, (n or 0) // rows_per_task + 1)) for n in largest)
-    counts = counts.withColumn("part", F.shiftright(F.shiftrightunsigned(key, 33) * parts, 31).cast("int"))
+    largest, total = counts.groupBy(group).agg(F.sum("copies").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    parts, most = max(1, min(1 << 24, (largest or 0) // rows_per_task + 1)), slice_rows(total or 0, rows_per_task)
+    part = F.shiftright(F.shiftrightunsigned(key, 33) * parts, 31).cast("int")
     # the key as an unsigned number: its order must be that of the parts
     order = [F.shiftrightunsigned(key, 33), F.col(key)]
     within = Window.partitionBy(group, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("long")
-    sizes = counts.groupBy(group, "part").agg(F.sum("copies").alias("n"))
+    none, ranged = F.lit(0).cast("long"), counts.withColumn("part", part)
+    sizes = ranged.groupBy(group, "part").agg(F.sum("copies").alias("n"))
     offsets = sizes.select(group, "part", F.coalesce(F.sum("n").over(before), none).alias("offset"))
-    placed = counts.withColumn("start", F.coalesce(F.sum("copies").over(within), none)).join(offsets, [group, "part"]).select(group, key, "copies", (F.col("start") + F.col("offset")).alias("start"))
-    met = rows.join(placed, [group, key])
+    placed = ranged.withColumn("start", F.coalesce(F.sum("copies").over(within), none)).join(offsets, [group, "part"]).select(group, key, "copies", (F.col("start") + F.col("offset")).alias("start"))
+    met = join_sliced(rows, placed, counts, [group, key], F.xxhash64(number), most)
     single = met.where("copies = 1").withColumn("rank", F.col("start"))
-    several = met.where("copies > 1").withColumn("slice", F.pmod(F.xxhash64(number), F.lit(slices)).cast("int"))
+    several = met.where("copies > 1")
     each = several.groupBy(group, key, "slice").agg(F.count("*").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy(group, key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     shifts = each.select(group, key, "slice", F.coalesce(ahead, none).alias("shift"))

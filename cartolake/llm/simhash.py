@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, materialize, texts_of
+from .common import encoded, join_sliced, materialize, slice_rows, texts_of
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 #: Links of one node that a task meets at once, and the most nodes with more links than that.
 SLICE_LINKS, HOT_NODES = 256, 50_000
+#: Fingerprints whose home is one anchor that a task meets at once, and rows of one fingerprint that a task labels, about.
+CELL_HOMES, LABEL_ROWS = 4_096, 100_000
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -88,8 +90,25 @@ def halves(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.posexplode(F.array(low, high)).alias("side", "half"))
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a < b: the pairs of different fingerprints (nodes.fp, distinct) that differ by max_bits or fewer (3 at most)."""
+def cell_cuts(homes: DataFrame, count: int, cell_homes: int) -> DataFrame:
+    """side, anchor, cuts of the cells with more than cell_homes homes: with slice_rows, as many as may be broadcast."""
+    most = slice_rows(count, cell_homes)
+    sizes = homes.groupBy("side", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return sizes.select("side", "anchor", F.ceil(F.col("n") / most).cast("int").alias("cuts"))
+
+
+def dealt(rows: DataFrame, own: str, other: str, cuts: DataFrame) -> DataFrame:
+    """rows with cut_a and cut_b: the own one by the hash of the fingerprint, and the row again for each of the other's."""
+    n = F.coalesce("cuts", F.lit(1))
+    met = rows.join(F.broadcast(cuts), ["side", "anchor"], "left").withColumn(f"cut_{own}", F.pmod(F.xxhash64(own), n).cast("int"))
+    return met.withColumn(f"cut_{other}", F.explode(F.sequence(F.lit(0), n - 1))).drop("cuts")
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, cell_homes: int = CELL_HOMES) -> DataFrame:
+    """a < b: the pairs of different fingerprints (nodes.fp, distinct) that differ by max_bits or fewer (3 at most).
+
+    A cell (an anchor of a half) with more than cell_homes homes is cut on both sides, and its parts meet in tasks of their own.
+    """
     # dealt out before the 34-fold explode, which else runs in as few tasks as the nodes have files
     sides = halves(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     homes = sides.select("side", home(F.col("half")).alias("anchor"), F.col("fp").alias("a"))
@@ -97,9 +116,12 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     reach = F.array_distinct(F.concat(F.array(home(F.col("half"))), F.transform(F.sequence(F.lit(1), F.lit(32)), lambda p: home(flip(F.col("half"), p)))))
     visitors = sides.select("side", F.explode(reach).alias("anchor"), F.col("fp").alias("b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    found = homes.join(visitors, ["side", "anchor"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits))
-    # a pair that is near in both halves is found in both; the first one counts
-    first = (F.col("side") == 0) | (F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) > max_bits // 2)
+    cuts = materialize(cell_cuts(homes, 2 * nodes.count(), cell_homes), "cells")
+    met = dealt(homes, "a", "b", cuts).join(dealt(visitors, "b", "a", cuts), ["side", "anchor", "cut_a", "cut_b"])
+    found = met.where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits))
+    # a pair has one half within 1 bit at least; of two such the low one counts, and none counts where it is met by chance
+    low = F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= max_bits // 2
+    first = (F.col("side") == 0) == low
     return found.where(first).select("a", "b")
 
 
@@ -174,11 +196,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     length is met whole; of equal doc_ids with different texts each row has the fingerprint of its own text.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     member = rooted(nodes)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = member.join(named, "root").select("fp", "component_id")
-    return rows.join(labels, "fp")
+    labels = member.join(named, "root").select("fp", "component_id", "copies")
+    # any slice of a fingerprint's rows will do, as each has the label
+    met = join_sliced(rows, labels, nodes, ["fp"], F.xxhash64(F.monotonically_increasing_id()), slice_rows(rows.count(), LABEL_ROWS))
+    return met.select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartolake.functions.storage import discard, scratch
 from cartolake.llm import packing, quality, secrets, simhash, toxicity
-from cartolake.llm.common import materialize, numbered, unused
+from cartolake.llm.common import numbered, unused
 
 #: Packing and toxicity scores have no SQL form; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
@@ -44,7 +45,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every row, with their places."""
+    """The pieces of every row, with their places; a null or empty text is one piece of its end alone, and no rows give none.
+
+    The pieces are written within, so the result doesn't read docs any more.
+    """
     return packing.pack_documents(docs)
 
 
@@ -58,7 +62,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of what the stages keep. A stage's table goes as soon as the next stage has read it."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept, read_from = stage(spark, docs, sf_dir), path
+        path = scratch(spark, name.replace(" ", "-"))
+        kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        discard(spark, read_from)
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, path)
+    return pieces
