@@ -88,6 +88,17 @@ def test_radius_join_at_poles_and_date_line(spark, km, crowded):
     assert found == want and len(found) == len(set(found))
 
 
+def test_radius_join_computes_a_distance_once_for_a_pair_of_places(spark):
+    p = spark.range(1000).selectExpr("id", "IF(id % 4 = 0, 10.2D, 10D) AS latitude", "IF(id % 2 = 0, 20D, 170D) AS longitude", "IF(id % 3 = 0, NULL, id) AS more")
+    c = spark.range(700).selectExpr("id AS center_id", "10D AS c_lat", "IF(id % 2 = 0, 20D, -100D) AS c_lng")
+    joined = discovery.radius_join(p, c, 5.0)
+    assert joined.columns == ["id", "latitude", "longitude", "more", "center_id", "c_lat", "c_lng", "distance_km"]
+    rows = {(r.id, r.center_id): (r.latitude, r.more, r.distance_km) for r in joined.collect()}
+    assert rows == {(i, j): (10.0, None if i % 3 == 0 else i, 0.0) for i in range(2, 1000, 4) for j in range(0, 700, 2)}
+    # what is compared are blocks of rows of one place
+    assert discovery.placed(p, "latitude", "longitude", "points_").count() <= 3 + 1000 / discovery.BLOCK
+
+
 def test_known_by_any_id(spark):
     candidates = spark.createDataFrame([("k1", "p1", "c1"), ("k2", "p2", " "), ("k3", None, "c3"), ("k4", "", None), ("k5", "p1", "c9"), ("k6", "c3", "p2")], "key string, place_id string, cid string")
     catalogue = spark.createDataFrame([("k1", "p1", "c1"), ("x", " p1 ", ""), ("y", None, "c3"), ("", "", "")], "key string, place_id string, cid string")
