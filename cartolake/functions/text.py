@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def first_truthy(*columns: Column) -> Column:
     return F.coalesce(*(blank_to_null(c) for c in columns))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often use mentions it: a plain expression is computed at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract(column: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, or null."""
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))

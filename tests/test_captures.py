@@ -133,3 +133,16 @@ def test_block_guard_equals_batch(spark, tmp_path):
         q.awaitTermination()
     columns = ["worker", "seq", "streak", "wait_s", "stop"]
     assert sorted(spark.read.parquet(str(tmp_path / "out")).select(columns).collect(), key=str) == sorted(refresh.block_streaks(rows).select(columns).collect(), key=str)
+
+
+def computed(df, text):
+    """How often the plan mentions a text."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(text)
+
+
+def test_popular_times_read_a_label_once(spark):
+    rows = [("a", "Mondays", 1, "Currently  45% busy, usually 20% busy."), ("a", "Mondays", 2, "130% busy at 12 PM."), ("a", "mondays", 3, "7% busy at 12 pm"), ("a", "Monday", 4, "9% busy at 13:00."),
+            ("a", "Monday", 5, "9% busy at 25."), ("a", "Someday", 6, "9% busy at 3 PM."), ("a", None, 7, "9% busy at 3 PM."), ("a", "Sunday", 8, None), ("a", "Sunday", 9, "1% busy at 0 AM."), ("a", "Sunday", 10, "1% busy at 12:30 AM")]
+    found = captures.parse_popular_times(spark.createDataFrame(rows, "place_id string, day string, pos long, label string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "Monday", -1, 45), ("a", "Monday", 12, 7), ("a", "Monday", 13, 9), ("a", "Sunday", 0, 1)]
+    assert computed(found, "% busy at") <= 2
