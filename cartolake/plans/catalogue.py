@@ -133,7 +133,9 @@ def tag_destinations(spark, sf_dir):
 def normalize_menu(spark, sf_dir):
     """Two images of three, one of them twice; a highlight that says menu; a third of the places has nothing."""
     some = """concat('{"images":[{"image":"https://h/', id, '=w10","name":"A"},{"url":"https://h/', id, '=w10","title":"A"},{"url":"","title":"no url"},{"url":"https://h/b=w10"}],"highlights":["Menu"," Set menu "]}')"""
-    rows = view(spark, sf_dir, "fx_place").selectExpr("id", f"CASE id % 3 WHEN 0 THEN '{{\"data\":[],\"highlights\":[\"menu\"]}}' ELSE {some} END AS actions")
+    # the table is narrow and its rows are dear: they are dealt over all tasks before their JSON is made
+    places = view(spark, sf_dir, "fx_place").select("id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = places.selectExpr("id", f"CASE id % 3 WHEN 0 THEN '{{\"data\":[],\"highlights\":[\"menu\"]}}' ELSE {some} END AS actions")
     menu = captures.normalize_menu(rows, "actions").where("menu IS NOT NULL")
     return menu.select("id", F.size("menu.data").alias("n_data"), F.get("menu.data", F.lit(0))["url"].alias("first_url"), F.get("menu.highlights", F.lit(0))["title"].alias("highlight"))
 

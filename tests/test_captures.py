@@ -146,3 +146,17 @@ def test_popular_times_read_a_label_once(spark):
     found = captures.parse_popular_times(spark.createDataFrame(rows, "place_id string, day string, pos long, label string"))
     assert sorted(map(tuple, found.collect())) == [("a", "Monday", -1, 45), ("a", "Monday", 12, 7), ("a", "Monday", 13, 9), ("a", "Sunday", 0, 1)]
     assert computed(found, "% busy at") <= 2
+
+
+def test_menus_are_read_once(spark):
+    texts = ['{"data":[],"images":[{"image":"u=w10","name":" A "},{"url":"u=w10","title":"A"},"only title",null,{"title":"x"}],"highlights":["Menu",{"title":"menu"}," Set ",7,{"url":"v"}]}',
+             '{"data":[{"url":"d"}],"images":[{"url":"i"}],"menu":{"url":" ","link":" l "}}', '{"menu":{"url":"m"}}', '{"menu":"m","highlights":["menu"]}', '{"menu":{"url":{"a":"b"}}}', "{}", "no json", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, actions string")
+    listed = captures.normalize_menu(rows, "actions")
+    assert listed.columns == ["id", "actions", "menu"]
+    found = {r.id: r.menu and (r.menu.link, [tuple(x) for x in r.menu.data], [tuple(x) for x in r.menu.highlights]) for r in listed.collect()}
+    assert found == {
+        0: (None, [("u=w100", "A")], [("", "Set"), ("", "7"), ("v", "")]), 1: ("l", [("d", "")], []), 2: ("m", [], []), 3: None, 4: ('{"a":"b"}', [], []), 5: None, 6: None, 7: None,
+    }
+    some = listed.where("menu IS NOT NULL").select("id", F.size("menu.data").alias("n"), F.get("menu.data", F.lit(0))["url"].alias("url"))
+    assert computed(some, "$.images") == 1
