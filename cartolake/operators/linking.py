@@ -369,9 +369,14 @@ def link_to_catalogue(mentions: DataFrame, places: DataFrame) -> DataFrame:
     named = kinds.select("names", "hints", F.explode("names").alias("normal"))
     pairs = scored_names(named, sights.withColumnRenamed("b", "normal"), (LEAST_SCORE - CONTEXT) / (1 - CONTEXT))
     best = named.join(pairs, named["normal"] == pairs["a"]).groupBy("names", "hints", "b").agg(F.max("score").alias("by_name"))
-    met = best.join(sights, "b")
+    met = stored(best.join(sights, "b"), "met")
     alone = met.where((F.size("hints") == 0) & (F.col("by_name") >= LEAST_SCORE)).withColumn("score", F.col("by_name"))
-    hinted = met.where(F.size("hints") > 0).withColumn("score", F.least(F.lit(1.0), (1 - CONTEXT) * F.col("by_name") + CONTEXT * best_similarity(F.col("hints"), F.col("place")))).where(F.col("score") >= LEAST_SCORE)
+    # a context is compared once, not for each name that brings it, and in tasks of their own: its rows are short, but dear
+    # (in another order of keys than the distinct rows have, as an equal one would be left out)
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts = met.where(F.size("hints") > 0).select("hints", "place").distinct().repartition(tasks, "place", "hints").withColumn("by_hint", best_similarity(F.col("hints"), F.col("place")))
+    hinted = met.where(F.size("hints") > 0).join(contexts, ["hints", "place"])
+    hinted = hinted.withColumn("score", F.least(F.lit(1.0), (1 - CONTEXT) * F.col("by_name") + CONTEXT * F.col("by_hint"))).where(F.col("score") >= LEAST_SCORE).select(*alone.columns)
     each = alone.unionByName(hinted).select("names", "hints", "score", F.explode(F.array_distinct(F.array("first", "last"))).alias("identity")).withColumn("pos", F.col("identity"))
     decided = resolve_matches(each.withColumn("mention_id", F.struct("names", "hints")))
     return asked.withColumn("asked", F.struct("names", "hints")).join(decided.withColumnRenamed("mention_id", "asked"), "asked").select("mention_id", "identity", "score")

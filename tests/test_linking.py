@@ -110,3 +110,11 @@ def test_heavy_word_is_dealt_over_sub_blocks(spark):
         sizes = [r["count"] for r in side.groupBy("word", "cut_a", "cut_b").count().collect()]
         assert len(sizes) == 41 * 9 and max(sizes) < 150
     assert linking.met_in_blocks(left, right, ["word"], 100).count() == 4001 * 900
+
+
+def test_contexts_are_compared_once_and_in_tasks_of_their_own(spark):
+    mentions = spark.createDataFrame([(k, f"pho hoa {k % 3}", ["ben thanh"] if k % 2 else []) for k in range(8)], "mention_id long, name string, hints array<string>")
+    places = spark.createDataFrame([(1, "pho hoa 1", "ben thanh street"), (2, "pho hoa 2", "elsewhere"), (3, "pho hoa 2", "ben thanh street")], "identity long, title string, address string")
+    linked = linking.link_to_catalogue(mentions, places)
+    assert sorted((r.mention_id, r.identity) for r in linked.collect()) == [(1, 1), (4, 1), (5, 3), (7, 1)]
+    assert "REPARTITION_BY_NUM" in linked._jdf.queryExecution().executedPlan().toString()
