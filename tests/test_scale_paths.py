@@ -106,6 +106,14 @@ def test_radius_join_deals_the_pairs_of_one_cell_over_tasks(spark):
     assert sum(shares) == 4001**2 and len(shares) > 1 and max(shares) < 0.8 * 4001**2
 
 
+def test_radius_join_has_more_tasks_where_more_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "PAIRS", 10_000)
+    p = spark.range(1000).selectExpr("id", "10D AS latitude", "20D AS longitude")
+    c = spark.range(1000).selectExpr("id AS center_id", "10D AS c_lat", "20D AS c_lng")
+    shares = [r["count"] for r in discovery.radius_join(p, c, 25.0).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 1000**2 and max(shares) <= 0.15 * 1000**2
+
+
 def test_known_by_any_id(spark):
     candidates = spark.createDataFrame([("k1", "p1", "c1"), ("k2", "p2", " "), ("k3", None, "c3"), ("k4", "", None), ("k5", "p1", "c9"), ("k6", "c3", "p2")], "key string, place_id string, cid string")
     catalogue = spark.createDataFrame([("k1", "p1", "c1"), ("x", " p1 ", ""), ("y", None, "c3"), ("", "", "")], "key string, place_id string, cid string")
