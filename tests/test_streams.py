@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
 
 from cartolake.streaming import ingest, jobs
 
@@ -58,6 +60,68 @@ def test_finished_jobs_leave_the_state(spark, tmp_path):
     assert max(rows) >= 20 and rows[-1] < 5, rows
 
 
+class Told:
+    """A job's state and timers without a stream, which count what they are asked."""
+
+    def __init__(self):
+        self.asked, self.timers, self.value, self.map = 0, set(), None, {}
+
+    def getValueState(self, name, schema):
+        return self
+
+    getMapState = getValueState
+
+    def counted(self, answer=None):
+        self.asked += 1
+        return answer
+
+    def get(self):
+        return self.counted(self.value)
+
+    def update(self, value):
+        self.value = self.counted(value)
+
+    def clear(self):
+        self.value, self.map = self.counted(), {}
+
+    def containsKey(self, key):
+        return self.counted(key in self.map)
+
+    def getValue(self, key):
+        return self.counted(self.map[key])
+
+    def updateValue(self, key, value):
+        self.map[key] = self.counted(value)
+
+    def listTimers(self):
+        return self.counted(set(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(self.counted(at))
+
+    def deleteTimer(self, at):
+        self.timers.discard(self.counted(at))
+
+
+def test_a_batch_asks_the_state_of_a_job_once_for_all_its_regions():
+    own, told = jobs.JobStates(("completed",), 1000), Told()
+    own.init(told)
+    event = lambda region, status, at: Row(region=region, status=status, at=at, event_id=at, progress=at)
+    some = lambda at, last: [event(f"r{k}", "progress", at) for k in range(20)] + [event("", last, at)]
+    for at, last, most in ((1_000_000, "started", 2), (2_000_000, "completed", 3), (3_000_000, "completed", 2)):
+        told.asked = 0
+        assert len(list(own.handleInputRows((7,), iter(some(at, last)), None))) == 21
+        assert told.asked <= most
+    told.asked = 0
+    assert list(own.handleInputRows((7,), iter(some(1_000_000, "progress")), None)) == [] and told.asked == 1
+    # the end has moved on since the timer was set, so the job stays until the new end's time is over
+    assert told.timers == {3000}
+    list(own.handleExpiredTimer((7,), None, ExpiredTimerInfo(3000)))
+    assert told.value is not None and told.timers == {3000, 4000}
+    list(own.handleExpiredTimer((7,), None, ExpiredTimerInfo(4000)))
+    assert told.value is None
+
+
 def test_regions_add_up_to_jobs_in_every_batch(spark, tmp_path):
     """Repeated events count once, one that comes later than the watermark allows is left out, and windows come when they are over."""
     first = [(at(1, k), k, "j", "north" if k % 2 else None, "x", k) for k in range(10)]
