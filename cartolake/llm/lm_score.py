@@ -8,16 +8,17 @@ frequent word) give the log-odds of the next bit from counts over all training t
 predictor follows the word that came next when the last two words stood in the same text before.
 
 Mixing. A mixer with weights gated by the state of that match adds the log-odds up, and an adaptive map refines the
-result by the depth in the tree. Both start from trained values and learn on from token to token, over stretches of
+result by the depth in the tree. Both start from fixed, even values and learn on from token to token, over stretches of
 STRETCH tokens of a text; contexts and matches go on over the whole text.
 
 A word outside the tree is spelled by bit predictors with contexts inside the word. That costs the same wherever the word
 stands, so it runs once per distinct word through the distinct-word shuffle (see worddict), which also brings each word's
 own training count: seen words get count / total and escape to the spelling by Witten and Bell.
 
-Counts cover all training text. Tables have a size that follows the training text up to a bound; beyond, contexts share
-slots. Start values are fitted on a bounded hashed sample of training text whose own counts are taken out of the tables
-first. Nothing depends on how rows are dealt out to tasks.
+Nothing is fitted on a sample. Counts, and how often a match foretells a word off the tree, cover all training text; the
+weights of the spelling and its map are fitted on all distinct training words off the tree, each taken out of the tables
+first. Tables have a size that follows the training text up to a bound; beyond, contexts share slots. Nothing depends on
+how rows are dealt out to tasks: what tasks add up are whole numbers.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import heapq
 import math
 import pickle
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,15 @@ FREQUENT = 64
 #: Slots of the spelling's tables: orders 0 to 3 and the whole beginning.
 SPELL_SLOTS = (14, 18, 20, 20, 21)
 STRETCH = 1024
-#: Samples that start values are fitted on at most: stretches of training text, distinct words.
-SAMPLE_TEXTS, SAMPLE_WORDS = 384, 20_000
-#: Rounds over the sample; in each, lanes start from the mean of where they ended in the one before.
-ROUNDS = 3
 RATE = 0.06
 MAP_RATE = 0.03
 INPUTS = len(TREE_SLOTS) + 2
 GATES = 5
 DEPTHS, MAP_STEPS = 6, 25
-#: The spelling's: gates by place in the word, rate, words side by side, steps of its map.
-SPELL_GATES, SPELL_RATE, LANES, SPELL_STEPS = 12, 0.02, 20_000, 33
+#: The spelling's: gates by place in the word, words side by side, steps of its map, weight of every input before the fit.
+SPELL_GATES, LANES, SPELL_STEPS, SPELL_WEIGHT = 12, 20_000, 33, 0.3
+#: Parts of one that inputs and probabilities are rounded to, where tasks add them up.
+INPUT_PARTS, P_PARTS = 16, 1 << 16
 #: Slots of one row of partial counts, tokens that one task counts at least where there are enough tasks.
 PART, TASK_TOKENS = 1 << 18, 40_000_000
 #: Tokens of texts that are met at once, and of those that are expanded to bits at once.
@@ -91,6 +90,9 @@ def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 #: Log-odds of a pair of bytes (zeros low, ones high), in 1/15 as one signed byte: |log-odds| of 8 and more are the same.
 STRETCHED = np.rint(np.clip(stretch(FROM_BYTE[None, :], FROM_BYTE[:, None]), -8, 8) * 15).astype(np.int8).ravel()
+#: Log-odds of a pair of bytes; the same without one occurrence of a zero, or of a one.
+ODDS = stretch(FROM_BYTE[None, :], FROM_BYTE[:, None]).ravel()
+ODDS_WITHOUT = np.concatenate([stretch(np.maximum(FROM_BYTE[None, :] - 1, 0), FROM_BYTE[:, None]).ravel(), stretch(FROM_BYTE[None, :], np.maximum(FROM_BYTE[:, None] - 1, 0)).ravel()])
 
 
 def pack_array(x: np.ndarray) -> bytes:
@@ -255,9 +257,9 @@ def first_start() -> Start:
     return Start(weights, np.tile(centers, (DEPTHS, 1)).astype(np.float32), np.full(GATES, 0.5))
 
 
-def mix(texts: Texts, tree: Tree, votes, start: Start, lanes_out: list | None = None) -> np.ndarray:
+def mix(texts: Texts, tree: Tree, votes, start: Start) -> np.ndarray:
     """ln of the probability of each token's decisions. votes(tokens, owner, depth, node) gives the tables' log-odds in
-    1/15, a column for each; lanes_out, if given, gets the final (weights, refined) of all lanes and what they saw.
+    1/15, a column for each.
 
     A lane is a stretch of a text. Lanes go side by side, token by token; after each, weights and map take a step."""
     n = len(texts.symbols)
@@ -270,7 +272,6 @@ def mix(texts: Texts, tree: Tree, votes, start: Start, lanes_out: list | None =
     refined = np.tile(start.refined.ravel(), lanes)  # lane x depth x step
     order = np.argsort(step_of_token.astype(np.int16), kind="stable")
     steps = np.searchsorted(step_of_token[order], np.arange(STRETCH + 1))
-    seen = np.zeros(len(weights))
     at, half, scale = 0, np.float32(MAP_STEPS // 2 + 0.5), np.float32((MAP_STEPS - 1) / 16)
     while at < STRETCH and steps[at] < n:
         upto = max(at + 1, int(np.searchsorted(steps, steps[at] + SOME, side="right")) - 1)
@@ -304,35 +305,19 @@ def mix(texts: Texts, tree: Tree, votes, start: Start, lanes_out: list | None =
             one *= p[:, None]
             weights[rows] = w + np.float32(RATE) * np.add.reduceat(one, first[a:b] - lo, axis=0)
             refined[cell] = fine + np.float32(MAP_RATE) * (y - fine)
-            if lanes_out is not None:
-                np.add.at(seen, rows, 1)
         p_one *= np.float32(0.5)
         p_bit = np.where(bit > 0, p_one, 1 - p_one).astype(np.float64)
         out[tokens] = np.add.reduceat(np.log(p_bit), first[:-1])
         at = upto
-    if lanes_out is not None:
-        lanes_out.append((weights, refined, seen))
     return out
 
 
-def fit_start(texts: Texts, tree: Tree, votes) -> Start:
-    """Start values from some texts: lanes' final values, averaged, in ROUNDS rounds; P(same) from counts."""
-    start = first_start()
+def matched(texts: Texts) -> np.ndarray:
+    """By gate: words off the tree that a match foretold rightly, and those that it foretold."""
     texts.match()
-    for _ in range(ROUNDS):
-        ends: list = []
-        mix(texts, tree, votes, start, ends)
-        weights, refined, seen = ends[0]
-        seen = seen.reshape(-1, GATES)
-        total = seen.sum(axis=0)
-        mean = (weights.reshape(-1, GATES, INPUTS) * seen[:, :, None]).sum(axis=0) / np.maximum(total, 1)[:, None]
-        start.weights = np.where(total[:, None] > 0, mean, start.weights).astype(np.float32)
-        start.refined = refined.reshape(-1, DEPTHS, MAP_STEPS).mean(axis=0).astype(np.float32)
     escaped = (texts.symbols == ESCAPE) & (texts.twin >= 0)
     escaped &= texts.symbols[texts.twin] == ESCAPE
-    hits, tries = (np.bincount(texts.gate[m], minlength=GATES) for m in (escaped & texts.right, escaped))
-    start.same = (hits + 0.5) / (tries + 1)
-    return start
+    return np.stack([np.bincount(texts.gate[m], minlength=GATES) for m in (escaped & texts.right, escaped)])
 
 
 # The spelling of a word
@@ -367,10 +352,7 @@ def spell_inputs(tables: list[np.ndarray], slots: np.ndarray, bit: np.ndarray |
     out = np.empty((len(tables) + 1, slots.shape[1]))
     for k, table in enumerate(tables):
         pair = table[slots[k]]
-        n0, n1 = FROM_BYTE[pair & 255], FROM_BYTE[pair >> 8]
-        if bit is not None:
-            n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-        out[k] = stretch(n0, n1)
+        out[k] = ODDS[pair] if bit is None else ODDS_WITHOUT[pair + (bit << 16)]
     out[-1] = 0.3
     return out
 
@@ -379,18 +361,54 @@ def spell_step(odds: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((odds + 8) * (SPELL_STEPS - 1) / 16), 0, SPELL_STEPS - 1).astype(np.int64)
 
 
-def fit_spelling(tables: list[np.ndarray], words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by gate, refining log-odds by gate and step) from training words, each taken out of the tables."""
-    weights, refining = np.full((SPELL_GATES, len(tables) + 1), 0.3), np.zeros((2, SPELL_GATES, SPELL_STEPS))
-    few = max(1, len(words) // 40)
-    for first in range(0, len(words), few):
-        for _, slots, bit, gate in lanes(words[first : first + few], sizes):
-            x, g = spell_inputs(tables, slots, bit), int(gate[0])
-            mixed = np.clip(weights[g] @ x, -12, 12)
-            weights[g] += SPELL_RATE * (x @ (bit - logistic(mixed))) / len(bit)
-            np.add.at(refining, (bit, g, spell_step(mixed)), 1)
+def first_weights() -> np.ndarray:
+    return np.full((SPELL_GATES, len(SPELL_SLOTS) + 1), SPELL_WEIGHT)
+
+
+def spell_odds(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weighted sum of the inputs, added up in their order."""
+    odds = weights[0] * x[0]
+    for w, own in zip(weights[1:], x[1:], strict=True):
+        odds += w * own
+    return np.clip(odds, -12, 12)
+
+
+def slopes(tables: list[np.ndarray], words: list[bytes], sizes: tuple[int, ...]) -> np.ndarray:
+    """By gate, in whole numbers: slope and curvature of the words' likelihood at first_weights, each word taken out of the tables."""
+    start, n = first_weights(), len(tables) + 1
+    out = np.zeros((SPELL_GATES, n, n + 1), np.int64)
+    for _, slots, bit, gate in lanes(words, sizes):
+        x, g = spell_inputs(tables, slots, bit), int(gate[0])
+        p = logistic(spell_odds(start[g], x))
+        x = np.rint(x * INPUT_PARTS)
+        sides = np.concatenate([x * np.rint(p * (1 - p) * P_PARTS), np.rint((bit - p) * P_PARTS)[None]])
+        out[g] += np.rint(x @ sides.T).astype(np.int64)  # below 2^53, so exact in any order
+    return out
+
+
+def moved_weights(sums: np.ndarray) -> np.ndarray:
+    """first_weights, one step of Newton on; sums as slopes gives them."""
+    weights, n = first_weights(), sums.shape[1]
+    for g, own in enumerate(sums):
+        curve = own[:, :n].astype(float) / (INPUT_PARTS**2 * P_PARTS) + np.eye(n)
+        weights[g] += np.linalg.solve(curve, own[:, n].astype(float) / (INPUT_PARTS * P_PARTS))
+    return weights
+
+
+def steps_seen(tables: list[np.ndarray], words: list[bytes], sizes: tuple[int, ...], weights: np.ndarray) -> np.ndarray:
+    """How often each bit came at each gate and step of the mixed log-odds, each word taken out of the tables."""
+    out = np.zeros((2, SPELL_GATES, SPELL_STEPS), np.int64)
+    for _, slots, bit, gate in lanes(words, sizes):
+        g = int(gate[0])
+        cell = bit * SPELL_STEPS + spell_step(spell_odds(weights[g], spell_inputs(tables, slots, bit)))
+        out[:, g] += np.bincount(cell, minlength=2 * SPELL_STEPS).reshape(2, SPELL_STEPS)
+    return out
+
+
+def refining_of(seen: np.ndarray) -> np.ndarray:
+    """Refining log-odds by gate and step; seen as steps_seen gives it."""
     pseudo = 20 * logistic(np.linspace(-8, 8, SPELL_STEPS))
-    return weights, np.log((refining[1] + pseudo) / (refining[0] + 20 - pseudo))
+    return np.log((seen[1] + pseudo) / (seen[0] + 20 - pseudo))
 
 
 @dataclass(frozen=True)
@@ -499,15 +517,28 @@ def top_words(totals: DataFrame) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in rows.orderBy(F.desc("n"), "word").limit(TREE_WORDS).collect()]
 
 
-def sample_words(totals: DataFrame, tree) -> list[bytes]:
-    """SAMPLE_WORDS training words outside the tree at most, by their hash."""
+def sum_over_words(totals: DataFrame, tree, words: int, about) -> np.ndarray | int:
+    """Sum of the whole-numbered arrays that about(words) gives, over all distinct training words outside the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for _, _, payload in rows_of(batches):
+            some, counts = expand(payload)
+            total = total + about([w for w, c in zip(some, counts.tolist(), strict=True) if c and w not in tree.value.symbols])
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([squeeze(total)], pa.binary())], ["payload"])
+        release()
+
+    rows = few_tasks(totals.select("block", "n", "payload"), words).mapInArrow(run, "payload binary").collect()  # small, one a task
+    return sum(expand(bytes(r["payload"])).astype(object) for r in rows)
 
-    def pick(words: list[bytes], _) -> tuple[list, list]:
-        rest = sorted((zlib.crc32(b"sample" + w), w) for w in words if w not in tree.value.symbols and len(w) < 1000)[:SAMPLE_WORDS]
-        return [w for _, w in rest], [h for h, _ in rest]
 
-    rows = words_in(totals, pick, "word binary, h long", ["word", "h"], [pa.binary(), pa.int64()])
-    return [bytes(r["word"]) for r in rows.orderBy("h", "word").limit(SAMPLE_WORDS).collect()]
+def fit_spelling(totals: DataFrame, tree, words: int, shared, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by gate, refining log-odds by gate and step) from all distinct training words outside the tree."""
+    sums = sum_over_words(totals, tree, words, lambda some: slopes(opened(shared.value)[1], some, sizes))
+    weights = moved_weights(sums) if isinstance(sums, np.ndarray) else first_weights()
+    seen = sum_over_words(totals, tree, words, lambda some: steps_seen(opened(shared.value)[1], some, sizes, weights))
+    return weights, refining_of(np.zeros((2, SPELL_GATES, SPELL_STEPS)) + np.array(seen, float))
 
 
 PARTIAL = "k int, part int, payload binary"
@@ -523,8 +554,8 @@ def partial_rows(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_array(to_planes(own.ravel()))], pa.binary())], schema=PARTIAL_ARROW)
 
 
-def summed(partial: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """Tables of pairs of bytes (zeros low, ones high): of the bounded sizes, whatever the input."""
+def summed(partial: DataFrame, sizes: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray | int]:
+    """(tables of pairs of bytes (zeros low, ones high): of the bounded sizes, whatever the input; sum of the rows of table -1)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -533,14 +564,20 @@ def summed(partial: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
                 counts = from_planes(expand(payload.as_py())).astype(np.int64)
                 sums[k, part] = sums[k, part] + counts if (k, part) in sums else counts
         for (k, part), counts in sums.items():
+            if k < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_array(counts)], pa.binary())], schema=PARTIAL_ARROW)
+                continue
             zeros, ones = to_byte(counts[0::2]), to_byte(counts[1::2])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([pack_array(zeros.astype(np.uint16) | ones.astype(np.uint16) << 8)], pa.binary())], schema=PARTIAL_ARROW)
 
-    out = [np.zeros(1 << s, np.uint16) for s in sizes]
+    out, more = [np.zeros(1 << s, np.uint16) for s in sizes], 0
     for r in partial.repartition("k", "part").mapInArrow(add, PARTIAL).collect():
         pairs = expand(bytes(r["payload"]))
+        if r["k"] < 0:
+            more = more + pairs
+            continue
         out[r["k"]][r["part"] * PART : r["part"] * PART + len(pairs)] = pairs
-    return out
+    return out, more
 
 
 def table_sizes(most: tuple[int, ...], events: int) -> tuple[int, ...]:
@@ -568,44 +605,43 @@ def spelling_counts(totals: DataFrame, tree, sizes: tuple[int, ...], words: int)
         del tables
         release()
 
-    return summed(few_tasks(totals, words).mapInArrow(run, PARTIAL), sizes)
+    return summed(few_tasks(totals, words).mapInArrow(run, PARTIAL), sizes)[0]
 
 
 def grouped_texts(batches: Iterator[pa.RecordBatch], tree: Tree, *columns: str) -> Iterator[tuple[Texts, list]]:
     """(Texts, values of the columns) for some texts at a time, about CHUNK tokens or one text."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    about = np.empty((0, 2), np.int64)
     lengths, found, rest, size = [], [], [], 0
 
     def ready() -> tuple[Texts, list]:
-        nonlocal about
-        about = np.concatenate([about, known_words(list(islice(number, len(about), None)), tree)])
-        own = about[np.concatenate(found)]
+        own = np.concatenate(found)
         return Texts(np.array(lengths, np.int64), own[:, 0], own[:, 1]), rest
 
     for text, *more in texts_of(batches, "text", *columns):
         words = words_of(text)
-        found.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        found.append(known_words(words, tree))
         lengths.append(len(words))
         rest.append(more)
         size += len(words) + 1
         if size >= CHUNK:
             yield ready()
             lengths, found, rest, size = [], [], [], 0
-            if len(about) > 300_000:
-                number.clear()
-                about = about[:0]
     if lengths:
         yield ready()
 
 
-def tree_counts(learned: DataFrame, tree, sizes: tuple[int, ...], tokens: int) -> list[np.ndarray]:
-    """Counts of every decision of all rows of learned (text) in every context."""
+def tree_counts(learned: DataFrame, tree, sizes: tuple[int, ...], tokens: int) -> tuple[list[np.ndarray], np.ndarray | int]:
+    """(counts of every decision in every context, matched) of all rows of learned (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, count = [np.zeros((1 << s, 2), np.uint32) for s in sizes], 0
+        foretold_words = np.zeros((2, GATES), np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            yield from partial_rows(tables)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([pack_array(to_planes(foretold_words.ravel()))], pa.binary())], schema=PARTIAL_ARROW)
+
         for texts, _ in grouped_texts(batches, tree.value):
+            foretold_words += matched(texts)
             for first in range(0, len(texts.symbols), SOME):
                 some = np.arange(first, min(first + SOME, len(texts.symbols)))
                 owner, _, node, bit = bits_of(texts, tree.value, some)
@@ -613,63 +649,29 @@ def tree_counts(learned: DataFrame, tree, sizes: tuple[int, ...], tokens: int) -
                     np.add.at(table.ravel(), 2 * slots_of(k, sizes[k], texts.contexts[k][some], owner, node) + bit, np.uint32(1))
                 count += len(owner)
             if count >= 1 << 31:  # before a count could leave 32 bits
-                yield from partial_rows(tables)
+                yield from rows()
                 tables, count = [np.zeros((1 << s, 2), np.uint32) for s in sizes], 0
-        yield from partial_rows(tables)
-        del tables
+                foretold_words[:] = 0
+        yield from rows()
+        tables = []
         release()
 
     return summed(few_tasks(learned.select("text"), tokens).mapInArrow(run, PARTIAL), sizes)
 
 
-def sample_texts(learned: DataFrame, tree) -> tuple[list[int], list[int]]:
-    """(lengths, words as known_words gives them) of a stretch of SAMPLE_TEXTS training texts at most, chosen by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, h in texts_of(batches, "text", "h"):
-            words = words_of(text)
-            first = STRETCH * (h % (len(words) // STRETCH + 1))
-            flat = known_words(words[first : first + STRETCH], tree.value).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.int64()))], ["words"])
-
-    h = F.xxhash64("doc_id", F.octet_length("text"))
-    picked = learned.where(F.col("text").isNotNull()).select("text", h.alias("h")).orderBy("h", "text").limit(SAMPLE_TEXTS)
-    rows = [r["words"] for r in picked.mapInArrow(run, "words array<long>").collect()]
-    rows.sort()
-    return [len(r) // 2 for r in rows], [x for r in rows for x in r]
-
-
-def held_out_votes(texts: Texts, tree: Tree, tables: list[np.ndarray], sizes: tuple[int, ...]):
-    """votes for texts that training has counted: their own counts are taken out."""
-    everything = np.arange(len(texts.symbols))
-    owner, _, node, bit = bits_of(texts, tree, everything)
-    first = np.searchsorted(owner, np.arange(len(everything) + 1))
-    whole = np.empty((len(owner), len(tables)), np.int8)
-    for k, table in enumerate(tables):
-        slots = slots_of(k, sizes[k], texts.contexts[k], owner, node)
-        own, at = np.unique(slots, return_inverse=True)
-        zeros, ones = np.bincount(at[bit == 0], minlength=len(own)), np.bincount(at[bit == 1], minlength=len(own))
-        n0, n1 = FROM_BYTE[table[own] & 255] - zeros, FROM_BYTE[table[own] >> 8] - ones
-        whole[:, k] = np.rint(np.clip(stretch(np.maximum(n0, 0), np.maximum(n1, 0)), -8, 8) * 15)[at].astype(np.int8)
-    return lambda tokens, owner, depth, node: whole[first[tokens][owner] + depth]
-
-
 def train(totals: DataFrame, learned: DataFrame, tokens: int, words: int, ends: int) -> Model:
     """The model from all training words (totals) and texts (learned); tokens and words are without the ends."""
     context = totals.sparkSession.sparkContext
     tree = make_tree(top_words(totals), ends, tokens, words)
     shared_tree = context.broadcast(tree)  # TREE_WORDS words at most
     tree_sizes, spell_sizes = table_sizes(TREE_SLOTS, 8 * tokens), table_sizes(SPELL_SLOTS, 64 * words)
-    counted = tree_counts(learned, shared_tree, tree_sizes, tokens)
-    lengths, flat = sample_texts(learned, shared_tree)
+    counted, foretold_words = tree_counts(learned, shared_tree, tree_sizes, tokens)
     start = first_start()
-    if lengths:
-        flat = np.array(flat, np.int64).reshape(-1, 2)
-        texts = Texts(np.array(lengths, np.int64), flat[:, 0], flat[:, 1])
-        start = fit_start(texts, tree, held_out_votes(texts, tree, counted, tree_sizes))
+    hits, tries = (np.zeros(2 * GATES) + foretold_words).reshape(2, GATES)
+    start.same = (hits + 0.5) / (tries + 1)
     spelling = spelling_counts(totals, shared_tree, spell_sizes, words)
-    weights, refined = fit_spelling(spelling, sample_words(totals, shared_tree), spell_sizes)
     shared = context.broadcast((tuple(map(pack_array, counted)), tuple(map(pack_array, spelling))))  # of bounded size
+    weights, refined = fit_spelling(totals, shared_tree, words, shared, spell_sizes)
     return Model(shared, tree, start, tree_sizes, spell_sizes, weights, refined)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.llm import filter_audit, language_id, spelling
+from cartolake.llm import filter_audit, language_id, lm_score, spelling
 
 #: With columns whose names clash with those that the operators use.
 SCHEMA = "doc_id long, text string, lang string, row int, prefix string, filter string, n int, word string, score int"
@@ -272,3 +272,26 @@ def test_held_out_accuracy(spark):
     found = language_id.identify_languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     r = found.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("right")).first()
     assert r.n > 150 and r.right >= 0.98 * r.n
+
+
+def test_lm_spelling_is_fitted_on_all_words_in_any_split():
+    """Weights and map of the spelling are from whole-numbered sums, so every word counts, however they are dealt out."""
+    rng = np.random.default_rng(1)
+    words = sorted({bytes(rng.integers(97, 103, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000)}) + [b"x" * 1500]
+    sizes = tuple(10 for _ in lm_score.SPELL_SLOTS)
+    tables = [np.zeros((1 << s, 2), np.int64) for s in sizes]
+    for _, slots, bit, _ in lm_score.lanes(words, sizes):
+        for k, table in enumerate(tables):
+            np.add.at(table, (slots[k], bit), 1)
+    tables = [lm_score.to_byte(t[:, 0]).astype(np.uint16) | lm_score.to_byte(t[:, 1]).astype(np.uint16) << 8 for t in tables]
+    whole = lm_score.slopes(tables, words, sizes)
+    assert (whole == sum(lm_score.slopes(tables, words[k::7], sizes) for k in range(7))).all()
+    weights = lm_score.moved_weights(whole)
+    seen = lm_score.steps_seen(tables, words, sizes, weights)
+    assert seen.sum() == sum(8 * (len(w) + 1) for w in words)
+    assert (seen == sum(lm_score.steps_seen(tables, words[k::5], sizes, weights) for k in range(5))).all()
+
+    def loss(weights):
+        return -sum(np.log(np.where(bit == 1, p, 1 - p)).sum() for _, slots, bit, gate in lm_score.lanes(words, sizes) for p in [lm_score.logistic(lm_score.spell_odds(weights[gate[0]], lm_score.spell_inputs(tables, slots, bit)))])
+
+    assert loss(weights) < loss(lm_score.first_weights())
