@@ -31,7 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,8 @@ MAP_RATE = 0.03
 INPUTS = len(TREE_SLOTS) + 2
 GATES = 5
 DEPTHS, MAP_STEPS = 6, 25
-#: The spelling's: gates by place in the word, words side by side, steps of its map, weight of every input before the fit.
-SPELL_GATES, LANES, SPELL_STEPS, SPELL_WEIGHT = 12, 20_000, 33, 0.3
+#: The spelling's: gates by place in the word, words side by side, stems at once, steps of its map, weight of every input before the fit.
+SPELL_GATES, LANES, STEMS, SPELL_STEPS, SPELL_WEIGHT = 12, 20_000, 20_000, 33, 0.3
 #: Parts of one that inputs and probabilities are rounded to, where tasks add them up.
 INPUT_PARTS, P_PARTS = 16, 1 << 16
 #: Slots of one row of partial counts, tokens that one task counts at least where there are enough tasks.
@@ -210,9 +210,13 @@ class Texts:
 
 def bits_of(texts: Texts, tree: Tree, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(owner: place in tokens, depth, node, bit) of every decision of these tokens, in order."""
-    s = texts.symbols[tokens]
+    return path_of(tree, texts.symbols[tokens])
+
+
+def path_of(tree: Tree, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner: place in s, depth, node, bit) of every decision of these symbols, in order."""
     size = tree.first[s + 1] - tree.first[s]
-    owner = np.repeat(np.arange(len(tokens)), size)
+    owner = np.repeat(np.arange(len(s)), size)
     ends = np.cumsum(size)
     depth = np.arange(len(owner)) - (ends - size)[owner]
     at = tree.first[s][owner] + depth
@@ -277,10 +281,11 @@ def mix(texts: Texts, tree: Tree, votes, start: Start) -> np.ndarray:
         upto = max(at + 1, int(np.searchsorted(steps, steps[at] + SOME, side="right")) - 1)
         tokens = order[steps[at] : steps[upto]]
         owner, depth, node, bit = bits_of(texts, tree, tokens)
-        x = np.empty((len(owner), INPUTS), np.int8)
-        x[:, :-2] = votes(tokens, owner, depth, node)
-        x[:, -2] = foretold(texts, tree, tokens, owner, depth, node) * np.int8(60)
-        x[:, -1] = 5
+        x = np.empty((INPUTS, len(owner)), np.float32)
+        x[:-2] = votes(tokens, owner, depth, node).T
+        x[-2] = foretold(texts, tree, tokens, owner, depth, node) * np.int8(60)
+        x[-1] = 5
+        x *= np.float32(1 / 15)
         first = np.searchsorted(owner, np.arange(len(tokens) + 1))
         band = (lane[tokens] * DEPTHS * MAP_STEPS)[owner] + np.minimum(depth, DEPTHS - 1) * MAP_STEPS
         gates, ones = lane[tokens] * GATES + texts.gate[tokens], bit.astype(np.float32)
@@ -290,10 +295,15 @@ def mix(texts: Texts, tree: Tree, votes, start: Start) -> np.ndarray:
             if a == b:
                 break
             lo, hi = first[a], first[b]
-            rows, one, y = gates[a:b], np.multiply(x[lo:hi], np.float32(1 / 15), dtype=np.float32), ones[lo:hi]
+            rows, one, y = gates[a:b], x[:, lo:hi], ones[lo:hi]
             w = weights[rows]
-            odds = np.einsum("ij,ij->i", w.take(owner[lo:hi] - a, axis=0), one)
-            np.clip(odds, -8, 8, out=odds)
+            own = np.ascontiguousarray(w.T).take(owner[lo:hi] - a, axis=1)
+            own *= one
+            odds = own[0] + own[1]
+            for votes_of_one in own[2:]:  # in their order, so that a lane's odds are the same beside any others
+                odds += votes_of_one
+            np.maximum(odds, np.float32(-8), out=odds)
+            np.minimum(odds, np.float32(8), out=odds)
             p = logistic(odds)
             odds *= scale
             odds += half
@@ -302,8 +312,8 @@ def mix(texts: Texts, tree: Tree, votes, start: Start) -> np.ndarray:
             fine = refined.take(cell)
             np.add(p, fine, out=p_one[lo:hi])
             np.subtract(y, p, out=p)
-            one *= p[:, None]
-            weights[rows] = w + np.float32(RATE) * np.add.reduceat(one, first[a:b] - lo, axis=0)
+            one *= p
+            weights[rows] = w + np.float32(RATE) * np.add.reduceat(one, first[a:b] - lo, axis=1).T
             refined[cell] = fine + np.float32(MAP_RATE) * (y - fine)
         p_one *= np.float32(0.5)
         p_bit = np.where(bit > 0, p_one, 1 - p_one).astype(np.float64)
@@ -323,36 +333,65 @@ def matched(texts: Texts) -> np.ndarray:
 # The spelling of a word
 
 
-def lanes(words: list[bytes], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bit by bit over words side by side: (alive lanes, slots of each predictor, bit, gate). Longer words live longer."""
+def stems(words: list[bytes], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Bits of words side by side, some of one byte at a time: (alive words, edges, words of each stem, slots of each predictor,
+    bit, gate). The stems of one bit lie between two edges.
+
+    A stem is a run of alive words that are the same up to and with this bit. Slots and bit are the same for all of them, so
+    they are given once a stem; in sorted words a run is all words with that beginning. Longer words live longer."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    order = np.argsort(-size, kind="stable")
-    flat = np.frombuffer(b"".join(words[i] + b"\x20" for i in order), np.uint8)
-    size = size[order]
+    flat = np.frombuffer(b"".join(w + b"\x20" for w in words), np.uint8)
     starts = np.cumsum(size) - size
-    n = len(words)
-    o1, o2, o3, whole = (np.zeros(n, np.uint64) for _ in range(4))
-    for at in range(int(size[0]) if n else 0):
-        n = int(np.searchsorted(-size, -at, side="left"))
-        byte = flat[starts[:n] + at].astype(np.uint64)
-        o1, o2, o3, whole = o1[:n], o2[:n], o3[:n], whole[:n]
-        contexts = [np.full(n, min(at, 3), np.uint64), o1, o2, o3, whole]
-        node = np.ones(n, np.uint64)
+    odd = [np.uint64(0xD6E8FEB86659FD93 + 2 * k) for k in range(len(sizes))]
+    alive, group, at = np.arange(len(words)), np.zeros(len(words), np.int64), 0  # group: the run by the bytes before
+    o1, o2, o3, whole = (np.zeros(1, np.uint64) for _ in range(4))
+    while len(alive):
+        byte = flat[starts[alive] + at]
+        mixed = [c * ODD * m for c, m in zip((np.full(len(o1), min(at, 3), np.uint64), o1, o2, o3, whole), odd, strict=True)]
+        differs = np.append(np.uint8(255), byte[1:] ^ byte[:-1])
+        differs[1:][group[1:] != group[:-1]] = 255
+        runs: list[np.ndarray] = []
         for bit_at in range(8):
-            bit = (byte >> np.uint64(7 - bit_at)) & np.uint64(1)
-            slots = [(((c * ODD + node) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)) >> np.uint64(64 - sizes[k])).astype(np.int64) for k, c in enumerate(contexts)]
-            yield order[:n], np.stack(slots), bit.astype(np.int64), np.full(n, min(at, SPELL_GATES - 1))
-            node = (node << np.uint64(1)) | bit
-        o3, o2, o1 = (o2 << np.uint64(8)) | byte | np.uint64(1 << 32), (o1 << np.uint64(8)) | byte | np.uint64(1 << 24), byte + np.uint64(1)
-        whole = (whole + byte + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+            runs.append(np.flatnonzero(differs >= 1 << (7 - bit_at)))
+            if bit_at < 7 and sum(map(len, runs)) < STEMS:
+                continue
+            first, lengths = np.concatenate(runs), [len(x) for x in runs]
+            shift = np.repeat(np.arange(7 - bit_at + len(runs) - 1, 6 - bit_at, -1).astype(np.uint64), lengths)
+            lead, own = byte[first].astype(np.uint64) | np.uint64(256), group[first]
+            lead >>= shift
+            bit = lead & np.uint64(1)
+            lead >>= np.uint64(1)  # the node: the bits before, after a one
+            slots = np.empty((len(sizes), len(first)), np.uint64)
+            for k, m in enumerate(odd):
+                np.multiply(lead, m, out=slots[k])
+                slots[k] += mixed[k].take(own)
+                slots[k] >>= np.uint64(64 - sizes[k])
+            times = np.concatenate([np.diff(x, append=len(alive)) for x in runs])
+            yield alive, np.cumsum([0, *lengths]), times, slots.view(np.int64), bit.view(np.int64), min(at, SPELL_GATES - 1)
+            runs = []
+        stay = np.flatnonzero(size[alive] > at + 1)
+        now = np.cumsum(differs > 0)[stay]
+        begins = np.append(True, now[1:] != now[:-1])[: len(now)]
+        before, last = group[stay[begins]], byte[stay[begins]].astype(np.uint64)
+        o1, o2, o3, whole = o1[before], o2[before], o3[before], whole[before]
+        o3, o2, o1 = (o2 << np.uint64(8)) | last | np.uint64(1 << 32), (o1 << np.uint64(8)) | last | np.uint64(1 << 24), last + np.uint64(1)
+        whole = (whole + last + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)
+        alive, group, at = alive[stay], np.cumsum(begins) - 1, at + 1
+
+
+def lanes(words: list[bytes], sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """stems, bit by bit and word by word: (alive words, slots of each predictor, bit, gate)."""
+    for alive, edges, times, slots, bit, gate in stems(words, sizes):
+        for a, b in pairwise(edges):
+            yield alive, np.repeat(slots[:, a:b], times[a:b], axis=1), np.repeat(bit[a:b], times[a:b]), np.full(len(alive), gate)
 
 
 def spell_inputs(tables: list[np.ndarray], slots: np.ndarray, bit: np.ndarray | None = None) -> np.ndarray:
     """Log-odds of each predictor. With bit, one occurrence of that bit is taken out first."""
     out = np.empty((len(tables) + 1, slots.shape[1]))
     for k, table in enumerate(tables):
-        pair = table[slots[k]]
-        out[k] = ODDS[pair] if bit is None else ODDS_WITHOUT[pair + (bit << 16)]
+        pair = table.take(slots[k])
+        out[k] = ODDS.take(pair) if bit is None else ODDS_WITHOUT.take(pair + (bit << 16))
     out[-1] = 0.3
     return out
 
@@ -377,11 +416,11 @@ def slopes(tables: list[np.ndarray], words: list[bytes], sizes: tuple[int, ...])
     """By gate, in whole numbers: slope and curvature of the words' likelihood at first_weights, each word taken out of the tables."""
     start, n = first_weights(), len(tables) + 1
     out = np.zeros((SPELL_GATES, n, n + 1), np.int64)
-    for _, slots, bit, gate in lanes(words, sizes):
-        x, g = spell_inputs(tables, slots, bit), int(gate[0])
+    for _, _, times, slots, bit, g in stems(words, sizes):
+        x = spell_inputs(tables, slots, bit)
         p = logistic(spell_odds(start[g], x))
         x = np.rint(x * INPUT_PARTS)
-        sides = np.concatenate([x * np.rint(p * (1 - p) * P_PARTS), np.rint((bit - p) * P_PARTS)[None]])
+        sides = np.concatenate([x * (np.rint(p * (1 - p) * P_PARTS) * times), (np.rint((bit - p) * P_PARTS) * times)[None]])
         out[g] += np.rint(x @ sides.T).astype(np.int64)  # below 2^53, so exact in any order
     return out
 
@@ -398,10 +437,9 @@ def moved_weights(sums: np.ndarray) -> np.ndarray:
 def steps_seen(tables: list[np.ndarray], words: list[bytes], sizes: tuple[int, ...], weights: np.ndarray) -> np.ndarray:
     """How often each bit came at each gate and step of the mixed log-odds, each word taken out of the tables."""
     out = np.zeros((2, SPELL_GATES, SPELL_STEPS), np.int64)
-    for _, slots, bit, gate in lanes(words, sizes):
-        g = int(gate[0])
+    for _, _, times, slots, bit, g in stems(words, sizes):
         cell = bit * SPELL_STEPS + spell_step(spell_odds(weights[g], spell_inputs(tables, slots, bit)))
-        out[:, g] += np.bincount(cell, minlength=2 * SPELL_STEPS).reshape(2, SPELL_STEPS)
+        out[:, g] += np.bincount(cell, times, 2 * SPELL_STEPS).astype(np.int64).reshape(2, SPELL_STEPS)
     return out
 
 
@@ -426,13 +464,17 @@ class Model:
     def spelled(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """ln of each word's probability after an escape."""
         tables, bits = opened(self.shared.value)[1], np.zeros(len(words))
+        refined = logistic(self.spell_refined)
         for first in range(0, len(words), LANES):
             some = words[first : first + LANES]
             total = np.zeros(len(some))
-            for at, slots, bit, gate in lanes(some, self.spell_sizes):
-                mixed = np.clip(self.spell_weights[gate[0]] @ spell_inputs(tables, slots), -12, 12)
-                p = 0.5 * logistic(mixed) + 0.5 * logistic(self.spell_refined[gate, spell_step(mixed)])
-                total[at] += np.log(np.where(bit == 1, p, 1 - p))
+            for at, edges, times, slots, bit, gate in stems(some, self.spell_sizes):
+                mixed = spell_odds(self.spell_weights[gate], spell_inputs(tables, slots))
+                p = 0.5 * logistic(mixed) + 0.5 * refined[gate][spell_step(mixed)]
+                ln, so_far = np.log(np.where(bit == 1, p, 1 - p)), total[at]
+                for a, b in pairwise(edges):  # bit by bit, so that a word's sum is the same beside any others
+                    so_far += np.repeat(ln[a:b], times[a:b])
+                total[at] = so_far
             bits[first : first + len(some)] = total
         tree = self.tree
         whole = max(tree.rest_tokens + tree.rest_words, 1)
@@ -446,10 +488,10 @@ class Model:
         texts.match()
 
         def votes(tokens, owner, depth, node):
-            out = np.empty((len(owner), len(tables)), np.int8)
+            out = np.empty((len(tables), len(owner)), np.int8)
             for k, table in enumerate(tables):
-                out[:, k] = table[slots_of(k, self.tree_sizes[k], texts.contexts[k][tokens], owner, node)]
-            return out
+                table.take(slots_of(k, self.tree_sizes[k], texts.contexts[k][tokens], owner, node), out=out[k], mode="clip")
+            return out.T
 
         each = mix(texts, tree, votes, start)
         escaped = texts.symbols == ESCAPE
@@ -598,9 +640,9 @@ def spelling_counts(totals: DataFrame, tree, sizes: tuple[int, ...], words: int)
         for _, _, payload in rows_of(batches):
             some, counts = expand(payload)
             some = [w for w, c in zip(some, counts.tolist(), strict=True) if c and w not in tree.value.symbols]
-            for _, slots, bit, _ in lanes(some, sizes):
+            for _, _, times, slots, bit, _ in stems(some, sizes):
                 for k, table in enumerate(tables):
-                    np.add.at(table.ravel(), 2 * slots[k] + bit, np.uint32(1))
+                    np.add.at(table.ravel(), 2 * slots[k] + bit, times.astype(np.uint32))
         yield from partial_rows(tables)
         del tables
         release()
@@ -635,23 +677,33 @@ def tree_counts(learned: DataFrame, tree, sizes: tuple[int, ...], tokens: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, count = [np.zeros((1 << s, 2), np.uint32) for s in sizes], 0
         foretold_words = np.zeros((2, GATES), np.int64)
+        symbols = len(tree.value.first) - 1
+        after = np.zeros((FREQUENT + 2) * symbols, np.int64)  # tokens by last frequent word and symbol
 
         def rows() -> Iterator[pa.RecordBatch]:
+            pairs = np.flatnonzero(after)
+            for first in range(0, len(pairs), SOME):
+                some = pairs[first : first + SOME]
+                owner, _, node, bit = path_of(tree.value, some % symbols)
+                times, frequent = after[some][owner].astype(np.uint32), (some // symbols).astype(np.uint64)
+                for k in (0, 3):
+                    np.add.at(tables[k].ravel(), 2 * slots_of(k, sizes[k], frequent, owner, node) + bit, times)
             yield from partial_rows(tables)
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([pack_array(to_planes(foretold_words.ravel()))], pa.binary())], schema=PARTIAL_ARROW)
 
         for texts, _ in grouped_texts(batches, tree.value):
             foretold_words += matched(texts)
+            after += np.bincount(texts.contexts[3].astype(np.int64) * symbols + texts.symbols, minlength=len(after))
             for first in range(0, len(texts.symbols), SOME):
                 some = np.arange(first, min(first + SOME, len(texts.symbols)))
                 owner, _, node, bit = bits_of(texts, tree.value, some)
-                for k, table in enumerate(tables):
-                    np.add.at(table.ravel(), 2 * slots_of(k, sizes[k], texts.contexts[k][some], owner, node) + bit, np.uint32(1))
+                for k in (1, 2):
+                    np.add.at(tables[k].ravel(), 2 * slots_of(k, sizes[k], texts.contexts[k][some], owner, node) + bit, np.uint32(1))
                 count += len(owner)
             if count >= 1 << 31:  # before a count could leave 32 bits
                 yield from rows()
                 tables, count = [np.zeros((1 << s, 2), np.uint32) for s in sizes], 0
-                foretold_words[:] = 0
+                foretold_words[:], after[:] = 0, 0
         yield from rows()
         tables = []
         release()

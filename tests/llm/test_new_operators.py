@@ -295,3 +295,57 @@ def test_lm_spelling_is_fitted_on_all_words_in_any_split():
         return -sum(np.log(np.where(bit == 1, p, 1 - p)).sum() for _, slots, bit, gate in lm_score.lanes(words, sizes) for p in [lm_score.logistic(lm_score.spell_odds(weights[gate[0]], lm_score.spell_inputs(tables, slots, bit)))])
 
     assert loss(weights) < loss(lm_score.first_weights())
+
+
+def plain_lanes(words, sizes):
+    """(place in words, byte, bit) -> slots, bit and gate, one bit after the other."""
+    out, mask = {}, (1 << 64) - 1
+    for i, word in enumerate(words):
+        o1 = o2 = o3 = whole = 0
+        for at, byte in enumerate(word + b"\x20"):
+            node = 1
+            for b in range(8):
+                bit = byte >> (7 - b) & 1
+                slots = [((((c * int(lm_score.ODD) + node) & mask) * (0xD6E8FEB86659FD93 + 2 * k)) & mask) >> (64 - sizes[k]) for k, c in enumerate((min(at, 3), o1, o2, o3, whole))]
+                out[i, at, b] = (*slots, bit, min(at, lm_score.SPELL_GATES - 1))
+                node = node << 1 | bit
+            o3, o2, o1 = (o2 << 8 | byte | 1 << 32) & mask, (o1 << 8 | byte | 1 << 24) & mask, byte + 1
+            whole = (whole + byte + 1) * 0x2545F4914F6CDD1D & mask
+    return out
+
+
+def test_lm_beginnings_that_words_share_are_met_once(monkeypatch):
+    """Every bit of every word, in any order of words and any pieces; in sorted words, what is alike once."""
+    rng = np.random.default_rng(3)
+    words = sorted({bytes(rng.integers(97, 101, rng.integers(1, 8)).astype(np.uint8)) for _ in range(400)} | {b"", b"\x01a", b"\xff", b"x" * 90})
+    sizes, spaced = (9, 10, 10, 11, 12), [b"a b", b"a", b"a b", b"a", b"ab"]
+    for some in (words, words[::-1], [words[i] for i in rng.permutation(len(words))], spaced, [b"one"], []):
+        for most in (1, 300, 1 << 30):
+            monkeypatch.setattr(lm_score, "STEMS", most)
+            found, bits = {}, [0] * len(some)
+            for alive, slots, bit, gate in lm_score.lanes(some, sizes):
+                for j, i in enumerate(alive.tolist()):
+                    found[i, bits[i] // 8, bits[i] % 8] = (*slots[:, j].tolist(), int(bit[j]), int(gate[j]))
+                    bits[i] += 1
+            assert found == plain_lanes(some, sizes)
+    met = sum(len(times) for _, _, times, *_ in lm_score.stems(words, sizes))
+    assert met == len({(w[:at], (w + b" ")[at] >> (7 - b), b) for w in words for at in range(len(w) + 1) for b in range(8)}) and met < 0.6 * sum(8 * (len(w) + 1) for w in words)
+
+
+def test_lm_counts_of_the_tree_are_of_every_decision(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.geometric(0.02, n), 150)) for n in (900, 1, 0, 300)] + [None, "w1 w2 w3 w1 w2 w3"]
+    tree = lm_score.make_tree([(f"w{k}".encode(), 200 - k) for k in range(1, 121)], len(texts), 20_000, 200)
+    sizes, expected = (13, 10, 11, 9), []
+    words = [lm_score.words_of(t) for t in texts]
+    known = lm_score.known_words([w for x in words for w in x], tree)
+    some = lm_score.Texts(np.array([len(x) for x in words]), known[:, 0], known[:, 1])
+    owner, _, node, bit = lm_score.bits_of(some, tree, np.arange(len(some.symbols)))
+    for k, size in enumerate(sizes):
+        table = np.zeros((1 << size, 2), np.int64)
+        np.add.at(table, (lm_score.slots_of(k, size, some.contexts[k], owner, node), bit), 1)
+        expected.append(lm_score.to_byte(table[:, 0]).astype(np.uint16) | lm_score.to_byte(table[:, 1]).astype(np.uint16) << 8)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found, matches = lm_score.tree_counts(docs, spark.sparkContext.broadcast(tree), sizes, 2000)
+    assert all((a == b).all() for a, b in zip(found, expected, strict=True))
+    assert (np.array(matches).reshape(2, lm_score.GATES) == lm_score.matched(some)).all()
