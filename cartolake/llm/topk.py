@@ -1,9 +1,9 @@
 """Exact top-k inner-product search by ball-tree branch and bound per shard.
 
 Vectors go to the nearest of a bounded number of centres, which a hashed sample gives; a cluster above MOST_ROWS is cut into
-shards by hash. Each shard builds a ball tree, whose nodes are visited in the order of their upper bound q.c + |q| r; the
-walk ends when no node can reach the current kth score. Clusters have balls too: a small table of their centres and radii
-tells, before anything is shuffled, which of them a query can't gain from.
+shards by hash. Each shard builds a ball tree, which many queries walk down together: those go on to a node whose upper
+bound q.c + |q| r there reaches their kth score so far, and a leaf is met in one product of matrices. Clusters have balls
+too: a small table of their centres and radii tells, before anything is shuffled, which of them a query can't gain from.
 
 The kth score is shared in waves. A query first searches its home shard, then the clusters of the largest bounds, and at
 last whatever its kth score so far doesn't rule out; each wave starts from the score of those before it, and only shards
@@ -12,7 +12,6 @@ that somebody asks take part in it.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import hash_share, materialize
 
 SCALE = 1024
 TOP = 10
@@ -37,8 +36,10 @@ SAMPLED = 4
 NEAR = 4
 QUERIES_PER_GROUP = 20_000
 LEAF = 128
-#: Sums of products below this are exact as floating-point numbers, and below the next as whole ones.
-EXACT, WHOLE = 1 << 53, 1 << 62
+#: Queries that walk down a tree together, and rows of a batch of queries with the clusters in their reach, about.
+TOGETHER, REACH_ROWS = 1024, 1 << 16
+#: Sums of products below this are exact as floating-point numbers, and below the next as whole ones; what stands for no score.
+EXACT, WHOLE, NONE = 1 << 53, 1 << 62, -(1 << 63)
 
 
 class BallTree:
@@ -71,38 +72,63 @@ class BallTree:
         self.most = float(np.abs(points).sum(axis=1).max())
         self.points = points[order]
 
-    def search(self, query_id: int, q: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
-        """(score, vec_id) of the k best, ties to the smaller id, without query_id itself; below `least` none matter."""
-        wide = q.astype(np.float64)
-        norm = float(np.linalg.norm(wide))
-        bounds = self.centers @ wide + norm * self.radii
-        slack = 1e-9 * (norm * float(np.abs(self.centers).sum(axis=1).max() + self.radii.max()) + 1)  # of floating point
-        exact = self.most * float(np.abs(wide).max(initial=0.0)) < EXACT
-        rows, asked = (self.points, wide) if exact else (self.vectors, q)
-        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
-        floor = -math.inf if least is None else least
-        heap = [(-float(bounds[0]), 0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if -bound + slack < floor:
-                break
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, score, vec_id) of the k best of each query, ties to the smaller id, without the query's own id; a
+        query's scores below its `least` (NONE: it has none) don't matter."""
+        exact = self.most * np.abs(queries).max(axis=1, initial=0) < EXACT
+        found = [self.walk(own[n : n + TOGETHER], query_ids, queries, k, least, fits) for fits in (True, False) for own in (np.flatnonzero(exact == fits),) for n in range(0, len(own), TOGETHER)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def walk(self, own: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search for the queries at the places `own`, in floating point where that is exact."""
+        wide = queries[own].astype(np.float64)
+        norms = np.linalg.norm(wide, axis=1)
+        # of floating point
+        slack = 1e-9 * (norms * float(np.abs(self.centers).sum(axis=1).max() + self.radii.max()) + 1)
+        rows, asked, ids = (self.points, wide, query_ids[own]) if exact else (self.vectors, queries[own], query_ids[own])
+        floor = least[own]
+        reach = np.where(floor == NONE, -math.inf, floor.astype(np.float64)) - slack
+        empty = np.zeros(0, np.int64)
+        best, fresh, waiting = (empty, empty, empty), [], 0  # best: by query, at most k each
+
+        def keep() -> None:
+            nonlocal best, fresh, waiting
+            at, score, vec_id = (np.concatenate(c) for c in zip(best, *fresh, strict=True))
+            by = np.lexsort((vec_id, -score, at))
+            first = np.searchsorted(at[by], np.arange(len(own)))
+            rank = np.arange(len(by)) - first[at[by]]
+            best, fresh, waiting = tuple(c[by[rank < k]] for c in (at, score, vec_id)), [], 0
+            last = by[rank == k - 1]
+            floor[at[last]] = np.maximum(floor[at[last]], score[last])
+            reach[at[last]] = floor[at[last]] - slack[at[last]]
+
+        def visit(node: int, some: np.ndarray, bounds: np.ndarray) -> None:
+            able = bounds >= reach[some]
+            some = some[able]
+            if not len(some):
+                return
             first, end, left, right = self.nodes[node]
             if left >= 0:
-                for child in (left, right):
-                    if float(bounds[child]) + slack >= floor:
-                        heapq.heappush(heap, (-float(bounds[child]), child))
-                continue
-            scores = rows[first:end] @ asked
-            able = np.flatnonzero(scores >= floor)
-            for score, vec_id in zip(map(int, scores[able].tolist()), self.ids[first:end][able].tolist(), strict=True):
-                if score >= floor and vec_id != query_id:
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -vec_id))
-                    elif (score, -vec_id) > best[0]:
-                        heapq.heapreplace(best, (score, -vec_id))
-                    if len(best) == k:
-                        floor = max(floor, best[0][0])
-        return [(score, -vec_id) for score, vec_id in best]
+                below = [(child, wide[some] @ self.centers[child] + norms[some] * self.radii[child]) for child in (left, right)]
+                for child, most in sorted(below, key=lambda x: -x[1].mean()):
+                    visit(child, some, most)
+                return
+            for a in range(first, end, LEAF):  # equal vectors make one leaf
+                scores = asked[some] @ rows[a : min(a + LEAF, end)].T
+                at, row = np.nonzero(scores >= floor[some][:, None])
+                other = self.ids[a + row] != ids[some[at]]
+                at, row = at[other], row[other]
+                fresh.append((some[at], scores[at, row].astype(np.int64), self.ids[a + row]))
+                nonlocal waiting
+                waiting += len(at)
+                if waiting > k * len(own):
+                    keep()
+
+        everyone = np.arange(len(own))
+        visit(0, everyone, wide @ self.centers[0] + norms * self.radii[0])
+        if fresh:
+            keep()
+        return own[best[0]], best[1], best[2]
 
 
 def lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +139,8 @@ def lists(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Rows of a group: its vectors (kind 0) before its queries (kind 1), whose `least` is the kth score so far.
-IN = ("part", "kind", "vec_id", "v", "least")
-OUT = "query_id long, v array<long>, vec_id long, score long"
+IN = ("part", "kind", "query_no", "vec_id", "v", "least")
+OUT = "query_no long, query_id long, vec_id long, score long"
 
 
 def search_groups(rows: DataFrame, k: int) -> DataFrame:
@@ -123,32 +149,43 @@ def search_groups(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            found, (flat, at) = [], lists(batch, 3)
-            vec_ids = batch.column(2).to_numpy()
-            for n, (part, kind, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)), strict=True)):
-                if part != now:
-                    now, ids, vectors, tree = part, [], [], None
-                v = flat[at[n] : at[n + 1]]
-                if kind == 0:
-                    ids.append(vec_ids[n])
+            parts, kinds = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            flat, at = lists(batch, 4)
+            query_no, vec_ids, least = (batch.column(c).to_numpy() for c in (2, 3, 5))
+            first = 0
+            while first < batch.num_rows:
+                end = first + 1
+                while end < batch.num_rows and parts[end] == parts[first] and kinds[end] == kinds[first]:
+                    end += 1
+                if parts[first] != now:
+                    now, ids, vectors, tree = parts[first], [], [], None
+                own = slice(first, end)
+                v = flat[at[first] : at[end]].reshape(end - first, -1).astype(np.int64)
+                if kinds[first] == 0:
+                    ids.append(vec_ids[own])
                     vectors.append(v)
                 elif vectors:
-                    tree = tree or BallTree(np.stack(vectors).astype(np.int64), np.array(ids, np.int64))
-                    found += [(int(vec_ids[n]), v.tolist(), other, score) for score, other in tree.search(int(vec_ids[n]), v.astype(np.int64), k, least)]
-            columns = zip(*found, strict=True) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()), strict=True)], ["query_id", "v", "vec_id", "score"])
+                    tree = tree or BallTree(np.concatenate(vectors), np.concatenate(ids))
+                    place, score, other = tree.search(vec_ids[own], v, k, least[own])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (query_no[own][place], vec_ids[own][place], other, score)], ["query_no", "query_id", "vec_id", "score"])
+                first = end
 
-    return rows.select(*IN).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
+    # the work is in the pairs: as many tasks, however few bytes they have
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*IN).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(run, OUT)
 
 
 def pick_centers(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
     """By dimension, `count` vectors at most, only used to group: of a hashed sample of SAMPLED times as many each next one is
     the farthest from those before it, which keeps balls small."""
-    dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(count).collect()]
+    h = F.xxhash64("v")
+    # of a vector's copies all have its hash, so a share of the hashes that has twice the sample is enough to pick it from
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("different")).orderBy(F.desc("n"), "dim").limit(count).collect()
     each = max(1, count // max(1, len(dims)))
-    hashed = rows.where(F.col("dim").isin(dims)).select("dim", "v", F.xxhash64("vec_id", "v").alias("h")).dropDuplicates(["dim", "v"])
-    own = hashed.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("n") <= SAMPLED * each).orderBy("dim", "n").collect()
-    return {d: farthest(np.array([r["v"] for r in own if r["dim"] == d], float), each) for d in dims}
+    shares = [F.when(F.col("dim") == r["dim"], hash_share(F.col("h"), 2 * SAMPLED * each + 100, r["different"])) for r in dims]
+    some = rows.where(F.col("dim").isin([r["dim"] for r in dims])).select("dim", "v", h.alias("h")).where(F.coalesce(*shares, F.lit(False))).dropDuplicates(["dim", "v"])
+    own = some.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("n") <= SAMPLED * each).orderBy("dim", "n").collect()
+    return {r["dim"]: farthest(np.array([x["v"] for x in own if x["dim"] == r["dim"]], float), each) for r in dims}
 
 
 def farthest(points: np.ndarray, count: int) -> np.ndarray:
@@ -182,46 +219,60 @@ def with_clusters(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
 
 
 def within_reach(queries: DataFrame, centers: dict[int, np.ndarray], radii: dict[int, np.ndarray], near: int | None) -> DataFrame:
-    """vec_id, v, dim, least, cluster of queries (vec_id, v, dim, least, done): the clusters whose ball can reach `least`,
-    without those that are done; with near only so many, of the largest bounds. A cluster that is empty has radius -1."""
+    """query_no, dim, least, cluster of queries (query_no, v, dim, least, done): the clusters whose ball can reach `least`,
+    without those that are done; with near only so many, of the largest bounds. A cluster that is empty has radius -1.
+    Vectors stay behind, as a query may have a row for every cluster."""
     shared = queries.sparkSession.sparkContext.broadcast((centers, radii))  # CENTERS vectors and numbers
+    schema = "query_no long, dim int, least long, cluster int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ball = shared.value
         for batch in batches:
+            numbers, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             (flat, at), (done, done_at) = lists(batch, 1), lists(batch, 4)
-            n, found = [], []
-            for row, (d, least) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                q = flat[at[row] : at[row + 1]].astype(float)
+            least = batch.column(3).to_numpy()
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
                 c, r = known.get(d, np.zeros((1, d))), ball[d]
-                norm = float(np.linalg.norm(q))
-                bounds = c @ q + norm * r
-                slack = 1e-9 * (norm * float(np.abs(c).sum(axis=1).max() + r.max()) + 1)  # of floating point
-                able = (r >= 0) & (bounds + slack >= (-math.inf if least is None else least))
-                able[done[done_at[row] : done_at[row + 1]]] = False
-                picked = np.flatnonzero(able)
-                if near is not None:
-                    picked = picked[np.argsort(-bounds[picked], kind="stable")[:near]]
-                n += [row] * len(picked)
-                found += picked.tolist()
-            taken = batch.select(["vec_id", "v", "dim", "least"]).take(pa.array(n, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.int32())], ["vec_id", "v", "dim", "least", "cluster"])
-
-    return queries.select("vec_id", "v", "dim", "least", "done").mapInArrow(run, "vec_id long, v array<long>, dim int, least long, cluster int")
-
-
-def search_wave(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The hits of asked (vec_id, v, dim, least, cluster, shard) in vectors' shards; shards that nobody asks don't move.
-
-    A shard with more than QUERIES_PER_GROUP queries stands once for each group of them.
+                step = max(1, REACH_ROWS // len(r))
+                for k in range(0, len(own), step):
+                    rows = own[k : k + step]
+                    q = flat[at[rows][:, None] + np.arange(d)].astype(float)
+                    norms = np.linalg.norm(q, axis=1)
+                    bounds = q @ c.T + norms[:, None] * r
+                    slack = 1e-9 * (norms * float(np.abs(c).sum(axis=1).max() + r.max()) + 1)  # of floating point
+                    floor = np.where(least[rows] == NONE, -math.inf, least[rows].astype(float)) - slack
+                    able = (r >= 0) & (bounds >= floor[:, None])
+                    for n, row in enumerate(rows.tolist()):
+                        able[n, done[done_at[row] : done_at[row + 1]]] = False
+                    if near is not None:
+                        by = np.argsort(np.where(able, -bounds, math.inf), axis=1, kind="stable")[:, :near]
+                        kept = np.zeros_like(able)
+                        np.put_along_axis(kept, by, True, axis=1)
+                        able &= kept
+                    n, found = np.nonzero(able)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[rows][n]), pa.array(dims[rows][n]), pa.array(least[rows][n]), pa.array(found, pa.int32())], ["query_no", "dim", "least", "cluster"])
+
+    # the work is in the queries' clusters: as many tasks, however few bytes the queries have
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.select("query_no", "v", "dim", F.coalesce("least", F.lit(NONE)).alias("least"), "done").repartition(tasks, "query_no").mapInArrow(run, schema)
+
+
+def search_wave(vectors: DataFrame, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The hits of asked (query_no, least, dim, cluster, shard), a row for each query (query_no, vec_id, v) and shard that it asks;
+    shards that nobody asks don't move.
+
+    A shard with more than QUERIES_PER_GROUP queries stands once for each group of them. What stands once a query and
+    shard is never broadcast: it has as many rows as queries times shards, though few bytes in a file.
     """
     name = lambda *more: F.concat_ws("/", "dim", "cluster", "shard", *more).alias("part")
-    none = F.lit(None).cast("long").alias("least")
-    groups = asked.groupBy("dim", "cluster", "shard").agg(F.ceil(F.count("*") / QUERIES_PER_GROUP).cast("int").alias("groups"))
+    none = F.lit(NONE).alias("least")
     key = ["dim", "cluster", "shard"]
-    queries = asked.join(groups, key).select(name(F.pmod(F.xxhash64("vec_id"), F.col("groups"))), F.lit(1).alias("kind"), "vec_id", "v", "least")
-    own = vectors.join(groups, key).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - F.lit(1).cast("long")))).select(name("g"), F.lit(0).alias("kind"), "vec_id", "v", none)
-    return materialize(search_groups(own.unionByName(queries), k), "hits")
+    groups = F.broadcast(asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_PER_GROUP).cast("int").alias("groups")))  # a row a shard
+    own = asked.join(groups, key).select("query_no", name(F.pmod(F.xxhash64("query_no"), F.col("groups"))), "least").hint("merge")
+    sent = own.join(queries.select("query_no", "vec_id", "v"), "query_no").select("part", F.lit(1).alias("kind"), "query_no", "vec_id", "v", "least")
+    met = vectors.join(groups, key).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - F.lit(1).cast("long"))))
+    return materialize(search_groups(met.select(name("g"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("query_no"), "vec_id", "v", none).unionByName(sent), k), "hits")
 
 
 def top_k(embeddings: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY) -> DataFrame:
@@ -247,33 +298,34 @@ def top_k(embeddings: DataFrame, k: int = TOP, query_every: int = QUERY_EVERY) -
     count = max(1, min(CENTERS, max(math.ceil(size["n"] / MOST_ROWS), min(cores, math.ceil(size["n"] / LEAST_ROWS)))))
     centers = pick_centers(rows, count)
     rows = materialize(with_clusters(rows, centers), "clusters")
-    balls = rows.groupBy("dim", "cluster").agg(F.max("away").alias("radius"), F.count("*").alias("n"))
+    balls = materialize(rows.groupBy("dim", "cluster").agg(F.max("away").alias("radius"), F.count("*").alias("n")), "balls")
     radii: dict[int, np.ndarray] = {}
     for r in balls.collect():  # CENTERS of them, and one for each further dimension
         own = radii.setdefault(r["dim"], np.full(len(centers.get(r["dim"], [0])), -1.0))
         own[r["cluster"]] = r["radius"] * (1 + 1e-9)
-    shards = balls.select("dim", "cluster", F.ceil(F.col("n") / MOST_ROWS).cast("int").alias("shards"))
+    shards = F.broadcast(balls.select("dim", "cluster", F.ceil(F.col("n") / MOST_ROWS).cast("int").alias("shards")))
     key = ["dim", "cluster"]
-    vectors = rows.join(shards, key).withColumn("shard", F.pmod(F.xxhash64("row_no"), F.col("shards")).cast("int")).select("vec_id", "v", "dim", "cluster", "shard")
-    asked = materialize(vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v", "dim", "cluster").agg(F.min("shard").alias("shard")), "queries")
-    hits = search_wave(vectors, asked.withColumn("least", F.lit(None).cast("long")), k)
-    # what is left of the home cluster goes with the next wave
-    whole = asked.join(shards, key).withColumn("done", F.when(F.col("shards") == 1, F.array("cluster")).otherwise(F.array().cast("array<int>")))
-    home = asked.select("vec_id", "v", "cluster", F.col("shard").alias("home"))
-    todo = whole.select("vec_id", "v", "dim", "done")
+    vectors = rows.join(shards, key).withColumn("shard", F.pmod(F.xxhash64("row_no"), F.col("shards")).cast("int")).select("vec_id", "v", "dim", "cluster", "shard", "shards")
+    # a query has one place in here, and what is left of its home cluster goes with the next wave
+    home = vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id", "v", "dim", "cluster").agg(F.min("shard").alias("shard"), F.min("shards").alias("shards"))
+    todo = materialize(home.withColumn("query_no", F.monotonically_increasing_id()), "queries")
+    queries = todo.select("query_no", "vec_id", "v", F.col("cluster").alias("home"), F.col("shard").alias("home_shard"))
+    hits = search_wave(vectors, queries, todo.select("query_no", "dim", "cluster", "shard", F.lit(NONE).alias("least")), k)
+    todo = todo.select("query_no", "v", "dim", F.when(F.col("shards") == 1, F.array("cluster")).otherwise(F.array().cast("array<int>")).alias("done"))
     for near in (NEAR, None):
-        kth = best_of(hits, k).groupBy(F.col("query_id").alias("vec_id"), "v").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
-        reach = materialize(within_reach(todo.join(kth, ["vec_id", "v"], "left"), centers, radii, near), "reach")
-        wanted = reach.join(shards, key).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("vec_id", "v", "dim", "least", "cluster", "shard")
-        others = wanted.join(home, ["vec_id", "v", "cluster"], "left").where("home IS NULL OR home <> shard").drop("home")
-        hits = hits.unionByName(search_wave(vectors, others, k))
-        met = reach.groupBy("vec_id", "v").agg(F.collect_list("cluster").alias("met"))  # NEAR of them
-        todo = todo.join(met, ["vec_id", "v"], "left").withColumn("done", F.concat("done", F.coalesce("met", F.array().cast("array<int>")))).drop("met")
+        kth = best_of(hits, k).groupBy("query_no").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+        reach = materialize(within_reach(todo.join(kth, "query_no", "left"), centers, radii, near), "reach")
+        wanted = reach.join(shards, key).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).hint("merge")
+        own = wanted.join(queries.select("query_no", "home", "home_shard"), "query_no").where((F.col("cluster") != F.col("home")) | (F.col("shard") != F.col("home_shard")))
+        hits = hits.unionByName(search_wave(vectors, queries, own.select("query_no", "least", "dim", "cluster", "shard"), k))
+        if near is not None:
+            met = reach.groupBy("query_no").agg(F.collect_list("cluster").alias("met"))  # NEAR of them
+            todo = todo.join(met, "query_no", "left").withColumn("done", F.concat("done", F.coalesce("met", F.array().cast("array<int>")))).drop("met")
     return best_of(hits, k).select("query_id", "rank", "vec_id", "score")
 
 
 def best_of(hits: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
