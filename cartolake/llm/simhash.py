@@ -108,6 +108,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, cell_homes: int = CELL_HOM
     """a < b: the pairs of different fingerprints (nodes.fp, distinct) that differ by max_bits or fewer (3 at most).
 
     A cell (an anchor of a half) with more than cell_homes homes is cut on both sides, and its parts meet in tasks of their own.
+    Homes and visitors are merged: Spark sizes both by the nodes' file, before the explodes, and would broadcast 34 rows a node.
     """
     # dealt out before the 34-fold explode, which else runs in as few tasks as the nodes have files
     sides = halves(nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
@@ -117,7 +118,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, cell_homes: int = CELL_HOM
     visitors = sides.select("side", F.explode(reach).alias("anchor"), F.col("fp").alias("b"))
     apart = F.col("a").bitwiseXOR(F.col("b"))
     cuts = materialize(cell_cuts(homes, 2 * nodes.count(), cell_homes), "cells")
-    met = dealt(homes, "a", "b", cuts).join(dealt(visitors, "b", "a", cuts), ["side", "anchor", "cut_a", "cut_b"])
+    met = dealt(homes, "a", "b", cuts).hint("merge").join(dealt(visitors, "b", "a", cuts).hint("merge"), ["side", "anchor", "cut_a", "cut_b"])
     found = met.where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits))
     # a pair has one half within 1 bit at least; of two such the low one counts, and none counts where it is met by chance
     low = F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= max_bits // 2
@@ -171,13 +172,13 @@ def least_neighbour(both: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     one = F.coalesce("slices", F.lit(1))
     cut = both.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("slice"))
     copies = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    return least, cut.join(copies, ["a", "slice"]).select("a", "b", "m")
+    return least, cut.join(copies.hint("merge"), ["a", "slice"]).select("a", "b", "m")
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
     """nodes (fp, distinct, and others) with root, the smallest fingerprint of its component."""
     roots = components(links(nodes))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def representatives(docs: DataFrame, number: str) -> DataFrame:
@@ -199,9 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     member = rooted(nodes)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = member.join(named, "root").select("fp", "component_id", "copies")
+    labels = member.join(named.hint("merge"), "root").select("fp", "component_id", "copies")
     # any slice of a fingerprint's rows will do, as each has the label
-    met = join_sliced(rows, labels, nodes, ["fp"], F.xxhash64(F.monotonically_increasing_id()), slice_rows(rows.count(), LABEL_ROWS))
+    met = join_sliced(rows, labels.hint("merge"), nodes, ["fp"], F.xxhash64(F.monotonically_increasing_id()), slice_rows(rows.count(), LABEL_ROWS))
     return met.select("doc_id", "fp", "component_id")
 
 

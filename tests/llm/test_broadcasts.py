@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cartolake.llm import topk
+from cartolake.llm import simhash, topk
 
 
 def broadcast_rows(spark, run):
@@ -62,3 +62,23 @@ def test_scores_beyond_floating_point_and_equal_ones():
     least = np.sort(scores, axis=1)[:, -3]
     some = {(int(p), int(s), int(o)) for p, s, o in zip(*tree.search(ids, vectors, 10, least), strict=True)}
     assert some == {x for x in found if x[1] >= least[x[0]]}
+
+
+def test_no_row_of_a_fingerprint_is_broadcast(spark):
+    """A fingerprint has 34 visitors of anchors, and rows; what is broadcast is cells, nodes and keys that are cut: none here."""
+    rng = np.random.default_rng(7)
+    texts = [(i, " ".join(f"w{w}" for w in rng.integers(0, 500, 30))) for i in range(400)]
+    docs = spark.createDataFrame(texts + [(400 + i, f"{t} more") for i, t in texts[:50]] + [(500, texts[3][1])], "doc_id long, text string")
+    found = []
+    assert broadcast_rows(spark, lambda: found.extend(simhash.near_duplicates(docs).collect())) == 0
+    fps = {r.doc_id: r.fp & (1 << 64) - 1 for r in found}
+    assert len(fps) == 451 and all(fps[i] == simhash.fingerprint(t.encode()) for i, t in texts)
+    of = {r.doc_id: r.component_id for r in found}
+    near = {i: {j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3} for i in fps}
+    for i in fps:
+        reached, todo = set(), [i]
+        while todo:
+            if (j := todo.pop()) not in reached:
+                reached.add(j)
+                todo += near[j]
+        assert of[i] == min(reached)
