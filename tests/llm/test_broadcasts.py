@@ -1,8 +1,11 @@
 """What is sent to every task stays small: tables that Spark sizes by few bytes in a file, but that have many rows, never are."""
 
+import math
+
 import numpy as np
 
 from cartolake.llm import simhash, topk
+from cartolake.operators import discovery
 
 
 def broadcast_rows(spark, run):
@@ -82,3 +85,19 @@ def test_no_row_of_a_fingerprint_is_broadcast(spark):
                 reached.add(j)
                 todo += near[j]
         assert of[i] == min(reached)
+
+
+def test_no_block_of_a_radius_join_is_broadcast(spark, tmp_path):
+    """A centre stands in 27 cells: only cells that are cut are broadcast, one here at most, where many rows share a place."""
+    rng = np.random.default_rng(8)
+    at = [(float(rng.uniform(-2, 2)), float(rng.uniform(-2, 2))) for _ in range(500)]
+    spark.createDataFrame([(k, *x) for k, x in enumerate(at[:300])] + [(1000 + k, 1.5, 1.5) for k in range(2500)], "id int, latitude double, longitude double").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(k, *x) for k, x in enumerate(at[300:])] + [(1000 + k, 1.5, 1.5) for k in range(2300)], "center_id int, c_lat double, c_lng double").write.parquet(f"{tmp_path}/c")
+    points, centers = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/c")
+    found = []
+    # the place of many rows is in one of the points' cells and in 27 of the centres'
+    assert broadcast_rows(spark, lambda: found.append(discovery.radius_join(points, centers, 25.0).where("id < 1000 AND center_id < 1000").select("id", "center_id").collect())) <= 27
+    far = lambda a, b: 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    assert sorted(map(tuple, found[0])) == [(i, j) for i, a in enumerate(at[:300]) for j, b in enumerate(at[300:]) if far(a, b) <= 25.0]
+    shares = discovery.radius_join(points, centers, 25.0).where("id >= 1000 AND center_id >= 1000").count()
+    assert shares == 2500 * 2300
